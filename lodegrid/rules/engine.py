@@ -167,10 +167,10 @@ def oracle_sql(files_sql: str, rules: list[Rule]) -> str | None:
         return None
     ff = {k: p for k, (g, p) in flags.items() if g == "f"}
     tf = {k: p for k, (g, p) in flags.items() if g == "t"}
-    sel = "".join(f", {p.d} AS {k}" for k, p in {**ff, **tf}.items())
+    sel = "".join(f", {p.d} AS {k}" for k, p in ff.items())
     ctes = [f"files AS ({files_sql})", f"flagged AS (SELECT *{sel} FROM files)"]
-    agg = "".join(f", bool_or({k}) AS {k}" for k in tf)
-    ctes.append(f"tf AS (SELECT target_id{agg} FROM flagged GROUP BY target_id)")
+    agg = "".join(f", bool_or({p.d}) AS {k}" for k, p in tf.items())
+    ctes.append(f"tf AS (SELECT target_id{agg} FROM files GROUP BY target_id)")
     fcols = "".join(f", {k}" for k in ff)
     ctes.append("fn AS (SELECT target_id, chain, path, pos, ord, f.name AS name, f.params AS params, f.tail AS tail, f.body AS body"
                 f"{fcols} FROM (SELECT target_id, chain, path, pos{fcols}, unnest(fns) AS f, generate_subscripts(fns, 1) AS ord FROM flagged))")
@@ -187,7 +187,7 @@ def oracle_sql(files_sql: str, rules: list[Rule]) -> str | None:
         src = "fn" if r.grain == "fn" else "flagged"
         frm = f"(SELECT *, unnest({r.each.d}) AS v FROM {src} WHERE {r.when.d})" if r.each is not None else src
         fn = "s.name" if r.grain == "fn" else _q(r.fn)
-        cond = "true" if r.each is not None else _qualify(r.when.d)
+        cond = "true" if r.each is not None else r.when.d
         q = f"SELECT s.target_id, s.path AS file, {lab}, {fn} AS function FROM {frm} s JOIN tf USING (target_id) WHERE {cond}{tcond}"
         if r.custom_guard:
             q += " AND NOT EXISTS (SELECT 1 FROM guards g WHERE g.target_id = s.target_id AND list_contains(regexp_extract_all(s.tail, '([A-Za-z_]\\w*)', 1), g.modifier))"
@@ -203,6 +203,3 @@ def oracle_sql(files_sql: str, rules: list[Rule]) -> str | None:
 def _q(s: str) -> str:
     return "NULL::VARCHAR" if not s else "'" + s + "'"
 
-
-def _qualify(s: str) -> str:
-    return s
