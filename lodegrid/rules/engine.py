@@ -121,8 +121,8 @@ def evaluate(files: DataFrame, rules: list[Rule], parsed: DataFrame | None = Non
             key = F.when(F.col("once"), F.concat_ws("|", "path", "r")).when(F.col("once_fn"), F.concat_ws("|", "function", "r")).otherwise(
                 F.concat_ws("|", "path", "r", "start", "v"))
             w = Window.partitionBy("target_id", "first_key").orderBy("pos", "start")
-            out = (out.withColumn("first_key", key).withColumn("n", F.row_number().over(w))
-                   .where("n = 1 OR NOT (once OR once_fn)").drop("n", "first_key"))
+            # every other hit has a key of its own, so rank 1 keeps it and Spark can prune ranks map-side
+            out = out.withColumn("first_key", key).withColumn("n", F.row_number().over(w)).where("n = 1").drop("n", "first_key")
         if any(r.custom_guard for _, r in numbered):
             out = _drop_custom_guarded(out, guard_modifiers(parsed))
     tgt = [(i, r) for i, r in numbered if r.grain == "target"]
