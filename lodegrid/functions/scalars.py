@@ -26,9 +26,6 @@ CONFIRMED, LIKELY = "CONFIRMED_CRITICAL", "LIKELY_CRITICAL_NEEDS_POC"
 NEEDS, LOW, FALSE_POSITIVE = "NEEDS_MORE_INVESTIGATION", "LOW_OR_INFO", "FALSE_POSITIVE"
 REPORTABLE = (CONFIRMED, LIKELY)
 
-_empty = F.lit("")
-
-
 def _s(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
@@ -64,8 +61,8 @@ def pattern_signature(detector, functions, title, rule_id, bug_class, pattern_cl
     """Address-free pattern key: context for later reviews, never a suppression by itself."""
     low = F.lower(squeeze(snippet))
     marks = F.array_sort(F.filter(F.array(*[F.lit(m) for m in PATTERN_MARKERS]), lambda m: F.contains(low, m)))
-    rule = F.coalesce(F.nullif(rule_id, _empty), F.nullif(bug_class, _empty), norm_title(title))
-    cls = F.coalesce(F.nullif(pattern_class, _empty), F.nullif(bug_class, _empty), _empty)
+    rule = F.coalesce(F.nullif(rule_id, F.lit("")), F.nullif(bug_class, F.lit("")), norm_title(title))
+    cls = F.coalesce(F.nullif(pattern_class, F.lit("")), F.nullif(bug_class, F.lit("")), F.lit(""))
     base = F.concat_ws("|", detector, bare_function(functions), rule, cls, F.array_join(marks, ","))
     return F.concat(F.lit("pat:"), F.substring(F.sha1(base), 1, 40))
 
@@ -73,8 +70,8 @@ def pattern_signature(detector, functions, title, rule_id, bug_class, pattern_cl
 def content_key(detector, functions, title, rule_id, snippet) -> Column:
     """Path-free key: same detector, function, rule and body. Rows without a snippet share the empty hash."""
     body = squeeze(snippet)
-    h = F.when(body != "", F.substring(F.sha1(body), 1, 12)).otherwise(_empty)
-    return F.concat_ws("|", detector, bare_function(functions), F.coalesce(F.nullif(rule_id, _empty), norm_title(title)), h)
+    h = F.when(body != "", F.substring(F.sha1(body), 1, 12)).otherwise(F.lit(""))
+    return F.concat_ws("|", detector, bare_function(functions), F.coalesce(F.nullif(rule_id, F.lit("")), norm_title(title)), h)
 
 
 def tokens(text: Column) -> Column:
@@ -122,12 +119,12 @@ def file_slug(text: Column, limit: int = 80) -> Column:
 def check_slug(text: Column) -> Column:
     """Tool-check slug: lower-case words joined by dashes, at most 48 characters."""
     s = F.left(F.regexp_replace(F.regexp_replace(F.lower(_s(text)), r"[^a-z0-9]+", "-"), r"^-+|-+$", ""), F.lit(48))
-    return F.coalesce(F.nullif(s, _empty), F.lit("issue"))
+    return F.coalesce(F.nullif(s, F.lit("")), F.lit("issue"))
 
 
 def safe_relpath(name: Column) -> Column:
     parts = F.filter(F.split(F.replace(_s(name), F.lit("\\"), F.lit("/")), "/"), lambda p: ~p.isin("", ".", ".."))
-    path = F.coalesce(F.nullif(F.array_join(parts, "/"), _empty), F.lit("Contract.sol"))
+    path = F.coalesce(F.nullif(F.array_join(parts, "/"), F.lit("")), F.lit("Contract.sol"))
     return F.when(F.endswith(path, F.lit(".sol")), path).otherwise(F.concat(path, F.lit(".sol")))
 
 

@@ -10,7 +10,7 @@ from ..operators.dedup import keep_first, top_per_key
 from ..operators.facts import last_definitions, loose_edges
 from ..operators.graph import backward_closure
 from . import core
-from .model import GUARD_BODY, INLINE_AUTH, nonreentrant
+from .model import INLINE_AUTH, nonreentrant
 
 # ---- Fixed values: patterns and score tables of these rules ----------------------------------
 HEALTH_NAME = (r"(?i)(check.*liquidity|account.*liquidity|liquidity.*check|health.?factor|health.?check|check.?health|solvenc|"
@@ -52,8 +52,13 @@ PROOF_ENTRY = r"(?i)[\w.]*verif(?:y|yproof|ytx|yplonk|ygroth16|yandupdate)\w*\s*
 PROOF_PARAM = r"(?i)recipient|receiver|to$|amount|value|fee|relayer|root|nullifier|commitment|output"
 # -----------------------------------------------------------------------------------------------
 
-_viewish = F.lower("tail").rlike("view|pure")
-_guarded = F.col("tail").rlike("(?i)" + nonreentrant) | F.substring("body", 1, 200).rlike("(?i)" + nonreentrant)
+
+def _viewish() -> Column:
+    return F.lower("tail").rlike("view|pure")
+
+
+def _guarded() -> Column:
+    return F.col("tail").rlike("(?i)" + nonreentrant) | F.substring("body", 1, 200).rlike("(?i)" + nonreentrant)
 
 
 def _out(df: DataFrame, detector: str, rule_id: str | None, impact, conf, bug: str, fn: str = "name") -> DataFrame:
@@ -68,15 +73,15 @@ def reentrancy_interprocedural(fns: DataFrame, flagged: DataFrame) -> DataFrame:
     edges = loose_edges(fns)
     seeds = fns.where(F.col("body").rlike("(?i)" + core.EXT_CALL)).select("target_id", F.col("name").alias("node"))
     reaching = backward_closure(seeds, edges)
-    cand = fns.where(~_viewish & ~F.col("body").rlike("(?i)" + core.EXT_CALL)).join(
+    cand = fns.where(~_viewish() & ~F.col("body").rlike("(?i)" + core.EXT_CALL)).join(
         flagged.select("target_id", F.col("function").alias("name")).distinct(), ["target_id", "name"], "left_anti")
     via = edges.join(reaching.withColumnRenamed("node", "dst"), ["target_id", "dst"], "left_semi").select("target_id", F.col("src").alias("name"), "dst")
     # position of the first call of each reaching helper; calls only, a mere mention does not count
     c = cand.join(via, ["target_id", "name"]).withColumn("at", F.expr(r"regexp_instr(body, concat(r'\b', dst, r'\s*\('))")).where("at > 0")
     first = keep_first(c.select("target_id", "name", "tail", "body", "dst", "at"), ["target_id", "name"], F.col("at"))
     rest = F.expr(r"regexp_replace(substring(body, at), concat(r'^', dst, r'\s*\('), '')")
-    hit = first.where(rest.rlike("(?i)" + core.STATE_WRITE)).withColumn("own", _guarded)
-    guarded_callers = edges.join(fns.where(_guarded).select("target_id", F.col("name").alias("src")), ["target_id", "src"], "left_semi").select(
+    hit = first.where(rest.rlike("(?i)" + core.STATE_WRITE)).withColumn("own", _guarded())
+    guarded_callers = edges.join(fns.where(_guarded()).select("target_id", F.col("name").alias("src")), ["target_id", "src"], "left_semi").select(
         "target_id", F.col("dst").alias("name")).distinct().withColumn("entry", F.lit(True))
     hit = hit.join(guarded_callers, ["target_id", "name"], "left")
     imp = F.when(F.col("own"), 5.0).when(F.col("entry"), 7.5).otherwise(9.0)
@@ -92,7 +97,7 @@ def solvency_check(fns: DataFrame) -> DataFrame:
     seeds = fns.where(F.col("body").rlike(HEALTH_CALL) | F.col("name").rlike(HEALTH_NAME)).select("target_id", F.col("name").alias("node"))
     ok = backward_closure(seeds.unionByName(health_calls), edges).withColumn("checked", F.lit(True)).withColumnRenamed("node", "name")
     vis = F.regexp_extract("tail", r"\b(public|external|internal|private)\b", 1)
-    mut = fns.where(vis.isin("", "public", "external") & ~_viewish & F.col("body").rlike(SOLVENCY_WRITE)).select("target_id", "name")
+    mut = fns.where(vis.isin("", "public", "external") & ~_viewish() & F.col("body").rlike(SOLVENCY_WRITE)).select("target_id", "name")
     mut = mut.join(ok, ["target_id", "name"], "left").withColumn("checked", F.coalesce("checked", F.lit(False)))
     has = mut.where("checked").select("target_id").distinct()
     return _out(mut.where("NOT checked").join(has, "target_id", "left_semi"), "solvency_check", None, 8.0, 6.0, "solvency")
