@@ -12,10 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .registry import spread
-from .snippets import TWINS
+from .snippets import SPECIAL_TWINS, TWINS
 
 PICKS = 5
-POOL = [t for pair in TWINS.values() for t in pair]
+POOL = [t for pair in (*TWINS.values(), *SPECIAL_TWINS.values()) for t in pair]
 
 
 def documents(spark: SparkSession, sf: str, *cols: str) -> DataFrame:

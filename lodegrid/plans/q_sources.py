@@ -44,7 +44,6 @@ def scan_target_client(spark, sf):
 def source_decode(spark, sf):
     d = table(spark, sf, "documents")
     obj = lambda c: F.struct(c.alias("content"))
-    m = F.create_map(F.lit("/src/../A.sol"), obj(F.col("text")), F.lit("lib\\B"), obj(F.col("lang")))
     m = F.create_map(F.lit("/src/./A.sol"), obj(F.col("text")), F.lit("lib\\B"), obj(F.col("lang")))
     std = F.to_json(F.struct(F.lit("Solidity").alias("language"), m.alias("sources")))
     k = F.col("doc_id") % 4

@@ -338,3 +338,31 @@ TWINS: dict[str, tuple[str, str]] = {
         "function withdrawNote(address recipient, uint256 amount, bytes32 root, bytes calldata proof) external { require(verifyProof(proof)); recipient.transfer(amount); nullifierHashes[root] = true; }",
         "function withdrawPlain(uint256 lot) external { ledger[msg.sender] -= lot; }"),
 }
+
+# Rules over call edges and flows: firing lines (siblings and helpers of one file), silent lines.
+SPECIAL_TWINS: dict[str, tuple[str, str]] = {
+    "reentrancy": (
+        "function payOut(address who, uint256 q) internal { who.call{value: q}(\"\"); }\nfunction borrowFresh(uint256 q) external { payOut(msg.sender, q); totalBorrows = totalBorrows + q; }",
+        "function borrowSafe(uint256 q) external { totalBorrows = totalBorrows + q; payOut(msg.sender, q); }"),
+    "solvency_check": (
+        "function checkAccountLiquidity(address a) public view returns (bool) { return a != boss; }\nfunction moveDebt(uint256 q) external { require(checkAccountLiquidity(msg.sender)); debt[msg.sender] += q; }\nfunction donateCash(uint256 q) external { reserves -= q; }",
+        "function peekCash(uint256 q) external view returns (uint256) { return reservesView; }"),
+    "flashloan_governance": (
+        "function castBallot(uint256 id) external { weight[id] += coin.balanceOf(msg.sender); quorum = 1; }\nfunction emergencyCommit(uint256 id) external { run(id); }",
+        "function castBallotPast(uint256 id) external { weight[id] += 1; }"),
+    "pausability_bypass": (
+        "function settleCore(uint256 q) internal { tally[q] = 1; }\nfunction depositLive(uint256 q) external whenNotPaused { settleCore(q); }\nfunction executeNow(uint256 q) external { settleCore(q); }",
+        "function executeIdle(uint256 q) external whenNotPaused { settleCore(q); }"),
+    "delegatecall": (
+        "function proxyTo(address impl, bytes calldata z) external { impl.delegatecall(z); }",
+        "function proxyFixed(bytes calldata z) external view returns (uint256) { return 1; }"),
+    "weird_hunt_taint_value_flow": (
+        "function releaseTo(address recipient, uint256 amount) internal { coin.transfer(recipient, amount); }\nfunction startRelease(address recipient, uint256 amount) external { releaseTo(recipient, amount); }",
+        "function startIdle(uint256 lot) external { tally[lot] = 1; }"),
+    "zk_verifier": (
+        "function proveExitTo(bytes calldata proof, address recipient, uint256 amount) external { require(verifier.verifyProof(proof)); payNote(recipient, amount); }\nfunction payNote(address recipient, uint256 amount) internal { coin.transfer(recipient, amount); }",
+        "function proveIdle(bytes calldata proof) external { require(verifier.verifyProof(proof)); }"),
+    "economic_oracle_lending": (
+        "function getUnderlyingPrice(address cToken) external view returns (uint256) { return prices[cToken]; }\nfunction setDirectPrice(address cToken, uint256 p) external { prices[cToken] = p; }\nfunction borrowAgainst(uint256 q) external { uint256 p = priceOracle.get(q); require(getAccountLiquidity(p) > q); borrowAllowed(q); }",
+        "function quietPrice(uint256 q) external { tally[q] = 1; }"),
+}
