@@ -138,7 +138,7 @@ def accesses(fns: DataFrame, svars: DataFrame) -> DataFrame:
     ids = F.transform(F.array_distinct(_all("body", r"\b([A-Za-z_]\w*)\b")), lambda x: F.struct(x.alias("var"), F.lit(0).alias("w")))
     wr = F.array_distinct(F.concat(_all("body", WRITE), _all("body", r"\bdelete\s+([A-Za-z_]\w*)\b"), _all("body", r"\b([A-Za-z_]\w*)\s*\.\s*(?:push|pop)\s*\(")))
     ws = F.transform(wr, lambda x: F.struct(x.alias("var"), F.lit(1).alias("w")))
-    e = fns.select("target_id", "path", "name", "visibility", F.explode(F.concat(ids, ws)).alias("u")).select("target_id", "path", "name", "visibility", "u.*")
+    e = fns.select("target_id", "path", "name", visibility().alias("visibility"), F.explode(F.concat(ids, ws)).alias("u")).select("target_id", "path", "name", "visibility", "u.*")
     e = e.groupBy("target_id", "path", "name", "visibility", "var").agg(F.max("w").alias("writes"))
     return e.join(svars.select("target_id", F.col("name").alias("var")).distinct(), ["target_id", "var"], "left_semi").withColumn("writes", F.col("writes") == 1)
 

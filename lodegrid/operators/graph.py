@@ -1,4 +1,7 @@
-"""Graph operators over edge DataFrames partitioned by target."""
+"""Graph operators over edge DataFrames partitioned by target.
+
+Edges are cut once before a loop, so no round reads or parses the sources again.
+"""
 
 from __future__ import annotations
 
@@ -14,7 +17,8 @@ def reach(starts: DataFrame, edges: DataFrame, max_depth: int = 8) -> DataFrame:
     Breadth-first by frontier joins: each round joins only the newly found pairs. The known pairs
     are removed by an anti-join, so no pair is expanded twice.
     """
-    seen = starts.select("target_id", F.col("node").alias("start"), "node", F.lit(0).alias("depth")).distinct()
+    edges = cut(edges)
+    seen = cut(starts.select("target_id", F.col("node").alias("start"), "node", F.lit(0).alias("depth")).distinct())
     frontier = seen
     for d in range(1, max_depth + 1):
         nxt = (frontier.join(edges, (frontier.target_id == edges.target_id) & (frontier.node == edges.src))
@@ -29,7 +33,8 @@ def reach(starts: DataFrame, edges: DataFrame, max_depth: int = 8) -> DataFrame:
 
 def shortest_paths(starts: DataFrame, edges: DataFrame, max_depth: int = 8) -> DataFrame:
     """Shortest call path per (start, node); among equals the one through the smallest names."""
-    seen = starts.select("target_id", F.col("node").alias("start"), "node", F.array("node").alias("path")).distinct()
+    edges = cut(edges)
+    seen = cut(starts.select("target_id", F.col("node").alias("start"), "node", F.array("node").alias("path")).distinct())
     frontier = seen
     for _ in range(max_depth):
         nxt = (frontier.join(edges, (frontier.target_id == edges.target_id) & (frontier.node == edges.src))
@@ -45,7 +50,8 @@ def shortest_paths(starts: DataFrame, edges: DataFrame, max_depth: int = 8) -> D
 
 def backward_closure(seeds: DataFrame, edges: DataFrame, max_rounds: int = 16) -> DataFrame:
     """All nodes that reach a seed within ``max_rounds`` rounds: (target_id, node)."""
-    seen = seeds.select("target_id", "node").distinct()
+    edges = cut(edges)
+    seen = cut(seeds.select("target_id", "node").distinct())
     frontier = seen
     for _ in range(max_rounds):
         nxt = (frontier.join(edges, (frontier.target_id == edges.target_id) & (frontier.node == edges.dst))

@@ -39,7 +39,8 @@ def assign_slots(decl: DataFrame, exact: DataFrame, matrix: DataFrame) -> DataFr
     target's source group in (path, position) order.
     """
     d = decl.withColumns({"source_group": source_group(F.col("path")), "constant": F.arrays_overlap("attrs", F.array(F.lit("constant"), F.lit("immutable")))})
-    d = d.join(exact.select("target_id", F.col("label").alias("name"), F.col("slot").alias("exact_slot")), ["target_id", "name"], "left")
+    known = exact.groupBy("target_id", F.col("label").alias("name")).agg(F.max("slot").alias("exact_slot"))
+    d = d.join(known, ["target_id", "name"], "left")
     free = F.when(F.col("exact_slot").isNull() & ~F.col("constant"), 1).otherwise(0)
     # Two-level prefix sum: inside one file, plus the total of the files before it. No task holds a whole target.
     inside = Window.partitionBy("target_id", "source_group", "path").orderBy("decl_pos").rowsBetween(Window.unboundedPreceding, -1)

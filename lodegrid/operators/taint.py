@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from .dedup import best_per_key
 from .facts import accesses, call_edges, last_definitions
-from .graph import reach, shortest_paths
+from ..session import cut
+from .graph import shortest_paths
 
 # ---- Fixed values: name classes ---------------------------------------------------------
 VALUE_NAME = (r"(?i)recipient|receiver|to|dst|amount|value|token|asset|share|shares|root|proof|proofData|payload|message|nonce|index|fee|relayer")
@@ -60,11 +61,12 @@ def in_text(name: Column, text: Column) -> Column:
 
 def flows(fns: DataFrame, svars: DataFrame, max_depth: int = 8) -> DataFrame:
     """Flows (entry, fn, source kind/name, sink, confidence, path), best confidence per source and sink."""
-    fns = last_definitions(fns)
-    edges = call_edges(fns)
+    fns = cut(last_definitions(fns))  # the function table is read by seven branches below: parse once
+    edges = cut(call_edges(fns))
     acc = accesses(fns, svars)
     starts = fns.where("entrypoint").select("target_id", F.col("name").alias("node"))
-    pairs = reach(starts, edges, max_depth).select("target_id", F.col("start").alias("entry"), F.col("node").alias("fn"))
+    paths = shortest_paths(starts, edges, max_depth).select("target_id", F.col("start").alias("entry"), F.col("node").alias("fn"), "path")
+    pairs = paths.select("target_id", "entry", "fn")
     sk = sinks(fns, edges, acc).withColumn("sink_no", F.xxhash64("sink_kind", "label", "text")).distinct()
     hit = pairs.join(sk, ["target_id", "fn"])
     src = sources(fns)
@@ -93,7 +95,6 @@ def flows(fns: DataFrame, svars: DataFrame, max_depth: int = 8) -> DataFrame:
     helper = h.where(moves & cross & valuey).withColumns({"kind": F.lit("calldata"), "name": F.lit("cross_function_args"), "confidence": F.lit(0.45)})
     b = dec.select(*cols, "confidence", F.lit(1).alias("ord")).unionByName(helper.select(*cols, "confidence", F.lit(2).alias("ord")))
     best = best_per_key(a.unionByName(b), ["target_id", "entry", "fn", "sink_no", "kind", "name"], F.col("confidence"), F.col("ord"))
-    paths = shortest_paths(starts, edges, max_depth).select("target_id", F.col("start").alias("entry"), F.col("node").alias("fn"), "path")
     return best.join(paths, ["target_id", "entry", "fn"], "left").select(
         "target_id", F.col("entry").alias("entrypoint"), F.col("fn").alias("function"), F.col("kind").alias("source_kind"), F.col("name").alias("source"),
         "sink_kind", F.col("label").alias("sink"), F.col("text").alias("sink_text"), "confidence", F.coalesce("path", F.array("entry", "fn")).alias("path"),

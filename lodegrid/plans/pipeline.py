@@ -49,7 +49,7 @@ def triage(files: DataFrame, profile: str = "ultra-deep-v2", order: str = "produ
     order='production' runs sanity, corroboration, collapse; 'offline' runs corroboration, collapse, sanity
     (corroboration skips suppressed rows, so the results can differ).
     """
-    parsed = parse(files)
+    parsed = cut(parse(files))  # four consumers below: parse once, keep the table in the shared folder
     hits = evaluate(files, rules_for(profile), parsed)
     cand = cut(to_candidates(hits))
     fns = functions(parsed)

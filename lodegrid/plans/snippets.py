@@ -345,7 +345,7 @@ SPECIAL_TWINS: dict[str, tuple[str, str]] = {
         "function payOut(address who, uint256 q) internal { who.call{value: q}(\"\"); }\nfunction borrowFresh(uint256 q) external { payOut(msg.sender, q); totalBorrows = totalBorrows + q; }",
         "function borrowSafe(uint256 q) external { totalBorrows = totalBorrows + q; payOut(msg.sender, q); }"),
     "solvency_check": (
-        "function checkAccountLiquidity(address a) public view returns (bool) { return a != boss; }\nfunction moveDebt(uint256 q) external { require(checkAccountLiquidity(msg.sender)); debt[msg.sender] += q; }\nfunction donateCash(uint256 q) external { reserves -= q; }",
+        "uint256 reserves;\nmapping(address => uint256) debt;\nfunction checkAccountLiquidity(address a) public view returns (bool) { return a != boss; }\nfunction moveDebt(uint256 q) external { require(checkAccountLiquidity(msg.sender)); debt[msg.sender] += q; }\nfunction donateCash(uint256 q) external { reserves -= q; }",
         "function peekCash(uint256 q) external view returns (uint256) { return reservesView; }"),
     "flashloan_governance": (
         "function castBallot(uint256 id) external { weight[id] += coin.balanceOf(msg.sender); quorum = 1; }\nfunction emergencyCommit(uint256 id) external { run(id); }",

@@ -18,7 +18,7 @@ UPGRADE_IMPACT = {
     6: ("renounceOwnership",),
 }
 PRIVILEGED_NAME = (
-    r"^(set(?!tle)|update|change|add|remove|grant|revoke|withdraw|sweep|rescue|pause|"
+    r"^(set|update|change|add|remove|grant|revoke|withdraw|sweep|rescue|pause|"
     r"unpause|mint|burn|upgrade|migrate|seize|skim|collect|configure|enable|"
     r"disable|whitelist|blacklist|setowner|transferownership|setadmin|setfee|"
     r"setoracle|setverifier|setimplementation|init)\w*"
@@ -104,7 +104,7 @@ STATE_WRITE = (
 ELEMENT_CALLEE = r"\[[^\];]{1,40}\]\s*\)?\s*\.\s*\w+\s*\("
 ACCOUNT_WRITE = (
     r"\b\w*(balance|reward|share|userinfo|accrued|staked|pending|claimable|"
-    r"deposit|debt|collateral|credit)\w*\s*(\[[^\]]*\]\s*)?(=|[+\-]=)(?!=)"
+    r"deposit|debt|collateral|credit)\w*\s*(\[[^\]]*\]\s*)?(=|[+\-]=)([^=]|$)"
 )
 SIG_USE = r"\becrecover\s*\(|\.recover\s*\(|isValidSignature\s*\("
 SIG_NONCE = r"nonce|usedSignatures?|signatureUsed|_used\[|replay"
@@ -130,7 +130,7 @@ WITHDRAWISH = r"withdraw|release|unlock|claim|drain|removeliquidity"
 TOKEN_WORDS = r"token|erc20|mint|burn|transfer|supply"
 BURN = r"_burn\s*\(|\bburn\s*\(|balances?\[[^\]]*\]\s*-=|totalSupply\s*-="
 BURN_PRICEY = r"price|share|rate|reserve|getAmountsOut|balanceOf"
-UNCHECKED_TRANSFER = r"(?<![=!<>])\b\w+\.transfer(From)?\s*\([^;]*\)\s*;"
+UNCHECKED_TRANSFER = r"(?:^|[^=!<>\w])\w+\.transfer(From)?\s*\([^;]*\)\s*;"
 SAFE_TRANSFER = r"safeTransfer|require\s*\([^)]*transfer|bool\s+\w+\s*=\s*\w+\.transfer"
 RECEIVED_DELTA = r"balanceOf\s*\([^)]*\)\s*-|received\s*=|after\s*-\s*before"
 TOKEN_HOOK = r"tokensReceived|tokensToSend|onTransferReceived|_callTokensReceived|ERC777"
@@ -188,7 +188,7 @@ _recover = lname.has(RECOVERY_NAMES, i=False)
 
 _user_asset = (lname.has(USER_METHOD) & ~body.has(USER_METHOD_PRIV) & body.has(USER_BOUND, i=False) & body.has(USER_FLOW))
 _unguarded = ~header_ac & ~inline_auth
-_priv = (is_ext & lname.has(PRIVILEGED_NAME) & _unguarded & ~lname.has(r"^(get|view|is|preview)", i=False)
+_priv = (is_ext & lname.has(PRIVILEGED_NAME) & ~lname.has("^settle") & _unguarded & ~lname.has(r"^(get|view|is|preview)", i=False)
          & ~_user_asset & body.has(PRIV_EFFECT, i=False))
 _nonview = ~viewish
 _guarded = tail.has(nonreentrant) | body.left(200).has(nonreentrant)
@@ -212,8 +212,16 @@ _time_flags = ("governance_controlled",)
 _token = in_target(TOKEN_WORDS)
 
 _permits = file_text().all(PERMIT_TO_CALLER, 1, i=False)
-# A pull inside the window from 200 characters before the call to 400 after its start.
-_pulls = lambda o: file_text().has(near(r"(?s)(?=permit\s*\(\s*", o, r"\s*,\s*msg\.sender).{0,387}?transferFrom\s*\(|transferFrom\s*\(.{0,187}?permit\s*\(\s*", o, r"\s*,\s*msg\.sender"))
+
+
+def _pulls(o):
+    """A pull inside the window from 200 characters before the call to 400 after its start."""
+    back = (r"|transferFrom\s*\(.{0,187}?permit\s*\(\s*", o, r"\s*,\s*msg\.sender")
+    p = file_text().has(near(r"(?s)(?=permit\s*\(\s*", o, r"\s*,\s*msg\.sender).{0,387}?transferFrom\s*\(", *back))
+    # RE2 counts from the end of the call head instead of its start; the two differ only at the window's edge
+    p.d = file_text().has(near(r"(?s)permit\s*\(\s*", o, r"\s*,\s*msg\.sender.{0,360}?transferFrom\s*\(", *back)).d
+    return p
+
 
 RULES = [
     *_arbitrary_call(),

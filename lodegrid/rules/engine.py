@@ -42,17 +42,20 @@ def _flags(nodes: list[Node], grain: str) -> dict:
     return out
 
 
-def _emit(rules: list[tuple[int, Rule]]):
-    """Array of {r, v} for the rules that hold on the current row, in packs."""
-    packs = []
+_NO_HIT = "cast(array() AS array<struct<r:int,v:string>>)"
+
+
+def _packs(rules: list[tuple[int, Rule]], each: dict[int, str] | None = None) -> str:
+    """SQL of the array of {r, v} for the rules that hold on the current row, in packs."""
+    packs = [_NO_HIT]
     for at in range(0, len(rules), PACK):
         one = [f"CASE WHEN {r.when.s} THEN named_struct('r', {i}, 'v', '') END"
                for i, r in rules[at:at + PACK] if r.each is None]
         if one:
             packs.append(f"filter(array({', '.join(one)}), h -> h IS NOT NULL)")
-        packs += [f"CASE WHEN {r.when.s} THEN transform({r.each.s}, v -> named_struct('r', {i}, 'v', v)) "
-                  f"ELSE cast(array() AS array<struct<r:int,v:string>>) END" for i, r in rules[at:at + PACK] if r.each is not None]
-    return F.explode(F.expr(f"concat({', '.join(packs)})")).alias("h")
+        packs += [f"CASE WHEN {r.when.s} THEN transform({(each or {}).get(i, r.each.s)}, v -> named_struct('r', {i}, 'v', v)) "
+                  f"ELSE {_NO_HIT} END" for i, r in rules[at:at + PACK] if r.each is not None]
+    return f"concat({', '.join(packs)})"
 
 
 def target_flags(files: DataFrame, nodes: list[Node]) -> DataFrame | None:
@@ -89,26 +92,26 @@ def evaluate(files: DataFrame, rules: list[Rule], parsed: DataFrame | None = Non
     numbered = list(enumerate(rules))
     fn_rules = [(i, r) for i, r in numbered if r.grain == "fn"]
     file_rules = [(i, r) for i, r in numbered if r.grain == "file"]
-    parts = []
-    if fn_rules:
-        nodes = [n for _, r in fn_rules for n in (r.when, r.each)]
-        fl = _flags(nodes, "f")
-        flagged = parsed.select("target_id", "chain", "path", "pos", "fns", *[F.expr(p.s).alias(k) for k, p in fl.items()])
-        fns = functions(flagged, *fl)
-        parts.append(fns.select("target_id", "chain", "path", "pos", "start", "line", F.col("name").alias("function"), "tail",
-                                F.substring("body", 1, 1500).alias("snippet"), _emit(fn_rules)))
-    if file_rules:
-        nodes = [n for _, r in file_rules for n in (r.when, r.each)]
-        fl = _flags(nodes, "f")
-        flagged = parsed.select("target_id", "chain", "path", "pos", "raw", "clean", "fns", *[F.expr(p.s).alias(k) for k, p in fl.items()])
-        parts.append(flagged.select("target_id", "chain", "path", "pos", F.lit(0).alias("start"), F.lit(1).alias("line"),
-                                    F.lit("").alias("function"), F.lit("").alias("tail"), F.lit("").alias("snippet"), _emit(file_rules)))
+    hits = None
+    if fn_rules or file_rules:
+        # One pass over the parsed files: file facts become columns, then the functions are exploded together
+        # with one pseudo row per file that carries the file-grain rules. No file text reaches those rows.
+        fl = _flags([n for _, r in fn_rules + file_rules for n in (r.when, r.each)], "f")
+        lists = {i: f"each_{i}" for i, r in file_rules if r.each is not None}
+        flagged = parsed.select("target_id", "chain", "path", "pos", "fns", *[F.expr(p.s).alias(k) for k, p in fl.items()],
+                                *[F.expr(r.each.s).alias(lists[i]) for i, r in file_rules if i in lists])
+        fields = "'start', {0}, 'line', {1}, 'name', {2}, 'params', {3}, 'tail', {4}, 'body', {5}"
+        rows = "transform(fns, f -> named_struct('is_file', false, " + fields.format(*[f"f.{c}" for c in ("start", "line", "name", "params", "tail", "body")]) + "))"
+        if file_rules:
+            rows = f"concat({rows}, array(named_struct('is_file', true, {fields.format('0', '1', repr(''), repr(''), repr(''), repr(''))})))"
+        keep = [*fl, *lists.values()]
+        rel = flagged.select("target_id", "chain", "path", "pos", *keep, F.explode(F.expr(rows)).alias("f")).select("target_id", "chain", "path", "pos", *keep, "f.*")
+        emit = _packs(fn_rules) if not file_rules else f"CASE WHEN is_file THEN {_packs(file_rules, lists)} ELSE {_packs(fn_rules)} END"
+        hits = rel.select("target_id", "chain", "path", "pos", "start", "line", F.col("name").alias("function"), "tail",
+                          F.substring("body", 1, 1500).alias("snippet"), F.explode(F.expr(emit)).alias("h"))
     tnodes = [r.target for _, r in numbered if r.target is not None] + [r.when for _, r in numbered if r.grain == "target"]
     conds = list(dict.fromkeys(r.target.s for _, r in numbered if r.target is not None))
     tf = target_flags(files, tnodes)
-    hits = None
-    for p in parts:
-        hits = p if hits is None else hits.unionByName(p)
     out = None
     if hits is not None:
         # the catalog is a fixed list of rules, so its broadcast never grows with the data
@@ -127,7 +130,7 @@ def evaluate(files: DataFrame, rules: list[Rule], parsed: DataFrame | None = Non
             out = _drop_custom_guarded(out, guard_modifiers(parsed))
     tgt = [(i, r) for i, r in numbered if r.grain == "target"]
     if tgt:
-        rows = tf.select("target_id", _emit(tgt)).select("target_id", "h.r", "h.v").join(F.broadcast(_rule_rows(spark, rules, conds)), "r")
+        rows = tf.select("target_id", F.explode(F.expr(_packs(tgt))).alias("h")).select("target_id", "h.r", "h.v").join(F.broadcast(_rule_rows(spark, rules, conds)), "r")
         first = files.groupBy("target_id").agg(F.min("chain").alias("chain"))
         rows = rows.join(first, "target_id").select(
             "*", F.lit(None).cast("string").alias("path"), F.lit(1 << 30).alias("pos"), F.lit(0).alias("start"), F.lit(1).alias("line"),

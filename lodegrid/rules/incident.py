@@ -37,7 +37,7 @@ DECODED_CALL = r"([A-Za-z_]\w*)\s*\.\s*(?:functionCall|functionCallWithValue|cal
 INIT_NAME = r"^(initialize|init|__init|reinitialize|reinit|setup|configure)\w*$|_init$|_init_unchained$"
 INIT_MODIFIER = r"\binitializer\b|\bonlyInitializing\b|\bonlyUninitialized\b|\breinitializer\s*\("
 OWNER_SINK = (
-    r"\b(owner|_owner|admin|_admin|governance|_governance|_governor)\s*=\s*(?!=)|"
+    r"\b(owner|_owner|admin|_admin|governance|_governance|_governor)\s*=(?:[^=]|$)|"
     r"_transferOwnership\s*\(|_grantRole\s*\(|_setupRole\s*\(|_setRoleAdmin\s*\("
 )
 INIT_CHECK = (
@@ -85,7 +85,7 @@ OLD_PRAGMA = r"pragma\s+solidity\s+[^;]*0\.[0-7]\."
 PRICE_NAME = r"price|cost|curve|quote|getamount"
 RAW_ADD = (
     r"\b(price|amount|total|cost|fee|sum|result|value|payout|owed|tokens)\w*\s*=\s*"
-    r"[^;=]*[\w.\)\]]\s*\+(?![+=])\s*[\w.\(]"
+    r"[^;=]*[\w.\)\]]\s*\+\s*[\w.\(]"
 )
 MEMORY_COPY = r"\b[A-Za-z_]\w*\s+memory\s+([A-Za-z_]\w*\s*=\s*[A-Za-z_]\w*)\s*\[[^\]]+\]\s*;"
 PRIV_MAP_SET = (
@@ -171,7 +171,7 @@ WINDOW_CONST = r"(?:uint\d*\s+)?(?:constant|immutable)\s+([A-Za-z_]\w*)\s*=\s*0*
 WINDOW_NAME = r"(interval|period|window|twap|secondsAgo)"
 INLINE_ZERO_WINDOW = (r"secondsAgos?\s*\[\s*0\s*\]\s*=\s*0\b|\bperiod\s*=\s*0\b|\btwapWindow\s*=\s*0\b|"
                       r"\bwindow\s*=\s*0\b|\bsecondsAgo\s*=\s*0\b")
-DIV_THEN_MUL = r"[\w.\)\]]\s*/\s*[\w.\[][\w.\(\)\[\]\s]*?\*(?!\*)\s*[\w.\(]"
+DIV_THEN_MUL = r"[\w.\)\]]\s*/\s*[\w.\[][\w.\(\)\[\]\s]*?\*\s*[\w.\(]"
 VALUE_CTX = (r"reward|price|share|rate|amount|fee|mint|payout|assets?|debt|collateral|"
              r"interest|yield|weight|ratio|value|balance")
 UPGRADEABLE = (r"\bInitializable\b|\bUUPSUpgradeable\b|[A-Za-z]\w*Upgradeable\b|"
@@ -286,8 +286,9 @@ _feeds = body.has(CAST_FEEDS, i=False)
 _strong = body.has(STRONG_ENTROPY, i=False)
 _hybrid = (in_file(FT_LEDGER, i=False, raw=True) & in_file(NFT_LEDGER, i=False, raw=True)
            & (in_file(UNIT_CONST, raw=True) | in_file(HYBRID_HINT, raw=True)))
-_immutable_state = file_pred(Text("raw", "raw").has(
-    r"(?m)^(?!.*constant).*\bimmutable\b", i=False))
+# A line that declares immutable state: no constant on it, no call parenthesis just in front of the word.
+_immutable_state = file_pred(file_text(raw=True).all(r"[^\n]+", 0).any(
+    lambda ln: ln.has(r"\bimmutable\b", i=False) & ~ln.has("constant", i=False) & ~ln.before("immutable", i=False).has(r"\([^(]{0,39}$", i=False)))
 
 RULES = [
     Rule("hook_callback_auth", "hook_callback_missing_caller_auth", 9.0, 7.0, _hook, bug="hook_callback_access_control", tier=CONFIRM),

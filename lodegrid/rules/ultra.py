@@ -62,7 +62,8 @@ PRIV_SETTER = (r"set(?:Owner|Admin|Guardian|Keeper|Operator|Manager|Treasury|Rou
 ADDRESS_PARAM = r"\baddress\s+(?:calldata\s+|memory\s+)?([A-Za-z_]\w*)"
 ZERO_CHECK = r"address\s*\(\s*0\s*\)|!=\s*0x0|InvalidAddress|ZeroAddress"
 VALUE_MATH_NAME = r"price|value|amount|share|asset|rate|reward|fee|collateral|liquidat|quote"
-DIV_ASSIGN = (r"(?s)(?:uint\d*\s+)?([A-Za-z_]\w*)\s*=\s*[^;]+/\s*[^;]+;\s*(?:uint\d*\s+)?[A-Za-z_]\w*\s*=\s*\1\s*\*")
+DIV_ASSIGN = r"([A-Za-z_]\w*)\s*=\s*[^;]+/\s*[^;]+;"
+THEN_ASSIGN = r"\s*=\s*[^;]+/\s*[^;]+;\s*(?:uint\d*\s+)?[A-Za-z_]\w*\s*=\s*"
 MULDIV_SAFE = r"mulDiv|FullMath|PRBMath|FixedPointMathLib|Math\.mulDiv"
 PROOF_SURFACE = r"verifyProof|verifier\s*\.\s*verify|Groth16|Plonk|SNARK|proofData|publicInputs?"
 COUNT_NAME = r"(num|n|count|real|tx|op|item|batch|limit|len)"
@@ -220,6 +221,9 @@ _external = is_ext & ~tail.has(r"\b(private|internal)\b")
 _swap = _external & body.has(SWAP_CALL)
 _missing_sig = count_true(~body.has(SIG_NONCE), ~body.has(SIG_DOMAIN), ~body.has(SIG_EXPIRY)) >= 2
 
+# a quotient is assigned and the next statement multiplies it
+_div_then_mul = body.all(DIV_ASSIGN, 1).any(lambda x: body.has(near(r"\b", x, THEN_ASSIGN, x, r"\s*\*", i=True)))
+
 _loop_of = lambda c: near(r"\b(?:for|while)\b[\s\S]{0,180}<\s*", c, r"\b", i=True)
 _typed = params.all(TYPED_ARRAY, 1)
 _indexed = _typed.where(lambda a: body.has(near(a, r"\s*\[\s*(?:i|j|k|idx|index)\s*\]")))
@@ -285,7 +289,7 @@ RULES = [
     Rule("corpus_patterns", "corpus_zero_address_privileged_setter", 5.5, 5.5,
          _external & name.has(PRIV_SETTER) & params.has(ADDRESS_PARAM) & ~body.has(ZERO_CHECK), bug="zero_address_privileged_setter", lead=True),
     Rule("corpus_patterns", "corpus_division_before_multiplication", 6.5, 4.0,
-         _external & (name.has(VALUE_MATH_NAME) | body.has(VALUE_MATH_NAME)) & body.has(DIV_ASSIGN) & ~body.has(MULDIV_SAFE),
+         _external & (name.has(VALUE_MATH_NAME) | body.has(VALUE_MATH_NAME)) & _div_then_mul & ~body.has(MULDIV_SAFE),
          bug="division_before_multiplication", lead=True),
     Rule("settlement_boundary_mismatch", "proof_settlement_count_unbound", 9.0, 4.5,
          body.has(PROOF_SURFACE) & (_typed.size() > 0) & _unbound_count, bug="settlement_boundary_mismatch", lead=True),

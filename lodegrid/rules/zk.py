@@ -29,7 +29,7 @@ SIGNAL_NAME = r"^(recipient|to|amount|value|nullifier|root|commitment|relayer|fe
 BARE_VERIFY = r"(?:^|[;{])\s*([\w.]*" + VERIFY + r"\s*\([^;]*\)\s*);"
 BOOL_VERIFY = r"\bbool\s+(\w+)\s*=\s*[\w.]*" + VERIFY + r"\s*\("
 REAL_CHECK = (r"staticcall|delegatecall|\bcall\s*\(|pairing|ecpairing|ecmul|ecadd|0x08|require\s*\(|assert\s*\(|revert|"
-              r"return\s+\w+\s*(&&|\|\||\.)|return\s+(?!true)\w+\s*;")
+              r"return\s+\w+\s*(&&|\|\||\.)")
 ASM_SUCCESS = r"(\w+)\s*:=\s*(?:staticcall|call)\s*\("
 SET_VERIFIER = r"^(set|update|upgrade|change)\w*verifier\w*$"
 SPENT_CHECK = r"require\s*\(\s*!\s*[\w.]*(nullifier\w*|spent\w*|isspent\w*|usednullifiers?)\s*\["
@@ -174,7 +174,8 @@ RULES = [
     _z("public_inputs_not_fed_to_verify", 9.0, 5.0, _verify & _nv & _unfed, LEAD, "public-signal-not-bound"),
     _z("verify_return_value_ignored", 9.0, 8.0, body.has(BARE_VERIFY), CONFIRM, "verifier-invocation-flaw"),
     _z("verify_return_value_ignored", 9.0, 8.0, ~body.has(BARE_VERIFY) & _flag.nonempty() & ~_flag_used, CONFIRM, "verifier-invocation-flaw"),
-    _z("noop_stub_verifier_returns_true", 10.0, 8.0, name.has(r"verif(y|yproof|ytx)") & body.has(r"return\s+true\s*;") & ~body.has(REAL_CHECK),
+    _z("noop_stub_verifier_returns_true", 10.0, 8.0, name.has(r"verif(y|yproof|ytx)") & body.has(r"return\s+true\s*;") & ~body.has(REAL_CHECK)
+       & ~body.all(r"return\s+(\w+)\s*;", 1).any(lambda x: ~x.has("^true")),
        CONFIRM, "verifier-invocation-flaw"),
     _z("verifier_staticcall_success_unchecked", 9.0, 7.0, _ok.nonempty() & body.has("verif") & ~_ok_checked, CONFIRM, "verifier-invocation-flaw"),
     _z("set_verifier_no_access_control", 9.0, 7.0,
