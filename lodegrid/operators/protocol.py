@@ -59,9 +59,10 @@ def infer_role(name: Column, type_name: Column) -> Column:
         F.when(F.lit(r == "asset") & F.lower(name).isin("owner", "admin", "manager"), 0.0).otherwise(
             F.least(F.lit(0.96), F.when(F.rlike(name, F.lit("(?i)" + p)), 0.62).otherwise(0.0) + F.when(F.rlike(type_name, F.lit("(?i)" + p)), 0.34).otherwise(0.0))).alias("score"),
         F.lit(-i).alias("rank"), F.lit(r).alias("role")) for i, (r, p, _) in enumerate(ROLES)]
-    best = F.array_max(F.array(*scored))
-    return (F.when(F.rlike(combined, F.lit(MARKET_TOKEN)), F.struct(F.lit("lending_market").alias("role"), F.lit(0.9).alias("confidence")))
-            .when(best["score"] >= 0.34, F.struct(best["role"].alias("role"), best["score"].alias("confidence"))))
+    # a one-element transform binds the ranked list once; plain references would evaluate it again per use
+    pick = lambda b: F.when(b["score"] >= 0.34, F.struct(b["role"].alias("role"), b["score"].alias("confidence")))
+    ranked = F.get(F.transform(F.array(F.array_max(F.array(*scored))), pick), F.lit(0))
+    return F.when(F.rlike(combined, F.lit(MARKET_TOKEN)), F.struct(F.lit("lending_market").alias("role"), F.lit(0.9).alias("confidence"))).otherwise(ranked)
 
 
 def role_edge(role: Column) -> Column:

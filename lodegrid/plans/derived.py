@@ -53,15 +53,15 @@ FINDINGS = ("SELECT l_orderkey * CAST(1000000000 AS BIGINT) + " + POS + " AS id,
 REVIEWS = "SELECT p_partkey AS id, p_name AS rationale FROM part WHERE p_size > 10 "
 
 
-def rel(spark: SparkSession, sf: str, sql: str) -> DataFrame:
+def rel(spark: SparkSession, sf: str, sql: str, heavy: bool = False) -> DataFrame:
     for t in ("lineitem", "orders", "customer", "part", "supplier", "documents", "events", "pages", "benchmark", "labels", "conversations", "nation"):
         if f" FROM {t} " in sql:
-            return shared(spark, sf, sql.replace("VARCHAR(9)", "STRING").replace("VARCHAR(20)", "STRING"), t)
+            return shared(spark, sf, sql.replace("VARCHAR(9)", "STRING").replace("VARCHAR(20)", "STRING"), t, heavy=heavy)
     raise ValueError("no driver table in the statement")
 
 
 def candidates(spark: SparkSession, sf: str) -> DataFrame:
-    d = rel(spark, sf, CANDIDATES)
+    d = rel(spark, sf, CANDIDATES, heavy=True)  # long expression ladders per row
     flags = F.array_compact(F.array(*[F.when(F.col(f"f_{k}"), k) for k in FLAGS]))
     return d.withColumns({"ev_flags": flags, "functions": F.array("fn"), "function": F.lit(None).cast("string"), "pattern_class": F.lit(None).cast("string"),
                           "corroborated": F.lit(False), "corroborated_by": F.lit(None).cast("array<string>"),
@@ -69,4 +69,4 @@ def candidates(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def findings(spark: SparkSession, sf: str) -> DataFrame:
-    return rel(spark, sf, FINDINGS).withColumn("next_tests", F.when(F.col("next_test").isNotNull(), F.array("next_test")))
+    return rel(spark, sf, FINDINGS, heavy=True).withColumn("next_tests", F.when(F.col("next_test").isNotNull(), F.array("next_test")))

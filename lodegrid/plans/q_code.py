@@ -191,7 +191,7 @@ VARS = ("SELECT l_orderkey % 400 AS target_id, concat(CASE l_partkey % 9 WHEN 0
 def _vars(spark, sf):
     from .derived import rel
 
-    return rel(spark, sf, VARS)
+    return rel(spark, sf, VARS, heavy=True)
 
 
 @query("role_inference", f"WITH v AS ({VARS}), s AS (SELECT DISTINCT name, type FROM v), r AS (SELECT name, type, {_role_sql('name', 'type')} AS x FROM s) SELECT name, type, CASE WHEN x.s >= 0.34 THEN x.r END AS role, CASE WHEN x.s >= 0.34 THEN x.s END AS confidence FROM r")

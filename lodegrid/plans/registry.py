@@ -21,9 +21,10 @@ def query(name: str, sql: str | None = None):
     return deco
 
 
-def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+def table(spark: SparkSession, sf: str, name: str, heavy: bool = False) -> DataFrame:
     """A driver table; zone-less timestamps become instants (session zone is UTC)."""
     df = spark.read.parquet(f"{sf}/{name}.parquet")
+    df = spread(df) if heavy else df
     for f in df.schema.fields:
         if isinstance(f.dataType, T.TimestampNTZType):
             df = df.withColumn(f.name, F.col(f.name).cast("timestamp"))
@@ -39,11 +40,11 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(n) if df.rdd.getNumPartitions() < n else df
 
 
-def shared(spark: SparkSession, sf: str, sql: str, *tables: str) -> DataFrame:
+def shared(spark: SparkSession, sf: str, sql: str, *tables: str, heavy: bool = False) -> DataFrame:
     """Run a SELECT both engines understand; tables are named by their plain names."""
     text = sql
     frames = {}
     for t in tables:
         text = text.replace(f" {t} ", f" {{{t}}} ")
-        frames[t] = table(spark, sf, t)
+        frames[t] = table(spark, sf, t, heavy)
     return spark.sql(text, **frames)

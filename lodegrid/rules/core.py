@@ -180,7 +180,7 @@ def _proxy_upgrade():
     return out
 
 
-_marker = lambda words: count_true(*[in_target(w.replace("-", r"\-")) for w in words]) >= 2
+_marker = lambda words: count_true(*[in_target(w) for w in words]) >= 2
 _bridge = _marker(BRIDGE_MARKERS)
 _defi = _marker(DEFI_MARKERS)
 _finalizer = lname.has(FINALIZE_NAMES, i=False) & body.has(EXT_TRANSFER)

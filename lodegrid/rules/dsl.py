@@ -12,8 +12,25 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import re
 
 _var = itertools.count()
+# Plain word alternations are substring tests: far cheaper than a case-folding regex over long texts.
+_WORDS = re.compile(r"^[\w -]+(?:\|[\w -]+)*$", re.A)
+LOWERED = {c: f"l_{c}" for c in ("name", "params", "tail", "body", "clean", "raw")}
+
+
+def lowered(*cols: str) -> list[str]:
+    """Projection of the lower-cased twins that word tests read."""
+    return [f"lower({c}) AS {LOWERED[c]}" for c in cols]
+
+
+def _contains(col: str, words: str, i: bool) -> str:
+    base = col[6:-1] if col.startswith("lower(") else col
+    if i or col != base:
+        col = LOWERED.get(base, f"lower({base})")
+        words = words.lower() if i else words
+    return "(" + " OR ".join(f"contains({col}, '{w}')" for w in words.split("|")) + ")"
 
 
 def _spark_lit(p: str) -> str:
@@ -81,9 +98,10 @@ class Text(Node):
         """Regex search; ``p`` is a pattern or a dynamic ``Text`` pattern."""
         if isinstance(p, Text):
             return self._join(p, f"({self.s} RLIKE {p.s})", f"regexp_matches({self.d}, {p.d})", Pred)
+        fast = _contains(self.s, p, i) if _WORDS.match(p) else None
         p = _ci(p, i)
         d = None if self.d is None or _no_re2(p) else f"regexp_matches({self.d}, {_duck_lit(p)})"
-        return Pred(f"({self.s} RLIKE {_spark_lit(p)})", d, self.flags)
+        return Pred(fast or f"({self.s} RLIKE {_spark_lit(p)})", d, self.flags)
 
     def lower(self) -> "Text":
         return Text(f"lower({self.s})", self.d and f"lower({self.d})", self.flags)

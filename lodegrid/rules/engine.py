@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import parse_sources
 from ..session import cut
-from .dsl import Node
+from .dsl import Node, lowered
 from .model import GUARD_BODY, Rule
 
 PACK = 20
@@ -64,6 +64,7 @@ def target_flags(files: DataFrame, nodes: list[Node]) -> DataFrame | None:
     if not flags:
         return None
     src = files.select("target_id", "raw", F.expr(CLEAN_SQL).alias("clean"))
+    src = src.select("*", *[F.expr(e) for e in lowered("raw", "clean")])
     src = src.select("target_id", *[F.expr(p.s).alias(k) for k, p in flags.items()])
     return src.groupBy("target_id").agg(*[F.bool_or(k).alias(k) for k in flags])
 
@@ -98,7 +99,8 @@ def evaluate(files: DataFrame, rules: list[Rule], parsed: DataFrame | None = Non
         # with one pseudo row per file that carries the file-grain rules. No file text reaches those rows.
         fl = _flags([n for _, r in fn_rules + file_rules for n in (r.when, r.each)], "f")
         lists = {i: f"each_{i}" for i, r in file_rules if r.each is not None}
-        flagged = parsed.select("target_id", "chain", "path", "pos", "fns", *[F.expr(p.s).alias(k) for k, p in fl.items()],
+        texts = parsed.select("target_id", "chain", "path", "pos", "raw", "clean", "fns", *[F.expr(e) for e in lowered("raw", "clean")])
+        flagged = texts.select("target_id", "chain", "path", "pos", "fns", *[F.expr(p.s).alias(k) for k, p in fl.items()],
                                 *[F.expr(r.each.s).alias(lists[i]) for i, r in file_rules if i in lists])
         fields = "'start', {0}, 'line', {1}, 'name', {2}, 'params', {3}, 'tail', {4}, 'body', {5}"
         rows = "transform(fns, f -> named_struct('is_file', false, " + fields.format(*[f"f.{c}" for c in ("start", "line", "name", "params", "tail", "body")]) + "))"
@@ -106,6 +108,7 @@ def evaluate(files: DataFrame, rules: list[Rule], parsed: DataFrame | None = Non
             rows = f"concat({rows}, array(named_struct('is_file', true, {fields.format('0', '1', repr(''), repr(''), repr(''), repr(''))})))"
         keep = [*fl, *lists.values()]
         rel = flagged.select("target_id", "chain", "path", "pos", *keep, F.explode(F.expr(rows)).alias("f")).select("target_id", "chain", "path", "pos", *keep, "f.*")
+        rel = rel.select("*", *[F.expr(e) for e in lowered("name", "params", "tail", "body")])
         emit = _packs(fn_rules) if not file_rules else f"CASE WHEN is_file THEN {_packs(file_rules, lists)} ELSE {_packs(fn_rules)} END"
         hits = rel.select("target_id", "chain", "path", "pos", "start", "line", F.col("name").alias("function"), "tail",
                           F.substring("body", 1, 1500).alias("snippet"), F.explode(F.expr(emit)).alias("h"))

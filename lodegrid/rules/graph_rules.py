@@ -10,6 +10,7 @@ from ..operators.dedup import keep_first, top_per_key
 from ..operators.facts import last_definitions, loose_edges
 from ..operators.graph import backward_closure
 from . import core
+from .dsl import lowered
 from .model import INLINE_AUTH, nonreentrant
 
 # ---- Fixed values: patterns and score tables of these rules ----------------------------------
@@ -183,7 +184,7 @@ def governance_blast_radius(fns: DataFrame, abi: DataFrame, roles: DataFrame) ->
     abi(target_id, name); roles(target_id, role, zero_has, dead_has) with NULL for unknown reads.
     """
     ac = core.header_ac.s
-    f = fns.where(F.col("name").isin(*DANGEROUS)).withColumn("open", ~F.expr(ac) & ~F.col("tail").rlike(r"\b(internal|private)\b"))
+    f = fns.select("*", *[F.expr(e) for e in lowered("tail")]).where(F.col("name").isin(*DANGEROUS)).withColumn("open", ~F.expr(ac) & ~F.col("tail").rlike(r"\b(internal|private)\b"))
     present = f.select("target_id", "name", "open").unionByName(abi.where(F.col("name").isin(*DANGEROUS)).select("target_id", "name", F.lit(False).alias("open")))
     t = present.groupBy("target_id").agg(F.bool_or("open").alias("unguarded"))
     open_role = F.coalesce("zero_has", F.lit(False)) | F.coalesce("dead_has", F.lit(False))
