@@ -148,7 +148,7 @@ w AS (SELECT *, vv = 'CONFIRMED_CRITICAL' AND NOT (f_poc_passed OR f_open_roles
 SELECT target_id, pos, has AND (over_ OR buried) AS enforced_downgrade, CASE WHEN NOT has THEN k2 WHEN over_ THEN 'LIKELY_CRITICAL_NEEDS_POC' WHEN buried THEN 'NEEDS_MORE_INVESTIGATION' ELSE vv END AS final_class FROM w""")
 def verdict_guardrails(spark, sf):
     li = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("target_id"), F.expr(POS).alias("pos"), F.expr(VERDICT).alias("verdict"),
-                                             F.expr("CASE WHEN l_partkey % 19 = 0 THEN 'timeout' END").alias("verdict_error"), F.expr("l_partkey % 23 = 1").alias("binding_refuted"))
+                                             F.expr("CASE WHEN l_partkey % 19 = 0 THEN 'timeout' END").alias("verdict_error"), F.expr("l_partkey % 23 = 1").alias("binding_refuted")).distinct()
     c = scoring.score(candidates(spark, sf), "deep").join(li, ["target_id", "pos"])
     return scoring.guardrails(c).select("target_id", "pos", "enforced_downgrade", "final_class")
 
