@@ -180,3 +180,9 @@ def knowledge_matches(cand: DataFrame, corpus: DataFrame, key: str = "cand_id",
     m = m.join(e, "entry_id")
     score = F.col("overlap") + (F.upper("severity") == "CRITICAL").cast("int") + F.contains("joined", F.replace("detector", F.lit("_"), F.lit(""))).cast("int")
     return top_per_key(m.withColumn("relevance", score), [key], k, F.desc("relevance"), F.desc("overlap"), F.col("entry_pos")).drop("joined")
+
+
+def recover_interrupted(scans: DataFrame) -> DataFrame:
+    """After a restart: running scans failed, queued scans start again."""
+    return scans.withColumns({"next_action": F.when(F.col("status") == "queued", "restart").when(F.col("status") == "running", "mark_failed"),
+                              "status": F.when(F.col("status") == "running", "failed").otherwise(F.col("status"))})

@@ -65,6 +65,15 @@ def infer_role(name: Column, type_name: Column) -> Column:
     return F.when(F.rlike(combined, F.lit(MARKET_TOKEN)), F.struct(F.lit("lending_market").alias("role"), F.lit(0.9).alias("confidence"))).otherwise(ranked)
 
 
+def with_role(df: DataFrame, name: Column, type_name: Column) -> DataFrame:
+    """Rows that have a role, as column ``r``.
+
+    A generator drops the others: a filter on ``r`` would be pushed below a distinct in front and
+    run the role patterns on every raw row instead of every distinct one.
+    """
+    return df.select("*", F.explode(F.array_compact(F.array(infer_role(name, type_name)))).alias("r"))
+
+
 def role_edge(role: Column) -> Column:
     return F.try_element_at(F.create_map(*[x for r, _, e in ROLES for x in (F.lit(r), F.lit(e))]), role)
 
@@ -100,7 +109,7 @@ def nodes_and_edges(targets: DataFrame, svars: DataFrame, fns: DataFrame, acc: D
         ("owner", "owner", "authority"), ("beacon", "beacon", "strategy"))])).alias("p")).where("p.a IS NOT NULL")
     proxy = px.select("target_id", F.concat(F.lit("proxy:"), "p.r").alias("id"), F.col("p.r").alias("label"), F.col("p.k").alias("role"),
                       F.col("p.a").alias("address"), F.lit("proxy_resolution").alias("source"), F.lit(0.95).alias("confidence"))
-    sv = svars.withColumn("r", infer_role(F.col("name"), F.col("type"))).where("r IS NOT NULL")
+    sv = with_role(svars, F.col("name"), F.col("type"))
     st = sv.join(getters.select("target_id", "name", "address"), ["target_id", "name"], "left").select(
         "target_id", F.concat(F.lit("state:"), "name").alias("id"), F.col("name").alias("label"), "r.role", "address", F.lit("state_var").alias("source"), "r.confidence")
     calls = fns.select("target_id", F.col("name").alias("function"), F.explode(F.arrays_zip(
@@ -112,7 +121,7 @@ def nodes_and_edges(targets: DataFrame, svars: DataFrame, fns: DataFrame, acc: D
     ct = (c.where("state_id IS NULL AND r IS NOT NULL").select("target_id", F.concat(F.lit("calltarget:"), "label").alias("id"), "label", "r.role",
           F.lit(None).cast("string").alias("address"), F.lit("typed_call_target").alias("source"), F.least(F.lit(0.8), F.col("r.confidence")).alias("confidence")).distinct())
     taken = st.select("target_id", "label").unionByName(ct.select("target_id", "label"))
-    ab = (getters.where(F.coalesce("from_abi", F.lit(False))).withColumn("r", infer_role(F.col("name"), F.lit("address getter"))).where("r IS NOT NULL")
+    ab = (with_role(getters.where(F.coalesce("from_abi", F.lit(False))), F.col("name"), F.lit("address getter"))
           .withColumnRenamed("name", "label").join(taken, ["target_id", "label"], "left_anti").select(
               "target_id", F.concat(F.lit("abi:"), "label").alias("id"), "label", "r.role", "address", F.lit("abi_getter").alias("source"),
               F.greatest(F.lit(0.6), F.col("r.confidence") - 0.1).alias("confidence")))
@@ -192,3 +201,46 @@ def select_companions(merged: DataFrame, known: DataFrame, max_new: int) -> Data
 
 def expansion_cap(requested: int | None, default: int = 8, hard_cap: int = 25) -> int:
     return max(0, min(default if requested is None else requested, hard_cap))
+
+
+# Detectors and classes whose check needs the whole group of components, and the roles of its members.
+GROUP_DETECTORS = ("economic_oracle_lending", "oracle_manipulation", "thin_liquidity_spot_oracle", "lending_exchange_rate_donation",
+                   "vault_share_donation_inflation", "erc4626_dual_asset_redeem_double_count", "amm_pair_reserve_desync", "hook_pair_burn_sync")
+GROUP_CLASSES = ("oracle", "erc4626_collateral_oracle", "vault_accounting", "amm_reserve_desync", "reserve_desync", "lending_exchange_rate_donation")
+GROUP_SURFACES = ("oracle_lending", "erc4626_collateral_oracle", "amm_reserve_dependency", "vault_share_accounting")
+
+
+def group_scenarios(cand: DataFrame, surf: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Candidates worth a component-group check and the scenario family of each.
+
+    Needs at least one resolved component besides the target itself.
+    """
+    comp = nodes.where(F.col("role").isin(*EXPANSION) & F.col("address").isNotNull()).select("target_id", F.lower("address").alias("a")).distinct().groupBy("target_id").agg(
+        F.count(F.lit(1)).alias("components"))
+    ids = surf.groupBy("target_id").agg(F.collect_set("id").alias("ids"))
+    d = cand.join(comp, "target_id").join(ids, "target_id", "left")
+    has = lambda *x: F.coalesce(F.arrays_overlap("ids", F.array(*[F.lit(v) for v in x])), F.lit(False))
+    det, bug = F.col("detector"), F.coalesce("bug_class", F.lit(""))
+    ok = det.isin(*GROUP_DETECTORS) | bug.isin(*GROUP_CLASSES) | (has(*GROUP_SURFACES) & (F.col("impact") >= 7))
+    kind = (F.when((det == "economic_oracle_lending") | has("oracle_lending") | (bug == "erc4626_collateral_oracle"), "oracle_lending_bad_debt")
+            .when(det.isin("erc4626_dual_asset_redeem_double_count", "vault_share_donation_inflation") | has("vault_share_accounting"), "vault_redeem_share_accounting")
+            .when(det.isin("amm_pair_reserve_desync", "hook_pair_burn_sync", "thin_liquidity_spot_oracle") | has("amm_reserve_dependency"), "amm_reserve_manipulation")
+            .when(has("bridge_or_proof_domain"), "bridge_or_proof_domain_binding").otherwise("protocol_group_validation"))
+    return d.where(ok).withColumn("scenario", kind).drop("ids")
+
+
+def expand_companions(start: DataFrame, observe, cap: int) -> DataFrame:
+    """Scan rounds: observe(frontier) returns merged companions; new addresses form the next frontier until none or the cap.
+
+    The cap is the expansion budget of the scan; each round reads only its own frontier.
+    """
+    from ..session import cut
+
+    known, frontier, left = start.select("address"), start.select("address"), cap
+    while left > 0:
+        new = cut(select_companions(observe(frontier), known, left).select("address"))
+        n = new.count()
+        if n == 0:
+            break
+        known, frontier, left = known.unionByName(new), new, left - n
+    return known

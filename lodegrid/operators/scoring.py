@@ -47,7 +47,10 @@ SEVERITY_BONUS = {"critical": 18.0, "high": 12.0, "medium": 6.0, "low": 1.0}
 
 def flag(*names: str) -> Column:
     """Any of the named evidence booleans is set."""
-    return F.coalesce(F.arrays_overlap(F.col("ev_flags"), F.array(*[F.lit(n) for n in names])), F.lit(False))
+    out = F.array_contains("ev_flags", names[0])
+    for n in names[1:]:
+        out = out | F.array_contains("ev_flags", n)
+    return F.coalesce(out, F.lit(False))
 
 
 def corroborate(cand: DataFrame, scope: list[str]) -> DataFrame:

@@ -202,7 +202,7 @@ def role_inference(spark, sf):
 
 @query("role_histogram", f"WITH v AS ({VARS}), s AS (SELECT DISTINCT target_id, name, type FROM v), r AS (SELECT target_id, {_role_sql('name', 'type')} AS x FROM s) SELECT x.r AS role, target_id, count(*) AS n FROM r WHERE x.s >= 0.34 GROUP BY ROLLUP (role, target_id) HAVING role IS NOT NULL")
 def role_histogram(spark, sf):
-    d = _vars(spark, sf).select("target_id", "name", "type").distinct().withColumn("r", protocol.infer_role(F.col("name"), F.col("type"))).where("r IS NOT NULL")
+    d = protocol.with_role(_vars(spark, sf).select("target_id", "name", "type").distinct(), F.col("name"), F.col("type"))
     return protocol.role_counts(d.select("target_id", "r.role"))
 
 
@@ -444,3 +444,31 @@ def triage_offline_order(spark, sf):
     from .pipeline import triage
 
     return triage(contract_files(spark, sf), "deep", order="offline").groupBy("classification", "corroborated").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("group_scenarios", f"""WITH c AS (SELECT l_orderkey % 200 AS target_id, l_partkey AS p, l_suppkey AS s, CASE l_partkey % 5 WHEN 0 THEN 'oracle_manipulation' WHEN 1 THEN 'amm_pair_reserve_desync' WHEN 2 THEN 'reentrancy' ELSE 'token_logic' END AS detector, CASE WHEN l_suppkey % 6 = 0 THEN 'oracle' ELSE 'misc' END AS bug_class, CAST(l_quantity AS BIGINT) % 11 AS impact FROM lineitem),
+g AS (SELECT *, target_id % 4 AS k FROM c WHERE target_id % 3 <> 0), e AS (SELECT * FROM g WHERE detector IN ('oracle_manipulation', 'amm_pair_reserve_desync') OR bug_class = 'oracle' OR (k IN (0, 1) AND impact >= 7))
+SELECT target_id, detector, CASE WHEN k = 0 THEN 'oracle_lending_bad_debt' WHEN k = 1 THEN 'vault_redeem_share_accounting' WHEN detector = 'amm_pair_reserve_desync' THEN 'amm_reserve_manipulation' WHEN k = 2 THEN 'bridge_or_proof_domain_binding' ELSE 'protocol_group_validation' END AS scenario, count(*) AS n FROM e GROUP BY 1, 2, 3""")
+def group_scenarios(spark, sf):
+    li = table(spark, sf, "lineitem")
+    k5, t = F.col("l_partkey") % 5, F.col("l_orderkey") % 200
+    c = li.select(t.alias("target_id"), F.when(k5 == 0, "oracle_manipulation").when(k5 == 1, "amm_pair_reserve_desync").when(k5 == 2, "reentrancy").otherwise("token_logic").alias("detector"),
+                  F.when(F.col("l_suppkey") % 6 == 0, "oracle").otherwise("misc").alias("bug_class"), (F.col("l_quantity").cast("long") % 11).alias("impact"))
+    tg = li.select(t.alias("target_id")).distinct()
+    k = F.col("target_id") % 4
+    surf = tg.where(k < 3).select("target_id", F.when(k == 0, "oracle_lending").when(k == 1, "vault_share_accounting").otherwise("bridge_or_proof_domain").alias("id"))
+    nodes = tg.select("target_id", F.lit("router").alias("role"), F.when(F.col("target_id") % 3 != 0, ADDR(F.col("target_id"))).alias("address"))
+    return protocol.group_scenarios(c, surf, nodes).groupBy("target_id", "detector", "scenario").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("companion_expansion", """WITH RECURSIVE r(k, d) AS (SELECT c_custkey, 0 FROM customer WHERE c_custkey = 1 UNION ALL SELECT k * 2 + 1, d + 1 FROM r WHERE k * 2 + 1 IN (SELECT c_custkey FROM customer) AND d < 25) SELECT '0x' || lpad(lower(to_hex(k)), 40, '0') AS address FROM r""")
+def companion_expansion(spark, sf):
+    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("k"))
+    links = c.select(ADDR(F.col("k")).alias("src"), (F.col("k") * 2 + 1).alias("n")).join(c.select(F.col("k").alias("n")), "n", "left_semi").select(
+        "src", ADDR(F.col("n")).alias("address"))
+
+    def observe(frontier):
+        return links.join(frontier.select(F.col("address").alias("src")), "src", "left_semi").select(
+            F.col("address").alias("mkey"), "address", F.lit("oracle").alias("role"), F.lit("l").alias("label"), F.lit("s").alias("source"), F.lit(0.5).alias("confidence"))
+
+    return protocol.expand_companions(c.where("k = 1").select(ADDR(F.col("k")).alias("address")), observe, protocol.expansion_cap(25))

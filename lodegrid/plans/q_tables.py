@@ -396,3 +396,8 @@ def stream_watch(spark, sf):
     q = watch.watch_stream(obs).writeStream.format("parquet").option("path", f"{base}/{name}/out").option("checkpointLocation", f"{base}/{name}/ckpt").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.parquet(f"{base}/{name}/out")
+
+
+@query("restart_recovery", f"WITH {S} SELECT id, CASE WHEN status = 'running' THEN 'failed' ELSE status END AS status, CASE WHEN status = 'running' THEN 'mark_failed' END AS next_action FROM s")
+def restart_recovery(spark, sf):
+    return agg.recover_interrupted(rel(spark, sf, SCANS)).select("id", "status", "next_action")
