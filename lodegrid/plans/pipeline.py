@@ -27,30 +27,45 @@ def to_candidates(hits: DataFrame) -> DataFrame:
         *[F.lit(None).cast(t).alias(c) for c, t in NONE.items()])
 
 
-def special_hits(files: DataFrame, parsed: DataFrame, profile: str) -> DataFrame | None:
-    """Hits of the rules over call edges and flows for the profile's detectors."""
-    fns = enrich(functions(parsed))
-    sv = state_vars(parsed)
+LEADS = ("pausability_bypass", "weird_hunt_taint_value_flow", "zk_verifier")
+
+
+def special_hits(files: DataFrame, parsed: DataFrame, profile: str, flagged: DataFrame) -> DataFrame:
+    """Hits of the rules over call edges and flows for the profile's detectors, in the layout of catalog hits."""
+    fns = cut(enrich(functions(parsed)))
+    sv = cut(state_vars(parsed))
     want = set(detectors(profile))
-    acc = accesses(fns, sv)
     flows = cut(taint_flows(fns, sv))
-    parts = [gr.solvency_check(fns), gr.flashloan_governance(files, fns), gr.delegatecall(fns, flows, acc), gr.proof_value_flow(flows, fns)]
+    parts = [gr.reentrancy_interprocedural(fns, flagged), gr.solvency_check(fns), gr.flashloan_governance(files, fns),
+             gr.delegatecall(fns, flows, accesses(fns, sv)), gr.proof_value_flow(flows, fns)]
     if "pausability_bypass" in want:
         parts += [gr.pausability_bypass(fns, call_edges(fns)), gr.taint_value_flow(flows)]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out
+    none = F.lit(None).cast("string")
+    lead = F.col("detector").isin(*LEADS)
+    # same file of a function name: the last definition, as the name-keyed facts have it
+    where = fns.groupBy("target_id", F.col("name").alias("function")).agg(F.max_by(F.struct("path", "start", F.substring("body", 1, 1500).alias("snippet")), F.struct("pos", "start")).alias("at"))
+    return out.join(where, ["target_id", "function"], "left").select(
+        "target_id", none.alias("chain"), F.col("at.path").alias("file"), F.lit(1 << 29).alias("pos"), F.coalesce("at.start", F.lit(0)).alias("start"), F.lit(1).alias("line"),
+        (F.lit(100_000) + F.pmod(F.hash("detector", "rule_id"), F.lit(1000))).alias("rule_no"), "detector", "rule_id", F.coalesce("rule_id", "detector").alias("variant"), "bug_class",
+        F.concat_ws(": ", F.regexp_replace(F.coalesce("rule_id", "detector"), "_", " "), "function").alias("title"), "function", "impact", "conf",
+        F.when(lead, "lead_only").when(F.col("detector") == "delegatecall", "confirmable").alias("tier"), lead.alias("lead_only"),
+        F.array().cast("array<string>").alias("ev_flags"), F.coalesce("at.snippet", F.lit("")).alias("snippet"), F.lit("").alias("variable"))
 
 
-def triage(files: DataFrame, profile: str = "ultra-deep-v2", order: str = "production") -> DataFrame:
+def triage(files: DataFrame, profile: str = "ultra-deep-v2", order: str = "production", graph_rules: bool = True) -> DataFrame:
     """Scored candidates of the source files.
 
     order='production' runs sanity, corroboration, collapse; 'offline' runs corroboration, collapse, sanity
     (corroboration skips suppressed rows, so the results can differ).
     """
     parsed = cut(parse(files))  # four consumers below: parse once, keep the table in the shared folder
-    hits = evaluate(files, rules_for(profile), parsed)
+    hits = cut(evaluate(files, rules_for(profile), parsed))
+    if graph_rules:
+        flagged = hits.where("detector = 'reentrancy'").select("target_id", "function")
+        hits = hits.unionByName(special_hits(files, parsed, profile, flagged))
     cand = cut(to_candidates(hits))
     fns = functions(parsed)
     targets = files.select("target_id").distinct().withColumns({

@@ -8,8 +8,11 @@ from ..functions.evm import PROXY_SLOTS, keccak256, keccak_text
 from ..operators import aggregates as agg
 from ..operators import bytecode as bc
 from ..operators import facts, graph, protocol, storage, taint
+from ..rules import core
 from ..rules import graph_rules as gr
-from ..rules.engine import functions, parse
+from ..rules.catalog import rules_for
+from ..rules.model import nonreentrant
+from ..rules.engine import evaluate, functions, oracle_sql, parse
 from ..session import cut
 from .corpus import contract_files, contract_files_sql
 from .registry import query, table
@@ -373,32 +376,54 @@ def hex_utils(spark, sf):
     return d.select("target_id", F.col("stripped_bytes").cast("long").alias("stripped_bytes"), F.col("code_bytes").cast("long").alias("code_bytes"), F.col("proxy_target").isNotNull().alias("is_clone"))
 
 
-@query("rule_solvency_check")
+LD = "ld AS (SELECT * FROM fn QUALIFY row_number() OVER (PARTITION BY target_id, name ORDER BY pos DESC, ord DESC) = 1)"
+LDE = ("e AS (SELECT i.* FROM (SELECT DISTINCT target_id, name AS src, unnest(regexp_extract_all(body, '\\b([A-Za-z_]\\w*)\\b', 1)) AS dst FROM ld) i WHERE src <> dst "
+       "AND EXISTS (SELECT 1 FROM ld k WHERE k.target_id = i.target_id AND k.name = i.dst))")
+NOVIEW = "NOT regexp_matches(lower(tail), 'view|pure')"
+GUARD = f"(regexp_matches(tail, '(?i){nonreentrant}') OR regexp_matches(substring(body, 1, 200), '(?i){nonreentrant}'))"
+
+
+@query("rule_solvency_check", f"""WITH RECURSIVE {FILES}, {FN}, {LD}, {LDE}, r AS (SELECT target_id, name AS node, 0 AS d FROM ld WHERE regexp_matches(body, '{gr.HEALTH_CALL}') OR regexp_matches(name, '{gr.HEALTH_NAME}')
+ UNION SELECT target_id, src, 0 FROM e WHERE regexp_matches(dst, '{gr.HEALTH_NAME}') UNION SELECT r.target_id, e.src, r.d + 1 FROM r JOIN e ON e.target_id = r.target_id AND e.dst = r.node WHERE r.d < 16),
+m AS (SELECT target_id, name, EXISTS (SELECT 1 FROM r WHERE r.target_id = ld.target_id AND r.node = ld.name) AS ok FROM ld WHERE NOT regexp_matches(tail, '\\b(internal|private)\\b') AND {NOVIEW} AND regexp_matches(body, '{gr.SOLVENCY_WRITE}'))
+SELECT target_id, name AS function, 8.0::DOUBLE AS impact, 6.0::DOUBLE AS conf FROM m WHERE NOT ok AND target_id IN (SELECT target_id FROM m WHERE ok)""")
 def rule_solvency_check(spark, sf):
-    return gr.solvency_check(_fns(spark, sf))
+    return gr.solvency_check(_fns(spark, sf)).select("target_id", "function", "impact", "conf")
 
 
-@query("rule_reentrancy_interprocedural")
-def rule_reentrancy_interprocedural(spark, sf):
-    from ..rules.catalog import rules_for
-    from ..rules.engine import evaluate
+FLAGGED = oracle_sql(contract_files_sql(), rules_for("deep", only="reentrancy"))
 
+
+@query("rule_reentrancy_interprocedural", f"""WITH RECURSIVE {FILES}, {FN}, {LD}, {LDE}, fl AS (SELECT DISTINCT target_id, function FROM ({FLAGGED})),
+r AS (SELECT target_id, name AS node, 0 AS d FROM ld WHERE regexp_matches(body, '(?i){core.EXT_CALL}') UNION SELECT r.target_id, e.src, r.d + 1 FROM r JOIN e ON e.target_id = r.target_id AND e.dst = r.node WHERE r.d < 16),
+c AS (SELECT DISTINCT ld.target_id, ld.name, ld.tail, ld.body, e.dst FROM ld JOIN e ON e.target_id = ld.target_id AND e.src = ld.name JOIN r ON r.target_id = e.target_id AND r.node = e.dst
+ WHERE {NOVIEW} AND NOT regexp_matches(body, '(?i){core.EXT_CALL}') AND NOT EXISTS (SELECT 1 FROM fl WHERE fl.target_id = ld.target_id AND fl.function = ld.name)),
+p AS (SELECT *, length(regexp_extract(body, concat('(?s)^(.*?)\\b', dst, '\\s*\\('), 1)) AS at0 FROM c WHERE regexp_matches(body, concat('\\b', dst, '\\s*\\('))),
+q AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY target_id, name ORDER BY at0) = 1),
+w AS (SELECT *, {GUARD} AS own, EXISTS (SELECT 1 FROM e JOIN ld k ON k.target_id = e.target_id AND k.name = e.src WHERE e.target_id = q.target_id AND e.dst = q.name AND {GUARD.replace('tail', 'k.tail').replace('body', 'k.body')}) AS entry
+ FROM q WHERE regexp_matches(regexp_replace(substring(body, at0 + 1), concat('^', dst, '\\s*\\('), ''), '(?i){core.STATE_WRITE}'))
+SELECT target_id, name AS function, CASE WHEN own THEN 5 WHEN entry THEN 7.5 ELSE 9 END::DOUBLE AS impact, CASE WHEN own THEN 2.5 WHEN entry THEN 4.5 ELSE 6 END::DOUBLE AS conf FROM w""")
+def rule_reentrancy_interprocedural(spark, sf):
     fl = contract_files(spark, sf)
-    p = parse(fl)
+    p = cut(parse(fl))
     flagged = evaluate(fl, rules_for("deep", only="reentrancy"), p).select("target_id", "function")
-    return gr.reentrancy_interprocedural(functions(p), flagged)
+    return gr.reentrancy_interprocedural(functions(p), flagged).select("target_id", "function", "impact", "conf")
 
 
-@query("rule_flashloan_governance")
+@query("rule_flashloan_governance", f"""WITH {FILES}, {FN}, {LD}, t AS (SELECT target_id, bool_or(regexp_matches(raw, '(?i){core.VOTE_WORDS}')) AS vw, bool_or(regexp_matches(raw, '(?i){core.SPOT_BALANCE}')) AS spot, bool_or(regexp_matches(raw, '(?i){core.SNAPSHOT}')) AS snap FROM files GROUP BY 1),
+a AS (SELECT target_id, bool_or(regexp_matches(name, '(?i){core.VOTE_NAME}')) AS vn, bool_or(regexp_matches(name, '(?i){core.EMERGENCY_EXEC}')) AS em, bool_or(regexp_matches(name, '(?i){core.EXEC_NAME}') AND regexp_matches(body, '(?i){core.ARBITRARY_EXEC}')) AS arb FROM ld GROUP BY 1)
+SELECT target_id, 9.0::DOUBLE AS impact, 6.0::DOUBLE AS conf FROM t JOIN a USING (target_id) WHERE (vw OR vn) AND spot AND NOT snap AND (em OR arb)""")
 def rule_flashloan_governance(spark, sf):
     fl = contract_files(spark, sf)
-    return gr.flashloan_governance(fl, functions(parse(fl)))
+    return gr.flashloan_governance(fl, functions(parse(fl))).select("target_id", "impact", "conf")
 
 
-@query("rule_pausability_bypass")
+@query("rule_pausability_bypass", f"""WITH {FILES}, {FN}, {CALLS}, g AS (SELECT DISTINCT e.target_id, e.dst FROM e JOIN fn ON fn.target_id = e.target_id AND fn.name = e.src WHERE regexp_matches(fn.tail || fn.body, '{gr.PAUSED}')),
+alt AS (SELECT target_id, name, regexp_matches(body, '{gr.RARE_SINK}') AS sink FROM fn WHERE regexp_matches(name, '{gr.ALTERNATE}') AND NOT regexp_matches(tail || body, '{gr.PAUSE_WORD}'))
+SELECT target_id, name AS function FROM alt WHERE target_id IN (SELECT target_id FROM g) AND (sink OR EXISTS (SELECT 1 FROM e JOIN g ON g.target_id = e.target_id AND g.dst = e.dst WHERE e.target_id = alt.target_id AND e.src = alt.name))""")
 def rule_pausability_bypass(spark, sf):
     f = _fns(spark, sf)
-    return gr.pausability_bypass(f, facts.call_edges(f))
+    return gr.pausability_bypass(f, facts.call_edges(f)).select("target_id", "function")
 
 
 def _flow_inputs(spark, sf):

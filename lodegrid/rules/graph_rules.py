@@ -18,7 +18,7 @@ HEALTH_NAME = (r"(?i)(check.*liquidity|account.*liquidity|liquidity.*check|healt
                r"collateral.?check|check.?collateral|require.*healthy|require.*collateral)")
 HEALTH_CALL = (r"(?i)\b[A-Za-z_]\w*(?:[Ll]iquidity|Health|Solvency|Collateral)\w*\s*\(|\b(?:borrow|redeem|mint|seize|transfer|repay)Allowed\s*\(")
 SOLVENCY_WRITE = (r"(?i)\b(?:reserves?|totalReserves|reserveBalance\w*|collateral\w*|debt\w*|borrows?|totalBorrows?|deposits?|shares?|principal|"
-                  r"accountBorrows?|accountTokens?|balances?)\b\s*(?:\[[^\]]*\])?(?:\s*\.\w+)*\s*(?:[+\-*/]?=)(?!=)")
+                  r"accountBorrows?|accountTokens?|balances?)\b\s*(?:\[[^\]]*\])?(?:\s*\.\w+)*\s*(?:[+\-*/]?=)(?:[^=]|$)")
 PAUSED = r"(?i)whenNotPaused|notPaused|paused\s*\(\s*\)"
 PAUSE_WORD = r"(?i)whenNotPaused|notPaused|paused"
 ALTERNATE = r"(?i)multicall|callback|claim|emergency|execute|permitAndCall|batch"
