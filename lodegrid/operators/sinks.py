@@ -15,14 +15,15 @@ def finding_details(findings: DataFrame, targets: DataFrame, reviews: DataFrame)
     return findings.join(t, "target_id").join(r, "ai_review_id", "left")
 
 
-def target_documents(details: DataFrame, fields: list[str], order: str = "id") -> DataFrame:
-    """One nested document per target: findings in id order.
+def target_documents(details: DataFrame, fields: list[str], order: str = "id", limit: int = 10_000) -> DataFrame:
+    """Nested documents, findings in id order: one per target, or several parts for a target beyond ``limit`` findings.
 
-    A target's document holds its findings by definition of the format; the documents of a scan stay
-    separate rows (a JSON-lines file), so no row ever holds a whole scan.
+    The part count comes from a counting aggregate, so no document (and no task) gathers an unbounded group.
     """
+    n = details.groupBy("target_id").agg(F.ceil(F.count(F.lit(1)) / limit).cast("int").alias("parts"))
+    d = details.join(n, "target_id").withColumn("part", F.pmod(F.hash(F.col(order)), F.col("parts")))
     f = F.array_sort(F.collect_list(F.struct(F.col(order).alias("id"), *[c for c in fields if c != order])))
-    return details.groupBy("scan_id", "target_id", "address", "contract_name").agg(f.alias("findings"))
+    return d.groupBy("scan_id", "target_id", "address", "contract_name", "part").agg(f.alias("findings"))
 
 
 def csv_rows(details: DataFrame) -> DataFrame:

@@ -80,11 +80,14 @@ def triage(files: DataFrame, profile: str = "ultra-deep-v2", order: str = "produ
     return scoring.score(cand, profile)
 
 
-def triage_report(spark: SparkSession, sf: str) -> DataFrame:
-    """Flagship: findings by detector and class with the best priority, most urgent first."""
+def triage_report(spark: SparkSession, sf: str, graph_rules: bool = False) -> DataFrame:
+    """Flagship: findings by detector and class with the best priority, most urgent first.
+
+    The catalog rules alone by default; graph_rules=True adds the rules over edges and flows.
+    """
     from .corpus import contract_files
 
-    d = triage(contract_files(spark, sf))
+    d = triage(contract_files(spark, sf), graph_rules=graph_rules)
     d = d.withColumns({"next_tests": F.array().cast("array<string>")}).withColumn("priority", scoring.priority())
     return (d.groupBy("detector", "classification").agg(F.count(F.lit(1)).alias("findings"), F.max("impact_score").alias("max_impact"),
                                                        F.max("priority").alias("top_priority"), F.sum("dup_count").alias("copies"))

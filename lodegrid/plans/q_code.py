@@ -461,14 +461,14 @@ def sanity_gates(spark, sf):
     """Suppressed and kept candidates by reason over the whole catalog."""
     from .pipeline import triage
 
-    return triage(contract_files(spark, sf), "deep").groupBy("detector", "suppressed", "suppressed_reason").agg(F.count(F.lit(1)).alias("n"))
+    return triage(contract_files(spark, sf), "deep", graph_rules=False).groupBy("detector", "suppressed", "suppressed_reason").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("triage_offline_order")
 def triage_offline_order(spark, sf):
     from .pipeline import triage
 
-    return triage(contract_files(spark, sf), "deep", order="offline").groupBy("classification", "corroborated").agg(F.count(F.lit(1)).alias("n"))
+    return triage(contract_files(spark, sf), "deep", order="offline", graph_rules=False).groupBy("classification", "corroborated").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("group_scenarios", f"""WITH c AS (SELECT l_orderkey % 200 AS target_id, l_partkey AS p, l_suppkey AS s, CASE l_partkey % 5 WHEN 0 THEN 'oracle_manipulation' WHEN 1 THEN 'amm_pair_reserve_desync' WHEN 2 THEN 'reentrancy' ELSE 'token_logic' END AS detector, CASE WHEN l_suppkey % 6 = 0 THEN 'oracle' ELSE 'misc' END AS bug_class, CAST(l_quantity AS BIGINT) % 11 AS impact FROM lineitem),

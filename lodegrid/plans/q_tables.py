@@ -8,7 +8,7 @@ from ..functions import scalars as sc
 from ..operators import aggregates as agg
 from ..operators import dedup, sinks
 from ..streaming import watch
-from .derived import FINDINGS, REVIEWS, SCANS, TARGETS, findings, rel
+from .derived import FINDINGS, POS, REVIEWS, SCANS, TARGETS, findings, rel
 from .registry import query, spread, table
 
 S, T, FI, RV = f"s AS ({SCANS})", f"t AS ({TARGETS})", f"f AS ({FINDINGS})", f"r AS ({REVIEWS})"
@@ -111,12 +111,12 @@ def scan_findings_semi(spark, sf):
     return rel(spark, sf, FINDINGS).join(t, "target_id", "left_semi").select("id", "detector")
 
 
-@query("target_children", f"WITH {T}, {FI} SELECT t.id AS target_id, count(f.id) AS n, array_to_string(list(f.id ORDER BY f.impact_score DESC, f.confidence_score DESC, f.id) FILTER (f.id IS NOT NULL), ',') AS ids FROM t LEFT JOIN f ON f.target_id = t.id GROUP BY 1")
+@query("target_children", f"WITH {T}, {FI} SELECT t.id AS target_id, t.status, f.id AS finding_id, f.impact_score, f.confidence_score FROM t LEFT JOIN f ON f.target_id = t.id")
 def target_children(spark, sf):
-    f = rel(spark, sf, FINDINGS).groupBy("target_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("impact_score")).alias("i"), (-F.col("confidence_score")).alias("c"), "id"))).alias("k"))
-    d = rel(spark, sf, TARGETS).select(F.col("id").alias("target_id")).join(f, "target_id", "left")
-    return d.select("target_id", F.coalesce(F.size("k"), F.lit(0)).cast("long").alias("n"), F.array_join(F.transform("k", lambda x: x["id"].cast("string")), ",").alias("ids")).withColumn(
-        "n", F.greatest("n", F.lit(0)))
+    """Children stay rows (no list grows with a target); readers order them by (target, impact, confidence, id)."""
+    f = rel(spark, sf, FINDINGS).select("target_id", F.col("id").alias("finding_id"), "impact_score", "confidence_score")
+    d = rel(spark, sf, TARGETS).select(F.col("id").alias("target_id"), "status").join(f, "target_id", "left")
+    return d.orderBy("target_id", F.desc("impact_score"), F.desc("confidence_score"), "finding_id")
 
 
 @query("watch_events_join", "SELECT user_id AS watch_id, event_id, event_type AS kind FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) <= 5")
@@ -127,13 +127,16 @@ def watch_events_join(spark, sf):
     return w.join(top, F.col("watch_id") == F.col("user_id")).select("watch_id", "event_id", F.col("event_type").alias("kind"))
 
 
-@query("positional_join", """WITH a AS (SELECT c_nationkey AS k, c_custkey AS a_id, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS rn FROM customer),
-b AS (SELECT s_nationkey AS k, s_suppkey AS b_id, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS rn FROM supplier) SELECT a.k, a_id, b_id FROM a LEFT JOIN b USING (k, rn)""")
+@query("positional_join", f"""WITH a AS (SELECT l_orderkey AS k, l_partkey AS a_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY {POS}) AS rn FROM lineitem WHERE l_returnflag = 'R'),
+b AS (SELECT l_orderkey AS k, l_suppkey AS b_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY {POS}) AS rn FROM lineitem WHERE l_linestatus = 'F') SELECT a.k, a_id, b_id FROM a LEFT JOIN b USING (k, rn)""")
 def positional_join(spark, sf):
+    """k-th row meets k-th row inside one order (facts and bodies of one file and name in the scanned design)."""
     from pyspark.sql import Window
 
-    a = table(spark, sf, "customer").select(F.col("c_nationkey").alias("k"), F.col("c_custkey").alias("a_id"), F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey")).alias("rn"))
-    b = table(spark, sf, "supplier").select(F.col("s_nationkey").alias("k"), F.col("s_suppkey").alias("b_id"), F.row_number().over(Window.partitionBy("s_nationkey").orderBy("s_suppkey")).alias("rn"))
+    rn = F.row_number().over(Window.partitionBy("k").orderBy("p"))
+    li = table(spark, sf, "lineitem").withColumns({"k": F.col("l_orderkey"), "p": F.expr(POS)})
+    a = li.where("l_returnflag = 'R'").select("k", F.col("l_partkey").alias("a_id"), rn.alias("rn"))
+    b = li.where("l_linestatus = 'F'").select("k", F.col("l_suppkey").alias("b_id"), rn.alias("rn"))
     return a.join(b, ["k", "rn"], "left").select("k", "a_id", "b_id")
 
 

@@ -95,11 +95,11 @@ def is_library(path: Column) -> Column:
 def drop_libraries(files: DataFrame, key: str = "target_id") -> DataFrame:
     """Drop library paths; a target consisting only of libraries keeps everything.
 
-    One boolean per target (partial aggregate) joined back: no window holds a target's files.
+    Project files pass straight through; only library files are anti-joined against the targets that have some.
     """
-    d = files.withColumn("lib", is_library(F.col("path")))
-    own = d.groupBy(key).agg(F.bool_or(~F.col("lib")).alias("any_own"))
-    return d.join(own, key).where("NOT lib OR NOT any_own").drop("lib", "any_own")
+    lib = is_library(F.col("path"))
+    own = files.where(~lib)
+    return own.unionByName(files.where(lib).join(own.select(key).distinct(), key, "left_anti"))
 
 
 def creations(direct: DataFrame, internal: DataFrame) -> DataFrame:

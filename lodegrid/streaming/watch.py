@@ -52,13 +52,22 @@ def watch_stream(observations: DataFrame) -> DataFrame:
     return observations.groupBy("address").transformWithStateInPandas(WatchProcessor(), EVENT, "Append", "None")
 
 
-def watch_batch(observations: DataFrame) -> DataFrame:
-    """The same events from a stored history: last non-empty value before each reading."""
-    w = Window.partitionBy("address").orderBy("ts").rowsBetween(Window.unboundedPreceding, -1)
-    n = F.row_number().over(Window.partitionBy("address").orderBy("ts"))
-    val = {c: F.nullif(F.col(c), F.lit("")) for c, _, _ in KINDS}
-    d = observations.withColumns({**val, "n": n})
-    d = d.withColumns({f"old_{c}": F.last(c, ignorenulls=True).over(w) for c, _, _ in KINDS})
+def watch_batch(observations: DataFrame, bucket: str = "day") -> DataFrame:
+    """The same events from a stored history: last non-empty value before each reading.
+
+    Two levels, so that no task holds the whole history of a busy address: readings are ordered inside
+    (address, time bucket); what earlier buckets leave behind is carried in from one row per bucket.
+    """
+    cols = [c for c, _, _ in KINDS]
+    d = observations.withColumns({**{c: F.nullif(F.col(c), F.lit("")) for c in cols}, "bucket": F.date_trunc(bucket, "ts")})
+    per = d.groupBy("address", "bucket").agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("ts"))).alias(f"in_{c}") for c in cols], F.count(F.lit(1)).alias("rows"))
+    w = Window.partitionBy("address").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    carry = per.select("address", "bucket", *[F.last(f"in_{c}", ignorenulls=True).over(w).alias(f"in_{c}") for c in cols],
+                       F.coalesce(F.sum("rows").over(w), F.lit(0)).alias("seen"))
+    inside = Window.partitionBy("address", "bucket").orderBy("ts")
+    before = inside.rowsBetween(Window.unboundedPreceding, -1)
+    d = d.join(carry, ["address", "bucket"]).withColumns(
+        {"n": F.col("seen") + F.row_number().over(inside), **{f"old_{c}": F.coalesce(F.last(c, ignorenulls=True).over(before), F.col(f"in_{c}")) for c in cols}})
     ev = []
     for c, kind, sev in KINDS:
         ch = F.lower(f"old_{c}") != F.lower(c)

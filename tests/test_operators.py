@@ -165,3 +165,11 @@ def test_role_inference(spark):
     d = spark.createDataFrame([("priceOracle", "IOracle"), ("owner", "address"), ("zzz", "uint256"), ("cUsdToken", "address")], "n string, t string")
     r = [x.r for x in d.select(protocol.infer_role(F.col("n"), F.col("t")).alias("r")).collect()]
     assert (r[0].role, r[0].confidence) == ("oracle", 0.96) and r[1].role == "authority" and r[2] is None and (r[3].role, r[3].confidence) == ("lending_market", 0.9)
+
+
+def test_triage_with_graph_rules(spark):
+    from lodegrid.plans.pipeline import triage
+
+    d = spark.createDataFrame([(1, "ethereum", "a.sol", 0, SPECIAL_TWINS["solvency_check"][0]), (2, "ethereum", "b.sol", 0, SPECIAL_TWINS["reentrancy"][0])], FILE)
+    r = {(x.target_id, x.detector, x.functions[0]) for x in triage(d, "deep").where("NOT suppressed").collect()}
+    assert (1, "solvency_check", "donateCash") in r and (2, "reentrancy", "borrowFresh") in r
