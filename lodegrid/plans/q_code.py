@@ -29,6 +29,11 @@ def _fns(spark, sf):
     return functions(parse(contract_files(spark, sf)))
 
 
+def _fns_once(spark, sf):
+    """The function table kept in the shared folder, for plans that read it in several branches."""
+    return cut(_fns(spark, sf))
+
+
 @query("function_iterator", f"WITH {FILES}, {FN} SELECT target_id, path, name, params, tail, md5(body) AS body_hash FROM fn")
 def function_iterator(spark, sf):
     return _fns(spark, sf).select("target_id", "path", "name", "params", "tail", F.md5("body").alias("body_hash"))
@@ -53,12 +58,12 @@ def function_facts(spark, sf):
 
 @query("call_edges", f"WITH {FILES}, {FN}, {CALLS} SELECT target_id, src, dst FROM e")
 def call_edges(spark, sf):
-    return facts.call_edges(_fns(spark, sf))
+    return facts.call_edges(_fns_once(spark, sf))
 
 
 @query("loose_edges", f"WITH {FILES}, {FN}, {MENTIONS} SELECT target_id, src, dst FROM e")
 def loose_edges(spark, sf):
-    return facts.loose_edges(_fns(spark, sf))
+    return facts.loose_edges(_fns_once(spark, sf))
 
 
 @query("last_definitions", f"WITH {FILES}, {FN} SELECT target_id, name, path, params FROM fn QUALIFY row_number() OVER (PARTITION BY target_id, name ORDER BY pos DESC, ord DESC) = 1")
@@ -69,7 +74,7 @@ def last_definitions(spark, sf):
 @query("reach_depth8", f"""WITH RECURSIVE {FILES}, {FN}, {CALLS}, r AS (SELECT DISTINCT target_id, name AS start, name AS node, 0 AS d FROM fn WHERE NOT regexp_matches(tail, '\\b(internal|private)\\b')
  UNION SELECT r.target_id, r.start, e.dst, r.d + 1 FROM r JOIN e ON e.target_id = r.target_id AND e.src = r.node WHERE r.d < 8) SELECT target_id, start, node, min(d) AS depth FROM r GROUP BY 1, 2, 3""")
 def reach_depth8(spark, sf):
-    f = _fns(spark, sf)
+    f = _fns_once(spark, sf)
     starts = f.where(~F.col("tail").rlike(r"\b(internal|private)\b")).select("target_id", F.col("name").alias("node"))
     return graph.reach(starts, facts.call_edges(f))
 
@@ -78,7 +83,7 @@ def reach_depth8(spark, sf):
  UNION SELECT r.target_id, r.start, e.dst, list_append(r.path, e.dst) FROM r JOIN e ON e.target_id = r.target_id AND e.src = r.node WHERE len(r.path) <= 8 AND NOT list_contains(r.path, e.dst))
 SELECT target_id, start, node, array_to_string(arg_min(path, struct_pack(n := len(path), p := path)), '>') AS path FROM r GROUP BY 1, 2, 3""")
 def shortest_path(spark, sf):
-    f = _fns(spark, sf)
+    f = _fns_once(spark, sf)
     p = graph.shortest_paths(f.select("target_id", F.col("name").alias("node")), facts.call_edges(f))
     return p.select("target_id", "start", "node", F.array_join("path", ">").alias("path"))
 
@@ -86,7 +91,7 @@ def shortest_path(spark, sf):
 @query("backward_closure", f"""WITH RECURSIVE {FILES}, {FN}, {MENTIONS}, r AS (SELECT DISTINCT target_id, name AS node, 0 AS d FROM fn WHERE contains(body, '.transfer(')
  UNION SELECT r.target_id, e.src, r.d + 1 FROM r JOIN e ON e.target_id = r.target_id AND e.dst = r.node WHERE r.d < 16) SELECT DISTINCT target_id, node FROM r""")
 def backward_closure(spark, sf):
-    f = _fns(spark, sf)
+    f = _fns_once(spark, sf)
     return graph.backward_closure(f.where(F.contains("body", F.lit(".transfer("))).select("target_id", F.col("name").alias("node")), facts.loose_edges(f))
 
 
@@ -131,8 +136,9 @@ def page_xref(spark, sf):
 @query("context_slice", f"""WITH {FILES}, {FN}, {MENTIONS}, l AS (SELECT target_id, name, count(*) AS c FROM fn GROUP BY 1, 2), a AS (SELECT target_id, src, count(*) AS n FROM e GROUP BY 1, 2), b AS (SELECT target_id, dst, count(*) AS n FROM e GROUP BY 1, 2)
 SELECT l.target_id, l.name, coalesce(a.n, 0) AS callees, coalesce(b.n, 0) AS callers FROM l LEFT JOIN a ON a.target_id = l.target_id AND a.src = l.name LEFT JOIN b ON b.target_id = l.target_id AND b.dst = l.name WHERE coalesce(a.n, 0) <= 8 AND coalesce(b.n, 0) <= 4""")
 def context_slice(spark, sf):
-    f = facts.last_definitions(_fns(spark, sf))
-    e = facts.loose_edges(_fns(spark, sf))
+    fns = _fns_once(spark, sf)
+    f = facts.last_definitions(fns)
+    e = facts.loose_edges(fns)
     s = graph.context_slice(f, e).select("target_id", "name", "parts")
     out = e.groupBy("target_id", F.col("src").alias("name")).agg(F.count(F.lit(1)).alias("callees"))
     inn = e.groupBy("target_id", F.col("dst").alias("name")).agg(F.count(F.lit(1)).alias("callers"))
@@ -388,7 +394,7 @@ GUARD = f"(regexp_matches(tail, '(?i){nonreentrant}') OR regexp_matches(substrin
 m AS (SELECT target_id, name, EXISTS (SELECT 1 FROM r WHERE r.target_id = ld.target_id AND r.node = ld.name) AS ok FROM ld WHERE NOT regexp_matches(tail, '\\b(internal|private)\\b') AND {NOVIEW} AND regexp_matches(body, '{gr.SOLVENCY_WRITE}'))
 SELECT target_id, name AS function, 8.0::DOUBLE AS impact, 6.0::DOUBLE AS conf FROM m WHERE NOT ok AND target_id IN (SELECT target_id FROM m WHERE ok)""")
 def rule_solvency_check(spark, sf):
-    return gr.solvency_check(_fns(spark, sf)).select("target_id", "function", "impact", "conf")
+    return gr.solvency_check(_fns_once(spark, sf)).select("target_id", "function", "impact", "conf")
 
 
 FLAGGED = oracle_sql(contract_files_sql(), rules_for("deep", only="reentrancy"))
@@ -422,7 +428,7 @@ def rule_flashloan_governance(spark, sf):
 alt AS (SELECT target_id, name, regexp_matches(body, '{gr.RARE_SINK}') AS sink FROM fn WHERE regexp_matches(name, '{gr.ALTERNATE}') AND NOT regexp_matches(tail || body, '{gr.PAUSE_WORD}'))
 SELECT target_id, name AS function FROM alt WHERE target_id IN (SELECT target_id FROM g) AND (sink OR EXISTS (SELECT 1 FROM e JOIN g ON g.target_id = e.target_id AND g.dst = e.dst WHERE e.target_id = alt.target_id AND e.src = alt.name))""")
 def rule_pausability_bypass(spark, sf):
-    f = _fns(spark, sf)
+    f = _fns_once(spark, sf)
     return gr.pausability_bypass(f, facts.call_edges(f)).select("target_id", "function")
 
 
