@@ -13,6 +13,9 @@ further columns are not read. Memory holds one batch of documents and the word t
 
 from __future__ import annotations
 
+import re
+import sys
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,49 +30,72 @@ ODD_SPACES = "\x1c\x1d\x1e\x1f"
 SPECIAL = "<|"
 
 
+#: Words of these characters (printable ASCII but the apostrophe, and Latin-1 letters) are normalised and split without the library.
+PLAIN = re.compile(r"[!-&(-~À-ÖØ-öø-ÿ]+")
+UNITS = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+
+
+def byte_letters() -> dict[int, int]:
+    """Byte-level alphabet: printable bytes stand for themselves, the others take the code points from 256 on."""
+    own = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    other = [b for b in range(256) if b not in own]
+    return {b: 256 + i for i, b in enumerate(other)}
+
+
 class WordEncoder:
-    """Ids of a text, as the tokenizer gives them for the whole text; words and their parts are looked up before they are encoded."""
+    """Ids of a text, as the tokenizer gives them for the whole text; words and their parts are looked up before they are encoded.
+
+    Each table has two generations: when the new one is full it becomes the old one, from which words in use are taken over.
+    """
 
-    def __init__(self, path: str, words: int = 300_000, units: int = 500_000):
+    def __init__(self, path: str, words: int = 400_000, units: int = 400_000):
         from tokenizers import Tokenizer
 
         self.t = Tokenizer.from_file(path)
-        self.words, self.units, self.max_words, self.max_units = {}, {}, words, units
+        self.words, self.old_words, self.max_words = {}, {}, words
+        self.units, self.old_units, self.max_units = {}, {}, units
+        self.letters = byte_letters()
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.t.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def learn(self, words: set[str]) -> None:
-        """Normalise and split new words with the tokenizer's own steps; encode each new part once."""
-        if len(self.words) + len(words) > self.max_words:
-            self.words.clear()
-        if len(self.units) > self.max_units:
-            self.units.clear()
-        tidy, split, model, units = self.t.normalizer.normalize_str, self.t.pre_tokenizer.pre_tokenize_str, self.t.model.tokenize, self.units
-        for w in words:
-            if SPECIAL in w:
-                self.words[w] = self.whole(w)
-                continue
-            out = []
-            for u, _ in split(tidy(w)):
-                ids = units.get(u)
-                if ids is None:
-                    ids = units[u] = np.array([x.id for x in model(u)], "<u4").tobytes()
-                out.append(ids)
-            self.words[w] = b"".join(out)
+        return array("I", self.t.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def split(self, word: str) -> list[str]:
+        """The parts of a word that are encoded by themselves, in the byte-level alphabet."""
+        if PLAIN.fullmatch(word):
+            found = UNITS.findall(word.lower())
+            return found if word.isascii() else [u.encode().decode("latin-1").translate(self.letters) for u in found]
+        return [u for u, _ in self.t.pre_tokenizer.pre_tokenize_str(self.t.normalizer.normalize_str(word))]
+
+    def unit(self, unit: str) -> bytes:
+        ids = self.units.get(unit)
+        if ids is None:
+            ids = self.old_units.get(unit)
+            if ids is None:
+                ids = array("I", [x.id for x in self.t.model.tokenize(unit)]).tobytes()
+            if len(self.units) >= self.max_units:
+                self.old_units, self.units = self.units, {}
+            self.units[unit] = ids
+        return ids
+
+    def word(self, word: str) -> bytes:
+        ids = self.old_words.get(word)
+        if ids is None:
+            ids = self.whole(word) if SPECIAL in word else b"".join(map(self.unit, self.split(word)))
+        return ids
 
     def ids(self, text: str) -> bytes:
-        """Little-endian 32-bit ids."""
+        """Unsigned 32-bit ids in the machine's byte order (little-endian on the machines Spark runs on; checked below)."""
         if any(c in text for c in ODD_SPACES):
             return self.whole(text)
         words = text.split()
-        if new := set(words).difference(self.words):
-            self.learn(new)
-        try:
-            return b"".join(map(self.words.__getitem__, words))
-        except KeyError:  # the table was emptied for the new words
-            self.learn(set(words))
-            return b"".join(map(self.words.__getitem__, words))
+        known = self.words
+        if new := set(words).difference(known):
+            if len(known) + len(new) > self.max_words:
+                self.old_words, self.words = known, {}
+                known, new = self.words, set(words)
+            for w in new:
+                known[w] = self.word(w)
+        return b"".join(map(known.__getitem__, words))
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -77,6 +103,8 @@ _ENCODERS: dict[str, WordEncoder] = {}
 
 def encoder(path: str) -> WordEncoder:
     """One encoder per Python worker and vocabulary."""
+    if sys.byteorder != "little" or array("I").itemsize != 4:
+        raise RuntimeError("ids are written as little-endian 32-bit numbers")
     if path not in _ENCODERS:
         _ENCODERS[path] = WordEncoder(path)
     return _ENCODERS[path]
