@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, secrets, sharding, simhash, urls
+from . import packing, secrets, sharding, simhash, substring, urls
 from .common import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,3 +75,9 @@ def op10(spark: SparkSession, sf: str) -> DataFrame:
 @register("op7_simhash")
 def op7(spark: SparkSession, sf: str) -> DataFrame:
     return simhash.groups(load(spark, sf, "documents").select("doc_id", "text"))
+
+
+@register("op9_count_min_substrings")
+def op9(spark: SparkSession, sf: str) -> DataFrame:
+    docs = load(spark, sf, "documents").select("doc_id", "text")
+    return substring.dedup(docs).select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
