@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, secrets, sharding, simhash, substring, urls
-from .common import load
+from . import ann, packing, quality, secrets, sharding, simhash, substring, urls
+from .common import fold, load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -81,3 +81,17 @@ def op7(spark: SparkSession, sf: str) -> DataFrame:
 def op9(spark: SparkSession, sf: str) -> DataFrame:
     docs = load(spark, sf, "documents").select("doc_id", "text")
     return substring.dedup(docs).select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+@register("op3_projection_forest")
+def op3(spark: SparkSession, sf: str) -> DataFrame:
+    return ann.search(load(spark, sf, "embeddings").select("vec_id", "embedding"))
+
+
+@register("op4_random_indexing_quality")
+def op4(spark: SparkSession, sf: str) -> DataFrame:
+    docs = load(spark, sf, "documents").select("doc_id", "text")
+    model = quality.train(docs, load(spark, sf, "labels"))
+    return quality.score(docs, model, ["doc_id"]).select(
+        "doc_id", (fold("doc_id", 5) == 0).alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= 0.3).cast("int").alias("predicted")
+    )
