@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, packing, quality, secrets, sharding, simhash, substring, urls
+from . import ann, langid, packing, quality, secrets, sharding, simhash, substring, urls
 from .common import fold, load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,3 +95,10 @@ def op4(spark: SparkSession, sf: str) -> DataFrame:
     return quality.score(docs, model, ["doc_id"]).select(
         "doc_id", (fold("doc_id", 5) == 0).alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= 0.3).cast("int").alias("predicted")
     )
+
+
+@register("op6_family_svm_language")
+def op6(spark: SparkSession, sf: str) -> DataFrame:
+    docs = load(spark, sf, "documents").select("doc_id", "text", "lang")
+    model = langid.train(docs, fold("doc_id", 4) != 2)
+    return langid.predict(docs, model).select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
