@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, langid, packing, quality, secrets, sharding, simhash, substring, urls
+from . import ann, decontam, langid, packing, quality, secrets, sharding, simhash, substring, urls
 from .common import fold, load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -102,3 +102,9 @@ def op6(spark: SparkSession, sf: str) -> DataFrame:
     docs = load(spark, sf, "documents").select("doc_id", "text", "lang")
     model = langid.train(docs, fold("doc_id", 4) != 2)
     return langid.predict(docs, model).select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+@register("op5_seeded_decontamination")
+def op5(spark: SparkSession, sf: str) -> DataFrame:
+    found = decontam.matches(load(spark, sf, "documents").select("doc_id", "text"), load(spark, sf, "benchmark").select("item_id", "text"))
+    return found.select("doc_id", "item_id", F.round("score", 6).alias("score"), "start", "end")
