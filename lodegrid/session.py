@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,15 +34,43 @@ def local_session(cores: int | str = 8, shuffle_partitions: int | None = None) -
     return spark
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Truncate lineage in reliable storage.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for checkpoints and tables between steps, named by the cluster in ``spark.checkpoint.dir``.
 
-    The cluster names the shared folder in ``spark.checkpoint.dir``; only where it
-    is unset (tests, single-node runs) a scratch folder is taken. ``checkpoint``
-    files survive a lost executor.
+    Only a local master, whose executors share the driver's disk, may go without: it takes a scratch folder.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        conf_dir = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(conf_dir or tempfile.mkdtemp(prefix="lodegrid-ckpt-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if sc.master != "local" and not sc.master.startswith("local["):
+                raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="lodegrid-ckpt-")
+        sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Truncate lineage in reliable storage; ``checkpoint`` files survive a lost executor."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once for each application, so that functions pickled by name are found there."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="lodegrid-pkg-"), "lodegrid.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, names in os.walk(here):
+            for n in names:
+                if n.endswith(".py"):
+                    full = os.path.join(folder, n)
+                    z.write(full, os.path.relpath(full, os.path.dirname(here)))
+    sc.addPyFile(path)
+    _SHIPPED.add(sc.applicationId)
