@@ -180,7 +180,7 @@ def matches(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str =
 
 
 def clean(docs: DataFrame, items: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
-    """The documents that hold no item: all columns."""
+    """The documents that hold no item: all columns. `docs` is a stored table: rows are numbered in the order of its files."""
     numbered = docs.withColumn("__row", F.monotonically_increasing_id())
     found = matches(numbered, items, "__row", text, item, item_text).select("__row").distinct()
     return numbered.join(found, "__row", "left_anti").drop("__row")
