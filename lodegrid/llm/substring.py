@@ -86,6 +86,16 @@ def got(block: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view(f"<u{width}")[:, 0], dtype=np.uint64)
 
 
+def squeeze(ids: np.ndarray) -> bytes:
+    """64-bit numbers, bytes of one weight together, compressed: ids of one chunk share their high bytes."""
+    return zstandard.ZstdCompressor(level=1).compress(ids.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes())
+
+
+def unsqueeze(block: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(block), np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).view("<i8")[:, 0]
+
+
 def within(h: np.ndarray, known: np.ndarray) -> np.ndarray:
     """Which 128-bit hashes are in `known`."""
     if not len(known) or not len(h):
@@ -163,12 +173,12 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int =
             shard = (mix(h[:, 1], 20) % np.uint64(n)).astype(np.int64)
             for s in np.unique(shard):
                 m = shard == s
-                out.append((int(s), table.column("chunk")[0].as_py(), h[m].tobytes(), low[m].tobytes()))
+                out.append((int(s), table.column("chunk")[0].as_py(), h[m].tobytes(), squeeze(low[m])))
         return pa.table({"shard": pa.array([x[0] for x in out], pa.int32()), "chunk": pa.array([x[1] for x in out], pa.int32()), "hashes": pa.array([x[2] for x in out], pa.binary()), "ids": pa.array([x[3] for x in out], pa.binary())})
 
     def exact(table: pa.Table) -> pa.Table:
         hs = [np.frombuffer(x, "<u8").reshape(-1, 2) for x in table.column("hashes").to_pylist()]
-        ids = np.concatenate([np.frombuffer(x, "<i8") for x in table.column("ids").to_pylist()])
+        ids = np.concatenate([unsqueeze(x) for x in table.column("ids").to_pylist()])
         h = np.concatenate(hs)
         order, first, low = smallest(h, ids)
         least = np.empty(len(h), np.int64)
