@@ -48,7 +48,7 @@ class WordEncoder:
     Each table has two generations: when the new one is full it becomes the old one, from which words in use are taken over.
     """
 
-    def __init__(self, path: str, words: int = 400_000, units: int = 400_000):
+    def __init__(self, path: str, words: int = 200_000, units: int = 200_000):
         from tokenizers import Tokenizer
 
         self.t = Tokenizer.from_file(path)

@@ -27,13 +27,13 @@ from pyspark.sql import types as T
 from .common import fold, text_of
 
 PARTS = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
-STEP = 200_000
+STEP = 100_000
 
 
 class Words:
     """Row numbers (unsigned 16-bit) of a text's words; white-space-separated strings are looked up, in a table that is emptied when full."""
 
-    def __init__(self, rows: int, most: int = 400_000):
+    def __init__(self, rows: int, most: int = 150_000):
         self.rows, self.most, self.table = rows, most, {}
         self.up, self.again = self.row("<capitals>"), self.row("<again>")
 
@@ -85,7 +85,7 @@ def contexts(docs: DataFrame, text: str, rows: int, dim: int, ones: int, reach:
         words, (place, sign) = Words(rows), index_vectors(rows, dim, ones)
         sums = np.zeros(rows * dim)
         for b in batches:
-            for ids, counts in batches_of(b.column(0).to_pylist(), words, 1_500_000):
+            for ids, counts in batches_of(b.column(0).to_pylist(), words, 600_000):
                 doc = np.repeat(np.arange(len(counts)), counts)
                 for o in range(1, reach + 1):
                     near = doc[o:] == doc[:-o]
@@ -191,11 +191,11 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     known = labels.select(labels[key].alias("k"), labels[label].alias("y")).where("k IS NOT NULL AND y IS NOT NULL").where(fold("k", folds) != held)
     known = known.groupBy("k").agg((F.avg("y") >= 0.5).cast("double").alias("y")).orderBy(F.xxhash64("k"), "k").limit(sample)
     named = docs.select(docs[key].alias("k"), text_of(docs, text).alias("text")).join(F.broadcast(known), "k")  # `sample` rows at most
-    got = _pooled(named, ["k", "y"], "text", vectors, lambda x: pa.array(list(x.astype(np.float32)), pa.list_(pa.float32())), T.ArrayType(T.FloatType()))
+    got = _pooled(named, ["k", "y"], "text", vectors, lambda x: pa.array([v.tobytes() for v in x.astype("<f4")], pa.binary()), T.BinaryType())
     got = got.select(F.col("__1").alias("y"), "out", (fold("__0", folds) == (held + 1) % folds).alias("calibrates"), F.xxhash64("__0", "out").alias("h")).orderBy("h").limit(sample).toPandas()
     if got.empty:
         return vectors, Network(np.zeros((0, vectors.shape[1])), np.zeros(0), np.zeros((0, vectors.shape[1])), np.zeros(0))
-    x, y, c = np.array(got["out"].tolist(), np.float64), got["y"].to_numpy(np.float64), got["calibrates"].to_numpy(bool)
+    x, y, c = np.stack([np.frombuffer(v, "<f4") for v in got["out"]]).astype(np.float64), got["y"].to_numpy(np.float64), got["calibrates"].to_numpy(bool)
     if len(np.unique(y[~c])) < 2:
         c[:] = False
     return vectors, Network(x[~c], y[~c], x[c], y[c])
