@@ -15,6 +15,7 @@ by itself; an empty table gives an empty table; further columns are not read.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,35 +28,50 @@ from pyspark.sql import types as T
 from .common import fold, text_of
 
 PARTS = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
-STEP = 100_000
+STEP = 20_000
 
 
 class Words:
-    """Row numbers (unsigned 16-bit) of a text's words; white-space-separated strings are looked up, in a table that is emptied when full."""
+    """Row numbers (unsigned 16-bit) of a text's words. White-space-separated strings are looked up; the table has two generations, and
+    when the new one is full it becomes the old one."""
 
-    def __init__(self, rows: int, most: int = 150_000):
-        self.rows, self.most, self.table = rows, most, {}
+    def __init__(self, rows: int, most: int = 200_000):
+        self.rows, self.most, self.table, self.old = rows, most, {}, {}
         self.up, self.again = self.row("<capitals>"), self.row("<again>")
 
     def row(self, word: str) -> int:
         return xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")) % self.rows
 
     def string(self, s: str) -> bytes:
-        found = [self.row(w) for w in PARTS.findall(s.lower())]
-        if len(s) > 1 and s.isupper():
-            found.append(self.up)
-        return np.array(found, "<u2").tobytes()
+        found = self.old.get(s)
+        if found is None:
+            rows = [self.row(w) for w in PARTS.findall(s.lower())]
+            if len(s) > 1 and s.isupper():
+                rows.append(self.up)
+            found = array("H", rows).tobytes()
+        return found
 
     def of(self, text: str) -> np.ndarray:
-        strings = text.split()
-        if new := set(strings).difference(self.table):
-            if len(self.table) + len(new) > self.most:
-                self.table, new = {}, set(strings)
+        strings, known = text.split(), self.table
+        if new := set(strings).difference(known):
+            if len(known) + len(new) > self.most:
+                self.old, self.table = known, {}
+                known, new = self.table, set(strings)
             for s in new:
-                self.table[s] = self.string(s)
-        ids = np.frombuffer(b"".join(map(self.table.__getitem__, strings)), "<u2")
+                known[s] = self.string(s)
+        ids = np.frombuffer(b"".join(map(known.__getitem__, strings)), np.uint16)
         same = int((ids[1:] == ids[:-1]).sum()) if len(ids) else 0
-        return np.concatenate([ids, np.full(same, self.again, "<u2")]) if same else ids
+        return np.concatenate([ids, np.full(same, self.again, np.uint16)]) if same else ids
+
+
+_WORDS: dict[int, Words] = {}
+
+
+def words_for(rows: int) -> Words:
+    """One table for each Python worker and number of rows."""
+    if rows not in _WORDS:
+        _WORDS[rows] = Words(rows)
+    return _WORDS[rows]
 
 
 def index_vectors(rows: int, dim: int, ones: int, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
@@ -64,7 +80,7 @@ def index_vectors(rows: int, dim: int, ones: int, seed: int = 3) -> tuple[np.nda
     return rng.integers(0, dim, (rows, ones)), rng.choice([-1, 1], (rows, ones))
 
 
-def batches_of(texts: list[str], words: Words, step: int = STEP) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def batches_of(texts: list[str], words: Words, step: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(rows of the words, number of words of each text) for runs of texts of about `step` words."""
     ids, n = [], 0
     for t in texts:
@@ -82,7 +98,7 @@ def contexts(docs: DataFrame, text: str, rows: int, dim: int, ones: int, reach:
     names = [f"c{k}" for k in range(dim)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, (place, sign) = Words(rows), index_vectors(rows, dim, ones)
+        words, (place, sign) = words_for(rows), index_vectors(rows, dim, ones)
         sums = np.zeros(rows * dim)
         for b in batches:
             for ids, counts in batches_of(b.column(0).to_pylist(), words, 600_000):
@@ -119,19 +135,13 @@ def word_vectors(context: np.ndarray, ones: int) -> np.ndarray:
 
 def pool(texts: list[str], words: Words, vectors: np.ndarray) -> np.ndarray:
     """Mean vector of each text's words; zero for none."""
-    out = []
-    for ids, counts in batches_of(texts, words):
-        sums, at = np.zeros((len(counts), vectors.shape[1])), 0
-        starts = np.concatenate([[0], np.cumsum(counts)])
+    out = np.zeros((len(texts), vectors.shape[1]))
+    for i, t in enumerate(texts):
+        ids = words.of(t)
         for lo in range(0, len(ids), STEP):  # a long text in several steps
-            hi = min(lo + STEP, len(ids))
-            first = np.searchsorted(starts, lo, "right") - 1
-            last = np.searchsorted(starts, hi, "left")
-            edges = np.maximum(starts[first:last], lo) - lo
-            live = np.maximum(starts[first:last], lo) < np.minimum(starts[first + 1 : last + 1], hi)
-            sums[first:last][live] += np.add.reduceat(vectors[ids[lo:hi]], edges[live], axis=0)
-        out.append(sums / np.maximum(counts, 1)[:, None])
-    return np.concatenate(out) if out else np.zeros((0, vectors.shape[1]))
+            out[i] += vectors[ids[lo : lo + STEP]].sum(0)
+        out[i] /= max(len(ids), 1)
+    return out
 
 
 class Network:
@@ -177,7 +187,7 @@ def _pooled(docs: DataFrame, keep: list[str], text: str, vectors: np.ndarray, fi
     schema = T.StructType([*[T.StructField(f"__{i}", docs.schema[c].dataType) for i, c in enumerate(keep)], T.StructField("out", kind)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words(len(vectors))
+        words = words_for(len(vectors))
         for b in batches:
             if b.num_rows:
                 yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], finish(pool(b.column(len(keep)).to_pylist(), words, vectors))], schema.names)
