@@ -157,9 +157,9 @@ def address_word(raw: Column) -> Column:
 
 
 def address_array(raw: Column) -> Column:
-    """ABI-encoded address[] (at most 256 words are encoded by the producers)."""
+    """ABI-encoded address[]; a length beyond the data ends with the data."""
     h = F.replace(F.lower(F.coalesce(raw, F.lit(""))), F.lit("0x"), F.lit(""))
     off = (F.conv(F.substring(h, 1, 64), 16, 10).cast("int") * 2)
-    n = F.least(F.conv(F.substring(h, off + 1, F.lit(64)), 16, 10).cast("int"), F.lit(256))
+    n = F.least(F.conv(F.substring(h, off + 1, F.lit(64)), 16, 10).cast("decimal(20,0)"), F.floor((F.length(h) - off - 64) / 64).cast("decimal(20,0)")).cast("int")
     words = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: address_word(F.substring(h, off + 1 + 64 * i, F.lit(64))))
     return F.when((F.length(h) >= 128) & (n > 0), F.array_compact(words)).otherwise(F.array().cast("array<string>"))

@@ -67,10 +67,18 @@ def pattern_signature(detector, functions, title, rule_id, bug_class, pattern_cl
     return F.concat(F.lit("pat:"), F.substring(F.sha1(base), 1, 40))
 
 
-def content_key(detector, functions, title, rule_id, snippet) -> Column:
-    """Path-free key: same detector, function, rule and body. Rows without a snippet share the empty hash."""
-    body = squeeze(snippet)
-    h = F.when(body != "", F.substring(F.sha1(body), 1, 12)).otherwise(F.lit(""))
+def body_key(body) -> Column:
+    """Hash of a body without white space, whole; empty for an empty one."""
+    s = squeeze(F.col(body) if isinstance(body, str) else body)
+    return F.when(s != "", F.substring(F.sha1(s), 1, 12)).otherwise(F.lit(""))
+
+
+def content_key(detector, functions, title, rule_id, snippet, whole=None) -> Column:
+    """Path-free key: same detector, function, rule and body. Rows without a snippet share the empty hash.
+
+    ``whole`` is the hash of the whole body where the snippet is only its head.
+    """
+    h = body_key(snippet) if whole is None else F.coalesce(whole, body_key(snippet))
     return F.concat_ws("|", detector, bare_function(functions), F.coalesce(F.nullif(rule_id, F.lit("")), norm_title(title)), h)
 
 

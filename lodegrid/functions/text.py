@@ -76,6 +76,10 @@ def parse_sources(raw: pd.Series) -> pd.DataFrame:
     })
 
 
+# One pass per file: otherwise the optimizer copies the call into the filter it derives from an explode of a field.
+parse_sources = parse_sources.asNondeterministic()
+
+
 @F.pandas_udf(_S)
 def contract_level(clean: pd.Series) -> pd.Series:
     """Keep text at brace depth <= 1, blank the rest (offsets and newlines stay)."""

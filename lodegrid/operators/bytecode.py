@@ -38,6 +38,10 @@ def opcodes(contracts: DataFrame) -> DataFrame:
     return normalized(contracts).select("target_id", F.explode(decode_opcodes("stripped")).alias("o")).select("target_id", "o.*")
 
 
+#: Instructions that signals, selectors and constants look at.
+NEEDED = "name IN ('DELEGATECALL', 'CALL', 'CALLCODE', 'ORIGIN', 'SSTORE', 'SELFDESTRUCT', 'PUSH4', 'PUSH32')"
+
+
 def opcode_counts(ops: DataFrame) -> DataFrame:
     return ops.groupBy("target_id", "name").agg(F.count(F.lit(1)).alias("n"))
 

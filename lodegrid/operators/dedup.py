@@ -39,7 +39,8 @@ def with_keys(cand: DataFrame) -> DataFrame:
         "fingerprint": fingerprint(F.col("detector"), F.col("functions"), F.col("title"), F.col("file")),
         "pattern_fingerprint": pattern_signature(F.col("detector"), F.col("functions"), F.col("title"), F.col("rule_id"), F.col("bug_class"),
                                                  F.col("pattern_class"), F.col("snippet")),
-        "content_key": content_key(F.col("detector"), F.col("functions"), F.col("title"), F.col("rule_id"), F.col("snippet")),
+        "content_key": content_key(F.col("detector"), F.col("functions"), F.col("title"), F.col("rule_id"), F.col("snippet"),
+                                   F.col("body_key") if "body_key" in cand.columns else None),
     })
 
 

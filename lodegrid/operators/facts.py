@@ -57,8 +57,8 @@ def modifiers() -> Column:
 
 
 def guards() -> Column:
-    req = F.transform(_all("body", r"(?s)(\b(?:require|assert)\s*\(.*?\))\s*;"), lambda g: F.left(_ws(g), F.lit(300)))
-    rev = F.transform(_all("body", r"(?s)\brevert\s+([^;]+);"), lambda g: F.left(F.concat(F.lit("revert "), _ws(g)), F.lit(300)))
+    req = F.transform(_all("body", r"(?s)(\b(?:require|assert)\s*\(.*?\))\s*;"), _ws)
+    rev = F.transform(_all("body", r"(?s)\brevert\s+([^;]+);"), lambda g: F.concat(F.lit("revert "), _ws(g)))
     inline = F.when(F.col("body").rlike(r"hasRole\s*\(|msg\.sender\s*==|_msgSender\s*\(\s*\)\s*=="),
                     F.array(F.lit("inline_sender_or_role_check"))).otherwise(F.array().cast("array<string>"))
     return F.concat(F.filter("modifiers", lambda m: m.rlike(ACCESS_HINT)), req, rev, inline)

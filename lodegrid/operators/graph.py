@@ -48,8 +48,8 @@ def shortest_paths(starts: DataFrame, edges: DataFrame, max_depth: int = 8) -> D
     return seen
 
 
-def backward_closure(seeds: DataFrame, edges: DataFrame, max_rounds: int = 16) -> DataFrame:
-    """All nodes that reach a seed within ``max_rounds`` rounds: (target_id, node)."""
+def backward_closure(seeds: DataFrame, edges: DataFrame, max_rounds: int = 200) -> DataFrame:
+    """All nodes that reach a seed, to the fixpoint: (target_id, node). Raises if ``max_rounds`` don't do."""
     edges = cut(edges)
     seen = cut(seeds.select("target_id", "node").distinct())
     frontier = seen
@@ -58,9 +58,9 @@ def backward_closure(seeds: DataFrame, edges: DataFrame, max_rounds: int = 16) -
                .select(frontier.target_id, F.col("src").alias("node")).distinct().join(seen, ["target_id", "node"], "left_anti"))
         nxt = cut(nxt)
         if nxt.isEmpty():
-            break
+            return seen
         seen, frontier = seen.unionByName(nxt), nxt
-    return seen
+    raise RuntimeError("the closure did not settle; raise max_rounds")
 
 
 def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 100) -> DataFrame:
@@ -71,6 +71,7 @@ def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 100) -> Dat
     """
     e = edges.select(F.col("src").alias("u"), F.col("dst").alias("v")).where("u <> v")
     e = cut(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    state = None
     for _ in range(max_rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         m = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -78,10 +79,12 @@ def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 100) -> Dat
         m2 = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(m2, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(
             m2.select("u", F.col("m").alias("v"))).distinct()
-        small = cut(small)
-        if e.exceptAll(small).isEmpty() and small.exceptAll(e).isEmpty():
+        e = cut(small)
+        last, state = state, e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if state == last:
             break
-        e = small
+    else:
+        raise RuntimeError("the components did not settle; raise max_rounds")
     roots = e.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("component"))
     return nodes.select("id").distinct().join(roots, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 

@@ -126,8 +126,8 @@ def nodes_and_edges(targets: DataFrame, svars: DataFrame, fns: DataFrame, acc: D
               "target_id", F.concat(F.lit("abi:"), "label").alias("id"), "label", "r.role", "address", F.lit("abi_getter").alias("source"),
               F.greatest(F.lit(0.6), F.col("r.confidence") - 0.1).alias("confidence")))
     nodes = t.unionByName(proxy).unionByName(st).unionByName(ct).unionByName(ab)
-    nodes = nodes.groupBy("target_id", "id").agg(F.first("label").alias("label"), F.first("role").alias("role"), F.max("address").alias("address"),
-                                                 F.first("source").alias("source"), F.max("confidence").alias("confidence"))
+    nodes = nodes.groupBy("target_id", "id").agg(F.min(F.struct("source", "label", "role")).alias("n"), F.max("address").alias("address"), F.max("confidence").alias("confidence"))
+    nodes = nodes.select("target_id", "id", "n.label", "n.role", "address", "n.source", "confidence")
     none = F.lit(None).cast("string")
     e1 = proxy.select("target_id", F.col("id").alias("dst"), F.col("label").alias("kind"), none.alias("function"), none.alias("method"))
     e2 = st.select("target_id", F.col("id").alias("dst"), role_edge(F.col("role")).alias("kind"), none.alias("function"), none.alias("method"))

@@ -15,15 +15,15 @@ def finding_details(findings: DataFrame, targets: DataFrame, reviews: DataFrame)
     return findings.join(t, "target_id").join(r, "ai_review_id", "left")
 
 
-def target_documents(details: DataFrame, fields: list[str], order: str = "id", limit: int = 10_000) -> DataFrame:
-    """Nested documents, findings in id order: one per target, or several parts for a target beyond ``limit`` findings.
+def document_rows(details: DataFrame, fields: list[str], order: str = "id") -> DataFrame:
+    """A head row for each target (no finding) and one row for each of its findings; a reader nests them by target.
 
-    The part count comes from a counting aggregate, so no document (and no task) gathers an unbounded group.
+    No row gathers a group, whatever a target's number of findings.
     """
-    n = details.groupBy("target_id").agg(F.ceil(F.count(F.lit(1)) / limit).cast("int").alias("parts"))
-    d = details.join(n, "target_id").withColumn("part", F.pmod(F.hash(F.col(order)), F.col("parts")))
-    f = F.array_sort(F.collect_list(F.struct(F.col(order).alias("id"), *[c for c in fields if c != order])))
-    return d.groupBy("scan_id", "target_id", "address", "contract_name", "part").agg(f.alias("findings"))
+    head = ["scan_id", "target_id", "address", "contract_name"]
+    f = F.struct(F.col(order).alias("id"), *[c for c in fields if c != order])
+    rows = details.select(*head, f.alias("finding"))
+    return rows.select(*head).distinct().withColumn("finding", F.lit(None).cast(rows.schema["finding"].dataType)).unionByName(rows)
 
 
 def csv_rows(details: DataFrame) -> DataFrame:
@@ -63,7 +63,7 @@ def export(details: DataFrame, fmt: str, path: str) -> None:
     if fmt == "csv":
         details = csv_rows(details)
     elif fmt == "json":
-        details = target_documents(details, ["detector", "title", "classification", "impact_score", "confidence_score", "status", "ai_rationale"])
+        details = document_rows(details, ["detector", "title", "classification", "impact_score", "confidence_score", "status", "ai_rationale"])
     elif fmt == "md":
         details = markdown_lines(details).repartitionByRange("scan_id", "target_id", "line_no").sortWithinPartitions("scan_id", "target_id", "line_no").select("line")
     WRITERS[fmt](details, path)

@@ -47,7 +47,7 @@ def sinks(fns: DataFrame, edges: DataFrame, acc: DataFrame) -> DataFrame:
                                                                F.col("dst").alias("label"), F.col("dst").alias("text"))
     w = acc.where("writes").join(fns.select("target_id", "name", "body"), ["target_id", "name"])
     stmt = F.expr(r"regexp_extract(body, concat(r'(?s)([^;{}]*\b', var, r'\b(?:\s*\[[^\]]+\])?[^;{}]*(?:=|\+=|-=|\+\+|--)[^;{}]*)'), 1)")
-    wtext = F.coalesce(F.nullif(F.left(F.trim(F.regexp_replace(stmt, r"\s+", " ")), F.lit(500)), F.lit("")), F.col("var"))
+    wtext = F.coalesce(F.nullif(F.trim(F.regexp_replace(stmt, r"\s+", " ")), F.lit("")), F.col("var"))
     kinds = F.array_compact(F.array(F.when(F.col("var").rlike(REPLAY_VAR), "replay_marker"), F.when(F.col("var").rlike(ACCOUNT_VAR), "accounting_write")))
     marked = w.select("target_id", F.col("name").alias("fn"), F.explode(kinds).alias("sink_kind"), F.concat(F.lit("write:"), "var").alias("label"), wtext.alias("text"))
     return direct.unionByName(up).unionByName(marked)

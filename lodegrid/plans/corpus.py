@@ -37,6 +37,27 @@ def contract_files(spark: SparkSession, sf: str) -> DataFrame:
         F.pmod(F.col("doc_id"), F.lit(2)).cast("int").alias("pos"), raw.alias("raw"))
 
 
+def stored_reads(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
+    """Chain reads, ABI names, bytecode and tool rows of the targets of ``contract_files``, derived from their numbers."""
+    t = documents(spark, sf, "doc_id").select(F.floor(F.col("doc_id") / 2).cast("long").alias("target_id")).distinct()
+    k = F.col("target_id")
+    addr = lambda c: F.concat(F.lit("0x"), F.lpad(F.lower(F.hex(c)), 40, "0"))
+    pick = lambda m, a, b: F.when(k % m == 0, F.lit(a)).otherwise(F.lit(b))
+    none = F.lit(None).cast("string")
+    code = F.concat(F.lit("0x6080604052"), F.when(k % 4 == 0, "f4").when(k % 4 == 1, "3255").otherwise("f1"), F.lit("63"), pick(3, "3659cfe6", "23b872dd"), F.lit("14"), F.when(k % 9 == 0, "ff").otherwise("00"))
+    return {
+        "abi": t.select("target_id", F.explode(F.array(F.lit("execute"), F.lit("upgradeTo"), pick(2, "withdraw", "deposit"))).alias("name")),
+        "roles": t.where("target_id % 7 < 2").select("target_id", pick(2, "EXECUTOR_ROLE", "PROPOSER_ROLE").alias("role"), (k % 7 == 0).alias("zero_has"), F.lit(None).cast("boolean").alias("dead_has")),
+        "delays": t.where("target_id % 5 = 0").select("target_id", F.lit(3600).cast("long").alias("min_delay")),
+        "contracts": t.select("target_id", code.alias("code"), (k % 6 == 0).alias("source_verified")),
+        "resolved": t.where("target_id % 22 = 0"),
+        "targets": t.select("target_id", addr(k + 1).alias("address"), F.lit("C").alias("contract_name"), F.when(k % 2 == 0, addr(k + 7)).alias("implementation"), *[none.alias(c) for c in ("admin", "admin_owner", "owner", "beacon")]),
+        "getters": t.select("target_id", F.lit("oracle").alias("name"), addr(k + 9).alias("address"), F.lit(True).alias("from_abi")),
+        "tool": t.where("target_id % 4 = 0").select("target_id", F.lit("slither").alias("tool"), pick(8, "reentrancy-eth", "unchecked-transfer").alias("check"), F.lit("High").alias("impact"), F.lit("Medium").alias("confidence"),
+                                                    F.lit("reentrancy before the state change").alias("description"), none.alias("location"), F.lit("withdraw").alias("function"), (k % 3 == 0).alias("high_value")),
+    }
+
+
 def _sql(s: str) -> str:
     return "'" + s.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
 

@@ -88,8 +88,8 @@ def shortest_path(spark, sf):
     return p.select("target_id", "start", "node", F.array_join("path", ">").alias("path"))
 
 
-@query("backward_closure", f"""WITH RECURSIVE {FILES}, {FN}, {MENTIONS}, r AS (SELECT DISTINCT target_id, name AS node, 0 AS d FROM fn WHERE contains(body, '.transfer(')
- UNION SELECT r.target_id, e.src, r.d + 1 FROM r JOIN e ON e.target_id = r.target_id AND e.dst = r.node WHERE r.d < 16) SELECT DISTINCT target_id, node FROM r""")
+@query("backward_closure", f"""WITH RECURSIVE {FILES}, {FN}, {MENTIONS}, r AS (SELECT DISTINCT target_id, name AS node FROM fn WHERE contains(body, '.transfer(')
+ UNION SELECT r.target_id, e.src FROM r JOIN e ON e.target_id = r.target_id AND e.dst = r.node) SELECT DISTINCT target_id, node FROM r""")
 def backward_closure(spark, sf):
     f = _fns_once(spark, sf)
     return graph.backward_closure(f.where(F.contains("body", F.lit(".transfer("))).select("target_id", F.col("name").alias("node")), facts.loose_edges(f))
@@ -133,17 +133,15 @@ def page_xref(spark, sf):
     return p.join(w, "href", "left_semi").groupBy("page_id").agg(F.count(F.lit(1)).alias("links"))
 
 
-@query("context_slice", f"""WITH {FILES}, {FN}, {MENTIONS}, l AS (SELECT target_id, name, count(*) AS c FROM fn GROUP BY 1, 2), a AS (SELECT target_id, src, count(*) AS n FROM e GROUP BY 1, 2), b AS (SELECT target_id, dst, count(*) AS n FROM e GROUP BY 1, 2)
-SELECT l.target_id, l.name, coalesce(a.n, 0) AS callees, coalesce(b.n, 0) AS callers FROM l LEFT JOIN a ON a.target_id = l.target_id AND a.src = l.name LEFT JOIN b ON b.target_id = l.target_id AND b.dst = l.name WHERE coalesce(a.n, 0) <= 8 AND coalesce(b.n, 0) <= 4""")
+@query("context_slice", f"""WITH {FILES}, {FN}, {MENTIONS}, ld AS (SELECT target_id, name, 'function ' || name || '(' || params || ') ' || tail || ' ' || body AS text FROM fn QUALIFY row_number() OVER (PARTITION BY target_id, name ORDER BY pos DESC, ord DESC) = 1),
+p AS (SELECT target_id, name AS fn, name AS node, 0 AS grp, 0 AS rk FROM ld UNION ALL SELECT target_id, src, dst, 1, row_number() OVER (PARTITION BY target_id, src ORDER BY dst) FROM e QUALIFY row_number() OVER (PARTITION BY target_id, src ORDER BY dst) <= 8
+ UNION ALL SELECT target_id, dst, src, 2, row_number() OVER (PARTITION BY target_id, dst ORDER BY src) FROM e QUALIFY row_number() OVER (PARTITION BY target_id, dst ORDER BY src) <= 4),
+d AS (SELECT target_id, fn, node, min(grp * 100 + rk) AS k FROM p GROUP BY 1, 2, 3)
+SELECT d.target_id, d.fn AS name, count(*) AS parts, md5(left(string_agg(ld.text, chr(10) || chr(10) ORDER BY d.k), 14000)) AS slice FROM d JOIN ld ON ld.target_id = d.target_id AND ld.name = d.node GROUP BY 1, 2""")
 def context_slice(spark, sf):
     fns = _fns_once(spark, sf)
-    f = facts.last_definitions(fns)
-    e = facts.loose_edges(fns)
-    s = graph.context_slice(f, e).select("target_id", "name", "parts")
-    out = e.groupBy("target_id", F.col("src").alias("name")).agg(F.count(F.lit(1)).alias("callees"))
-    inn = e.groupBy("target_id", F.col("dst").alias("name")).agg(F.count(F.lit(1)).alias("callers"))
-    d = s.join(out, ["target_id", "name"], "left").join(inn, ["target_id", "name"], "left").select("target_id", "name", F.coalesce("callees", F.lit(0)).alias("callees"), F.coalesce("callers", F.lit(0)).alias("callers"))
-    return d.where("callees <= 8 AND callers <= 4")
+    s = graph.context_slice(facts.last_definitions(fns), facts.loose_edges(fns))
+    return s.select("target_id", "name", F.col("parts").cast("long").alias("parts"), F.md5("slice").alias("slice"))
 
 
 @query("state_vars")
@@ -179,12 +177,12 @@ def coverage_surfaces(spark, sf):
     return agg.coverage(contract_files(spark, sf), ["access_control", "bridge_accounting"])
 
 
-@query("value_functions", f"""WITH {FILES}, {FN}, v AS (SELECT target_id, name, path, ord, {' + '.join(f"contains(lower(name), '{h}')::INT" for h in agg.VALUE_HINTS)} AS score FROM fn WHERE NOT regexp_matches(tail, '\\b(internal|private)\\b') AND NOT regexp_matches(lower(tail), 'view|pure'))
+@query("value_functions", f"""WITH {FILES}, {FN}, v AS (SELECT target_id, name, path, ord, {' + '.join(f"contains(lower(name), '{h}')::INT" for h in agg.VALUE_HINTS)} + (bool_or(contains(body, 'balances[')) OVER (PARTITION BY target_id, path, name))::INT AS score FROM fn WHERE NOT regexp_matches(tail, '\\b(internal|private)\\b') AND NOT regexp_matches(lower(tail), 'view|pure'))
 SELECT target_id, name, score, row_number() OVER (PARTITION BY target_id ORDER BY score DESC, name DESC, path, ord) AS rank_no FROM v WHERE score > 0 QUALIFY rank_no <= 8""")
 def value_functions(spark, sf):
-    f = _fns(spark, sf)
-    none = f.select("target_id", "path", "name").limit(0)
-    return agg.value_functions(f, none).select("target_id", "name", F.col("score").cast("int").alias("score"), "rank_no")
+    f = _fns_once(spark, sf)
+    touching = f.where("contains(body, 'balances[')").where(~F.col("tail").rlike(r"\b(internal|private)\b") & ~F.lower("tail").rlike("view|pure"))
+    return agg.value_functions(f, touching.select("target_id", "path", "name").distinct()).select("target_id", "name", F.col("score").cast("int").alias("score"), "rank_no")
 
 
 def _role_sql(n: str, t: str) -> str:
@@ -274,22 +272,23 @@ def _decl(spark, sf, unique=True):
 def _slots(spark, sf):
     d = _decl(spark, sf)
     exact = d.where("decl_pos % 10 = 4").select("target_id", F.col("name").alias("label"), (F.col("decl_pos") % 97).alias("slot"))
-    none = d.limit(0).select("target_id", F.col("name").alias("var"), *[F.array().cast("array<string>").alias(c) for c in ("read_by", "written_by", "entrypoint_writers")])
-    return storage.assign_slots(d, exact, none)
+    by = lambda s: F.array(F.concat(F.lit(s), F.col("decl_pos").cast("string")))
+    matrix = d.where("decl_pos % 2 = 0").select("target_id", F.col("name").alias("var"), by("r").alias("read_by"), by("w").alias("written_by"), by("e").alias("entrypoint_writers")).dropDuplicates(["target_id", "var"])
+    return storage.assign_slots(d, exact, matrix)
 
 
 SLOTS = DECL + ", s AS (SELECT *, decl_pos % 10 = 4 AS ex, CASE WHEN decl_pos % 10 = 4 THEN decl_pos % 97 WHEN cons THEN NULL ELSE coalesce(sum(CASE WHEN decl_pos % 10 <> 4 AND NOT cons THEN 1 ELSE 0 END) OVER (PARTITION BY target_id, g ORDER BY path, decl_pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) END::BIGINT AS slot FROM d)"
 FAM = f"CASE WHEN NOT regexp_matches(name || ' ' || type, '{storage.CRITICAL}') THEN NULL " + " ".join(f"WHEN regexp_matches(name || ' ' || type, '{p}') THEN '{f}'" for f, p in storage.FAMILIES) + " ELSE 'critical' END"
 
 
-@query("slot_numbering", SLOTS + " SELECT target_id, name, g AS source_group, slot, ex AS slot_exact FROM s")
+@query("slot_numbering", SLOTS + " SELECT target_id, name, g AS source_group, slot, ex AS slot_exact, CASE WHEN decl_pos % 2 = 0 THEN 'w' || decl_pos END AS written_by FROM s")
 def slot_numbering(spark, sf):
-    return _slots(spark, sf).select("target_id", "name", "source_group", F.col("slot").cast("long").alias("slot"), "slot_exact")
+    return _slots(spark, sf).select("target_id", "name", "source_group", F.col("slot").cast("long").alias("slot"), "slot_exact", F.array_join("written_by", ",").alias("written_by"))
 
 
-@query("critical_slots", SLOTS + f", f AS (SELECT *, {FAM} AS family FROM s) SELECT target_id, name, family, slot FROM f WHERE family IS NOT NULL ORDER BY target_id, CASE family WHEN 'authority' THEN 0 WHEN 'initializer' THEN 1 WHEN 'cross_contract' THEN 2 WHEN 'accounting' THEN 3 ELSE 9 END, g, CASE WHEN coalesce(slot, 0) = 0 THEN 1000000000 ELSE slot END, name LIMIT 500")
+@query("critical_slots", SLOTS + f", f AS (SELECT *, {FAM} AS family FROM s) SELECT target_id, name, family, slot FROM f WHERE family IS NOT NULL")
 def critical_slots(spark, sf):
-    return storage.critical_slots(_slots(spark, sf)).select("target_id", "name", "family", F.col("slot").cast("long").alias("slot")).limit(500)
+    return storage.critical_slots(_slots(spark, sf)).select("target_id", "name", "family", F.col("slot").cast("long").alias("slot"))
 
 
 @query("family_histogram", SLOTS + f" SELECT target_id, {FAM} AS family, count(*) AS n FROM s WHERE {FAM} IS NOT NULL GROUP BY 1, 2")
@@ -367,8 +366,8 @@ f3 AS (SELECT r.target_id, r.rule_id, '<unknown-dispatch>' AS signature FROM r W
 SELECT * FROM f1 UNION ALL SELECT * FROM f2 UNION ALL SELECT * FROM f3""")
 def probe_plan(spark, sf):
     c = _contracts(spark, sf)
-    ops = bc.opcodes(c)
-    return bc.probe_plan(bc.risk_signals(c, ops), bc.selectors(ops)).select("target_id", "rule_id", "signature")
+    ops = cut(bc.opcodes(c).where(bc.NEEDED))  # decoded once
+    return bc.probe_plan(cut(bc.risk_signals(c, ops).select("target_id", "rule_id")), cut(bc.selectors(ops))).select("target_id", "rule_id", "signature")
 
 
 @query("code_hash")
@@ -467,14 +466,22 @@ def sanity_gates(spark, sf):
     """Suppressed and kept candidates by reason over the whole catalog."""
     from .pipeline import triage
 
-    return triage(contract_files(spark, sf), "deep", graph_rules=False).groupBy("detector", "suppressed", "suppressed_reason").agg(F.count(F.lit(1)).alias("n"))
+    return triage(contract_files(spark, sf), "deep").groupBy("detector", "suppressed", "suppressed_reason").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("triage_offline_order")
 def triage_offline_order(spark, sf):
     from .pipeline import triage
 
-    return triage(contract_files(spark, sf), "deep", order="offline", graph_rules=False).groupBy("classification", "corroborated").agg(F.count(F.lit(1)).alias("n"))
+    return triage(contract_files(spark, sf), "deep", order="offline").groupBy("classification", "corroborated").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("triage_full")
+def triage_full(spark, sf):
+    """The whole scan: all detectors of the largest profile with stored reads, every pass, one row per detector and class."""
+    from .pipeline import triage_report
+
+    return triage_report(spark, sf)
 
 
 @query("group_scenarios", f"""WITH c AS (SELECT l_orderkey % 200 AS target_id, l_partkey AS p, l_suppkey AS s, CASE l_partkey % 5 WHEN 0 THEN 'oracle_manipulation' WHEN 1 THEN 'amm_pair_reserve_desync' WHEN 2 THEN 'reentrancy' ELSE 'token_logic' END AS detector, CASE WHEN l_suppkey % 6 = 0 THEN 'oracle' ELSE 'misc' END AS bug_class, CAST(l_quantity AS BIGINT) % 11 AS impact FROM lineitem),

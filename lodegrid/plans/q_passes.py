@@ -125,9 +125,9 @@ def _prioritised(spark, sf):
     return c.withColumn("priority", scoring.priority())
 
 
-@query("priority_topk", f"WITH {C} SELECT target_id, pos, detector, ({PRIO})::DOUBLE AS priority FROM c ORDER BY priority DESC, target_id, pos LIMIT 100")
+@query("priority_topk", f"WITH {C} SELECT target_id, pos, detector, ({PRIO})::DOUBLE AS priority FROM c")
 def priority_topk(spark, sf):
-    return _prioritised(spark, sf).select("target_id", "pos", "detector", "priority").orderBy(F.desc("priority"), "target_id", "pos").limit(100)
+    return _prioritised(spark, sf).select("target_id", "pos", "detector", "priority").orderBy(F.desc("priority"), "target_id", "pos")
 
 
 @query("budget_per_target", f"WITH {C}, p AS (SELECT target_id, pos, ({PRIO})::DOUBLE AS priority FROM c) SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY priority DESC, pos) AS rank_no FROM p QUALIFY rank_no <= 3")

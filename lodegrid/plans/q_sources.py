@@ -127,14 +127,14 @@ def deployer_creations(spark, sf):
 
 
 @query("module_expansion", f"""WITH m AS (SELECT o_orderkey AS target_id, g, k, '0x' || {DHEX.format('a')} AS module FROM (
- SELECT o_orderkey, 0 AS g, k, (o_custkey + k) % 50 + 1 AS a FROM orders, (VALUES (0), (1), (2)) v(k) WHERE o_orderkey % 20 = 1
- UNION ALL SELECT o_orderkey, 1, k, (o_custkey * k) % 50 + 1 FROM orders, (VALUES (2), (500000)) v(k) WHERE o_orderkey % 20 = 1)),
+ SELECT o_orderkey, 0 AS g, k, (o_custkey + k) % 50 + 1 AS a FROM orders, (VALUES (0), (1), (2)) v(k)
+ UNION ALL SELECT o_orderkey, 1, k, (o_custkey * k) % 50 + 1 FROM orders, (VALUES (2), (500000)) v(k))),
 f AS (SELECT target_id, module, min(struct_pack(g := g, k := k)) AS o FROM m WHERE module <> '0x' || {DHEX.format('7')} GROUP BY 1, 2),
 s AS (SELECT DISTINCT '0x' || {DHEX.format('p_partkey')} AS module FROM part WHERE p_partkey % 2 = 0),
 r AS (SELECT f.*, row_number() OVER (PARTITION BY target_id ORDER BY o) AS rn FROM f SEMI JOIN s USING (module))
 SELECT target_id, '_modules/' || module || '/M.sol' AS path FROM r WHERE rn <= 2""")
 def module_expansion(spark, sf):
-    o = table(spark, sf, "orders").where(F.col("o_orderkey") % 20 == 1)
+    o = table(spark, sf, "orders")
     w = lambda c: F.lpad(F.lower(F.hex(c)), 64, "0")
     arr = F.concat(F.lit("0x"), w(F.lit(32)), w(F.lit(3)), *[w((F.col("o_custkey") + i) % 50 + 1) for i in range(3)])
     facets = o.select(F.col("o_orderkey").alias("target_id"), F.lit("facetAddresses()").alias("method"), F.lit(None).cast("string").alias("arg"), arr.alias("value"))

@@ -9,6 +9,7 @@ from ..operators import aggregates as agg
 from ..operators import dedup, sinks
 from ..streaming import watch
 from .derived import FINDINGS, POS, REVIEWS, SCANS, TARGETS, findings, rel
+from ..session import shared_folder
 from .registry import query, spread, table
 
 S, T, FI, RV = f"s AS ({SCANS})", f"t AS ({TARGETS})", f"f AS ({FINDINGS})", f"r AS ({REVIEWS})"
@@ -90,14 +91,14 @@ def filtered_scans(spark, sf):
     return rel(spark, sf, SCANS).where((F.col("status") == "completed") & (F.col("scan_profile") == "deep") & hit).select("id", "name", "status", "chain")
 
 
-@query("findings_order", f"WITH {FI} SELECT id, impact_score, confidence_score FROM f ORDER BY impact_score DESC, confidence_score DESC, id LIMIT 200")
+@query("findings_order", f"WITH {FI} SELECT id, impact_score, confidence_score FROM f")
 def findings_order(spark, sf):
-    return rel(spark, sf, FINDINGS).select("id", "impact_score", "confidence_score").orderBy(F.desc("impact_score"), F.desc("confidence_score"), "id").limit(200)
+    return rel(spark, sf, FINDINGS).select("id", "impact_score", "confidence_score").orderBy(F.desc("impact_score"), F.desc("confidence_score"), "id")
 
 
-@query("locale_sort", f"WITH {S} SELECT id, name FROM s ORDER BY lower(name), id LIMIT 50")
+@query("locale_sort", f"WITH {S} SELECT id, name FROM s")
 def locale_sort(spark, sf):
-    return rel(spark, sf, SCANS).select("id", "name").orderBy(F.collate("name", "UNICODE"), "id").limit(50)
+    return rel(spark, sf, SCANS).select("id", "name").orderBy(F.collate("name", "UNICODE"), F.desc("id"))
 
 
 @query("finding_details", f"WITH {T}, {FI}, {RV} SELECT f.id, f.detector, t.address, t.scan_id, r.rationale AS ai_rationale FROM f JOIN t ON t.id = f.target_id LEFT JOIN r ON r.id = f.ai_review_id")
@@ -119,12 +120,12 @@ def target_children(spark, sf):
     return d.orderBy("target_id", F.desc("impact_score"), F.desc("confidence_score"), "finding_id")
 
 
-@query("watch_events_join", "SELECT user_id AS watch_id, event_id, event_type AS kind FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) <= 5")
+@query("watch_events_join", "SELECT user_id AS watch_id, event_id, event_type AS kind FROM events")
 def watch_events_join(spark, sf):
     e = table(spark, sf, "events")
     w = e.select(F.col("user_id").alias("watch_id")).distinct()
-    top = dedup.top_per_key(e, ["user_id"], 5, F.desc("ts"), F.col("event_id"))
-    return w.join(top, F.col("watch_id") == F.col("user_id")).select("watch_id", "event_id", F.col("event_type").alias("kind"))
+    d = w.join(e, F.col("watch_id") == F.col("user_id")).orderBy("watch_id", F.desc("ts"), "event_id")
+    return d.select("watch_id", "event_id", F.col("event_type").alias("kind"))
 
 
 @query("positional_join", f"""WITH a AS (SELECT l_orderkey AS k, l_partkey AS a_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY {POS}) AS rn FROM lineitem WHERE l_returnflag = 'R'),
@@ -179,13 +180,13 @@ def rescan_copy(spark, sf):
 
 
 @query("benchmark_report", f"""WITH {T}, {FI}, lt AS (SELECT chain, lower(address) AS al, max(id) AS id, arg_max(status, id) AS status FROM t GROUP BY 1, 2),
-c AS (SELECT 'case' || o_orderkey AS case_id, o_orderpriority AS chain, '0xa' || o_orderkey AS al, CASE o_custkey % 3 WHEN 0 THEN ['reentrancy'] WHEN 1 THEN ['token_logic', 'permit_misuse'] ELSE ['access_control'] END AS exp, o_custkey % 2 AS mc, o_custkey % 5 = 0 AS ri FROM orders WHERE o_orderkey % 50 = 7),
+c AS (SELECT 'case' || o_orderkey AS case_id, o_orderpriority AS chain, '0xa' || o_orderkey AS al, CASE o_custkey % 3 WHEN 0 THEN ['reentrancy'] WHEN 1 THEN ['token_logic', 'permit_misuse'] ELSE ['access_control'] END AS exp, o_custkey % 2 AS mc, o_custkey % 5 = 0 AS ri FROM orders),
 p AS (SELECT target_id, list(DISTINCT detector) AS present, count(*) FILTER (classification IN {CRIT}) AS critical FROM f GROUP BY 1),
 d AS (SELECT c.*, lt.id AS target_id, lt.status, coalesce(p.present, []) AS present, coalesce(p.critical, 0) AS critical FROM c LEFT JOIN lt ON lt.chain = c.chain AND lt.al = c.al LEFT JOIN p ON p.target_id = lt.id)
 SELECT case_id, target_id, array_to_string(list_filter(exp, lambda x: NOT list_contains(present, x)), ',') AS missing, critical,
  target_id IS NOT NULL AND status = 'completed' AND len(list_filter(exp, lambda x: NOT list_contains(present, x))) = 0 AND critical >= mc AND (NOT ri OR target_id % 4 = 3) AS passed FROM d""")
 def benchmark_report(spark, sf):
-    o = table(spark, sf, "orders").where(F.col("o_orderkey") % 50 == 7)
+    o = table(spark, sf, "orders")
     a = lambda *x: F.array(*[F.lit(v) for v in x])
     k = F.col("o_custkey") % 3
     cases = o.select(F.concat(F.lit("case"), F.col("o_orderkey").cast("string")).alias("case_id"), F.col("o_orderpriority").alias("chain"), F.concat(F.lit("0xA"), F.col("o_orderkey").cast("string")).alias("address"),
@@ -224,11 +225,12 @@ def csv_export(spark, sf):
     return sinks.csv_rows(sinks.finding_details(findings(spark, sf), rel(spark, sf, TARGETS), rel(spark, sf, REVIEWS)))
 
 
-@query("nested_export", f"""WITH {T}, {FI} SELECT t.scan_id, f.target_id, t.address, t.contract_name, array_to_string(list(f.id || ':' || f.detector || ':' || f.classification ORDER BY f.id, f.detector), ',') AS doc FROM f JOIN t ON t.id = f.target_id GROUP BY 1, 2, 3, 4""")
+@query("nested_export", f"""WITH {T}, {FI} SELECT DISTINCT t.scan_id, f.target_id, t.address, t.contract_name, NULL::BIGINT AS finding_id, '' AS doc FROM f JOIN t ON t.id = f.target_id
+UNION ALL SELECT t.scan_id, f.target_id, t.address, t.contract_name, f.id, f.id || ':' || f.detector || ':' || f.classification FROM f JOIN t ON t.id = f.target_id""")
 def nested_export(spark, sf):
-    d = sinks.target_documents(sinks.finding_details(findings(spark, sf), rel(spark, sf, TARGETS), rel(spark, sf, REVIEWS)), ["detector", "classification"])
-    js = F.transform("findings", lambda x: F.concat_ws(":", x["id"].cast("string"), x["detector"], x["classification"]))
-    return d.select("scan_id", "target_id", "address", "contract_name", F.array_join(js, ",").alias("doc"))
+    d = sinks.document_rows(sinks.finding_details(findings(spark, sf), rel(spark, sf, TARGETS), rel(spark, sf, REVIEWS)), ["detector", "classification"])
+    doc = F.concat_ws(":", F.col("finding.id").cast("string"), "finding.detector", "finding.classification")
+    return d.select("scan_id", "target_id", "address", "contract_name", F.col("finding.id").cast("long").alias("finding_id"), doc.alias("doc"))
 
 
 @query("markdown_export", f"""WITH {T}, {FI}, {RV}, d AS (SELECT t.scan_id, f.target_id, t.address, t.contract_name, f.*, r.rationale FROM f JOIN t ON t.id = f.target_id LEFT JOIN r ON r.id = f.ai_review_id WHERE classification IN {CRIT})
@@ -386,14 +388,12 @@ def reasoner_hypotheses(spark, sf):
 @query("stream_watch", _obs_sql())
 def stream_watch(spark, sf):
     """The stateful twin over the events files as a stream, run to completion."""
-    import tempfile
+    import uuid
 
     src = spark.readStream.schema(spark.read.parquet(f"{sf}/events.parquet").schema).parquet(f"{sf}/events.parquet*")
     src.createOrReplaceTempView("events_stream")
     obs = spark.sql(OBS.replace("VARCHAR(20)", "STRING").replace("FROM events ", "FROM events_stream ")).withColumn("ts", F.col("ts").cast("timestamp"))
-    out = tempfile.mkdtemp(prefix="lodegrid-watch-")
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodegrid-ckpt-")
-    name = out.rsplit("/", 1)[-1]
+    base, name = shared_folder(spark), f"watch-{uuid.uuid4().hex}"
     # transformWithState keeps its state in RocksDB
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     q = watch.watch_stream(obs).writeStream.format("parquet").option("path", f"{base}/{name}/out").option("checkpointLocation", f"{base}/{name}/ckpt").trigger(availableNow=True).start()

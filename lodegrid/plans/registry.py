@@ -32,12 +32,12 @@ def table(spark: SparkSession, sf: str, name: str, heavy: bool = False) -> DataF
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Give CPU-heavy per-row work enough tasks when the input has fewer splits than cores.
+    """Deal rows to ``spark.lodegrid.spread.tasks`` tasks before CPU-heavy work; without that setting the input's splits stay.
 
-    Large inputs already have many splits and are not shuffled.
+    It is for small inputs in one file (local sessions set it); a large input has splits enough.
     """
-    n = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+    n = df.sparkSession.conf.get("spark.lodegrid.spread.tasks", None)
+    return df.repartition(int(n)) if n else df
 
 
 def shared(spark: SparkSession, sf: str, sql: str, *tables: str, heavy: bool = False) -> DataFrame:

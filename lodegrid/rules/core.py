@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from .dsl import body, count_true, in_target, lname, name, near, params, pnames, tail, file_text, in_file
-from .model import CONFIRM, LEAD, Rule, callable_fn, header_ac, inline_auth, is_ext, nonreentrant, viewish
+from .dsl import body, count_true, in_target, lname, name, named, near, params, pnames, tail, file_text, in_file
+from .model import CONFIRM, LEAD, LOCK_HEAD, Rule, callable_fn, header_ac, inline_auth, is_ext, nonreentrant, viewish
 
 # ---- Fixed values: search patterns of this family -------------------------------------
 LOW_CALL = r"\.\s*(delegatecall|call)\s*[({]"
@@ -151,7 +151,7 @@ MATH_LIB = (r"^_*(exp|exp2|ln|log|log2|log10|sqrt|cbrt|rpow|pow|powu|mulwad|divw
             r"uncheckeddiv|uncheckedinc)(_.*)?$")
 # ---------------------------------------------------------------------------------------
 
-_user_named = pnames.any(lambda p: body.contains(p) & p.nonempty())
+_user_named = named.any(lambda p: body.contains(p) & p.nonempty())
 _delegate = body.extract(LOW_CALL, 1).lower().eq("delegatecall")
 _low_call = callable_fn & body.has(LOW_CALL, i=False)
 
@@ -191,7 +191,7 @@ _unguarded = ~header_ac & ~inline_auth
 _priv = (is_ext & lname.has(PRIVILEGED_NAME) & ~lname.has("^settle") & _unguarded & ~lname.has(r"^(get|view|is|preview)", i=False)
          & ~_user_asset & body.has(PRIV_EFFECT, i=False))
 _nonview = ~viewish
-_guarded = tail.has(nonreentrant) | body.left(200).has(nonreentrant)
+_guarded = tail.has(nonreentrant) | body.left(LOCK_HEAD).has(nonreentrant)
 # Every identifier of the declaration is a possible callee, in order; the first that is called counts.
 _callees = params.all(r"([A-Za-z_]\w*)", 1, i=False).where(lambda p: ~p.has(TYPE_WORDS) & ~p.has(r"^_?I", i=False))
 _call_on = lambda p: near(r"\b", p, r"\s*\.\s*\w+\s*\(")

@@ -210,6 +210,14 @@ class Many(Node):
     def distinct(self) -> "Many":
         return Many(f"array_distinct({self.s})", self.d and f"list_distinct({self.d})", self.flags)
 
+    def first_by(self, f) -> "Many":
+        """The first element for each value of ``f``."""
+        v, p, flags = self._lam(f, "key")
+        i = f"i{v}"
+        s = f"filter({self.s}, ({v}, {i}) -> array_position(transform({self.s}, {v} -> {p.s}), {p.s}) = {i} + 1)"
+        d = None if self.d is None or p.d is None else f"list_filter({self.d}, lambda {v}, {i}: list_position(list_transform({self.d}, lambda {v}: {p.d}), {p.d}) = {i})"
+        return Many(s, d, flags)
+
     def overlaps(self, o: "Many") -> Pred:
         return self._join(o, f"arrays_overlap({self.s}, {o.s})", f"list_has_any({self.d}, {o.d})", Pred)
 
@@ -260,6 +268,8 @@ def _col(n: str) -> Text:
 name, params, tail, body = _col("name"), _col("params"), _col("tail"), _col("body")
 chain = _col("chain")
 lname, ltail = name.lower(), tail.lower()
+# Parameters with a name of their own: two words at least, the last one is the name.
+named = params.all(r"[^\s,]\s+([A-Za-z_]\w*)\s*(?:,|$)", 1, i=False)
 pnames = params.all(r"([A-Za-z_]\w*)[^,\w]*(?:,|$)", 1, i=False)
 
 

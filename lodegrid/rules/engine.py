@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import body_key
 from ..functions.text import parse_sources
 from ..session import cut
 from .dsl import Node, lowered
@@ -111,7 +112,7 @@ def evaluate(files: DataFrame, rules: list[Rule], parsed: DataFrame | None = Non
         rel = rel.select("*", *[F.expr(e) for e in lowered("name", "params", "tail", "body")])
         emit = _packs(fn_rules) if not file_rules else f"CASE WHEN is_file THEN {_packs(file_rules, lists)} ELSE {_packs(fn_rules)} END"
         hits = rel.select("target_id", "chain", "path", "pos", "start", "line", F.col("name").alias("function"), "tail",
-                          F.substring("body", 1, 1500).alias("snippet"), F.explode(F.expr(emit)).alias("h"))
+                          F.substring("body", 1, 1500).alias("snippet"), body_key("body").alias("body_key"), F.explode(F.expr(emit)).alias("h"))
     tnodes = [r.target for _, r in numbered if r.target is not None] + [r.when for _, r in numbered if r.grain == "target"]
     conds = list(dict.fromkeys(r.target.s for _, r in numbered if r.target is not None))
     tf = target_flags(files, tnodes)
@@ -137,7 +138,7 @@ def evaluate(files: DataFrame, rules: list[Rule], parsed: DataFrame | None = Non
         first = files.groupBy("target_id").agg(F.min("chain").alias("chain"))
         rows = rows.join(first, "target_id").select(
             "*", F.lit(None).cast("string").alias("path"), F.lit(1 << 30).alias("pos"), F.lit(0).alias("start"), F.lit(1).alias("line"),
-            F.lit("").alias("function"), F.lit("").alias("tail"), F.lit("").alias("snippet"))
+            F.lit("").alias("function"), F.lit("").alias("tail"), F.lit("").alias("snippet"), F.lit("").alias("body_key"))
         out = rows if out is None else out.unionByName(rows)
     return _shape(out)
 
@@ -157,7 +158,7 @@ def _shape(hits: DataFrame) -> DataFrame:
     return hits.select(
         "target_id", "chain", F.col("path").alias("file"), "pos", "start", "line", F.col("r").alias("rule_no"), "detector", "rule_id", "variant",
         "bug_class", F.concat_ws(": ", F.concat(F.upper(F.substring(words, 1, 1)), F.expr("substring(regexp_replace(variant, '_', ' '), 2)")), fn).alias("title"),
-        fn.alias("function"), "impact", "conf", "tier", "lead_only", "ev_flags", "snippet", F.col("v").alias("variable"))
+        fn.alias("function"), "impact", "conf", "tier", "lead_only", "ev_flags", "snippet", "body_key", F.col("v").alias("variable"))
 
 
 # ------------------------------------------------------------------ DuckDB twin (tests, oracle)

@@ -11,7 +11,7 @@ from ..operators.facts import last_definitions, loose_edges
 from ..operators.graph import backward_closure
 from . import core
 from .dsl import lowered
-from .model import INLINE_AUTH, nonreentrant
+from .model import INLINE_AUTH, LOCK_HEAD, nonreentrant
 
 # ---- Fixed values: patterns and score tables of these rules ----------------------------------
 HEALTH_NAME = (r"(?i)(check.*liquidity|account.*liquidity|liquidity.*check|health.?factor|health.?check|check.?health|solvenc|"
@@ -59,7 +59,7 @@ def _viewish() -> Column:
 
 
 def _guarded() -> Column:
-    return F.col("tail").rlike("(?i)" + nonreentrant) | F.substring("body", 1, 200).rlike("(?i)" + nonreentrant)
+    return F.col("tail").rlike("(?i)" + nonreentrant) | F.substring("body", 1, LOCK_HEAD).rlike("(?i)" + nonreentrant)
 
 
 def _out(df: DataFrame, detector: str, rule_id: str | None, impact, conf, bug: str, fn: str = "name") -> DataFrame:
@@ -152,15 +152,15 @@ def delegatecall(fns: DataFrame, flows: DataFrame, acc: DataFrame) -> DataFrame:
     return _out(d, "delegatecall", "delegatecall_to_untrusted_implementation", imp, cf, "delegatecall")
 
 
-def taint_value_flow(flows: DataFrame, limit: int = 5) -> DataFrame:
-    """Cross-function caller data into value sinks; the first five per target are the report."""
+def taint_value_flow(flows: DataFrame) -> DataFrame:
+    """Cross-function caller data into value sinks, all of them; a report takes the first few by rank_no."""
     f = flows.where("source_kind = 'calldata' AND sink_kind = 'value_transfer' AND confidence >= 0.75 AND cross_function")
-    f = top_per_key(f, ["target_id"], limit, F.col("entrypoint"), F.col("function"), F.col("sink"), F.col("source"))
+    f = f.select("target_id", "entrypoint", "function", "sink", "source").distinct()
     return _out(f, "weird_hunt_taint_value_flow", "calldata_cross_function_value_sink", 8.0, 4.0, "cross_function_value_flow", fn="function")
 
 
-def proof_value_flow(flows: DataFrame, fns: DataFrame, limit: int = 6) -> DataFrame:
-    """Value flows of proof-gated entrypoints whose named fields appear in the sink but in no bound text; six per target."""
+def proof_value_flow(flows: DataFrame, fns: DataFrame) -> DataFrame:
+    """Value flows of proof-gated entrypoints whose named fields appear in the sink but in no bound text."""
     from .zk import binding
 
     f = last_definitions(fns)
@@ -174,7 +174,7 @@ def proof_value_flow(flows: DataFrame, fns: DataFrame, limit: int = 6) -> DataFr
     text = F.concat_ws("\n", "sink_text", "sink_body")
     miss = F.array_sort(F.filter(names, lambda n: w(n, text) & ~w(n, F.col("binding"))))
     d = d.withColumn("missing", F.array_join(miss, ",")).where("missing <> ''").select("target_id", "entrypoint", "missing").distinct()
-    return _out(top_per_key(d, ["target_id"], limit, F.col("entrypoint"), F.col("missing")), "zk_verifier", "semantic_taint_proof_to_value_unbound",
+    return _out(d, "zk_verifier", "semantic_taint_proof_to_value_unbound",
                 9.0, 4.5, "proof-to-value-binding", fn="entrypoint")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .dsl import Text, body, file_many, file_pred, file_text, fn_names, in_file, in_target, lname, name, near, params, pnames, some_fn, tail, word
+from .dsl import Text, body, file_many, file_pred, file_text, fn_names, in_file, in_target, lname, name, named, near, params, pnames, some_fn, tail, word
 from .model import CONFIRM, LEAD, Rule, callable_fn, header_ac, inline_auth, is_ext, is_internal, is_view, viewish
 
 # ---- Fixed values: search patterns of this family -------------------------------------
@@ -273,7 +273,7 @@ for _w in ("deadline", "expiry", "validUntil", "validBefore", "expiration"):
 
 _emergency = name.has(EMERGENCY_NAME) & body.has(ZERO_STAKE) & body.has(STAKE_TRANSFER)
 
-# "uintN(var" of every narrowing cast of a bare identifier, first cast of a variable only
+# "uintN(var" of every narrowing cast of a bare identifier; below, the first unbounded one of each variable
 _casts = body.all(NARROW_CAST, 1, i=False).distinct()
 _cast_var = lambda c: c.extract(r"(\w+)$", 1, i=False)
 _cast_type = lambda c: c.extract(r"^(\w+)", 1, i=False)
@@ -281,7 +281,8 @@ _unbounded = lambda c: (~_cast_var(c).has(r"^(max|min)$", i=False)
                         & ~body.has(near(r"require\s*\([^;]*\b", _cast_var(c), r"\b[^;]*(<=?|<)\s*(type\s*\(\s*", _cast_type(c), r"|2\s*\*\*|0x)"))
                         & ~body.has(near(r"\b", _cast_var(c), r"\b\s*&")) & ~body.has(near(r"&[^;]*\b", _cast_var(c), r"\b"))
                         & ~body.has(r"\bSafeCast\b|\btoUint\d", i=False))
-_from_param = lambda c: pnames.any(lambda p: _cast_var(c).eq(p))
+_from_param = lambda c: named.any(lambda p: _cast_var(c).eq(p))
+_loose_casts = _casts.where(_unbounded).first_by(_cast_var)
 _feeds = body.has(CAST_FEEDS, i=False)
 _strong = body.has(STRONG_ENTROPY, i=False)
 _hybrid = (in_file(FT_LEDGER, i=False, raw=True) & in_file(NFT_LEDGER, i=False, raw=True)
@@ -399,11 +400,11 @@ RULES = [
     Rule("emergency_withdraw_stale_debt", "~emergency_withdraw_stale_debt", 6.5, 4.5,
          _emergency & (~body.has(DEBT_RESET) | ~body.has(TOTAL_DECREMENT)), bug="emergency_withdraw_stale_debt"),
     Rule("unsafe_downcast", "~unsafe_downcast_param", 7.0, 4.5, _feeds & body.has(NARROW_CAST, i=False), bug="unsafe_downcast",
-         each=_casts.where(lambda c: _unbounded(c) & _from_param(c))),
+         each=_loose_casts.where(_from_param)),
     Rule("unsafe_downcast", "~unsafe_downcast_param_idle", 5.0, 4.5, ~_feeds & body.has(NARROW_CAST, i=False), bug="unsafe_downcast",
-         each=_casts.where(lambda c: _unbounded(c) & _from_param(c))),
+         each=_loose_casts.where(_from_param)),
     Rule("unsafe_downcast", "~unsafe_downcast_local", 5.0, 3.5, body.has(NARROW_CAST, i=False), bug="unsafe_downcast",
-         each=_casts.where(lambda c: _unbounded(c) & ~_from_param(c))),
+         each=_loose_casts.where(lambda c: ~_from_param(c))),
     Rule("weak_randomness", "~weak_randomness", 7.0, 4.5, _strong | (body.has(WEAK_ENTROPY, i=False) & body.has(ENTROPY_USE, i=False)),
          bug="weak_randomness"),
 ]

@@ -46,6 +46,8 @@ viewish = ltail.has(r"view|pure", i=False)
 callable_fn = ~is_internal
 header_ac = ltail.has("|".join(ACCESS_MARKERS), i=False)
 inline_auth = body.has(INLINE_AUTH)
+# A lock call stands at the head of a body: this many characters are looked at.
+LOCK_HEAD, WIDE_LOCK_HEAD = 200, 240
 nonreentrant = r"nonReentrant|noReentr|reentrancyGuard|_status"
 
 CONFIRM, LEAD = "confirmable", "lead_only"

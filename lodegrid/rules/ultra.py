@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .dsl import body, count_true, file_many, file_pred, file_text, fn_names, in_file, in_target, lname, ltail, name, near, params, pnames, some_fn, tail, word
-from .model import CONFIRM, Rule, is_ext, is_view
+from .model import CONFIRM, WIDE_LOCK_HEAD, Rule, is_ext, is_view
 
 # ---- Fixed values: search patterns of this family -------------------------------------
 ECRECOVER = r"\becrecover\s*\("
@@ -320,7 +320,7 @@ RULES = [
          is_ext & ~tail.has("onlyOwner|onlyRole|onlyAdmin|onlyGovernance") & body.has(LOW_CALL) & ~body.has(TARGET_ALLOWLIST) & _drained,
          bug="allowance_drain_router"),
     Rule("erc777_hook_balance_bypass", "erc777_transfer_hook_before_balance_update", 9.0, 6.0,
-         is_ext & (name.has(DEPOSIT_LIKE) | body.has(DEPOSIT_LIKE)) & ~(tail + body.left(240)).has(REENTRANCY_LOCK)
+         is_ext & (name.has(DEPOSIT_LIKE) | body.has(DEPOSIT_LIKE)) & ~(tail + body.left(WIDE_LOCK_HEAD)).has(REENTRANCY_LOCK)
          & body.has(TRANSFER_IN) & body.after(TRANSFER_IN).has(BOOKKEEP) & ~body.before(TRANSFER_IN).has(BOOKKEEP),
          bug="erc777_hook_balance_bypass", target=in_target(HOOK_TOKEN)),
     Rule("read_only_reserve_reentrancy", "live_reserve_read_without_read_lock", 8.0, 4.0,

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .dsl import Many, Text, body, count_true, file_pred, file_text, in_file, in_target, lname, name, near, params, pnames, tail, word
-from .model import CONFIRM, LEAD, Rule, header_ac, is_view
+from .model import CONFIRM, LEAD, LOCK_HEAD, Rule, header_ac, is_view
 
 # ---- Fixed values: search patterns of this family -------------------------------------
 STRONG_TERMS = ("verifyproof", "verifyingkey", "g1point", "g2point", "groth16", "plonk", "snark", "pairing", "snark_scalar_field",
@@ -115,7 +115,7 @@ _gated = body.has(near(r"require\s*\([^;]*", _vparam, r"[^;]*(==|allowed|whiteli
                        _vparam, i=True))
 _nullifier = body.has(r"\bnullifier\w*\b") & body.has(VALUE_MOVE) & _nv
 _spent = body.has(SPENT_CHECK) | in_file(SPENT_CHECK_FILE)
-_locked = (tail + body.left(200)).has("nonreentrant|reentrancyguard|_status")
+_locked = (tail + body.left(LOCK_HEAD)).has("nonreentrant|reentrancyguard|_status")
 _narrow = binding.extract(NARROWED, 1)
 _count = body.extract(COUNT_VAR, 1)
 _bounds = body.has(near(_count, r"\s*[/*]|(?:div|mul)\s*\(\s*", _count, r"|<\s*[\w.]*", _count, r"\b|", _count, r"\s*[<>]", i=True))

@@ -26,6 +26,7 @@ def local_session(cores: int | str = 8, shuffle_partitions: int | None = None) -
     b = (
         b.config("spark.sql.shuffle.partitions", str(shuffle_partitions or cores))
         .config("spark.driver.memory", os.environ.get("LODEGRID_DRIVER_MEMORY", "12g"))
+        .config("spark.lodegrid.spread.tasks", str(cores))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
     )
