@@ -137,8 +137,11 @@ class Model:
 def train(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang", key: str = "doc_id", dim: int = 4096, sample: int = 600) -> Model | None:
     """Fit on documents where `learn` holds and a language is given; `sample` of each language at most."""
     rows = docs.where(learn & F.col(lang).isNotNull()).select(docs[lang].cast("string").alias("lang"), text_of(docs, text).alias("text"), docs[key].cast("string").alias("k"))
-    order = Window.partitionBy("lang").orderBy("h", "k")
-    picked = rows.select("lang", "k", F.xxhash64("k", "text").alias("h")).withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample)  # ranked per task first
+    ranked = rows.select("lang", "k", F.xxhash64("k", "text").alias("h")).withColumn("salt", F.pmod(F.col("h"), F.lit(64)))
+    picked = ranked
+    for by in (["lang", "salt"], ["lang"]):  # a frequent language is cut down in 64 parts first
+        order = Window.partitionBy(*by).orderBy("h", "k")
+        picked = picked.withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample).drop("n")
     chosen = picked.select("lang", "h").distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
