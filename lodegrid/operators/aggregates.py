@@ -186,3 +186,14 @@ def recover_interrupted(scans: DataFrame) -> DataFrame:
     """After a restart: running scans failed, queued scans start again."""
     return scans.withColumns({"next_action": F.when(F.col("status") == "queued", "restart").when(F.col("status") == "running", "mark_failed"),
                               "status": F.when(F.col("status") == "running", "failed").otherwise(F.col("status"))})
+
+
+def rule_lookup(cand: DataFrame, examples: int = 3) -> DataFrame:
+    """(rule_id, title, raw_hits, examples) over all candidates: the first hit's title and the first few targets as examples."""
+    from .dedup import top_per_key
+
+    c = cand.where("rule_id IS NOT NULL")
+    first = c.groupBy("rule_id").agg(F.min_by("title", F.struct("target_id", "pos")).alias("title"), F.count(F.lit(1)).alias("raw_hits"))
+    ex = top_per_key(c.select("rule_id", "target_id").distinct(), ["rule_id"], examples, F.col("target_id"))
+    ex = ex.groupBy("rule_id").agg(F.array_sort(F.collect_list("target_id")).alias("examples"))
+    return first.join(ex, "rule_id")

@@ -238,10 +238,13 @@ def protocol_edges(spark, sf):
 SURF = {k: f"bool_or(regexp_matches(lower(raw), '{p}'))" for k, p in protocol.SURFACE_TEXT.items()}
 
 
-@query("protocol_surfaces", f"""WITH {FILES}, t AS (SELECT target_id, {', '.join(f'{v} AS x_{k}' for k, v in SURF.items())}, target_id % 3 AS k FROM files GROUP BY target_id),
+SURFACE_CTES = f"""WITH {FILES}, t AS (SELECT target_id, {', '.join(f'{v} AS x_{k}' for k, v in SURF.items())}, target_id % 3 AS k FROM files GROUP BY target_id),
 u AS (SELECT target_id, 'oracle_lending' AS id, 'high' AS severity, 0.75 AS confidence FROM t WHERE x_lending AND (k = 0 OR x_oracle) UNION ALL SELECT target_id, 'erc4626_collateral_oracle', 'high', 0.72 FROM t WHERE x_rate AND x_collateral
 UNION ALL SELECT target_id, 'amm_reserve_dependency', CASE WHEN x_burny THEN 'high' ELSE 'medium' END, 0.68 FROM t WHERE k = 1 AND x_reserve UNION ALL SELECT target_id, 'vault_share_accounting', 'medium', 0.62 FROM t WHERE x_vault AND x_share
-UNION ALL SELECT target_id, 'bridge_or_proof_domain', 'high', 0.70 FROM t WHERE k = 2 AND x_domain) SELECT target_id, id, severity, confidence::DOUBLE AS confidence FROM u""")
+UNION ALL SELECT target_id, 'bridge_or_proof_domain', 'high', 0.70 FROM t WHERE k = 2 AND x_domain)"""
+
+
+@query("protocol_surfaces", SURFACE_CTES + """ SELECT target_id, id, severity, confidence::DOUBLE AS confidence FROM u""")
 def protocol_surfaces(spark, sf):
     fl = contract_files(spark, sf)
     k = F.col("target_id") % 3
@@ -249,6 +252,13 @@ def protocol_surfaces(spark, sf):
     return protocol.surfaces(n, fl).withColumn("confidence", F.col("confidence").cast("double"))
 
 
+@query("surface_order", SURFACE_CTES + " SELECT id, bool_or(severity IN ('high', 'critical')) AS urgent, count(*) AS targets, min(target_id) AS first_target FROM u GROUP BY 1")
+def surface_order(spark, sf):
+    """The surfaces of the whole scan, high and critical ones first, then by name."""
+    m = protocol_surfaces(spark, sf).groupBy("id").agg(F.bool_or(F.col("severity").isin("high", "critical")).alias("urgent"), F.count(F.lit(1)).alias("targets"), F.min("target_id").alias("first_target"))
+    return m.orderBy(F.desc("urgent"), "id")
+
+
 @query("surface_members", """WITH n AS (SELECT DISTINCT l_orderkey % 100 AS target_id, 'n' || l_partkey % 60 AS node_id, CASE l_partkey % 3 WHEN 0 THEN 'amm_pair' WHEN 1 THEN 'router' ELSE 'asset' END AS role FROM lineitem)
 SELECT target_id, 'amm_reserve_dependency' AS id, node_id, role, row_number() OVER (PARTITION BY target_id ORDER BY CASE role WHEN 'amm_pair' THEN 0 WHEN 'router' THEN 1 ELSE 2 END, node_id) AS rank_no FROM n QUALIFY rank_no <= 12""")
 def surface_members(spark, sf):

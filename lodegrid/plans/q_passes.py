@@ -31,6 +31,21 @@ SUBJ = (f"SELECT l_orderkey AS target_id, {POS} AS pos, sha1(concat_ws('|', 'k',
         "sha1(concat_ws('|', 'k', CAST(l_suppkey % 200 AS VARCHAR(9)))) AS pattern_fingerprint FROM lineitem ")
 
 
+@query("suppression_list", f"WITH s AS ({SUPP}) SELECT fingerprint, address, reason FROM s")
+def suppression_list(spark, sf):
+    """All suppressions; the table carries no time, so they are ordered by key."""
+    return rel(spark, sf, SUPP).orderBy("fingerprint", "address", "reason")
+
+
+@query("rule_lookup", f"""WITH {C}, m AS (SELECT rule_id, arg_min(title, struct_pack(t := target_id, p := pos)) AS title, count(*) AS raw_hits, array_to_string(list_sort(list(DISTINCT target_id))[1:3], ',') AS examples FROM c WHERE rule_id IS NOT NULL GROUP BY 1)
+SELECT c.target_id, c.pos, c.rule_id, m.title AS rule_title, m.raw_hits, m.examples FROM c LEFT JOIN m USING (rule_id)""")
+def rule_lookup(spark, sf):
+    """Candidates with what is known of their rule; the lookup has a row for each rule."""
+    c = candidates(spark, sf).select("target_id", "pos", "rule_id", "title")
+    m = agg.rule_lookup(c).select("rule_id", F.col("title").alias("rule_title"), "raw_hits", F.array_join(F.col("examples").cast("array<string>"), ",").alias("examples"))
+    return c.drop("title").join(m, "rule_id", "left").select("target_id", "pos", "rule_id", "rule_title", "raw_hits", "examples")
+
+
 @query("suppress_null_global", f"""
 WITH s AS ({SUPP}), c AS ({SUBJ}),
 g AS (SELECT fingerprint, min(reason) AS r FROM s WHERE address IS NULL GROUP BY 1),

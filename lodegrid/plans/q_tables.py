@@ -28,6 +28,19 @@ def newest_scans(spark, sf):
     return rel(spark, sf, SCANS).select("id", "name", "status").orderBy(F.desc("id")).limit(10)
 
 
+@query("scan_list", f"WITH {S} SELECT id, name, status, chain FROM s")
+def scan_list(spark, sf):
+    """All scans, newest first."""
+    return rel(spark, sf, SCANS).select("id", "name", "status", "chain").orderBy(F.desc("id"))
+
+
+@query("watch_list", "SELECT user_id AS watch_id, max(ts) AS last_seen, count(*) AS observations FROM events GROUP BY 1")
+def watch_list(spark, sf):
+    """All watches, the one seen last first."""
+    w = table(spark, sf, "events").groupBy(F.col("user_id").alias("watch_id")).agg(F.max("ts").alias("last_seen"), F.count(F.lit(1)).alias("observations"))
+    return w.orderBy(F.desc("last_seen"), "watch_id")
+
+
 @query("scan_counts", f"WITH {T}, {FI} SELECT t.scan_id, count(*) AS findings, {BUCKETS} FROM f JOIN t ON t.id = f.target_id GROUP BY 1")
 def scan_counts(spark, sf):
     t = rel(spark, sf, TARGETS).select(F.col("id").alias("target_id"), "scan_id")

@@ -75,3 +75,11 @@ def ship(spark: SparkSession) -> None:
                     z.write(full, os.path.relpath(full, os.path.dirname(here)))
     sc.addPyFile(path)
     _SHIPPED.add(sc.applicationId)
+
+
+def prepare(spark: SparkSession) -> None:
+    """What a session of the caller's own needs: the package on its executors and, on one machine, rows dealt to all cores."""
+    ship(spark)
+    sc = spark.sparkContext
+    if sc.master.startswith("local[") and spark.conf.get("spark.lodegrid.spread.tasks", None) is None:
+        spark.conf.set("spark.lodegrid.spread.tasks", str(sc.defaultParallelism))
