@@ -10,7 +10,8 @@ Texts are shuffled once, into chunks, and read from that exchange by the three p
 
 Defined results: null text has no words; a null id counts as larger than any other; rows with one id never take words from each other;
 texts shorter than a window stay whole; an empty table gives an empty table; further columns are not read. A chunk or a shard is held
-by one task: some MB, or one document if it is longer.
+by one task: some MB, or one document if it is longer. Chunks send each shard one block, so `chunk_bytes` should grow with the corpus
+(64 MB and more for many TB) to keep blocks from becoming single windows; results don't depend on it.
 """
 
 from __future__ import annotations
