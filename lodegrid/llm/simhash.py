@@ -8,6 +8,9 @@ beforehand, so groups of copies never meet here.
 Inside a bucket of variants only links are kept that connect it (a forest), never all pairs. Components are found by rounds of
 large-star and small-star steps, each cut off by a checkpoint.
 
+Where a Jaccard similarity is asked for, the components of these links are only what is compared: inside each, every pair of texts that
+is not yet connected is held against the exact similarity of its shingles, and the components of the pairs that pass are the result.
+
 Defined results: null, empty or white-space text has fingerprint zero and links like any other; a null id never becomes a group's
 smallest id while another is there; repeated rows are in one group; an empty table gives an empty table; further columns are not read.
 A bucket costs its task the fingerprints of its members and time with the square of their number; equal fingerprints count once.
@@ -27,7 +30,8 @@ from ..session import cut
 from .common import parts, text_of
 
 ROWS = 200_000
-BINS = 256
+#: Most texts and shingles of a block that is compared at once.
+BLOCK, BLOCK_SHINGLES = 2048, 1_000_000
 
 
 def words_of(text: str) -> list[bytes]:
@@ -48,12 +52,12 @@ def shingle_hashes(text: str, size: int, seed: int) -> np.ndarray:
     return np.fromiter((h(line[s:e], seed) for s, e in zip(starts[:n].tolist(), last.tolist())), np.uint64, n)
 
 
-def fingerprint(text: str, size: int, words: int, seed: int = 42, distinct: bool = False) -> tuple[list[int], bytes]:
+def fingerprint(text: str, size: int, words: int, seed: int = 42, distinct: bool = False) -> tuple[list[int], bytes, int]:
     """`words` 64-bit words, signed: a bit is set if it is in over half of the hashes; words after the first use the hashes mixed
-    anew. And, if each different shingle is taken once, a sketch (see `sketch`)."""
+    anew. And, if each different shingle is taken once, a digest of the set of shingles and its size (else empty and 0)."""
     first = shingle_hashes(text, size, seed)
     first = np.unique(first) if distinct else first
-    out, seen = [], sketch(first) if distinct else b""
+    out, digest = [], xxhash.xxh3_128_digest(first.tobytes()) if distinct else b""
     for k in range(words):
         h = first
         if k:
@@ -64,30 +68,11 @@ def fingerprint(text: str, size: int, words: int, seed: int = 42, distinct: bool
         for lo in range(0, len(h), 65536):  # bounds the unpacked bits
             ones += np.unpackbits(h[lo : lo + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
         out.append(int(np.packbits(ones * 2 > len(h), bitorder="little").view("<i8")[0]))
-    return out, seen
-
-
-def sketch(h: np.ndarray) -> bytes:
-    """One-permutation minima: for each of BINS bins one byte of its smallest hash, then one bit for each bin that has any."""
-    low = np.full(BINS, np.iinfo(np.uint64).max, np.uint64)
-    np.minimum.at(low, (h >> np.uint64(56)).astype(np.int64), h << np.uint64(8))
-    full = np.zeros(BINS, np.uint8)
-    full[(h >> np.uint64(56)).astype(np.int64)] = 1
-    return (low >> np.uint64(40)).astype(np.uint8).tobytes() + np.packbits(full).tobytes()
-
-
-def likeness(a: bytes, b: bytes) -> float:
-    """Estimated Jaccard similarity of two sketches (standard error about 0.025 at 0.8)."""
-    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
-    p, q = np.unpackbits(x[BINS:]).astype(bool), np.unpackbits(y[BINS:]).astype(bool)
-    either = int((p | q).sum())
-    if not either:
-        return 1.0
-    return max(0.0, (int((x[:BINS] == y[:BINS])[p & q].sum()) / either - 1 / 256) / (1 - 1 / 256))
+    return out, digest, len(first) if distinct else 0
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 3, words: int = 1, distinct: bool = False) -> DataFrame:
-    """One row per document: key, f0.. (64-bit words) and, if each different shingle counts once, its sketch (else empty)."""
+    """One row per document: key, f0.. (64-bit words) and, if each different shingle counts once, digest and size of the set of shingles."""
     from pyspark.sql import types as T
 
     names = [f"f{k}" for k in range(words)]
@@ -95,10 +80,11 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [fingerprint(x, size, words, distinct=distinct) for x in b.column(1).to_pylist()]
-            fps = np.array([f for f, _ in found], np.int64).reshape(-1, words)
-            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(fps[:, k].copy()) for k in range(words)], pa.array([s for _, s in found], pa.binary())], ["key", *names, "sketch"])
+            fps = np.array([f for f, _, _ in found], np.int64).reshape(-1, words)
+            rest = [pa.array([d for _, d, _ in found], pa.binary()), pa.array([n for _, _, n in found], pa.int64())]
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(fps[:, k].copy()) for k in range(words)], *rest], ["key", *names, "digest", "many"])
 
-    schema = T.StructType([T.StructField("key", docs.schema[key].dataType), *[T.StructField(n, T.LongType()) for n in names], T.StructField("sketch", T.BinaryType())])
+    schema = T.StructType([T.StructField("key", docs.schema[key].dataType), *[T.StructField(n, T.LongType()) for n in names], T.StructField("digest", T.BinaryType()), T.StructField("many", T.LongType())])
     return docs.select(docs[key].alias("key"), text_of(docs, text).alias("text")).mapInArrow(run, schema)
 
 
@@ -205,16 +191,67 @@ def links(fps: DataFrame, words: int, segment: int, distance: int, extra: int =
     return found.select(hex_of("a", words).alias("a"), hex_of("b", words).alias("b")).distinct()
 
 
-def alike(edges: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
-    """Edges (a, b) whose sketches are similar enough; nodes: (node, sketch)."""
+def similar_pairs(texts: list[str], sides: list[int], size: int, similarity: float) -> list[tuple[int, int]]:
+    """Numbers (i, j) of texts whose sets of shingles have this Jaccard similarity: pairs that connect whatever such pairs connect.
+
+    Sides are 0 (first) or 1; if both are there, only pairs of one from each are looked at. Every text has a shingle.
+    """
+    sets = [np.unique(shingle_hashes(t, size, 42)) for t in texts]
+    many = np.array([len(x) for x in sets])
+    at = np.concatenate(([0], np.cumsum(many)))
+    flat = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    marked, root, out = np.zeros(at[-1], bool), np.arange(len(sets)), []
+    left = sides.index(1) if sides[0] != sides[-1] else 0
+    for i in range(left or len(sets) - 1):
+        lo = left or i + 1
+        js = lo + np.flatnonzero((root[lo:] != root[i]) & (np.minimum(many[lo:], many[i]) / np.maximum(many[lo:], many[i]) >= similarity))
+        if not len(js):
+            continue
+        mine = flat[at[i] : at[i + 1]]
+        marked[mine] = True
+        if 4 * len(js) > len(sets) - lo:
+            shared = np.add.reduceat(marked[flat[at[lo] :]], at[lo:-1] - at[lo], dtype=np.int64)[js - lo]
+        else:
+            shared = np.array([np.count_nonzero(marked[flat[at[j] : at[j + 1]]]) for j in js])
+        marked[mine] = False
+        for j in js[shared / (many[i] + many[js] - shared) >= similarity].tolist():
+            if root[j] != root[i]:
+                root[root == root[j]] = root[i]
+                out.append((i, j))
+    return out
+
+
+def verified(members: DataFrame, docs: DataFrame, size: int, similarity: float) -> DataFrame:
+    """Links (a, b) between members of a root whose exact Jaccard similarity is high enough; every pair of a root's members counts, not
+    only those that met in a bucket. members: (node, root, many); docs: (node, text).
+
+    A root with many members is cut into blocks and each pair of blocks is a group of its own, so a member is sent once for each block.
+    """
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("many") / BLOCK_SHINGLES)).cast("int")
+    crowds = members.groupBy("root").agg(F.count(F.lit(1)).alias("n"), blocks.alias("blocks")).where("n > 1").drop("n")
+    mine = members.join(crowds, "root").withColumn("block", F.expr("cast(pmod(xxhash64(node), blocks) AS int)"))
+    pairs = mine.select("node", "root", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    pairs = pairs.select("node", "root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ok = [likeness(x, y) >= similarity for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
-            yield b.filter(pa.array(ok, pa.bool_())).select([0, 1])
+        group: list[tuple] = []
 
-    one, two = (nodes.select(F.col("node").alias(s), F.col("sketch").alias(f"s{s}")) for s in "ab")
-    return edges.join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a string, b string")
+        def flush() -> Iterator[pa.RecordBatch]:
+            if len(group) > 1:
+                found = similar_pairs([g[5] for g in group], [g[3] for g in group], size, similarity)
+                yield pa.RecordBatch.from_arrays([pa.array([group[p[k]][4] for p in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+            group.clear()
+
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if group and group[0][:3] != row[:3]:
+                    yield from flush()
+                group.append(row)
+        yield from flush()
+
+    rows = pairs.join(docs, "node").select("root", "i", "j", "side", "node", "text")
+    rows = rows.repartition(parts(members.sparkSession), "root", "i", "j").sortWithinPartitions("root", "i", "j", "side")
+    return rows.mapInArrow(run, "a long, b long")
 
 
 def hex_of(prefix: str, words: int):
@@ -240,19 +277,12 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError("the components did not settle; raise `rounds`")
 
 
-def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 3, words: int = 1, segment: int = 32, distance: int = 2, similarity: float | None = None, extra: int = 0) -> DataFrame:
-    """One row per document: key, fingerprint (hexadecimal) and component_id, the smallest key that chains of links reach.
-
-    With `similarity`, each different shingle counts once and a link also has to reach this (estimated) Jaccard similarity of the
-    shingles; of each bucket the shortest forest is held against it.
-    """
+def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 3, words: int = 1, segment: int = 32, distance: int = 2) -> DataFrame:
+    """One row per document: key, fingerprint (hexadecimal) and component_id, the smallest key that chains of links reach."""
     names = [f"f{k}" for k in range(words)]
-    base = cut(fingerprints(docs, key, text, size, words + extra, similarity is not None))
-    nodes = base.groupBy(*names).agg(F.min("key").alias("first"), F.min("sketch").alias("sketch"), *[F.min(f"f{k}").alias(f"f{k}") for k in range(words, words + extra)])
-    found = links(nodes, words, segment, distance, extra)
-    if similarity is not None:
-        found = alike(found, nodes.select(hex_of("f", words).alias("node"), "sketch"), similarity)
-    roots = components(found)
+    base = cut(fingerprints(docs, key, text, size, words))
+    nodes = base.groupBy(*names).agg(F.min("key").alias("first"))
+    roots = components(links(nodes, words, segment, distance))
     nodes = nodes.select(hex_of("f", words).alias("node"), "first").join(roots, "node", "left")
     nodes = nodes.select("node", "first", F.coalesce("root", "node").alias("root"))
     lowest = nodes.where("node != root OR root IS NOT NULL").groupBy("root").agg(F.min("first").alias("component_id"))
@@ -260,14 +290,32 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int =
     return base.select(F.col("key").alias(key), hex_of("f", words).alias("fingerprint")).join(named, F.col("fingerprint") == F.col("node"), "left").select(key, "fingerprint", "component_id")
 
 
-def first_of_group(docs: DataFrame, text: str = "text", size: int = 5, words: int = 2, extra: int = 1, segment: int = 16, distance: int = 30, similarity: float = 0.77) -> DataFrame:
+def similar_groups(docs: DataFrame, key: str, text: str, size: int, words: int, extra: int, segment: int, distance: int, similarity: float) -> DataFrame:
+    """One row per document: key (of type long, unique, not null) and component_id, the smallest key that chains of pairs of at least this
+    Jaccard similarity reach; each different shingle counts once.
+
+    Fingerprints only bring together what is compared: components of their links are taken apart again by exact similarity.
+    """
+    names = [f"f{k}" for k in range(words)]
+    base = cut(fingerprints(docs, key, text, size, words + extra, True))
+    sets = base.groupBy("digest").agg(F.min("key").alias("node"), F.min("many").alias("many"), *[F.min(f"f{k}").alias(f"f{k}") for k in range(words + extra)])
+    able = sets.where(F.col("many") / (F.col("many") + 1.0) >= similarity)  # smaller sets are similar to their equals only
+    fps = able.groupBy(*names).agg(*[F.min(f"f{k}").alias(f"f{k}") for k in range(words, words + extra)])
+    loose = components(links(fps, words, segment, distance, extra)).withColumnRenamed("node", "fingerprint")
+    members = able.select("node", "many", hex_of("f", words).alias("fingerprint")).join(loose, "fingerprint", "left").select("node", "many", F.coalesce("root", "fingerprint").alias("root"))
+    roots = components(verified(cut(members), docs.select(docs[key].alias("node"), text_of(docs, text).alias("text")), size, similarity))
+    named = sets.select("digest", "node").join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("component_id"))
+    return base.select(F.col("key").alias(key), "digest").join(named, "digest").select(key, "component_id")
+
+
+def first_of_group(docs: DataFrame, text: str = "text", size: int = 5, words: int = 2, extra: int = 4, segment: int = 16, distance: int = 32, similarity: float = 0.8) -> DataFrame:
     """The documents with one of each group of near copies: all columns, the row read first stays. `docs` is a stored table: rows are
     numbered in the order of its files.
 
-    Five-word shingles and 128 bits: a Jaccard similarity of 0.8 turns over 19 bits on average, 30 almost never. The
-    segments of 16 bits, eight of them and four of a further word, find every pair within 15 bits and 98 % at a similarity of 0.8. The link's similarity is estimated with a standard error of 0.025,
-    so 0.77 is asked for where 0.8 is meant.
+    Five-word shingles and 128 bits: a Jaccard similarity of 0.8 turns over 19.4 bits on average, over 32 once in a thousand times. The
+    segments of 16 bits, eight of them and sixteen of further words, hold one that differs in at most one bit for 99.96 % of such pairs.
+    What is found in this way is held against the exact similarity.
     """
     at = docs.withColumn("__row", F.monotonically_increasing_id())
-    gone = groups(at, "__row", text, size, words, segment, distance, similarity, extra).where(F.col("__row") != F.col("component_id")).select("__row")
+    gone = similar_groups(at, "__row", text, size, words, extra, segment, distance, similarity).where(F.col("__row") != F.col("component_id")).select("__row")
     return at.join(gone, "__row", "left_anti").drop("__row")

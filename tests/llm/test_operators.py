@@ -318,6 +318,23 @@ def test_near_copies_leave_one(spark):
     assert set(alone) <= kept and all(len(kept & set(g)) == 1 for g in groups) and out.columns == df.columns
 
 
+def pair_of(word, same, other):
+    """Two texts of different words whose sets of five-word shingles have `same` in common and `other` each of their own."""
+    head = [word() for _ in range(same + 4)]
+    return [" ".join(head + [word() for _ in range(other)]) for _ in range(2)]
+
+
+def test_near_copies_go_from_exactly_four_fifths_on(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(8))
+    above = [pair_of(word, 8 * k, k) for k in range(1, 91)]  # 0.8 exactly
+    below = [pair_of(word, 8 * k - 1, k + (k % 3 == 0)) for k in range(1, 91)]
+    df = table(spark, [(i, t, "en") for i, t in enumerate(t for p in above + below for t in p)])
+    kept = {r["doc_id"] for r in simhash.first_of_group(df).collect()}
+    assert [i for i in range(90) if {2 * i, 2 * i + 1} <= kept] == []
+    assert set(range(180, 360)) <= kept
+
+
 # 8 ------------------------------------------------------------------------------------------------------------------------------------
 
 def test_url_statement(spark):
