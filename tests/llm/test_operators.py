@@ -335,6 +335,32 @@ def test_near_copies_go_from_exactly_four_fifths_on(spark):
     assert set(range(180, 360)) <= kept
 
 
+def test_less_similar_texts_between_them_do_not_part_near_copies(spark):
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(8))
+    docs, pairs = [], []
+    for _ in range(12):
+        head = [word() for _ in range(163)]
+        more = word()
+        for k in range(40):  # 159 of 201 in common, the last two 160 of 200
+            docs.append(" ".join(head + ([more] if k >= 38 else [word()]) + [word() for _ in range(20)]))
+        pairs.append((len(docs) - 2, len(docs) - 1))
+    kept = {r["doc_id"] for r in simhash.first_of_group(table(spark, [(i, t, "en") for i, t in enumerate(docs)])).collect()}
+    assert all(len(kept & set(p)) == 1 for p in pairs) and len(kept) == len(docs) - len(pairs)
+
+
+def test_blocks_of_a_large_group_connect_the_same(spark, monkeypatch):
+    rng = random.Random(14)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(8))
+    head = [word() for _ in range(100)]
+    docs = [" ".join(head + [word() for _ in range(rng.choice((5, 30)))]) for _ in range(60)]
+    whole = lambda: {tuple(r) for r in simhash.similar_groups(df, "n", "text", 5, 2, 4, 16, 32, 0.8).collect()}
+    df = spark.createDataFrame(list(enumerate(docs)), "n long, text string")
+    want = whole()
+    monkeypatch.setattr(simhash, "BLOCK", 9)
+    assert whole() == want and 1 < len({c for _, c in want}) < 60
+
+
 # 8 ------------------------------------------------------------------------------------------------------------------------------------
 
 def test_url_statement(spark):
