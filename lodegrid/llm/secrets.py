@@ -2,7 +2,8 @@
 
 Base patterns (assign, access, hex) are matched over the whole text. The method then looks at every long string with a sensitive word
 shortly before it: how many bytes does a zstandard frame grow when the string is appended to its surroundings, given a dictionary of
-identifiers? Words and identifiers that occur nearby or in the dictionary cost little; keys cost about a byte for each character and
+identifiers? Other copies of the string itself are left out of its surroundings, so a key that stands twice is no known word. Words and
+identifiers in the dictionary, or made of what occurs nearby, cost little; keys cost about a byte for each character and
 are reported as `novel`.
 
 The identifier dictionary is counted over all documents: the most frequent names in front of `=`, `:` or `(`, at most `names` of them
@@ -60,13 +61,23 @@ class Novelty:
         return (len(self.c.compress(a + found.encode())) - len(self.c.compress(a))) / len(found)
 
 
+def surroundings(text: str, s: int, e: int, around: int) -> str:
+    """`around` characters before s and after e, without other copies of text[s:e] or of its parts between `=` (of 12 characters or more)."""
+    more = around + e - s  # a copy that the window would cut is seen whole
+    before, after = text[max(0, s - more) : s], text[e : e + more]
+    found = text[s:e]
+    for part in [found, *(x for x in found.split("=") if len(x) >= 12)]:
+        before, after = before.replace(part, " "), after.replace(part, " ")
+    return before[-around:] + after[:around]
+
+
 def novel_spans(text: str, base: list[tuple[int, int, int]], novelty: Novelty, least: float, near: int, around: int) -> list[tuple[int, int, int]]:
     """Candidates with a sensitive word at most `near` characters before them, not inside a base span, that cost `least` bytes a character."""
     out = []
     for m in CANDIDATE.finditer(text):
         s, e = m.span()
         if SENSITIVE.search(text, max(0, s - near), s) and not any(b <= s and e <= f for b, _, f in base):
-            if novelty.of(text[max(0, s - around) : s] + text[e : e + around], m[0]) >= least:
+            if novelty.of(surroundings(text, s, e, around), m[0]) >= least:
                 out.append((s, 3, e))
     return out
 

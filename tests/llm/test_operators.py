@@ -110,6 +110,16 @@ def test_novelty_reports_keys_and_not_words():
     assert [text[s:e] for s, _, e in secrets.novel_spans(text, [], n, 0.6, 48, 256)] == ["q7Rk2ZpX9vLw4TnB8sYd"]
 
 
+def test_a_key_that_stands_twice_is_reported_twice():
+    n = secrets.Novelty(["Authorization", "configuration_manager"])
+    key = "q7Rk2ZpX9vLw4TnB8sYdH3mC6gJf5aQe"
+    found = lambda text: [text[s:e] for s, _, e in secrets.novel_spans(text, [], n, 0.6, 48, 256)]
+    line = f"Authorization: Bearer {key}\n"
+    assert found(line * 2) == [key] * 2 and found(line + "x " * 110 + line + line) == [key] * 3
+    assert found(f"first_auth_value={key}\nother_auth_value={key}\n".replace("_value=", "_value: ")) == [key] * 2
+    assert [x[-32:] for x in found(f"the auth is one={key} and the auth is two={key} end")] == [key] * 2
+
+
 def test_redaction_keeps_columns_and_clean_texts(odd):
     out = {r["doc_id"]: r for r in secrets.redact(odd.where("doc_id IN (0, 1, 9, 10, 11)")).collect()}
     assert list(out[9].asDict()) == odd.columns and out[0]["text"] is None and out[1]["text"] == "" and out[9]["text"] == LONG and out[9]["shard"] == "clash"
