@@ -1,7 +1,7 @@
 """Secret scan: fixed patterns, and novelty against a dictionary-primed compressor.
 
-Base patterns (assign, access, hex) are matched over the whole text. The method then looks at every long string with a sensitive word
-shortly before it: how many bytes does a zstandard frame grow when the string is appended to its surroundings, given a dictionary of
+Base patterns (assign, access, hex) are matched over the whole text. The method then looks at every string of twelve characters or more
+with a sensitive word shortly before it, at the strings that follow a reported one after white space, and at the lines of private keys: how many bytes does a zstandard frame grow when the string is appended to its surroundings, given a dictionary of
 identifiers? Other copies of the string itself are left out of its surroundings, so a key that stands twice is no known word. Words and
 identifiers in the dictionary, or made of what occurs nearby, cost little; keys cost about a byte for each character and
 are reported as `novel`.
@@ -29,8 +29,11 @@ KINDS = ("assign", "access", "hex", "novel")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{12,}")
 SENSITIVE = re.compile(r"passw|passphrase|pwd|secret|token|key|credential|bearer|auth|private", re.I | re.A)
+#: What may stand between the lines of one key, escaped line ends included; and the blocks of private keys with their header lines.
+BETWEEN = re.compile(r"[\s\\]+")
+KEY_BLOCK = re.compile(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY[A-Z ]*-----.*?(?:-----END|\Z)", re.S)
 #: Cheap tests: a text with none of these words (lower-cased) has no match of ASSIGN.
 WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 NAME = r"(?<![A-Za-z0-9_])([A-Za-z_][A-Za-z0-9_]{2,31}+)[\"']?\x20*[:=(]"
@@ -72,13 +75,19 @@ def surroundings(text: str, s: int, e: int, around: int) -> str:
 
 
 def novel_spans(text: str, base: list[tuple[int, int, int]], novelty: Novelty, least: float, near: int, around: int) -> list[tuple[int, int, int]]:
-    """Candidates with a sensitive word at most `near` characters before them, not inside a base span, that cost `least` bytes a character."""
-    out = []
+    """Candidates not inside a base span that cost `least` bytes a character and have a sensitive word at most `near` characters before
+    them, or only white space between them and a reported span, or stand in the block of a private key."""
+    out, done = [], -1
+    blocks = [m.span() for m in KEY_BLOCK.finditer(text)] if "PRIVATE KEY" in text else []
     for m in CANDIDATE.finditer(text):
         s, e = m.span()
-        if SENSITIVE.search(text, max(0, s - near), s) and not any(b <= s and e <= f for b, _, f in base):
+        inside = [f for b, _, f in base if b <= s and e <= f]
+        if inside:
+            done = max(inside)
+        elif SENSITIVE.search(text, max(0, s - near), s) or (done >= 0 and BETWEEN.fullmatch(text, done, s)) or any(b < s < f for b, f in blocks):
             if novelty.of(surroundings(text, s, e, around), m[0]) >= least:
                 out.append((s, 3, e))
+                done = e
     return out
 
 
