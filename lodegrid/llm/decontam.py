@@ -1,17 +1,21 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: gapped seeds, then Smith-Waterman alignment.
 
-Texts are lower-cased and freed of ASCII punctuation. Runs of `n` words of the test items pass through two probes of a bit map of fixed
-size, so only documents that may share one leave the scan, each with its words between the first and last such run (and some around).
-What leaves is joined exactly. A seed is rare if it is in at most `common` times as many documents as its item's median run; at least
-half of an item's runs are seeds, however often the item itself was copied. Candidates are aligned: matching words score 2, others and
-gaps -1; the score is divided by that of the whole item. Paraphrased and edited copies keep much of it.
+Texts are lower-cased and freed of ASCII punctuation. A seed is two neighbouring words of an item that stand in the text next to each
+other or with one word between them. How many seeds an item needs follows from the least score (`least_pairs`), and how close they stand
+too, so nothing that scores enough is left out, whatever the other documents hold and however common a phrase is. A bit map of fixed size
+tells most of a text's pairs off. Candidates are aligned: matching words score 2, others and gaps -1; the score is divided by that of the
+whole item. Paraphrased and edited copies keep much of it.
 
-Defined results: null texts have no words; items shorter than a seed are never found; null ids are kept as they are; repeated rows are
+Each document is looked at by itself: nothing is shuffled. The driver holds the items; a task holds about a million of their words at a
+time (30 MB and the bit map), and more items take further passes over the documents.
+
+Defined results: null texts have no words; items of fewer than n words are never found; null ids are kept as they are; repeated rows are
 reported each by itself; empty tables give an empty table; further columns are not read.
 """
 
 from __future__ import annotations
 
+import math
 import string
 from collections.abc import Iterator
 
@@ -22,11 +26,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import cut
 from .common import text_of
 
 PUNCTUATION = bytes.maketrans(string.punctuation.encode(), b" " * len(string.punctuation))
 MATCH, OTHER, GAP = 2, -1, -1
+#: Words of items in one index.
+CHUNK = 1_000_000
 
 
 def words_of(text: str) -> list[bytes]:
@@ -37,17 +42,11 @@ def hashes(words: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, words)), ">u8").astype(np.uint64)
 
 
-def grams(words: list[bytes], n: int) -> np.ndarray:
-    """64-bit hash of each run of n words."""
-    h = hashes(words)
-    many = len(h) - n + 1
-    if many < 1:
-        return np.zeros(0, np.int64)
-    out = np.zeros(many, np.uint64)
-    for k in range(n):
-        out = out * np.uint64(0x9E3779B97F4A7C15) + h[k : k + many]
+def pairs(h: np.ndarray, apart: int) -> np.ndarray:
+    """64-bit hash of each word and the word `apart` places after it, whatever stands between."""
+    out = h[:-apart] * np.uint64(0x9E3779B97F4A7C15) + h[apart:]
     out ^= out >> np.uint64(32)
-    return (out * np.uint64(0xD6E8FEB86659FD93)).view(np.int64)
+    return out * np.uint64(0xD6E8FEB86659FD93)
 
 
 def align(item: np.ndarray, words: np.ndarray) -> tuple[float, int, int]:
@@ -74,108 +73,109 @@ def align(item: np.ndarray, words: np.ndarray) -> tuple[float, int, int]:
     return best / (MATCH * m), *span
 
 
-def item_grams(items: DataFrame, item: str, text: str, n: int) -> DataFrame:
-    """(item, gram, at): all runs of the items' words."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i, t in enumerate(b.column(1).to_pylist()):
-                g = grams(words_of(t), n)
-                if len(g):
-                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([i] * len(g))), pa.array(g), pa.array(np.arange(len(g), dtype=np.int32))], ["item", "gram", "at"])
-
-    schema = T.StructType([T.StructField("item", items.schema[item].dataType), T.StructField("gram", T.LongType()), T.StructField("at", T.IntegerType())])
-    return items.select(items[item].alias("item"), text_of(items, text).alias("text")).mapInArrow(run, schema)
-
-
-def probes(gram: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    g = gram.view(np.uint64)
-    return g >> np.uint64(64 - bits), (g * np.uint64(0xA24BAED4963EE407)) >> np.uint64(64 - bits)
-
-
-def bit_map(runs: DataFrame, bits: int) -> np.ndarray:
-    """2**bits flags with the two probes of every run set; built by the tasks, at most 2**bits / 64 words come back."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            p = np.concatenate(probes(b.column(0).to_numpy(), bits))
-            word = np.uint64(1) << (p & np.uint64(63))
-            yield pa.RecordBatch.from_arrays([pa.array((p >> np.uint64(6)).astype(np.int64)), pa.array(word.view(np.int64))], ["word", "flags"])
-
-    words = runs.select("gram").mapInArrow(run, "word long, flags long").groupBy("word").agg(F.bit_or("flags").alias("flags")).toPandas()
-    out = np.zeros(1 << (bits - 6), np.uint64)
-    out[words["word"].to_numpy(np.int64)] = words["flags"].to_numpy(np.int64).view(np.uint64)
-    return out
-
-
-def passages(docs: DataFrame, key: str, text: str, n: int, flags: np.ndarray, bits: int, around: int) -> DataFrame:
-    """(key, row, grams, places, first, words) of documents with a run that may be an item's: the words around all such runs, from word `first` on."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            at, found, places, first, bodies = [], [], [], [], []
-            for i, t in enumerate(b.column(2).to_pylist()):
-                w = words_of(t)
-                g = grams(w, n)
-                a, c = probes(g, bits)
-                hit = np.flatnonzero(((flags[a >> np.uint64(6)] >> (a & np.uint64(63))) & (flags[c >> np.uint64(6)] >> (c & np.uint64(63))) & np.uint64(1)).astype(bool))
-                if len(hit):
-                    lo, hi = max(0, int(hit[0]) - around), int(hit[-1]) + n + around
-                    at.append(i)
-                    found.append(g[hit])
-                    places.append(hit.astype(np.int32))
-                    first.append(lo)
-                    bodies.append(b" ".join(w[lo:hi]).decode("utf-8", "surrogatepass"))
-            if at:
-                rows = pa.array(at, pa.int64())
-                yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), pa.array(found, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int32())), pa.array(first, pa.int32()), pa.array(bodies, pa.string())], ["key", "row", "grams", "places", "first", "words"])
-
-    schema = T.StructType([T.StructField("key", docs.schema[key].dataType), T.StructField("row", T.LongType()), T.StructField("grams", T.ArrayType(T.LongType())), T.StructField("places", T.ArrayType(T.IntegerType())), T.StructField("first", T.IntegerType()), T.StructField("words", T.StringType())])
-    return docs.select(docs[key].alias("key"), F.monotonically_increasing_id().alias("row"), text_of(docs, text).alias("text")).mapInArrow(run, schema)
-
-
-def matches(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", n: int = 4, least: float = 0.5, common: int = 4, bits: int = 24) -> DataFrame:
-    """(key, row, item, score, start, end): documents that hold an item, whole or edited, with the share of its score and the words it takes."""
-    runs = item_grams(items, item, item_text, n)
-    longest = items.select(F.max(F.size(F.split(text_of(items, item_text), r"\s+"))).alias("n")).first()["n"] or 0
-    around = 2 * longest
-    held = cut(passages(docs, key, text, n, bit_map(runs, bits), bits, around))
-
-    hits = held.select("row", F.explode(F.arrays_zip("grams", "places")).alias("h")).select("row", F.col("h.grams").alias("gram"), F.col("h.places").alias("place"))
-    spread = hits.select("row", "gram").distinct().groupBy("gram").agg(F.count(F.lit(1)).alias("docs"))
-    rare = runs.join(spread, "gram")
-    usual = rare.groupBy("item").agg(F.percentile("docs", 0.5).alias("usual"))
-    seeds = rare.join(usual, "item").where(F.col("docs") <= common * F.col("usual")).select("item", "gram", "at")
-    candidates = hits.join(seeds, "gram").groupBy("row", "item").agg(F.array_sort(F.collect_set(F.col("place") - F.col("at"))).alias("diagonals"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep, scores, starts, ends = [], [], [], []
-            for i, (diagonals, first, words, body) in enumerate(zip(*(b.column(k).to_pylist() for k in (3, 4, 5, 6)))):
-                target, source = hashes(words_of(body)), hashes(words.encode("utf-8", "surrogatepass").split())
-                best, size, reach = (0.0, 0, 0), len(target), -1
-                for d in diagonals:
-                    lo = d - first - size // 2
-                    if d <= reach:  # inside the words aligned last
-                        continue
-                    close = [x for x in diagonals if d <= x <= d + size]
-                    lo, hi = max(0, lo), close[-1] - first + size + size // 2 + 1
-                    reach = close[-1]
-                    score, s, e = align(target, source[lo:hi])
-                    best = max(best, (score, first + lo + s, first + lo + e))
-                if best[0] >= least:
-                    keep.append(i)
-                    scores.append(best[0])
-                    starts.append(best[1])
-                    ends.append(best[2])
-            if keep:
-                rows = pa.array(keep, pa.int64())
-                yield pa.RecordBatch.from_arrays([*(b.column(k).take(rows) for k in range(3)), pa.array(scores, pa.float64()), pa.array(starts, pa.int64()), pa.array(ends, pa.int64())], ["key", "row", "item", "score", "start", "end"])
-
-    bodies = items.select(items[item].alias("item"), text_of(items, item_text).alias("body")).distinct()
-    paired = candidates.join(held.select("key", "row", "first", "words"), "row").join(bodies, "item")
+def least_pairs(words: int, least: float) -> int:
+    """Neighbours among an item's words that any alignment with this share of its score finds with at most one word between them.
+
+    Of two words matched one after the other, with a words of the item and b of the text left out between them, the alignment loses
+    max(a, b). With M matches, 2M less all of these is 2 * words * least at least, and M plus all a is `words` at most: so the sum of
+    max(a, b) + a is at most M + words * (1 - 2 * least). Pairs other than a = 0, b <= 1 have two or more of it, and M is words * least
+    at least.
+    """
+    return max(1, math.ceil(words * (1.5 * least - 0.5) - 1 - 1e-9))
+
+
+class Index:
+    """Pairs of neighbours of some items: where they stand, and how many an item needs."""
+
+    def __init__(self, ids: pa.Array, bodies: list[bytes], least: float, bits: int):
+        self.ids, self.words = ids, [hashes(b.split()) for b in bodies]
+        self.size = np.array([len(w) for w in self.words], np.int64)
+        self.need = np.array([least_pairs(n, least) for n in self.size.tolist()], np.int64)
+        keys = np.concatenate([pairs(w, 1) for w in self.words])
+        order = np.argsort(keys, kind="stable")
+        self.item = np.repeat(np.arange(len(bodies), dtype=np.int32), self.size - 1)[order]
+        self.at = np.concatenate([np.arange(n - 1, dtype=np.int32) for n in self.size])[order]
+        self.keys, self.begin = np.unique(keys[order], return_index=True)
+        self.begin = np.append(self.begin, len(keys))
+        self.shift = np.uint64(64 - bits)
+        self.flags = np.zeros(1 << bits, bool)
+        self.flags[self.keys >> self.shift] = True
+
+    def hits(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(item, at, place) of the pairs of a text that are an item's, by item, then place."""
+        found = [(k[p], p) for k in (pairs(h, 1), pairs(h, 2)) for p in [np.flatnonzero(self.flags[k >> self.shift])]]
+        key, place = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+        n = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        same = self.keys[n] == key
+        n, place = n[same], place[same]
+        many = self.begin[n + 1] - self.begin[n]
+        posting = np.arange(many.sum()) + np.repeat(self.begin[n] - np.cumsum(many) + many, many)
+        item, at, place = self.item[posting], self.at[posting], np.repeat(place, many)
+        order = np.lexsort((place, item))
+        return item[order], at[order], place[order]
+
+    def best(self, h: np.ndarray, least: float) -> list[tuple[int, float, int, int]]:
+        """(item, score, first word, last word exclusive) of the items that the text holds.
+
+        An alignment that scores enough takes no more words of the text than two times the item's, so its pairs stand that close.
+        """
+        if len(h) < 2:
+            return []
+        item, at, place = self.hits(h)
+        last = np.arange(len(item)) + self.need[item] - 1
+        full = np.flatnonzero(last < len(item))
+        full = full[(item[last[full]] == item[full]) & (place[last[full]] - place[full] <= 2 * self.size[item[full]])]
+        out = []
+        for i, mine in zip(*np.unique(item[full], return_index=True)):
+            size, need = int(self.size[i]), int(self.need[i])
+            begins = place[full[mine : mine + np.searchsorted(item[full[mine:]], i, "right")]]
+            lo, hi = np.searchsorted(item, i), np.searchsorted(item, i, "right")
+            where, which, best = place[lo:hi], at[lo:hi], (0.0, 0, 0)
+            for part in np.split(begins, np.flatnonzero(np.diff(begins) > 4 * size) + 1):
+                a, e = max(0, int(part[0]) - 2 * size), int(part[-1]) + 2 * size + 2
+                if len(np.unique(which[np.searchsorted(where, a) : np.searchsorted(where, e)])) >= need:
+                    score, x, y = align(self.words[i], h[a:e])
+                    best = max(best, (score, a + x, a + y))
+            if best[0] >= least:
+                out.append((int(i), *best))
+        return out
+
+
+def indexes(items: DataFrame, item: str, text: str, n: int, least: float, bits: int) -> Iterator[Index]:
+    """The different items of at least n words, about CHUNK words in each index."""
+    table = items.select(items[item].alias("item"), text_of(items, text).alias("body")).distinct().toArrow()
+    bodies = [b" ".join(words_of(t)) for t in table.column(1).to_pylist()]
+    sizes = np.array([b.count(b" ") + 1 for b in bodies], np.int64)
+    kept = np.flatnonzero(sizes >= n)
+    for part in np.split(kept, np.flatnonzero(np.diff(np.cumsum(sizes[kept]) // CHUNK)) + 1):
+        if len(part):
+            yield Index(table.column(0).combine_chunks().take(pa.array(part)), [bodies[k] for k in part.tolist()], least, bits)
+
+
+def matches(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", n: int = 4, least: float = 0.5, bits: int = 24) -> DataFrame:
+    """(key, row, item, score, start, end): documents that hold an item of n words or more, whole or edited, with the share of its score
+    and the words it takes. `least` is 0.5 or more: below, an alignment may do without any two neighbours."""
+    if least < 0.5 or n < 4:
+        raise ValueError("least has to be 0.5 or more, n 4 or more")
     schema = T.StructType([T.StructField("key", docs.schema[key].dataType), T.StructField("row", T.LongType()), T.StructField("item", items.schema[item].dataType), T.StructField("score", T.DoubleType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
-    found = paired.select("key", "row", "item", "diagonals", "first", "words", "body").mapInArrow(run, schema)
+    source = docs.select(docs[key].alias("key"), F.monotonically_increasing_id().alias("row"), text_of(docs, text).alias("text"))
+
+    def scan(held) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            index = held.value
+            for b in batches:
+                found = [(k, *f) for k, t in enumerate(b.column(2).to_pylist()) for f in index.best(hashes(words_of(t)), least)]
+                if found:
+                    rows, which, scores, starts, ends = zip(*found)
+                    rows = pa.array(rows, pa.int64())
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), index.ids.take(pa.array(which)), pa.array(scores, pa.float64()), pa.array(starts, pa.int64()), pa.array(ends, pa.int64())], schema.names)
+
+        return source.mapInArrow(run, schema)
+
+    parts = [scan(docs.sparkSession.sparkContext.broadcast(x)) for x in indexes(items, item, item_text, n, least, bits)]
+    found = parts[0] if parts else docs.sparkSession.createDataFrame([], schema)
+    for p in parts[1:]:
+        found = found.unionByName(p)
     return found.select(F.col("key").alias(key), "row", F.col("item").alias(item), "score", "start", "end")
 
 

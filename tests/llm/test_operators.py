@@ -249,6 +249,29 @@ def test_decontamination(spark, none):
     assert decontam.matches(none, b).count() == 0 and decontam.matches(d, b.limit(0)).count() == 0
 
 
+def test_decontamination_finds_all_that_alignment_finds(spark, none, monkeypatch):
+    rng = random.Random(16)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    items = [[word() for _ in range(n)] for n in (40, 36, 36, 12, 5)]
+    text = lambda words: " ".join([word() for _ in range(50)] + words + [word() for _ in range(50)])
+    docs = [text(items[0][:18]) for _ in range(200)] + [text(items[0][18:]) for _ in range(3)]  # a phrase of many documents
+    docs += [text(items[0][:18] + [word() if k % 4 == 0 else w for k, w in enumerate(items[0][18:])])]
+    docs += [text([x for k, w in enumerate(items[1]) for x in ([w, word()] if k % 3 == 2 else [w])]), text([word() if k % 4 == 3 else w for k, w in enumerate(items[2])])]
+    docs += [text([x for w in items[1] for x in (w, word())][:-1])]  # a word between any two: just above a half
+    for i in items:
+        for _ in range(40):
+            docs.append(text([x for w in i for x in ([w] if rng.random() < 0.5 else rng.choice(([w], [], [word()], [w, word()], [word(), word()])))]))
+    h = decontam.hashes
+    want = {(d, i) for d, t in enumerate(docs) for i, w in enumerate(items) if decontam.align(h([x.encode() for x in w]), h(decontam.words_of(t)))[0] >= 0.5}
+    assert {(203, 0), (204, 1), (205, 2), (206, 1)} <= want
+    d = table(spark, [(i, t, "en") for i, t in enumerate(docs)])
+    b = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    found = lambda: sorted((r["doc_id"], r["item_id"]) for r in decontam.matches(d, b).collect())
+    assert found() == sorted(want)
+    monkeypatch.setattr(decontam, "CHUNK", 40)  # several passes
+    assert found() == sorted(want)
+
+
 # 6 ------------------------------------------------------------------------------------------------------------------------------------
 
 def test_language(spark, odd, none):
