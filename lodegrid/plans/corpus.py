@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.chain import classify_admin
 from .registry import spread
 from .snippets import SPECIAL_TWINS, TWINS
 
@@ -45,8 +46,12 @@ def stored_reads(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
     pick = lambda m, a, b: F.when(k % m == 0, F.lit(a)).otherwise(F.lit(b))
     none = F.lit(None).cast("string")
     code = F.concat(F.lit("0x6080604052"), F.when(k % 4 == 0, "f4").when(k % 4 == 1, "3255").otherwise("f1"), F.lit("63"), pick(3, "3659cfe6", "23b872dd"), F.lit("14"), F.when(k % 9 == 0, "ff").otherwise("00"))
+    admins = t.select("target_id", F.when(k % 3 == 0, "0x").when(k % 3 == 1, "0x6080").alias("code"), F.when(k % 2 == 0, "2").alias("getThreshold()"), F.when(k % 4 == 1, "3600").alias("getMinDelay()"))
+    kinds = classify_admin(admins).select("target_id", F.col("kind").alias("admin_kind"))
     return {
-        "abi": t.select("target_id", F.explode(F.array(F.lit("execute"), F.lit("upgradeTo"), pick(2, "withdraw", "deposit"))).alias("name")),
+        "chain": t.select("target_id", (k % 6 != 0).alias("rpc_ok"), F.when(k % 5 != 1, k % 11 == 3).alias("chain_mismatch"), F.when(k % 13 == 5, "0x").when(k % 13 != 6, code).alias("code"),
+                          F.when(k % 4 == 1, True).when(k % 4 == 2, False).alias("live_initialized")).join(kinds, "target_id"),
+        "abi": t.select("target_id", F.explode(F.array_compact(F.array(F.lit("execute"), F.lit("upgradeTo"), pick(2, "withdraw", "deposit"), F.when(k % 4 == 1, "initialize")))).alias("name")),
         "roles": t.where("target_id % 7 < 2").select("target_id", pick(2, "EXECUTOR_ROLE", "PROPOSER_ROLE").alias("role"), (k % 7 == 0).alias("zero_has"), F.lit(None).cast("boolean").alias("dead_has")),
         "delays": t.where("target_id % 5 = 0").select("target_id", F.lit(3600).cast("long").alias("min_delay")),
         "contracts": t.select("target_id", code.alias("code"), (k % 6 == 0).alias("source_verified")),

@@ -93,6 +93,15 @@ def tool_candidates(tool: DataFrame) -> DataFrame:
         "target_id", "chain", "file", "pos", "start", "line", "rule_no", "detector", "rule_id", "variant", "bug_class", "title", "function", "impact", "conf", "tier", "lead_only", "ev_flags", "snippet", "body_key", "variable")
 
 
+def single_key_admin(hits: DataFrame, chain: DataFrame) -> DataFrame:
+    """A guarded upgrade of code under an admin that is a plain account is one key away from any code: confidence 6, no mark of governance."""
+    kinds = chain.select("target_id", "admin_kind")
+    risk = (F.col("detector") == "proxy_upgrade") & (F.col("variant") == "guarded_upgrade") & (F.col("impact") >= 8) & (F.col("admin_kind") == "eoa")
+    new = {"conf": F.lit(6.0), "title": F.concat(F.lit("Upgrade function controlled by a single EOA admin: "), F.col("function")),
+           "ev_flags": F.array_except("ev_flags", F.array(F.lit("governance_controlled"), F.lit("documented_centralization")))}
+    return hits.join(kinds, "target_id", "left").select(*[F.when(risk, new[c]).otherwise(F.col(c)).alias(c) if c in new else c for c in hits.columns])
+
+
 def triage(files: DataFrame, profile: str = "ultra-deep-v2", order: str = "production", known: dict[str, DataFrame] | None = None) -> DataFrame:
     """Scored candidates of the source files: every detector of the profile, then all passes.
 
@@ -101,22 +110,29 @@ def triage(files: DataFrame, profile: str = "ultra-deep-v2", order: str = "produ
 
     known: stored reads by name - abi(target_id, name), roles(target_id, role, zero_has, dead_has), delays(target_id, min_delay),
     contracts(target_id, code, source_verified), resolved(target_id), targets and getters (see ``protocol.nodes_and_edges``),
-    tool (see ``analyzer_findings``), suppressions(fingerprint, address, reason).
+    tool (see ``analyzer_findings``), suppressions(fingerprint, address, reason), chain(target_id, rpc_ok, chain_mismatch, code,
+    live_initialized, admin_kind - see ``chain.classify_admin``): one row for each target, NULL = unknown.
     """
     known = known or {}
     parsed = cut(parse(files))  # four consumers below: parse once, keep the table in the shared folder
     hits = cut(evaluate(files, rules_for(profile), parsed))
     flagged = hits.where("detector = 'reentrancy'").select("target_id", "function")
     hits = hits.unionByName(special_hits(files, parsed, profile, flagged, known))
+    if "chain" in known:
+        hits = single_key_admin(hits, known["chain"])
     if "tool" in known:
         hits = hits.unionByName(tool_candidates(known["tool"]))
     cand = cut(to_candidates(hits))
     if "tool" in known:
         cand = scoring.tool_agreement(cand.drop("tool_agree"), known["tool"], ["target_id"])
     fns = functions(parsed)
-    targets = files.select("target_id").distinct().withColumns({
-        "has_source": F.lit(True), "live_initialized": F.lit(None).cast("boolean"), "rpc_ok": F.lit(False),
-        "chain_mismatch": F.lit(None).cast("boolean"), "code": F.lit(None).cast("string")})
+    reads = {"rpc_ok": "boolean", "chain_mismatch": "boolean", "code": "string", "live_initialized": "boolean"}
+    targets = files.select("target_id").distinct().withColumn("has_source", F.lit(True))
+    if "chain" in known:
+        targets = targets.join(known["chain"].select("target_id", *reads), "target_id", "left")
+    else:
+        targets = targets.withColumns({c: F.lit(None).cast(t) for c, t in reads.items()})
+    targets = targets.withColumn("rpc_ok", F.coalesce("rpc_ok", F.lit(False)))
     sane = lambda d: gates.sanity(d, fns, targets, known.get("abi"))
     cor = lambda d: scoring.corroborate(d.drop("corroborated", "corroborated_by"), ["target_id"])
     col = lambda d: dedup.collapse_duplicates(dedup.with_keys(d), ["target_id"])

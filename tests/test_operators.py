@@ -173,3 +173,32 @@ def test_triage_with_graph_rules(spark):
     d = spark.createDataFrame([(1, "ethereum", "a.sol", 0, SPECIAL_TWINS["solvency_check"][0]), (2, "ethereum", "b.sol", 0, SPECIAL_TWINS["reentrancy"][0])], FILE)
     r = {(x.target_id, x.detector, x.functions[0]) for x in triage(d, "deep").where("NOT suppressed").collect()}
     assert (1, "solvency_check", "donateCash") in r and (2, "reentrancy", "borrowFresh") in r
+
+
+def test_triage_with_chain_reads(spark):
+    from lodegrid.plans.pipeline import triage
+
+    text = ("contract C { function upgradeTo(address a) external onlyOwner { impl = a; } function transferOwnership(address a) external onlyOwner { owner = a; }"
+            " function upgradeToAndCall(address a) external { impl = a; } function initialize(address a) external { owner = a; } }")
+    d = spark.createDataFrame([(i, "ethereum", "a.sol", 0, text) for i in range(7)], FILE)
+    reads = [(0, True, False, "0x60", False, "eoa"), (1, True, False, "0x60", True, "timelock"), (2, True, True, "0x60", None, "eoa"), (3, True, None, "0x", None, None), (4, False, True, "0x", None, None), (5, None, None, None, None, None)]
+    known = {"chain": spark.createDataFrame(reads, "target_id long, rpc_ok boolean, chain_mismatch boolean, code string, live_initialized boolean, admin_kind string")}
+    rows = triage(d, "deep", known=known).cache()
+    up = {(r.target_id, r.functions[0]): r for r in rows.where("detector = 'proxy_upgrade'").collect()}
+    marks = {"governance_controlled", "documented_centralization"}
+    assert up[0, "upgradeTo"].title.startswith("Upgrade function controlled by a single EOA admin") and not marks & set(up[0, "upgradeTo"].ev_flags) and "has_access_control" in up[0, "upgradeTo"].ev_flags
+    assert all(marks <= set(up[i, "upgradeTo"].ev_flags) for i in (1, 3, 4, 5, 6)) and marks <= set(up[0, "transferOwnership"].ev_flags)
+    assert up[0, "upgradeTo"].conf == 6.0 and up[1, "upgradeTo"].conf == 2.0 and up[0, "transferOwnership"].conf == 2.0
+    why = lambda i: {r.suppressed_reason for r in rows.where(f"target_id = {i}").collect()}
+    assert why(2) == {"rpc chain mismatch"} and why(3) == {"no contract code on this chain"} and "target is already initialized" in why(1)
+    assert all(not why(i) & {"rpc chain mismatch", "no contract code on this chain", "target is already initialized"} for i in (0, 4, 5, 6))
+
+
+def test_stored_reads_reach_the_gates(spark):
+    from lodegrid.plans.corpus import contract_files, stored_reads
+    from lodegrid.plans.pipeline import triage
+
+    sf = "/root/testdata/sf0.001"
+    rows = triage(contract_files(spark, sf), "deep", known=stored_reads(spark, sf)).cache()
+    why = {r[0] for r in rows.select("suppressed_reason").distinct().collect()}
+    assert {"rpc chain mismatch", "no contract code on this chain", "target is already initialized"} <= why
