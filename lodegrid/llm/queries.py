@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontam, langid, packing, quality, secrets, sharding, simhash, substring, urls
+from . import ann, decontam, langid, negatives, packing, periodic, quality, secrets, sharding, simhash, substring, tokencount, urls
 from .common import fold, load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -108,3 +108,47 @@ def op6(spark: SparkSession, sf: str) -> DataFrame:
 def op5(spark: SparkSession, sf: str) -> DataFrame:
     found = decontam.matches(load(spark, sf, "documents").select("doc_id", "text"), load(spark, sf, "benchmark").select("item_id", "text"))
     return found.select("doc_id", "item_id", F.round("score", 6).alias("score"), "start", "end")
+
+
+@register("op11_residue_negatives", sql="""
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS c FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_inner_product(a.c, b.c)::BIGINT AS score FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score QUALIFY rank <= 3""")
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    rows = load(spark, sf, "embeddings").select("vec_id", "label", "embedding")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(rows.withColumn("label", label))
+
+
+@register("op12_whole_token_counts")
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    return tokencount.counts(load(spark, sf, "documents").select("doc_id", "text"))
+
+
+def with_tail(docs: DataFrame) -> DataFrame:
+    """The documents of op13: a tenth of them, by crc32 of the id, end in a stretch of their own words that repeats."""
+    crc = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(crc / 10)
+    words = F.filter(F.split(F.col("text"), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+    picked = docs.withColumn("w", F.when(crc % 10 == 0, words)).withColumn("n", F.size("w").cast("long"))
+    picked = picked.withColumn("a", F.when(F.col("n") > 0, g % F.col("n")))
+    picked = picked.withColumn("p", 1 + F.floor((F.col("n") - F.col("a")) / (3 + g % 8)))
+    tail, rest = F.expr("slice(w, CAST(a + 1 AS INT), CAST(p AS INT))"), F.col("n") - F.col("a")
+    repeated = F.slice(F.flatten(F.array_repeat(tail, F.ceil(rest / F.col("p")).cast("int"))), F.lit(1), rest.cast("int"))
+    edited = F.array_join(F.concat(F.expr("slice(w, 1, CAST(a AS INT))"), repeated), " ")
+    return picked.select("doc_id", F.when(F.col("a").isNotNull(), edited).otherwise(F.col("text")).alias("text"))
+
+
+@register("op13_frequency_split_runs")
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    found = periodic.detect(with_tail(load(spark, sf, "documents").select("doc_id", "text")))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    sha = lambda c: F.sha2(c.cast("binary"), 256)
+    return found.withColumn("top", longest).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("top.start")).alias("start"), F.col("top.length").alias("length"), (-F.col("top.period")).alias("period"),
+        F.floor(1000 * F.col("top.length") / -F.col("top.period")).alias("exponent_milli"), sha(lines).alias("runs_sha256"), sha(F.col("kept")).alias("collapsed_sha256"),
+    )
