@@ -30,3 +30,11 @@ def ascii_lower(c: Column) -> Column:
 def text_of(df: DataFrame, text: str = "text") -> Column:
     """The text column, null read as empty."""
     return F.coalesce(df[text].cast("string"), F.lit(""))
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """`name`, made longer until no column is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -339,10 +339,67 @@ def test_links_lose_no_component(spark):
     fps = sorted(set(fps))
     df = spark.createDataFrame([(f - 2**64 if f >= 2**63 else f,) for f in fps], "f0 long")
     got = simhash.components(simhash.links(df, 1, 32, 2)).collect()
-    hexes = [format(f, "016x") for f in fps]
-    mine = {r["node"]: r["root"] for r in got}
+    mine = {r["node"] % 2**64: r["root"] % 2**64 for r in got}
     root = plain_components(fps, 2)
-    assert [mine.get(h, h) for h in hexes] == [hexes[r] for r in root]
+    found = [mine.get(f, f) for f in fps]
+    assert len(set(zip(found, root))) == len(set(root)) == len(set(found))
+
+
+def groups_of(found):
+    return {frozenset(np.flatnonzero(np.array(found) == r).tolist()) for r in set(found)}
+
+
+@pytest.mark.parametrize("crowded", [8192, 4])
+def test_bucket_links_small_large_and_crowded(monkeypatch, crowded):
+    monkeypatch.setattr(simhash, "SMALL", 3)
+    monkeypatch.setattr(simhash, "CROWDED", crowded)
+    rng = np.random.default_rng(crowded)
+    for half in (0, 1):
+        f = rng.integers(0, 2**32, 400, np.uint64) & np.uint64(0xFFFF0003 if half else 0xF000000F)
+        fps = np.unique(f << np.uint64(32) if not half else f)[:, None]
+        sig = np.sort(rng.integers(0, 4, len(fps))) + ((half * 32 + 5) << 32)
+        a, b = simhash.bucket_links(sig, fps, 2, 32)
+        assert all(sig[x] == sig[y] and int(fps[x, 0] ^ fps[y, 0]).bit_count() <= 2 for x, y in zip(a, b))
+        for v in set(sig.tolist()):
+            at = np.flatnonzero(sig == v)
+            of = {x: k for k, x in enumerate(at.tolist())}
+            mine = [(of[x], of[y]) for x, y in zip(a.tolist(), b.tolist()) if x in of]
+            got = simhash.roots(len(at), *np.array(mine, np.int64).reshape(-1, 2).T)
+            assert groups_of(got) == groups_of(plain_components([int(x) for x in fps[at, 0]], 2))
+
+
+def test_links_of_a_group_go_with_its_size(spark):
+    rng = random.Random(4)
+    count = {}
+    for n in (200, 800):
+        base = [rng.getrandbits(64) for _ in range(6)]
+        rows = {tuple(int(np.array(x ^ sum(1 << b for b in rng.sample(range(64), 3)), np.uint64).view(np.int64)) for x in base) for _ in range(n)}
+        df = spark.createDataFrame(sorted(rows), ", ".join(f"f{k} long" for k in range(6)))
+        found = simhash.links(df, 3, 16, 47, 3)
+        count[n] = found.count()
+        assert len({r["root"] for r in simhash.components(found).collect()}) == 1
+    assert count[800] < 6 * count[200] and count[800] < 8 * 800
+
+
+def test_segments_follow_the_number_of_texts():
+    assert simhash.cutting(1000, 0.8) == (16, 6)
+    last = 0
+    for n in (10**5, 10**7, 10**9):
+        segment, words = simhash.cutting(n, 0.8)
+        turned = np.arccos(1.6 / 1.8) / np.pi
+        hit = (1 - turned) ** segment + segment * turned * (1 - turned) ** (segment - 1)
+        assert n <= 32 << segment - 1 and (1 - hit) ** (words * (64 // segment)) <= 0.0004 and segment > last
+        last = segment
+
+
+def test_longer_segments_find_the_same(spark):
+    rng = random.Random(15)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(8))
+    docs = [t for k in range(1, 30) for t in pair_of(word, 9 * k, k)]
+    df = spark.createDataFrame(list(enumerate(docs)), "n long, text string")
+    for segment, words in ((16, 6), simhash.cutting(10**7, 0.8)):
+        found = simhash.similar_groups(df, "n", "text", 5, 3, words - 3, segment, 47, 0.8).collect()
+        assert {r["n"]: r["component_id"] for r in found} == {i: i - i % 2 for i in range(len(docs))}
 
 
 def test_near_copies_leave_one(spark):
@@ -401,11 +458,36 @@ def test_blocks_of_a_large_group_connect_the_same(spark, monkeypatch):
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(8))
     head = [word() for _ in range(100)]
     docs = [" ".join(head + [word() for _ in range(rng.choice((5, 30)))]) for _ in range(60)]
-    whole = lambda: {tuple(r) for r in simhash.similar_groups(df, "n", "text", 5, 2, 4, 16, 32, 0.8).collect()}
+    whole = lambda: {tuple(r) for r in simhash.similar_groups(df, "n", "text", 5, 3, 3, 16, 47, 0.8).collect()}
     df = spark.createDataFrame(list(enumerate(docs)), "n long, text string")
     want = whole()
-    monkeypatch.setattr(simhash, "BLOCK", 9)
-    assert whole() == want and 1 < len({c for _, c in want}) < 60
+    for block in (9, 2):
+        monkeypatch.setattr(simhash, "BLOCK", block)
+        assert whole() == want and 1 < len({c for _, c in want}) < 60
+
+
+def test_a_linked_group_is_not_sent_to_every_pair_of_blocks(spark, monkeypatch):
+    rng = random.Random(16)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(8))
+    head = [word() for _ in range(100)]
+    docs = [" ".join(head + [word(), word()]) for _ in range(80)]
+    sent, plain = [], simhash.compared
+
+    def counted(rows, *a):
+        sent.append(rows.count())
+        return plain(rows, *a)
+
+    monkeypatch.setattr(simhash, "BLOCK", 10)
+    monkeypatch.setattr(simhash, "compared", counted)
+    df = spark.createDataFrame(list(enumerate(docs)), "n long, text string")
+    found = simhash.similar_groups(df, "n", "text", 5, 3, 3, 16, 47, 0.8).collect()
+    assert {r["component_id"] for r in found} == {0} and sent == [80, 80, 0]
+
+
+def test_first_of_group_keeps_columns_of_any_name(spark):
+    df = spark.createDataFrame([("a b c d e f g", "x", 1, 2), ("a b c d e f g", "y", 3, 4)], "text string, row_number string, ROW_NUMBER_ int, node int")
+    out = simhash.first_of_group(df)
+    assert out.columns == df.columns and out.count() == 1
 
 
 # 8 ------------------------------------------------------------------------------------------------------------------------------------

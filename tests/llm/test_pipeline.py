@@ -57,8 +57,8 @@ def test_near_duplicate_stage(steps):
     docs, done = (rows(d) for d in steps[1])
     s = {d: shingles(r["text"] or "") for d, r in docs.items()}
     like = {(a, b): len(s[a] & s[b]) / max(1, len(s[a] | s[b])) for a, b in itertools.combinations(sorted(docs), 2)}
-    assert all(max((j for p, j in like.items() if d in p), default=0) >= 0.7 for d in set(docs) - set(done))  # nothing without a near copy goes
-    assert not [p for p, j in like.items() if j >= 0.85 and p[0] in done and p[1] in done]
+    assert all(max((j for p, j in like.items() if d in p), default=0) >= 0.8 for d in set(docs) - set(done))  # nothing without a near copy goes
+    assert not [p for p, j in like.items() if j >= 0.8 and p[0] in done and p[1] in done]
     assert all(done[d] == docs[d] for d in done)
 
 
