@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lodegrid.llm import decontam, packing, quality, secrets, simhash
 from lodegrid.llm.common import load
-from lodegrid.session import shared_folder, ship
+from lodegrid.session import discard, shared_folder, ship
 
 #: Documents below this probability of good quality are rejected.
 LEAST_QUALITY = 0.3
@@ -58,12 +58,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`; the results between them are Parquet tables in the shared folder."""
+    """All stages over `documents`; the results between them are Parquet tables in the shared folder, each deleted when the next is there."""
     docs, folder = load(spark, sf_dir, "documents"), f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
         out = stage(spark, docs, sf_dir)
         if k == len(STAGES) - 1:
             return out
         out.write.parquet(f"{folder}/{k}")
+        if k:
+            discard(spark, f"{folder}/{k - 1}")
         docs = spark.read.parquet(f"{folder}/{k}")
     return docs
