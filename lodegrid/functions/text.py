@@ -121,6 +121,44 @@ def split_top_level(text: pd.Series) -> pd.Series:
     return text.map(one)
 
 
+CALLS = T.ArrayType(T.StructType([T.StructField("callee", _S), T.StructField("args", T.ArrayType(_S))]))
+_CALL_MARK = re.compile(r"\b([A-Za-z_]\w*)\s*\(|[()\[\]<>,]")
+
+
+def calls_in(body: str | None) -> list[tuple[str, list[str]]]:
+    """(callee, arguments) of every call in order of its closing bracket, nested ones too; an unclosed call has no entry.
+
+    One pass with a stack: commas count inside the innermost call only, outside further (), [] and <>.
+    """
+    out: list[tuple[str, list[str]]] = []
+    stack: list[list] = []  # callee or None, start of the argument at hand, arguments, depth of [] and <>
+    body = body or ""
+    for m in _CALL_MARK.finditer(body):
+        mark = m.group()
+        if mark[-1] == "(":
+            stack.append([m.group(1), m.end(), [], 0])
+        elif not stack:
+            continue
+        elif mark == ")":
+            callee, at, args, _ = stack.pop()
+            if callee is not None:
+                last = body[at : m.start()].strip()
+                out.append((callee, args + [last] if last else args))
+        elif mark == ",":
+            if stack[-1][3] == 0:
+                stack[-1][2].append(body[stack[-1][1] : m.start()].strip())
+                stack[-1][1] = m.end()
+        else:
+            stack[-1][3] = stack[-1][3] + 1 if mark in "[<" else max(0, stack[-1][3] - 1)
+    return out
+
+
+@F.pandas_udf(CALLS)
+def call_arguments(body: pd.Series) -> pd.Series:
+    """Calls of a body with their arguments split at top level."""
+    return body.map(lambda b: [{"callee": c, "args": a} for c, a in calls_in(b)])
+
+
 def line_of(text: Column, offset: Column) -> Column:
     """1-based line of a 0-based character offset."""
     return F.length(F.regexp_replace(F.substring(text, F.lit(1), offset), r"[^\n]", "")) + 1

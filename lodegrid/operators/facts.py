@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import contract_level, split_top_level
+from ..functions.text import call_arguments, contract_level, split_top_level
 from .dedup import keep_first, keep_last
 
 # ---- Fixed values: extraction patterns --------------------------------------------------
@@ -71,7 +71,7 @@ def decoded_fields() -> Column:
 
 def enrich(fns: DataFrame) -> DataFrame:
     """Add visibility, mutability, modifiers, guards, params, decoded fields, events and both call shapes."""
-    d = fns.withColumn("param_parts", split_top_level("params"))
+    d = fns.withColumns({"param_parts": split_top_level("params"), "calls": call_arguments("body")})  # one Python step
     last = lambda p: F.regexp_extract(p, r"([A-Za-z_]\w*)[^\w]*$", 1)
     pname = lambda p, i: F.when(last(p).isin("", *PARAM_NOISE), F.concat(F.lit("arg"), i.cast("string"))).otherwise(last(p))
     d = d.withColumns({"visibility": visibility(), "mutability": mutability(), "modifiers": modifiers(),

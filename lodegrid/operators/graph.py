@@ -5,16 +5,106 @@ Edges are cut once before a loop, so no round reads or parses the sources again.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import cut
 
+#: Edges of a target that one task walks in memory; larger graphs go by frontier joins.
+SMALL_GRAPH = 100_000
+
+
+def walk_breadth(start: str, out: dict[str, list[str]], most: int) -> list[tuple[str, list[str]]]:
+    """(node, path) within `most` calls: the shortest path, among equals the one through the smallest names."""
+    seen, level, found = {start}, {start: [start]}, [(start, [start])]
+    for _ in range(most):
+        nxt: dict[str, list[str]] = {}
+        for node, path in level.items():
+            for d in out.get(node, ()):
+                if d not in seen and (d not in nxt or path + [d] < nxt[d]):
+                    nxt[d] = path + [d]
+        seen.update(nxt)
+        found += nxt.items()
+        level = nxt
+    return found
+
+
+def walk_depth(start: str, out: dict[str, list[str]], most: int) -> list[tuple[str, list[str]]]:
+    """(node, path of this walk) depth first, the largest name of a body first, with one set of seen nodes for the whole walk.
+
+    A node that is first met at depth `most` is not walked from again, even where a shorter way to it comes later.
+    """
+    seen: set[str] = set()
+    found, stack = [], [(start, [start])]
+    while stack:
+        node, path = stack.pop()
+        if node in seen or len(path) - 1 > most:
+            continue
+        seen.add(node)
+        found.append((node, path))
+        stack += [(d, path + [d]) for d in out.get(node, ())]
+    return found
+
+
+def walks(starts: DataFrame, edges: DataFrame, max_depth: int = 8, walk: Callable = walk_breadth) -> DataFrame:
+    """(target_id, start, node, visit_no, path): every start of a target walked through its call graph, in one exchange.
+
+    The rows of a target meet in one task, sorted, and only one target's graph is held at a time. starts: (target_id, node).
+    """
+    k = starts.schema["target_id"].dataType
+    rows = starts.select("target_id", F.col("node").alias("src"), F.lit(None).cast("string").alias("dst")).unionByName(edges.select("target_id", "src", "dst")).distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            out: dict[str, list[str]] = {}
+            for _, s, d in held:
+                if d is not None:
+                    out.setdefault(s, []).append(d)
+            for v in out.values():
+                v.sort()
+            found = [(held[0][0], s, n, i, p) for _, s, d in held if d is None for i, (n, p) in enumerate(walk(s, out, max_depth))]
+            held.clear()
+            for lo in range(0, len(found), 10_000):
+                t, s, n, i, p = zip(*found[lo : lo + 10_000])
+                yield pa.RecordBatch.from_arrays([pa.array(t, kind), pa.array(s), pa.array(n), pa.array(i, pa.int32()), pa.array(p, pa.list_(pa.string()))], ["target_id", "start", "node", "visit_no", "path"])
+
+        for b in batches:
+            kind = b.schema.field(0).type
+            for row in zip(*(c.to_pylist() for c in b.columns)):
+                if held and held[0][0] != row[0]:
+                    yield from flush()
+                held.append(row)
+        if held:
+            yield from flush()
+
+    shape = T.StructType([T.StructField("target_id", k), T.StructField("start", T.StringType()), T.StructField("node", T.StringType()), T.StructField("visit_no", T.IntegerType()), T.StructField("path", T.ArrayType(T.StringType()))])
+    return rows.repartition("target_id").sortWithinPartitions("target_id").mapInArrow(run, shape)
+
+
+def _small_and_large(starts: DataFrame, edges: DataFrame) -> tuple[tuple[DataFrame, DataFrame], tuple[DataFrame, DataFrame] | None]:
+    """Starts and edges of targets whose graph one task may hold, and of the others if there are any."""
+    large = cut(edges.groupBy("target_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SMALL_GRAPH).select("target_id"))
+    if large.isEmpty():
+        return (starts, edges), None
+    part = lambda how: (starts.join(large, "target_id", how), edges.join(large, "target_id", how))
+    return part("left_anti"), part("left_semi")
+
 
 def reach(starts: DataFrame, edges: DataFrame, max_depth: int = 8) -> DataFrame:
-    """Nodes reachable within ``max_depth`` calls: (target_id, start, node, depth), shortest depth.
+    """Nodes reachable within ``max_depth`` calls: (target_id, start, node, depth), shortest depth."""
+    small, large = _small_and_large(starts, edges)
+    found = walks(*small, max_depth).select("target_id", "start", "node", (F.size("path") - 1).alias("depth"))
+    return found if large is None else found.unionByName(_reach_by_rounds(*large, max_depth))
 
-    Breadth-first by frontier joins: each round joins only the newly found pairs. The known pairs
+
+def _reach_by_rounds(starts: DataFrame, edges: DataFrame, max_depth: int) -> DataFrame:
+    """Breadth-first by frontier joins: each round joins only the newly found pairs. The known pairs
     are removed by an anti-join, so no pair is expanded twice.
     """
     edges = cut(edges)
@@ -33,6 +123,13 @@ def reach(starts: DataFrame, edges: DataFrame, max_depth: int = 8) -> DataFrame:
 
 def shortest_paths(starts: DataFrame, edges: DataFrame, max_depth: int = 8) -> DataFrame:
     """Shortest call path per (start, node); among equals the one through the smallest names."""
+    small, large = _small_and_large(starts, edges)
+    found = walks(*small, max_depth).select("target_id", "start", "node", "path")
+    return found if large is None else found.unionByName(_paths_by_rounds(*large, max_depth))
+
+
+def _paths_by_rounds(starts: DataFrame, edges: DataFrame, max_depth: int) -> DataFrame:
+    """Shortest paths by frontier joins."""
     edges = cut(edges)
     seen = cut(starts.select("target_id", F.col("node").alias("start"), "node", F.array("node").alias("path")).distinct())
     frontier = seen

@@ -8,13 +8,13 @@ from ..functions.evm import PROXY_SLOTS, keccak256, keccak_text
 from ..operators import aggregates as agg
 from ..operators import bytecode as bc
 from ..operators import facts, graph, protocol, storage, taint
-from ..rules import core
+from ..rules import core, zk
 from ..rules import graph_rules as gr
 from ..rules.catalog import rules_for
-from ..rules.model import nonreentrant
+from ..rules.model import INLINE_AUTH, nonreentrant
 from ..rules.engine import evaluate, functions, oracle_sql, parse
 from ..session import cut
-from .corpus import contract_files, contract_files_sql
+from .corpus import contract_files, contract_files_sql, stored_reads
 from .registry import query, table
 
 FILES = f"files AS ({contract_files_sql()})"
@@ -144,18 +144,78 @@ def context_slice(spark, sf):
     return s.select("target_id", "name", F.col("parts").cast("long").alias("parts"), F.md5("slice").alias("slice"))
 
 
-@query("state_vars")
+# Lines of a file that stand at most one brace deep, as the contract-level text of the derived files, whose bodies are one line each.
+SV = rf"""dl AS (SELECT target_id, path, pos, l, k, sum(len(l) - len(replace(l, '{{', '')) - len(l) + len(replace(l, '}}', ''))) OVER (PARTITION BY target_id, path ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS depth
+ FROM (SELECT target_id, path, pos, unnest(string_split(clean, chr(10))) AS l, generate_subscripts(string_split(clean, chr(10)), 1) AS k FROM files)),
+md AS (SELECT target_id, path, pos, 0 AS grp, k, unnest(regexp_extract_all(l, '{facts.MAPPING}', 4)) AS name, 'mapping' AS type FROM dl WHERE coalesce(depth, 0) <= 1),
+pd AS (SELECT target_id, path, pos, 1 AS grp, k, regexp_extract(l, '{facts.STATE_VAR}', 3) AS name, trim(regexp_replace(regexp_extract(l, '{facts.STATE_VAR}', 1), '\s+', ' ', 'g')) AS type FROM dl
+ WHERE coalesce(depth, 0) <= 1 AND regexp_matches(l, '{facts.STATE_VAR}') AND NOT regexp_matches(regexp_extract(l, '{facts.STATE_VAR}', 0), '{facts.NOT_STATE}')),
+sv AS (SELECT target_id, name, type, path FROM (SELECT * FROM md UNION ALL SELECT * FROM pd) QUALIFY row_number() OVER (PARTITION BY target_id, name ORDER BY pos, grp, k) = 1)"""
+VIS = r"CASE WHEN regexp_extract(tail, '\b(public|external|internal|private)\b', 1) = '' THEN 'unknown' ELSE regexp_extract(tail, '\b(public|external|internal|private)\b', 1) END"
+ACC = lambda t: rf"""ac AS (SELECT target_id, path, name, vis, var, max(w) = 1 AS writes FROM (SELECT target_id, path, name, {VIS} AS vis, unnest(regexp_extract_all(body, '\b([A-Za-z_]\w*)\b', 1)) AS var, 0 AS w FROM {t}
+ UNION ALL SELECT target_id, path, name, {VIS}, unnest(regexp_extract_all(body, '{facts.WRITE}', 1) || regexp_extract_all(body, '\bdelete\s+([A-Za-z_]\w*)\b', 1) || regexp_extract_all(body, '\b([A-Za-z_]\w*)\s*\.\s*(?:push|pop)\s*\(', 1)), 1 FROM {t})
+ WHERE (target_id, var) IN (SELECT target_id, name FROM sv) GROUP BY ALL)"""
+
+
+@query("state_vars", f"WITH {FILES}, {SV} SELECT target_id, name, type, path FROM sv")
 def state_vars(spark, sf):
     return facts.state_vars(parse(contract_files(spark, sf))).select("target_id", "name", "type", "path")
 
 
-@query("read_write_matrix")
+@query("read_write_matrix", f"""WITH {FILES}, {FN}, {SV}, {ACC('fn')} SELECT target_id, var, list_sort(list(DISTINCT name)) AS read_by, coalesce(list_sort(list(DISTINCT name) FILTER (writes)), []) AS written_by,
+ coalesce(list_sort(list(DISTINCT name) FILTER (writes AND vis IN ('public', 'external', 'unknown'))), []) AS entrypoint_writers FROM ac GROUP BY 1, 2""")
 def read_write_matrix(spark, sf):
     p = parse(contract_files(spark, sf))
-    return facts.read_write_matrix(facts.accesses(facts.enrich(functions(p)), facts.state_vars(p)))
-
-
-@query("taint_flows")
+    return facts.read_write_matrix(facts.accesses(functions(p), facts.state_vars(p)))
+
+
+LAST = "ld AS (SELECT * FROM fn QUALIFY row_number() OVER (PARTITION BY target_id, name ORDER BY pos DESC, ord DESC) = 1)"
+LAST_EDGES = EDGES(r"\b([A-Za-z_]\w*)\s*\(").replace("FROM fn", "FROM ld")
+_ARGS = r"((?:[^()]|\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*\))*)"
+_ITEM = r"((?:[^,()\[\]]|\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*\)|\[[^\]]*\])+)"
+_LASTWORD = lambda x: rf"regexp_extract({x}, '([A-Za-z_]\w*)[^\w]*$', 1)"
+_WORDS = lambda t: rf"list_distinct(regexp_extract_all({t}, '{taint.IDENT}', 1) || list_filter([{', '.join(repr(x) for x in taint.PLACES)}], lambda x: contains({t}, x)))"
+_NOISE = ", ".join(f"'{x}'" for x in ("", *facts.PARAM_NOISE))
+_VALUE, _EXT = taint.VALUE_NAME, facts.EXTERNAL_CALL
+#: Names of parameters and decoded fields; low-level calls; sinks; sources; flows with the best confidence of each source and sink.
+FLOWS = rf"""fp AS (SELECT *, {VIS} AS vis, list_transform(list_filter(string_split(params, ','), lambda p: trim(p) <> ''), lambda p, i: CASE WHEN {_LASTWORD('p')} IN ({_NOISE}) THEN 'arg' || (i - 1) ELSE {_LASTWORD('p')} END) AS param_names,
+ list_distinct(list_filter(list_transform(flatten(list_transform(regexp_extract_all(body, '{facts.DECODE}', 1), lambda d: string_split(regexp_replace(d, '[()]', '', 'g'), ','))), lambda p: {_LASTWORD('p')}), lambda x: x <> '')) AS decoded FROM ld),
+ec AS (SELECT target_id, name AS fn, unnest(regexp_extract_all(body, '{_EXT}', 1)) AS target, unnest(regexp_extract_all(body, '{_EXT}', 2)) AS kind, unnest(regexp_extract_all(body, '{_EXT}', 3)) AS opt, unnest(regexp_extract_all(body, '{_EXT}', 4)) AS args FROM ld),
+mb AS (SELECT target_id, name AS fn, 'self' AS target, unnest(regexp_extract_all(body, '{facts.MINT_BURN}', 1)) AS kind, '' AS value, unnest(regexp_extract_all(body, '{facts.MINT_BURN}', 2)) AS args FROM ld),
+lc AS (SELECT target_id, fn, trim(regexp_replace(target, '\s+', ' ', 'g')) AS target, kind, trim(regexp_replace(regexp_extract(opt, '\bvalue\s*:\s*([^,}}]+)', 1), '\s+', ' ', 'g')) AS value, trim(regexp_replace(args, '\s+', ' ', 'g')) AS args FROM ec
+ UNION ALL SELECT target_id, fn, target, 'm:' || kind, value, trim(regexp_replace(args, '\s+', ' ', 'g')) FROM mb),
+st AS (SELECT target_id, name AS fn, unnest(regexp_extract_all(body, '([^;{{}}]+)', 1)) AS stmt, generate_subscripts(regexp_extract_all(body, '([^;{{}}]+)', 1), 1) AS no FROM ld),
+wt AS (SELECT target_id, fn, var, left(trim(regexp_replace(arg_min(stmt, no), '\s+', ' ', 'g')), 500) AS text FROM (SELECT target_id, fn, no, stmt, unnest(list_distinct(regexp_extract_all(regexp_extract(stmt, '(?s)^(.*)(?:=|\+\+|--)', 1), '{taint.IDENT}', 1))) AS var FROM st) GROUP BY 1, 2, 3),
+sk0 AS (SELECT target_id, fn, 'value_transfer' AS sink_kind, replace(kind, 'm:', '') AS label, concat_ws(' ', target, replace(kind, 'm:', ''), args, value, args) AS text FROM lc WHERE kind LIKE 'm:%' OR kind IN {facts.VALUE_METHODS}
+ UNION SELECT target_id, fn, CASE kind WHEN 'call' THEN 'low_level_call' ELSE kind END, kind, concat_ws(' ', target, kind, args, value, args) FROM lc WHERE kind IN ('call', 'delegatecall')
+ UNION SELECT target_id, src, 'upgrade', dst, dst FROM e WHERE regexp_matches(dst, '{taint.UPGRADE_CALL}')
+ UNION SELECT a.target_id, a.name, sink_kind, 'write:' || a.var, coalesce(wt.text, a.var) FROM (SELECT target_id, name, var, unnest(list_filter([CASE WHEN regexp_matches(var, '{taint.REPLAY_VAR}') THEN 'replay_marker' END, CASE WHEN regexp_matches(var, '{taint.ACCOUNT_VAR}') THEN 'accounting_write' END], lambda x: x IS NOT NULL)) AS sink_kind FROM ac WHERE writes) a
+  LEFT JOIN wt ON wt.target_id = a.target_id AND wt.fn = a.name AND wt.var = a.var),
+sk AS MATERIALIZED (SELECT *, {_WORDS('text')} AS words, regexp_matches(text, '{_VALUE}') AS valuey FROM sk0),
+ent AS (SELECT * FROM fp WHERE vis IN ('public', 'external', 'unknown')),
+srcs AS MATERIALIZED (SELECT DISTINCT * FROM (SELECT target_id, name AS entry, 'calldata' AS kind, unnest(list_distinct(param_names || decoded)) AS name_ FROM ent
+ UNION ALL SELECT target_id, name, 'proof_data', unnest(list_filter(list_distinct(param_names || decoded), lambda n: regexp_matches(n, '{taint.PROOF_NAME}'))) FROM ent
+ UNION ALL SELECT target_id, name, 'msg_sender', unnest(list_filter(['msg.sender', 'tx.origin'], lambda x: contains(body, x)) || CASE WHEN contains(body, '_msgSender') THEN ['_msgSender()'] ELSE [] END) FROM ent
+ UNION ALL SELECT target_id, name, 'msg_value', 'msg.value' FROM ent WHERE contains(body, 'msg.value') UNION ALL SELECT target_id, name, 'calldata', 'abi.decode' FROM ent WHERE contains(body, 'abi.decode')
+ UNION ALL SELECT target_id, name, 'oracle', 'oracle_read' FROM ent WHERE regexp_matches(body, '{taint.ORACLE_READ}')) WHERE name_ <> ''),
+rc AS MATERIALIZED (SELECT DISTINCT target_id, entry, fn FROM r),
+rs AS (SELECT srcs.*, rc.fn FROM srcs JOIN rc USING (target_id, entry)),
+ca AS (SELECT target_id, name AS entry, unnest(regexp_extract_all(body, '\b([A-Za-z_]\w*)\s*\({_ARGS}\)', 1)) AS fn, unnest(regexp_extract_all(body, '\b([A-Za-z_]\w*)\s*\({_ARGS}\)', 2)) AS a FROM ld),
+gv AS (SELECT DISTINCT target_id, entry, fn, place, unnest({_WORDS('arg')}) AS name_ FROM (SELECT target_id, entry, fn, unnest(regexp_extract_all(a, '{_ITEM}', 1)) AS arg, generate_subscripts(regexp_extract_all(a, '{_ITEM}', 1), 1) AS place FROM ca WHERE entry <> fn)),
+al AS (SELECT rs.target_id, entry, rs.fn, sink_kind, label, text, kind, name_, 0.9 AS c FROM rs JOIN sk ON sk.target_id = rs.target_id AND sk.fn = rs.fn AND list_contains(words, name_)
+ UNION ALL SELECT rs.target_id, entry, rs.fn, sink_kind, label, text, kind, name_, 0.8 FROM rs JOIN sk ON sk.target_id = rs.target_id AND sk.fn = rs.fn WHERE kind = 'calldata' AND valuey AND sink_kind IN ('delegatecall', 'low_level_call', 'upgrade')
+ UNION ALL SELECT rc.target_id, entry, rc.fn, sink_kind, label, text, 'calldata', d, 0.8 FROM (SELECT target_id, name AS fn, unnest(decoded) AS d FROM fp) x JOIN sk ON sk.target_id = x.target_id AND sk.fn = x.fn JOIN rc ON rc.target_id = x.target_id AND rc.fn = x.fn
+  WHERE sink_kind IN ('value_transfer', 'accounting_write', 'replay_marker') AND (list_contains(words, d) OR regexp_matches(d, '{_VALUE}'))
+ UNION ALL SELECT s.target_id, s.entry, g.fn, sink_kind, label, text, s.kind, s.name_, 0.75 FROM srcs s JOIN gv g ON g.target_id = s.target_id AND g.entry = s.entry AND g.name_ = s.name_ JOIN rc ON rc.target_id = s.target_id AND rc.entry = s.entry AND rc.fn = g.fn
+  JOIN fp ON fp.target_id = s.target_id AND fp.name = g.fn JOIN sk ON sk.target_id = s.target_id AND sk.fn = g.fn WHERE valuey OR list_contains(words, fp.param_names[place])
+ UNION ALL SELECT rs.target_id, entry, rs.fn, sink_kind, label, text, kind, name_, 0.55 FROM rs JOIN sk ON sk.target_id = rs.target_id AND sk.fn = rs.fn WHERE kind = 'oracle' AND sink_kind IN ('value_transfer', 'accounting_write')
+ UNION ALL SELECT rc.target_id, entry, rc.fn, sink_kind, label, text, 'calldata', 'cross_function_args', 0.45 FROM rc JOIN sk ON sk.target_id = rc.target_id AND sk.fn = rc.fn WHERE entry <> rc.fn AND valuey AND sink_kind IN ('value_transfer', 'accounting_write', 'replay_marker')),
+fl AS MATERIALIZED (SELECT target_id, entry AS entrypoint, fn AS function, kind AS source_kind, name_ AS source, sink_kind, label AS sink, text AS sink_text, max(c)::DOUBLE AS confidence, entry <> fn AS cross_function FROM al GROUP BY ALL)"""
+REACH = f"r AS (SELECT target_id, name AS entry, name AS fn, 0 AS d FROM ld WHERE {VIS} IN ('public', 'external', 'unknown') UNION SELECT r.target_id, r.entry, e.dst, r.d + 1 FROM r JOIN e ON e.target_id = r.target_id AND e.src = r.fn WHERE r.d < 8)"
+FLOW_SQL = f"WITH RECURSIVE {FILES}, {FN}, {LAST}, {LAST_EDGES}, {SV}, {ACC('ld')}, {REACH}, {FLOWS}"
+
+
+@query("taint_flows", f"{FLOW_SQL} SELECT target_id, entrypoint, function, source_kind, source, sink_kind, sink, confidence, cross_function FROM fl")
 def taint_flows(spark, sf):
     p = parse(contract_files(spark, sf))
     return taint.flows(facts.enrich(functions(p)), facts.state_vars(p)).select("target_id", "entrypoint", "function", "source_kind", "source", "sink_kind", "sink", "confidence", "cross_function")
@@ -448,18 +508,35 @@ def _flow_inputs(spark, sf):
     return f, sv, taint.flows(f, sv)
 
 
-@query("rule_delegatecall")
+_RULE = lambda det, rule, imp, conf, bug, fn: f"SELECT target_id, '{det}' AS detector, '{rule}' AS rule_id, {imp}::DOUBLE AS impact, {conf}::DOUBLE AS conf, '{bug}' AS bug_class, {fn} AS function"
+_GUARD = lambda t: rf"(regexp_matches({t}tail || chr(10) || {t}body, '{gr.SEMANTIC_GUARD}') OR regexp_matches({t}body, 'hasRole\s*\(|msg\.sender\s*==|_msgSender\s*\(\s*\)\s*==') OR regexp_matches({t}body, '(?i){INLINE_AUTH}'))"
+
+
+@query("rule_delegatecall", rf"""{FLOW_SQL}, {ACC('fn').replace('ac AS', 'ac2 AS', 1)},
+dc AS (SELECT *, CASE WHEN regexp_extract(body, '{gr.DELEGATE_TARGET}', 1) <> '' THEN regexp_extract(body, '{gr.DELEGATE_TARGET}', 1) ELSE regexp_extract(body, '{gr.ASM_DELEGATE}', 1) END AS whole FROM fn WHERE NOT regexp_matches(tail, '\b(internal|private|view|pure)\b')),
+db AS (SELECT *, regexp_extract(whole, '^([A-Za-z_]\w*)', 1) AS base FROM dc WHERE whole <> ''),
+dk AS (SELECT *, list_contains(regexp_extract_all(params, '([A-Za-z_]\w*)', 1), base) AS in_params, regexp_matches(body, '(?i)\b' || base || '\s*=\s*[^;]*(abi\.decode|calldata|msg\.data)') AS from_calldata,
+ regexp_extract(body, '(?i)' || base || '\s*\[\s*([^\]]+)\]\s*\.\s*delegatecall', 1) AS key, list_transform(list_filter(string_split(params, ','), lambda p: trim(p) <> ''), lambda p, i: CASE WHEN {_LASTWORD('p')} IN ({_NOISE}) THEN 'arg' || (i - 1) ELSE {_LASTWORD('p')} END) AS pn FROM db WHERE lower(base) NOT IN ('this', 'address')),
+dw AS (SELECT ac2.target_id, var AS base, bool_and({_GUARD('fn.')} OR ac2.vis IN ('internal', 'private')) AS admin_set FROM ac2 JOIN fn ON fn.target_id = ac2.target_id AND fn.name = ac2.name AND fn.path = ac2.path AND {VIS.replace('tail', 'fn.tail')} = ac2.vis WHERE writes GROUP BY 1, 2),
+df AS (SELECT dk.*, key <> '' AND (contains(key, 'msg.sender') OR list_has_any(regexp_extract_all(key, '{taint.IDENT}', 1), pn)) AS by_key, (target_id, name) IN (SELECT target_id, function FROM fl WHERE sink_kind = 'delegatecall' AND confidence >= 0.75) AS tainted, {_GUARD('')} AS guarded FROM dk)
+{_RULE('delegatecall', 'delegatecall_to_untrusted_implementation', 'CASE WHEN guarded THEN 6.0 ELSE 9.0 END', 'CASE WHEN guarded THEN 4.0 WHEN tainted THEN 8.5 ELSE 8.0 END', 'delegatecall', 'name')} FROM df LEFT JOIN dw USING (target_id, base)
+WHERE (in_params OR from_calldata OR by_key OR tainted) AND NOT (coalesce(admin_set, false) AND NOT in_params AND NOT from_calldata AND by_key)""")
 def rule_delegatecall(spark, sf):
     f, sv, fl = _flow_inputs(spark, sf)
     return gr.delegatecall(f, fl, facts.accesses(f, sv))
 
 
-@query("rule_taint_value_flow")
+@query("rule_taint_value_flow", f"""{FLOW_SQL} {_RULE('weird_hunt_taint_value_flow', 'calldata_cross_function_value_sink', 8.0, 4.0, 'cross_function_value_flow', 'function')}
+FROM (SELECT DISTINCT target_id, entrypoint, function, sink, source FROM fl WHERE source_kind = 'calldata' AND sink_kind = 'value_transfer' AND confidence >= 0.75 AND cross_function)""")
 def rule_taint_value_flow(spark, sf):
     return gr.taint_value_flow(_flow_inputs(spark, sf)[2])
 
 
-@query("rule_proof_value_flow")
+@query("rule_proof_value_flow", rf"""{FLOW_SQL}, pe AS (SELECT target_id, name AS entrypoint, {zk.binding.d} AS binding, list_distinct(list_filter(param_names, lambda p: regexp_matches(p, '{gr.PROOF_PARAM}')) || decoded) AS fields FROM fp WHERE regexp_matches(body, '{gr.PROOF_ENTRY}')),
+pf AS (SELECT DISTINCT fl.target_id, fl.entrypoint, list_sort(list_filter(list_distinct(fields || CASE WHEN regexp_matches(source, '^[A-Za-z_]\w*$') THEN [source] ELSE [] END),
+ lambda n: list_contains(regexp_extract_all(lower(sink_text || chr(10) || fp.body), '\b([a-z_]\w*)\b', 1), lower(n)) AND NOT list_contains(regexp_extract_all(lower(binding), '\b([a-z_]\w*)\b', 1), lower(n)))) AS missing
+ FROM fl JOIN pe USING (target_id, entrypoint) JOIN fp ON fp.target_id = fl.target_id AND fp.name = fl.function WHERE sink_kind = 'value_transfer' AND confidence >= 0.75 AND source_kind IN ('calldata', 'proof_data'))
+{_RULE('zk_verifier', 'semantic_taint_proof_to_value_unbound', 9.0, 4.5, 'proof-to-value-binding', 'entrypoint')} FROM pf WHERE len(missing) > 0""")
 def rule_proof_value_flow(spark, sf):
     f, _, fl = _flow_inputs(spark, sf)
     return gr.proof_value_flow(fl, f)
@@ -473,17 +550,17 @@ def rule_economic_oracle_lending(spark, sf):
 
 @query("sanity_gates")
 def sanity_gates(spark, sf):
-    """Suppressed and kept candidates by reason over the whole catalog."""
+    """Suppressed and kept candidates by reason over the whole catalog, with stored reads."""
     from .pipeline import triage
 
-    return triage(contract_files(spark, sf), "deep").groupBy("detector", "suppressed", "suppressed_reason").agg(F.count(F.lit(1)).alias("n"))
+    return triage(contract_files(spark, sf), "deep", known=stored_reads(spark, sf)).groupBy("detector", "suppressed", "suppressed_reason").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("triage_offline_order")
 def triage_offline_order(spark, sf):
     from .pipeline import triage
 
-    return triage(contract_files(spark, sf), "deep", order="offline").groupBy("classification", "corroborated").agg(F.count(F.lit(1)).alias("n"))
+    return triage(contract_files(spark, sf), "deep", known=stored_reads(spark, sf), order="offline").groupBy("classification", "corroborated").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("triage_full")

@@ -138,7 +138,7 @@ def delegatecall(fns: DataFrame, flows: DataFrame, acc: DataFrame) -> DataFrame:
     d = d.withColumn("in_params", F.array_contains(F.regexp_extract_all("params", F.lit(r"([A-Za-z_]\w*)"), F.lit(1)), F.col("base")))
     d = d.withColumn("from_calldata", F.expr(r"body RLIKE concat(r'(?i)\b', base, r'\s*=\s*[^;]*(abi\.decode|calldata|msg\.data)')"))
     d = d.withColumn("key", F.expr(r"regexp_extract(body, concat(r'(?i)', base, r'\s*\[\s*([^\]]+)\]\s*\.\s*delegatecall'), 1)"))
-    d = d.withColumn("by_key", (F.col("key") != "") & (F.col("key").contains("msg.sender") | F.exists("param_names", lambda p: F.rlike(F.col("key"), F.concat(F.lit(r"\b"), p, F.lit(r"\b"))))))
+    d = d.withColumn("by_key", (F.col("key") != "") & (F.col("key").contains("msg.sender") | F.arrays_overlap(F.regexp_extract_all("key", F.lit(r"\b([A-Za-z_]\w*)\b"), F.lit(1)), "param_names")))
     tainted = flows.where("sink_kind = 'delegatecall' AND confidence >= 0.75").select("target_id", F.col("function").alias("name")).distinct().withColumn("tainted", F.lit(True))
     d = d.join(tainted, ["target_id", "name"], "left").withColumn("tainted", F.coalesce("tainted", F.lit(False)))
     guard = F.concat_ws("\n", F.array_join("modifiers", " "), F.array_join("guards", " "), "tail", "body").rlike(SEMANTIC_GUARD) | F.col("body").rlike("(?i)" + INLINE_AUTH)
@@ -170,9 +170,9 @@ def proof_value_flow(flows: DataFrame, fns: DataFrame) -> DataFrame:
     d = flows.where("sink_kind = 'value_transfer' AND confidence >= 0.75 AND source_kind IN ('calldata', 'proof_data')")
     d = d.join(e, ["target_id", "entrypoint"]).where(F.col("entry_body").rlike(PROOF_ENTRY)).join(s, ["target_id", "function"])
     names = F.array_union("fields", F.when(F.col("source").rlike(r"^[A-Za-z_]\w*$"), F.array("source")).otherwise(F.array().cast("array<string>")))
-    w = lambda n, t: F.rlike(t, F.concat(F.lit(r"(?i)\b"), n, F.lit(r"\b")))
-    text = F.concat_ws("\n", "sink_text", "sink_body")
-    miss = F.array_sort(F.filter(names, lambda n: w(n, text) & ~w(n, F.col("binding"))))
+    words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(r"\b([a-z_]\w*)\b"), F.lit(1)))
+    d = d.withColumns({"names": names, "in_sink": words(F.concat_ws("\n", "sink_text", "sink_body")), "bound": words(F.col("binding"))})
+    miss = F.array_sort(F.filter("names", lambda n: F.array_contains("in_sink", F.lower(n)) & ~F.array_contains("bound", F.lower(n))))
     d = d.withColumn("missing", F.array_join(miss, ",")).where("missing <> ''").select("target_id", "entrypoint", "missing").distinct()
     return _out(d, "zk_verifier", "semantic_taint_proof_to_value_unbound",
                 9.0, 4.5, "proof-to-value-binding", fn="entrypoint")
