@@ -163,21 +163,37 @@ def load_precision_corpus(rows: DataFrame) -> DataFrame:
                        F.coalesce("allow_reportable", F.lit(False)).alias("allow_reportable"))
 
 
+def overlaps(a: DataFrame, b: DataFrame, a_key: str, b_key: str, least: int = 2) -> DataFrame:
+    """(a_key, b_key, overlap): pairs of token sets with at least `least` tokens in common, exactly.
+
+    Prefix filter: tokens are ordered by the number of sets that hold them. Of a set of n tokens only the n - least + 1 rarest are join
+    keys, since two sets with `least` tokens in common share one among these; so the tokens that every set holds never become a key.
+    Pairs that met are then counted over their whole sets. a(a_key, tokens), b(b_key, tokens), tokens without repeats.
+    """
+    sides = [df.select(F.col(k).alias("id"), "tokens").where(F.size("tokens") >= least) for df, k in ((a, a_key), (b, b_key))]
+    words = [s.select("id", F.explode("tokens").alias("token")) for s in sides]
+    often = words[0].unionByName(words[1]).groupBy("token").agg(F.count(F.lit(1)).alias("often"))
+
+    def prefixes(w: DataFrame) -> DataFrame:
+        lists = w.join(often, "token").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("often", "token"))).alias("t"))  # one set's tokens
+        return lists.select("id", F.explode(F.slice("t", F.lit(1), F.size("t") - (least - 1))).alias("k")).select("id", F.col("k.token").alias("token"))
+
+    met = prefixes(words[0]).withColumnRenamed("id", "l").join(prefixes(words[1]).withColumnRenamed("id", "r"), "token").select("l", "r").distinct()
+    full = met.join(sides[0].toDF("l", "lt"), "l").join(sides[1].toDF("r", "rt"), "r")
+    full = full.select(F.col("l").alias(a_key), F.col("r").alias(b_key), F.size(F.array_intersect("lt", "rt")).cast("long").alias("overlap"))
+    return full.where(F.col("overlap") >= least)
+
+
 def knowledge_matches(cand: DataFrame, corpus: DataFrame, key: str = "cand_id", k: int = 4) -> DataFrame:
     """Closest corpus entries per candidate: at least two shared tokens, +1 critical, +1 detector named; top four.
 
-    Inverted-index join on tokens. A corpus token that occurs in a large share of the candidates would make one
-    hot join key, so the corpus side (a reviewed, bounded dimension whose size is checked by the planner's broadcast
-    threshold) is what Spark may broadcast; otherwise AQE splits the skewed token.
-    cand(cand_id, detector, tokens), corpus(entry_id, entry_pos, severity, keywords).
+    cand(cand_id, detector, tokens), corpus(entry_id, entry_pos, severity, keywords); keys are unique.
     """
     from .dedup import top_per_key
 
-    a = cand.select(key, "detector", F.explode("tokens").alias("token"))
-    b = corpus.select("entry_id", F.explode(F.array_distinct("keywords")).alias("token"))
-    m = a.join(b, "token").groupBy(key, "detector", "entry_id").agg(F.count(F.lit(1)).alias("overlap")).where("overlap >= 2")
+    m = overlaps(cand.select(key, F.array_distinct("tokens").alias("tokens")), corpus.select("entry_id", F.array_distinct("keywords").alias("tokens")), key, "entry_id")
     e = corpus.select("entry_id", "entry_pos", "severity", F.array_join("keywords", "").alias("joined"))
-    m = m.join(e, "entry_id")
+    m = m.join(cand.select(key, "detector"), key).join(e, "entry_id")
     score = F.col("overlap") + (F.upper("severity") == "CRITICAL").cast("int") + F.contains("joined", F.replace("detector", F.lit("_"), F.lit(""))).cast("int")
     return top_per_key(m.withColumn("relevance", score), [key], k, F.desc("relevance"), F.desc("overlap"), F.col("entry_pos")).drop("joined")
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import REPORTABLE, file_slug
+from ..session import discard, stored
+from .dedup import keep_last
 
 
 def finding_details(findings: DataFrame, targets: DataFrame, reviews: DataFrame) -> DataFrame:
@@ -75,6 +77,39 @@ def write_sources(files: DataFrame, path: str) -> None:
 
 def upsert_view(appended: DataFrame, keys: list[str], version: str) -> DataFrame:
     """Last write per key over an append-only table."""
-    from .dedup import keep_last
-
     return keep_last(appended, keys, F.col(version))
+
+
+class Upserts:
+    """Merge of a stream's triggers into a partitioned table: of the rows of a key the one that is last by `order` stays.
+
+    Only the partitions that a trigger touches are read and rewritten. A trigger that comes again (after a failure between the write and
+    the stream's own note) is left out by the ledger; were the ledger lost, merging it again would change nothing either. `partition` is a
+    column that follows from the key, so that all rows of a key are in one partition. For ``foreachBatch``.
+    """
+
+    def __init__(self, path: str, keys: list[str], order: list[str], partition: str):
+        self.path, self.keys, self.order, self.partition = path, keys, order, partition
+
+    def _there(self, spark: SparkSession, path: str) -> bool:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+    def read(self, spark: SparkSession) -> DataFrame:
+        return spark.read.parquet(f"{self.path}/rows")
+
+    def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        done = f"{self.path}/ledger/batch={batch_id}"
+        if self._there(spark, done):
+            return
+        touched, _ = stored(batch)
+        rows = touched
+        if self._there(spark, f"{self.path}/rows"):
+            parts = touched.select(self.partition).distinct()
+            rows = rows.unionByName(self.read(spark).select(*batch.columns).join(parts, self.partition, "left_semi").select(*batch.columns))
+        last = keep_last(rows, self.keys, *[F.col(c) for c in self.order]).select(*batch.columns)
+        merged, path = stored(last)  # the table is read above, so the result is kept apart before it is overwritten
+        merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(self.partition).parquet(f"{self.path}/rows")
+        discard(spark, path)
+        spark.range(1).write.mode("overwrite").parquet(done)

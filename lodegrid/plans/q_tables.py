@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as sc
 from ..operators import aggregates as agg
 from ..operators import dedup, sinks
-from ..streaming import watch
+from ..streaming import watch, windows
 from .derived import FINDINGS, POS, REVIEWS, SCANS, TARGETS, findings, rel
 from ..session import shared_folder
 from .registry import query, spread, table
@@ -417,3 +417,54 @@ def stream_watch(spark, sf):
 @query("restart_recovery", f"WITH {S} SELECT id, CASE WHEN status = 'running' THEN 'failed' ELSE status END AS status, CASE WHEN status = 'running' THEN 'mark_failed' END AS next_action FROM s")
 def restart_recovery(spark, sf):
     return agg.recover_interrupted(rel(spark, sf, SCANS)).select("id", "status", "next_action")
+
+
+def events_stream(spark, sf):
+    """The events files as a stream."""
+    return spark.readStream.schema(spark.read.parquet(f"{sf}/events.parquet").schema).parquet(f"{sf}/events.parquet*").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+CLOSED = "(SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 10 MINUTE FROM events)"
+SUMS = "count(*) AS n, sum(CAST(value AS DECIMAL(18, 2)))::DOUBLE AS total, max(value) AS top"
+
+
+def _sums():
+    return [F.count(F.lit(1)).alias("n"), F.sum(F.col("value").cast("decimal(18,2)")).cast("double").alias("total"), F.max("value").alias("top")]
+
+
+@query("stream_tumbling", f"""WITH s AS (SELECT *, time_bucket(INTERVAL 1 HOUR, ts, TIMESTAMP '1970-01-01') AS window_start FROM events)
+SELECT event_type, window_start, window_start + INTERVAL 1 HOUR AS window_end, {SUMS} FROM s GROUP BY ALL HAVING window_end <= {CLOSED}""")
+def stream_tumbling(spark, sf):
+    return windows.drained(windows.windowed(events_stream(spark, sf), ["event_type"], _sums(), "10 minutes", "1 hour"))
+
+
+@query("stream_sliding", f"""WITH s AS (SELECT *, time_bucket(INTERVAL 15 MINUTE, ts, TIMESTAMP '1970-01-01') - k * INTERVAL 15 MINUTE AS window_start FROM events, range(4) r(k))
+SELECT event_type, window_start, window_start + INTERVAL 1 HOUR AS window_end, {SUMS} FROM s GROUP BY ALL HAVING window_end <= {CLOSED}""")
+def stream_sliding(spark, sf):
+    return windows.drained(windows.windowed(events_stream(spark, sf), ["event_type"], _sums(), "10 minutes", "1 hour", "15 minutes"))
+
+
+@query("stream_sessions", f"""WITH g AS (SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events),
+s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
+SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTE AS session_end, {SUMS} FROM s GROUP BY user_id, k HAVING session_end <= {CLOSED}""")
+def stream_sessions(spark, sf):
+    return windows.drained(windows.sessions(events_stream(spark, sf), ["user_id"], _sums(), "10 minutes", "30 minutes"))
+
+
+@query("stream_first_seen", "SELECT DISTINCT user_id, event_type FROM events")
+def stream_first_seen(spark, sf):
+    """A delay longer than the table's time, so each key comes once."""
+    return windows.drained(windows.first_seen(events_stream(spark, sf), ["user_id", "event_type"], "3650 days").select("user_id", "event_type"))
+
+
+@query("stream_upserts", "SELECT user_id, arg_max(event_id, struct_pack(t := ts, e := event_id)) AS event_id, max(ts) AS ts FROM events GROUP BY 1")
+def stream_upserts(spark, sf):
+    """The latest event of each user, merged trigger by trigger into a partitioned table."""
+    import uuid
+
+    at = f"{shared_folder(spark)}/upserts-{uuid.uuid4().hex}"
+    rows = events_stream(spark, sf).select("user_id", "event_id", "ts", F.pmod(F.xxhash64("user_id"), F.lit(8)).cast("int").alias("part"))
+    merge = sinks.Upserts(f"{at}/table", ["user_id"], ["ts", "event_id"], "part")
+    q = rows.writeStream.foreachBatch(merge).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return merge.read(spark).select("user_id", "event_id", "ts")

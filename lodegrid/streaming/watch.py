@@ -12,7 +12,13 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 KINDS = (("implementation", "upgrade", "critical"), ("codehash", "codehash_change", "critical"), ("admin", "admin_change", "high"),
          ("owner", "owner_change", "high"))
 EVENT = "address string, ts timestamp, kind string, old string, new string, severity string, rescan boolean"
-STATE = "implementation string, codehash string, admin string, owner string"
+STATE = "implementation string, codehash string, admin string, owner string, last long"
+READING = "at long, implementation string, codehash string, admin string, owner string"
+NAMES = [c for c, _, _ in KINDS]
+
+
+def _stamp(micros: int) -> pd.Timestamp:
+    return pd.Timestamp(micros, unit="us")
 
 
 def _changed(old, new) -> bool:
@@ -20,36 +26,75 @@ def _changed(old, new) -> bool:
 
 
 class WatchProcessor(StatefulProcessor):
-    """Per address: baseline of four values. The first reading is silent, an empty reading keeps the old value,
-    and a code-hash change counts only while no implementation is read."""
+    """Per address: baseline of four values and the time of the last reading. The first reading is silent, an empty reading keeps the
+    old value, and a code-hash change counts only while no implementation is read.
+
+    At once: the readings of a trigger are taken in the order of their time, over all chunks they come in; one that is older than the
+    last reading of an earlier trigger changes nothing and is reported as ``late_reading``. Buffered: readings wait in state until the
+    watermark has passed them, so triggers may bring them in any order within the watermark's delay.
+    """
+
+    def __init__(self, buffered: bool = False):
+        self.buffered = buffered
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.state = handle.getValueState("baseline", STATE)
+        if self.buffered:
+            self.waiting = handle.getListState("waiting", READING)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+    def take(self, key, readings: list[tuple]) -> Iterator[pd.DataFrame]:
+        """readings: (microseconds, four values), in any order."""
         base = self.state.get() if self.state.exists() else None
         out = []
-        for pdf in rows:
-            for r in pdf.sort_values("ts").itertuples(index=False):
-                now = {c: (getattr(r, c) or None) for c in ("implementation", "codehash", "admin", "owner")}
-                if base is not None:
-                    for i, (c, kind, sev) in enumerate(KINDS):
-                        if _changed(base[i], now[c]) and not (c == "codehash" and now["implementation"]):
-                            out.append((key[0], r.ts, kind, base[i], now[c], sev, sev == "critical"))
-                    base = tuple(now[c] or base[i] for i, (c, _, _) in enumerate(KINDS))
-                else:
-                    base = tuple(now[c] for c, _, _ in KINDS)
+        for at, *values in sorted(readings, key=lambda r: r[0]):
+            now = dict(zip(NAMES, (v or None for v in values)))
+            if base is not None and at < base[4]:
+                out.append((key[0], _stamp(at), "late_reading", None, None, "info", False))
+                continue
+            if base is not None:
+                for i, (c, kind, sev) in enumerate(KINDS):
+                    if _changed(base[i], now[c]) and not (c == "codehash" and now["implementation"]):
+                        out.append((key[0], _stamp(at), kind, base[i], now[c], sev, sev == "critical"))
+            base = (*(now[c] or (base and base[i]) for i, c in enumerate(NAMES)), at)
         self.state.update(base)
         if out:
             yield pd.DataFrame(out, columns=["address", "ts", "kind", "old", "new", "severity", "rescan"])
 
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        readings = [(pd.Timestamp(r.ts).value // 1000, *(getattr(r, c) or None for c in NAMES)) for pdf in rows for r in pdf.itertuples(index=False)]
+        if not self.buffered:
+            yield from self.take(key, readings)
+            return
+        self.waiting.appendList(readings)
+        for at in {min(r[0] for r in readings), max(r[0] for r in readings)}:
+            self.handle.registerTimer(-(-at // 1000))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        seen = timerValues.getCurrentWatermarkInMs() * 1000
+        readings = list(self.waiting.get()) if self.waiting.exists() else []
+        ready, rest = [tuple(r) for r in readings if r[0] <= seen], [tuple(r) for r in readings if r[0] > seen]
+        if not ready:
+            return
+        if rest:
+            self.waiting.put(rest)
+        else:
+            self.waiting.clear()
+        yield from self.take(key, ready)
+
     def close(self) -> None:
         pass
 
 
-def watch_stream(observations: DataFrame) -> DataFrame:
-    """observations(address, ts, implementation, codehash, admin, owner), streaming -> change events."""
-    return observations.groupBy("address").transformWithStateInPandas(WatchProcessor(), EVENT, "Append", "None")
+def watch_stream(observations: DataFrame, delay: str | None = None) -> DataFrame:
+    """observations(address, ts, implementation, codehash, admin, owner), streaming -> change events.
+
+    delay: how far behind a reading may be (as "1 hour"); changes are then given out once the watermark has passed them. Without it they
+    are given out at once. A trigger's readings of one address are held by one task: bound what a trigger reads by the source's options.
+    """
+    mode = "None" if delay is None else "EventTime"
+    timed = observations if delay is None else observations.withWatermark("ts", delay)
+    return timed.groupBy("address").transformWithStateInPandas(WatchProcessor(delay is not None), EVENT, "Append", mode)
 
 
 def watch_batch(observations: DataFrame, bucket: str = "day") -> DataFrame:
