@@ -1,16 +1,21 @@
-"""Benchmark decontamination: gapped seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: rare gapped seeds join texts to items, then Smith-Waterman alignment.
 
 Texts are lower-cased and freed of ASCII punctuation. A seed is two neighbouring words of an item that stand in the text next to each
-other or with one word between them. How many seeds an item needs follows from the least score (`least_pairs`), and how close they stand
-too, so nothing that scores enough is left out, whatever the other documents hold and however common a phrase is. A bit map of fixed size
-tells most of a text's pairs off. Candidates are aligned: matching words score 2, others and gaps -1; the score is divided by that of the
-whole item. Paraphrased and edited copies keep much of it.
-
-Each document is looked at by itself: nothing is shuffled. The driver holds the items; a task holds about a million of their words at a
-time (30 MB and the bit map), and more items take further passes over the documents.
-
-Defined results: null texts have no words; items of fewer than n words are never found; null ids are kept as they are; repeated rows are
-reported each by itself; empty tables give an empty table; further columns are not read.
+other or with one word between them. How many of its seeds an item needs follows from the least score (`least_pairs`): say `need` of
+them. An item's seeds are ranked by the number of different texts that hold them, over the whole table, and its most common ones are left out
+of the join: so many that a text which holds `need` seeds still holds half of `need` among the rest. So no alignment of enough score is
+lost, however common a phrase is, and common phrases bring no pairs together.
+
+1. One pass over the texts writes the places of all pairs that a bit map of the items' seeds lets through (fixed size, built by Spark).
+2. Their texts are counted by seed; the rare seeds of the items join the places on equality; pairs of document and item with enough
+   different seeds are candidates.
+3. Candidates are aligned: matching words score 2, others and gaps -1; the score is divided by that of the whole item. Paraphrased and
+   edited copies keep much of it.
+
+Defined results: null texts have no words and hold nothing; an item of fewer than n words is found in documents that have exactly its
+words and no others; an item without words is never found; null ids are kept as they are; repeated rows are reported each by itself;
+items that repeat both id and text count once; empty tables give an empty table; further columns are not read. Memory: the pairs of one
+text, the bit map, and 256 items of a text at a time.
 """
 
 from __future__ import annotations
@@ -22,16 +27,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import text_of
+from ..session import stored
+from .common import free_name, text_of
 
 PUNCTUATION = bytes.maketrans(string.punctuation.encode(), b" " * len(string.punctuation))
 MATCH, OTHER, GAP = 2, -1, -1
-#: Words of items in one index.
-CHUNK = 1_000_000
+#: Rows of a batch of places, and items that are aligned with a text at a time.
+ROWS, ITEMS = 65_536, 256
 
 
 def words_of(text: str) -> list[bytes]:
@@ -49,6 +55,11 @@ def pairs(h: np.ndarray, apart: int) -> np.ndarray:
     return out * np.uint64(0xD6E8FEB86659FD93)
 
 
+def whole(h: np.ndarray) -> np.ndarray:
+    """64-bit hash of all words of a short text."""
+    return np.frombuffer(xxhash.xxh3_64_digest(h.tobytes(), 7), ">u8").astype(np.uint64)
+
+
 def align(item: np.ndarray, words: np.ndarray) -> tuple[float, int, int]:
     """Best local alignment of the item in the words: score over the item's full score, first and last word (exclusive)."""
     m, n = len(item), len(words)
@@ -84,103 +95,170 @@ def least_pairs(words: int, least: float) -> int:
     return max(1, math.ceil(words * (1.5 * least - 0.5) - 1 - 1e-9))
 
 
-class Index:
-    """Pairs of neighbours of some items: where they stand, and how many an item needs."""
-
-    def __init__(self, ids: pa.Array, bodies: list[bytes], least: float, bits: int):
-        self.ids, self.words = ids, [hashes(b.split()) for b in bodies]
-        self.size = np.array([len(w) for w in self.words], np.int64)
-        self.need = np.array([least_pairs(n, least) for n in self.size.tolist()], np.int64)
-        keys = np.concatenate([pairs(w, 1) for w in self.words])
-        order = np.argsort(keys, kind="stable")
-        self.item = np.repeat(np.arange(len(bodies), dtype=np.int32), self.size - 1)[order]
-        self.at = np.concatenate([np.arange(n - 1, dtype=np.int32) for n in self.size])[order]
-        self.keys, self.begin = np.unique(keys[order], return_index=True)
-        self.begin = np.append(self.begin, len(keys))
-        self.shift = np.uint64(64 - bits)
-        self.flags = np.zeros(1 << bits, bool)
-        self.flags[self.keys >> self.shift] = True
-
-    def hits(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(item, at, place) of the pairs of a text that are an item's, by item, then place."""
-        found = [(k[p], p) for k in (pairs(h, 1), pairs(h, 2)) for p in [np.flatnonzero(self.flags[k >> self.shift])]]
-        key, place = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
-        n = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        same = self.keys[n] == key
-        n, place = n[same], place[same]
-        many = self.begin[n + 1] - self.begin[n]
-        posting = np.arange(many.sum()) + np.repeat(self.begin[n] - np.cumsum(many) + many, many)
-        item, at, place = self.item[posting], self.at[posting], np.repeat(place, many)
-        order = np.lexsort((place, item))
-        return item[order], at[order], place[order]
-
-    def best(self, h: np.ndarray, least: float) -> list[tuple[int, float, int, int]]:
-        """(item, score, first word, last word exclusive) of the items that the text holds.
-
-        An alignment that scores enough takes no more words of the text than two times the item's, so its pairs stand that close.
+def seeds_of(h: np.ndarray, n: int, least: float) -> tuple[np.ndarray, int]:
+    """An item's seeds, and how many of them a text that holds it has. Short items have one, of all their words."""
+    if len(h) < n:
+        return (whole(h), 1) if len(h) else (np.zeros(0, np.uint64), 1)
+    return pairs(h, 1), least_pairs(len(h), least)
+
+
+def seeds_in(h: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(seed, place) of all pairs of a text, and of the whole text where it is short."""
+    found = [(k, np.arange(len(k))) for k in ((pairs(h, 1), pairs(h, 2)) if len(h) > 1 else ())]
+    if 0 < len(h) < n:
+        found.append((whole(h), np.zeros(1, np.int64)))
+    if not found:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+
+
+class Text:
+    """A text's words and pairs, against which items are aligned one by one."""
+
+    def __init__(self, body: str, n: int, least: float):
+        self.h, self.n, self.least = hashes(words_of(body)), n, least
+        seed, place = seeds_in(self.h, n)
+        order = np.lexsort((place, seed))
+        self.seed, self.place = seed[order], place[order]
+
+    def best(self, item: np.ndarray) -> tuple[float, int, int] | None:
+        """(score, first word, last word exclusive) if the text holds the item.
+
+        An alignment that scores enough takes no more words of the text than two times the item's, so its seeds stand that close.
         """
-        if len(h) < 2:
-            return []
-        item, at, place = self.hits(h)
-        last = np.arange(len(item)) + self.need[item] - 1
-        full = np.flatnonzero(last < len(item))
-        full = full[(item[last[full]] == item[full]) & (place[last[full]] - place[full] <= 2 * self.size[item[full]])]
-        out = []
-        for i, mine in zip(*np.unique(item[full], return_index=True)):
-            size, need = int(self.size[i]), int(self.need[i])
-            begins = place[full[mine : mine + np.searchsorted(item[full[mine:]], i, "right")]]
-            lo, hi = np.searchsorted(item, i), np.searchsorted(item, i, "right")
-            where, which, best = place[lo:hi], at[lo:hi], (0.0, 0, 0)
-            for part in np.split(begins, np.flatnonzero(np.diff(begins) > 4 * size) + 1):
-                a, e = max(0, int(part[0]) - 2 * size), int(part[-1]) + 2 * size + 2
-                if len(np.unique(which[np.searchsorted(where, a) : np.searchsorted(where, e)])) >= need:
-                    score, x, y = align(self.words[i], h[a:e])
-                    best = max(best, (score, a + x, a + y))
-            if best[0] >= least:
-                out.append((int(i), *best))
-        return out
-
-
-def indexes(items: DataFrame, item: str, text: str, n: int, least: float, bits: int) -> Iterator[Index]:
-    """The different items of at least n words, about CHUNK words in each index."""
-    table = items.select(items[item].alias("item"), text_of(items, text).alias("body")).distinct().toArrow()
-    bodies = [b" ".join(words_of(t)) for t in table.column(1).to_pylist()]
-    sizes = np.array([b.count(b" ") + 1 for b in bodies], np.int64)
-    kept = np.flatnonzero(sizes >= n)
-    for part in np.split(kept, np.flatnonzero(np.diff(np.cumsum(sizes[kept]) // CHUNK)) + 1):
-        if len(part):
-            yield Index(table.column(0).combine_chunks().take(pa.array(part)), [bodies[k] for k in part.tolist()], least, bits)
+        size = len(item)
+        if size < self.n:
+            return (1.0, 0, size) if np.array_equal(item, self.h) else None
+        seeds, need = seeds_of(item, self.n, self.least)
+        lo, hi = np.searchsorted(self.seed, seeds), np.searchsorted(self.seed, seeds, "right")
+        many = hi - lo
+        at = np.repeat(np.arange(len(seeds)), many)
+        place = self.place[np.arange(many.sum()) + np.repeat(lo - np.cumsum(many) + many, many)]
+        order = np.argsort(place, kind="stable")
+        at, place = at[order], place[order]
+        first = np.arange(max(0, len(place) - need + 1))
+        begins = place[first[place[first + need - 1] - place[first] <= 2 * size]]
+        best = (0.0, 0, 0)
+        for part in np.split(begins, np.flatnonzero(np.diff(begins) > 4 * size) + 1) if len(begins) else ():
+            a, e = max(0, int(part[0]) - 2 * size), int(part[-1]) + 2 * size + 2
+            if len(np.unique(at[np.searchsorted(place, a) : np.searchsorted(place, e)])) >= need:
+                score, x, y = align(item, self.h[a:e])
+                best = max(best, (score, a + x, a + y))
+        return best if best[0] >= self.least else None
+
+
+def item_table(items: DataFrame, item: str, text: str, n: int, least: float) -> DataFrame:
+    """One row per different item with words: no, item, words and seeds (64-bit hashes, signed), need."""
+    shape = T.StructType([T.StructField("item", items.schema[item].dataType), T.StructField("words", T.ArrayType(T.LongType())), T.StructField("seeds", T.ArrayType(T.LongType())), T.StructField("need", T.IntegerType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            words = [hashes(words_of(x.as_py())) for x in b.column(1)]
+            seeds = [seeds_of(h, n, least) for h in words]
+            lists = lambda hs: pa.array([h.view(np.int64) for h in hs], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), lists(words), lists([s for s, _ in seeds]), pa.array([k for _, k in seeds], pa.int32())], shape.names)
+
+    table = items.select(items[item].alias("item"), text_of(items, text).alias("body")).distinct().mapInArrow(run, shape)
+    return stored(table.where(F.size("words") > 0).withColumn("no", F.monotonically_increasing_id()))[0]
+
+
+def bit_map(seeds: DataFrame, bits: int) -> bytes:
+    """2^bits bits, set where the first bits of a seed say: 2 MB for 24 bits, however many seeds there are."""
+    at = F.shiftrightunsigned("seed", 64 - bits) + 1
+    rows = seeds.groupBy(F.bitmap_bucket_number(at).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bitmap")).collect()
+    out = bytearray(1 << bits - 3)
+    for r in rows:
+        out[(r["bucket"] - 1) * 4096 : (r["bucket"] - 1) * 4096 + len(r["bitmap"])] = r["bitmap"]
+    return bytes(out)
+
+
+def places(texts: DataFrame, flags: bytes, bits: int, n: int) -> DataFrame:
+    """(row, seed) of the pairs of each text (row, text) whose bit is set, repeats of a text left out."""
+    spark: SparkSession = texts.sparkSession
+    held = spark.sparkContext.broadcast(flags)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flag, shift = np.unpackbits(np.frombuffer(held.value, np.uint8), bitorder="little").view(bool), np.uint64(64 - bits)
+        rows, seeds, many = [], [], 0
+
+        def batch() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(np.concatenate(rows)), pa.array(np.concatenate(seeds).view(np.int64))], ["row", "seed"])
+            rows.clear()
+            seeds.clear()
+            return out
+
+        for b in batches:
+            for row, x in zip(b.column(0).to_numpy(), b.column(1)):
+                seed, _ = seeds_in(hashes(words_of(x.as_py())), n)
+                seed = np.unique(seed[flag[seed >> shift]])
+                if len(seed):
+                    rows.append(np.full(len(seed), row, np.int64))
+                    seeds.append(seed)
+                    many += len(seed)
+                    if many >= ROWS:
+                        many = 0
+                        yield batch()
+        if rows:
+            yield batch()
+
+    return texts.mapInArrow(run, "row long, seed long")
+
+
+def candidates(items: DataFrame, found: DataFrame) -> DataFrame:
+    """(row, no): pairs that can reach the least score, by the rare seeds of the items."""
+    often = found.groupBy("seed").agg(F.count(F.lit(1)).alias("often"))
+    seeds = items.select("no", "need", F.size("seeds").alias("n"), F.posexplode("seeds").alias("at", "seed"))
+    order = Window.partitionBy("no").orderBy(F.coalesce("often", F.lit(0)), "seed", "at")
+    half = F.greatest(F.lit(1), F.floor(F.col("need") / 2)).cast("int")
+    rare = seeds.join(often, "seed", "left").withColumn("rank", F.row_number().over(order)).withColumn("half", half)
+    rare = rare.where(F.col("rank") <= F.col("n") - F.col("need") + F.col("half"))
+    # a seed that an item has several times counts as often
+    rare = rare.groupBy("seed", "no", "half").agg(F.count(F.lit(1)).alias("times"))
+    met = found.join(rare, "seed").groupBy("row", "no", "half").agg(F.sum("times").alias("times"))
+    return met.where(F.col("times") >= F.col("half")).select("row", "no")
 
 
 def matches(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", n: int = 4, least: float = 0.5, bits: int = 24) -> DataFrame:
-    """(key, row, item, score, start, end): documents that hold an item of n words or more, whole or edited, with the share of its score
-    and the words it takes. `least` is 0.5 or more: below, an alignment may do without any two neighbours."""
+    """(key, item, score, start, end): documents that hold an item, whole or edited, with the share of its score and the words it
+    takes. `least` is 0.5 or more: below, an alignment may do without any two neighbours. Texts are known by a hash between the steps, so
+    copies are joined once; texts that share one are only aligned with each other's items, too."""
     if least < 0.5 or n < 4:
         raise ValueError("least has to be 0.5 or more, n 4 or more")
-    schema = T.StructType([T.StructField("key", docs.schema[key].dataType), T.StructField("row", T.LongType()), T.StructField("item", items.schema[item].dataType), T.StructField("score", T.DoubleType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
-    source = docs.select(docs[key].alias("key"), F.monotonically_increasing_id().alias("row"), text_of(docs, text).alias("text"))
-
-    def scan(held) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index = held.value
-            for b in batches:
-                found = [(k, *f) for k, t in enumerate(b.column(2).to_pylist()) for f in index.best(hashes(words_of(t)), least)]
-                if found:
-                    rows, which, scores, starts, ends = zip(*found)
-                    rows = pa.array(rows, pa.int64())
-                    yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), index.ids.take(pa.array(which)), pa.array(scores, pa.float64()), pa.array(starts, pa.int64()), pa.array(ends, pa.int64())], schema.names)
-
-        return source.mapInArrow(run, schema)
-
-    parts = [scan(docs.sparkSession.sparkContext.broadcast(x)) for x in indexes(items, item, item_text, n, least, bits)]
-    found = parts[0] if parts else docs.sparkSession.createDataFrame([], schema)
-    for p in parts[1:]:
-        found = found.unionByName(p)
-    return found.select(F.col("key").alias(key), "row", F.col("item").alias(item), "score", "start", "end")
+    table = item_table(items, item, item_text, n, least)
+    body = text_of(docs, text)
+    source = docs.select(docs[key].alias("key"), F.xxhash64(body).alias("row"), body.alias("text"))
+    flags = bit_map(table.select(F.explode("seeds").alias("seed")), bits)
+    found, _ = stored(places(source.select("row", "text"), flags, bits, n).distinct())
+    met = candidates(table, found).join(table.select("no", "item", "words"), "no")
+    piece = F.floor((F.row_number().over(Window.partitionBy("row").orderBy("no")) - 1) / ITEMS)
+    lists = met.withColumn("piece", piece).groupBy("row", "piece").agg(F.collect_list(F.struct("item", "words")).alias("items"))
+    schema = T.StructType([T.StructField("key", docs.schema[key].dataType), T.StructField("item", items.schema[item].dataType), T.StructField("score", T.DoubleType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, words = b.column(3).values.field(0), b.column(3).values.field(1)
+            offsets = b.column(3).offsets.to_pylist()
+            which, held, found = [], [], []
+            for i in range(b.num_rows):
+                body = Text(b.column(2)[i].as_py(), n, least)
+                for k in range(offsets[i], offsets[i + 1]):
+                    best = body.best(np.array(words[k].as_py(), np.int64).view(np.uint64))
+                    if best is not None:
+                        which.append(i)
+                        held.append(k)
+                        found.append(best)
+            if found:
+                rows = pa.array(which, pa.int64())
+                scores, starts, ends = zip(*found)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(rows), ids.take(pa.array(held, pa.int64())), pa.array(scores, pa.float64()), pa.array(starts, pa.int64()), pa.array(ends, pa.int64())], schema.names)
+
+    found = source.join(lists, "row").select("key", "row", "text", "items").mapInArrow(run, schema)
+    return found.select(F.col("key").alias(key), F.col("item").alias(item), "score", "start", "end")
 
 
 def clean(docs: DataFrame, items: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """The documents that hold no item: all columns. `docs` is a stored table: rows are numbered in the order of its files."""
-    numbered = docs.withColumn("__row", F.monotonically_increasing_id())
-    found = matches(numbered, items, "__row", text, item, item_text).select("__row").distinct()
-    return numbered.join(found, "__row", "left_anti").drop("__row")
+    row = free_name(docs, "row_number")
+    numbered = docs.withColumn(row, F.monotonically_increasing_id())
+    found = matches(numbered, items, row, text, item, item_text).select(row).distinct()
+    return numbered.join(found, row, "left_anti").drop(row)

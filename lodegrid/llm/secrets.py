@@ -9,14 +9,16 @@ are reported as `novel`.
 The identifier dictionary is counted over all documents: the most frequent names in front of `=`, `:` or `(`, at most `names` of them
 (its size bound, a parameter); it is the only thing sent to the tasks.
 
-Defined results: null text is the empty text and has no spans; repeated rows are scanned each by itself; an empty table gives an empty
+Defined results: null text is the empty text and has no spans; a long text is scanned whole, in time that goes with its length and spans; repeated rows are scanned each by itself; an empty table gives an empty
 table; further columns are kept by `redact` and not read by `scan`. Offsets are code points, ends exclusive.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -78,13 +80,17 @@ def novel_spans(text: str, base: list[tuple[int, int, int]], novelty: Novelty, l
     """Candidates not inside a base span that cost `least` bytes a character and have a sensitive word at most `near` characters before
     them, or only white space between them and a reported span, or stand in the block of a private key."""
     out, done = [], -1
+    base = sorted(base)
+    starts, reach = [b for b, _, _ in base], list(accumulate((e for _, _, e in base), max))  # how far the spans so far reach
     blocks = [m.span() for m in KEY_BLOCK.finditer(text)] if "PRIVATE KEY" in text else []
+    block_starts = [b for b, _ in blocks]  # blocks don't overlap
     for m in CANDIDATE.finditer(text):
         s, e = m.span()
-        inside = [f for b, _, f in base if b <= s and e <= f]
-        if inside:
-            done = max(inside)
-        elif SENSITIVE.search(text, max(0, s - near), s) or (done >= 0 and BETWEEN.fullmatch(text, done, s)) or any(b < s < f for b, f in blocks):
+        at = bisect_right(starts, s)
+        block = bisect_left(block_starts, s) - 1
+        if at and reach[at - 1] >= e:
+            done = reach[at - 1]
+        elif SENSITIVE.search(text, max(0, s - near), s) or (done >= 0 and BETWEEN.fullmatch(text, done, s)) or (block >= 0 and s < blocks[block][1]):
             if novelty.of(surroundings(text, s, e, around), m[0]) >= least:
                 out.append((s, 3, e))
                 done = e

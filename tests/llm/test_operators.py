@@ -268,10 +268,56 @@ def test_decontamination_finds_all_that_alignment_finds(spark, none, monkeypatch
     b = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
     found = lambda: sorted((r["doc_id"], r["item_id"]) for r in decontam.matches(d, b).collect())
     assert found() == sorted(want)
-    monkeypatch.setattr(decontam, "CHUNK", 40)  # several passes
+    monkeypatch.setattr(decontam, "ROWS", 50)
+    monkeypatch.setattr(decontam, "ITEMS", 1)
     assert found() == sorted(want)
 
 
+def test_common_seeds_bring_no_pairs_together(spark):
+    rng = random.Random(17)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    phrase = [word() for _ in range(4)]  # in every item and document: three common seeds
+    items = [phrase + [word() for _ in range(26)] for _ in range(30)]
+    docs = [" ".join([word() for _ in range(40)] + phrase + [word() for _ in range(40)]) for _ in range(100)] + [" ".join(items[3])]
+    d = spark.createDataFrame(list(enumerate(docs)), "row long, text string")
+    b = decontam.item_table(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string"), "item_id", "text", 4, 0.5)
+    flags = decontam.bit_map(b.select(F.explode("seeds").alias("seed")), 24)
+    found = decontam.places(d, flags, 24, 4)
+    assert found.groupBy("row").count().where("count >= 3").count() == 101
+    assert [r["row"] for r in decontam.candidates(b, found).collect()] == [100]
+
+
+def test_seeds_of_one_long_text_go_with_its_words(spark):
+    rng = np.random.default_rng(5)
+    vocabulary = [f"w{k}" for k in range(2000)]
+    zipf = lambda n: " ".join(vocabulary[k] for k in np.minimum(rng.zipf(1.2, n), 2000) - 1)
+    b = decontam.item_table(spark.createDataFrame([(i, zipf(50)) for i in range(400)], "item_id long, text string"), "item_id", "text", 4, 0.5)
+    flags = decontam.bit_map(b.select(F.explode("seeds").alias("seed")), 24)
+    many = [decontam.places(spark.createDataFrame([(1, zipf(n))], "row long, text string"), flags, 24, 4).count() for n in (20_000, 80_000)]
+    assert 0 < many[0] <= 40_000 and many[1] <= 4.5 * many[0]
+
+
+def test_short_items_match_whole_documents_only(spark):
+    d = spark.createDataFrame([(1, "Yes, it is."), (2, "yes it is so"), (3, "yes"), (4, ""), (5, None)], "doc_id long, text string")
+    b = spark.createDataFrame([(7, "yes it is"), (8, "yes"), (9, ""), (10, None), (8, "yes")], "item_id long, text string")
+    assert sorted((r["doc_id"], r["item_id"], r["score"], r["start"], r["end"]) for r in decontam.matches(d, b).collect()) == [(1, 7, 1.0, 0, 3), (3, 8, 1.0, 0, 1)]
+
+
+def test_secrets_of_a_text_full_of_spans():
+    import time
+
+    rng = random.Random(18)
+    novelty = secrets.Novelty([])
+    took = []
+    for n in (4000, 16_000):
+        text = " ".join(f"{rng.getrandbits(64):016x}" for _ in range(n)) + "\n-----BEGIN PRIVATE KEY-----\nabc\n-----END PRIVATE KEY-----\n" * n
+        began = time.time()
+        base = secrets.base_spans(text)
+        assert len(base) == n and not secrets.novel_spans(text, base, novelty, 0.6, 48, 256)
+        took.append(time.time() - began)
+    assert took[1] < 10 * max(took[0], 0.05)
+
+
 # 6 ------------------------------------------------------------------------------------------------------------------------------------
 
 def test_language(spark, odd, none):
