@@ -190,6 +190,28 @@ def merge_companions(comp: DataFrame, targets: DataFrame) -> DataFrame:
         "already_in_scan", F.coalesce("already_in_scan", F.lit(False)))
 
 
+def merge_graphs(nodes: DataFrame, edges: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """One graph of a scan from the graphs of its targets(scan_id, target_id, address): nodes, edges and who observed which node.
+
+    Nodes are the same if they have one address, else if target, role and label agree. Where targets differ on a node, the one of the
+    smallest address speaks, then the smaller node id. An edge joins two merged nodes; it is kept once with the number of targets that
+    have it. Observers stay rows (scan_id, node, target_id, id), so a node that every target knows makes no long list. Edges to nodes that
+    are not there go; a null label counts as empty.
+    """
+    t = targets.select("target_id", "scan_id", F.lower("address").alias("observer"))
+    n = nodes.join(t, "target_id").withColumn("node", F.lower(F.coalesce("address", F.concat_ws(":", "observer", "role", "label"))))
+    seen = n.select("scan_id", "node", "target_id", "id").distinct()
+    own = t.select("scan_id", F.col("observer").alias("node")).distinct().withColumn("in_scan", F.lit(True))
+    # counted by target first: a node shared by all targets then shuffles as one row a target and task
+    told = n.groupBy("scan_id", "node", "target_id", "observer").agg(F.min_by(F.struct("label", "role", "address", "source", "confidence"), "id").alias("v"), F.min("id").alias("id"))
+    merged = told.groupBy("scan_id", "node").agg(F.min_by("v", F.struct("observer", "target_id", "id")).alias("v"), F.count(F.lit(1)).alias("targets"), F.min("observer").alias("first_observer"))
+    merged = merged.join(own, ["scan_id", "node"], "left").select("scan_id", "node", "v.*", "targets", "first_observer", F.coalesce("in_scan", F.lit(False)).alias("in_scan"))
+    end = lambda c: seen.select("target_id", F.col("id").alias(c), F.col("node").alias(f"{c}_node"))
+    e = edges.join(seen.select("scan_id", "target_id", F.col("id").alias("src"), F.col("node").alias("src_node")), ["target_id", "src"]).join(end("dst"), ["target_id", "dst"])
+    key = ["scan_id", "src_node", "dst_node", "kind", "function", "method"]
+    return merged, e.select(*key, "target_id").distinct().groupBy(*key).agg(F.count(F.lit(1)).alias("targets")), seen
+
+
 def select_companions(merged: DataFrame, known: DataFrame, max_new: int) -> DataFrame:
     """Resolved, high-value, not yet known companions by role priority; the cap is the expansion budget."""
     pr = F.coalesce(F.try_element_at(F.create_map(*[x for k, v in EXPANSION.items() for x in (F.lit(k), F.lit(v))]), "role"), F.lit(99))

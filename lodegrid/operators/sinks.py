@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import REPORTABLE, file_slug
@@ -10,6 +10,9 @@ from ..session import discard, stored
 from .dedup import keep_last
 
 
+NOTHING = "_No CONFIRMED_CRITICAL or LIKELY_CRITICAL_NEEDS_POC findings to report._"
+
+
 def finding_details(findings: DataFrame, targets: DataFrame, reviews: DataFrame) -> DataFrame:
     """findings with their target and, where present, the review rationale."""
     t = targets.select(F.col("id").alias("target_id"), "scan_id", "address", "chain", "contract_name")
@@ -28,13 +31,28 @@ def document_rows(details: DataFrame, fields: list[str], order: str = "id") -> D
     return rows.select(*head).distinct().withColumn("finding", F.lit(None).cast(rows.schema["finding"].dataType)).unionByName(rows)
 
 
-def csv_rows(details: DataFrame) -> DataFrame:
-    """Eight flat columns; scores rounded half-even to whole numbers; first suggested test or empty."""
+def csv_rows(details: DataFrame, *keys: Column | str) -> DataFrame:
+    """Eight flat columns after the keys; scores rounded half-even to whole numbers; first suggested test or empty."""
     whole = lambda c: F.bround(c, 0).cast("int").cast("string")
-    return details.select("address", "detector", "title", whole("impact_score").alias("impact"), whole("confidence_score").alias("confidence"),
+    return details.select(*keys, "address", "detector", "title", whole("impact_score").alias("impact"), whole("confidence_score").alias("confidence"),
                           "classification", "status", F.coalesce(F.get("next_tests", F.lit(0)), F.lit("")).alias("next_test"))
 
 
+def csv_lines(details: DataFrame) -> DataFrame:
+    """(scan_id, line_no, line): the flat columns as lines of a file, quoted where needed, by finding id; line -1 of each scan is the head."""
+    flat = csv_rows(details, "scan_id", F.col("id").cast("long").alias("line_no"))
+    cols = flat.columns[2:]
+    text = F.to_csv(F.struct(*[F.coalesce(c, F.lit("")).alias(c) for c in cols]), {"emptyValue": "", "escape": '"'})
+    rows = flat.select("scan_id", "line_no", text.alias("line"))
+    return rows.select("scan_id").distinct().select("scan_id", F.lit(-1).cast("long").alias("line_no"), F.lit(",".join(cols)).alias("line")).unionByName(rows)
+
+
+def empty_report(scans: DataFrame, lines: DataFrame) -> DataFrame:
+    """The one line of the report of scans(scan_id) that have nothing to report."""
+    return scans.join(lines.select("scan_id").distinct(), "scan_id", "left_anti").select(
+        "scan_id", F.lit(None).cast("long").alias("target_id"), F.lit(0).cast("long").alias("line_no"), F.lit(NOTHING).alias("line"))
+
+
 def markdown_lines(details: DataFrame) -> DataFrame:
     """Report lines of reportable findings: (scan_id, target_id, line_no, line), a section head per target."""
     rep = details.where(F.col("classification").isin(*REPORTABLE))

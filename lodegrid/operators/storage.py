@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordering import ranked
+
 # ---- Fixed values: slot families -----------------------------------------------------------
 CRITICAL = (r"(?i)owner|admin|govern|guardian|pauser|manager|operator|controller|comptroller|oracle|price|feed|implementation|beacon|"
             r"initialized|initializing|nonce|root|processed|claimed|nullifier|balance|allowance|supply|shares|assets|reserve|pair|pool|"
@@ -57,11 +59,11 @@ def assign_slots(decl: DataFrame, exact: DataFrame, matrix: DataFrame) -> DataFr
 
 
 def critical_slots(slots: DataFrame) -> DataFrame:
-    """Family-bearing slots in report order; slot 0 sorts last like an unknown slot."""
+    """Family-bearing slots with their rank in report order; slot 0 sorts last like an unknown slot."""
     pr = F.coalesce(F.try_element_at(F.create_map(*[x for k, v in FAMILY_PRIORITY.items() for x in (F.lit(k), F.lit(v))]), "family"), F.lit(9))
     last = F.when(F.coalesce("slot", F.lit(0)) == 0, 10**9).otherwise(F.col("slot"))
-    return slots.where("family IS NOT NULL").withColumns({"family_priority": pr, "slot_order": last}).orderBy(
-        "target_id", "family_priority", "source_group", "slot_order", "name")
+    d = slots.where("family IS NOT NULL").withColumns({"family_priority": pr, "slot_order": last})
+    return ranked(d, "target_id", "family_priority", "source_group", "slot_order", "name")
 
 
 def family_counts(slots: DataFrame) -> DataFrame:

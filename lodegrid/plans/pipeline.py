@@ -22,7 +22,7 @@ def to_candidates(hits: DataFrame) -> DataFrame:
     """Catalog hits in the candidate layout; the position sorts by file, offset and rule."""
     return hits.select(
         "target_id", F.struct("pos", "start", "rule_no", "variable").alias("pos"), "detector", "title",
-        F.lit("").alias("description"), "impact", "conf", "rule_id", "bug_class", "file", "snippet", "body_key", "tier", "lead_only", "ev_flags",
+        F.lit("").alias("description"), "impact", "conf", "rule_id", "bug_class", "file", "line", "snippet", "body_key", "tier", "lead_only", "ev_flags",
         F.when(F.col("function").isNotNull(), F.array("function")).otherwise(F.array().cast("array<string>")).alias("functions"),
         F.lit(None).cast("string").alias("function"), F.lit(False).alias("suppressed"), F.lit(False).alias("tool_agree"),
         *[F.lit(None).cast(t).alias(c) for c, t in NONE.items()])
@@ -65,9 +65,9 @@ def special_hits(files: DataFrame, parsed: DataFrame, profile: str, flagged: Dat
     lead = F.col("detector").isin(*LEADS)
     number = F.create_map(*[x for i, n in enumerate(SPECIAL) for x in (F.lit(n), F.lit(100_000 + i))])
     # same file of a function name: the last definition, as the name-keyed facts have it
-    where = fns.groupBy("target_id", F.col("name").alias("function")).agg(F.max_by(F.struct("path", "start", F.substring("body", 1, 1500).alias("snippet"), body_key("body").alias("body_key")), F.struct("pos", "start")).alias("at"))
+    where = fns.groupBy("target_id", F.col("name").alias("function")).agg(F.max_by(F.struct("path", "start", "line", F.substring("body", 1, 1500).alias("snippet"), body_key("body").alias("body_key")), F.struct("pos", "start")).alias("at"))
     return out.join(where, ["target_id", "function"], "left").select(
-        "target_id", none.alias("chain"), F.col("at.path").alias("file"), F.lit(1 << 29).alias("pos"), F.coalesce("at.start", F.lit(0)).alias("start"), F.lit(1).alias("line"),
+        "target_id", none.alias("chain"), F.col("at.path").alias("file"), F.lit(1 << 29).alias("pos"), F.coalesce("at.start", F.lit(0)).alias("start"), F.coalesce("at.line", F.lit(1)).alias("line"),
         F.try_element_at(number, "detector").alias("rule_no"), "detector", "rule_id", F.coalesce("rule_id", "detector").alias("variant"), "bug_class",
         F.concat_ws(": ", F.regexp_replace(F.coalesce("rule_id", "detector"), "_", " "), "function").alias("title"), "function", "impact", "conf",
         F.when(lead, "lead_only").when(F.col("detector") == "delegatecall", "confirmable").alias("tier"), lead.alias("lead_only"),

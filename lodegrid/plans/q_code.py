@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from ..functions.evm import PROXY_SLOTS, keccak256, keccak_text
 from ..operators import aggregates as agg
 from ..operators import bytecode as bc
+from ..operators import dedup
 from ..operators import facts, graph, protocol, storage, taint
+from ..operators.ordering import ranked
 from ..rules import core, zk
 from ..rules import graph_rules as gr
 from ..rules.catalog import rules_for
@@ -15,6 +17,7 @@ from ..rules.model import INLINE_AUTH, nonreentrant
 from ..rules.engine import evaluate, functions, oracle_sql, parse
 from ..session import cut
 from .corpus import contract_files, contract_files_sql, stored_reads
+from .derived import POS
 from .registry import query, table
 
 FILES = f"files AS ({contract_files_sql()})"
@@ -109,13 +112,13 @@ DADDR = lambda c: f"'0x' || lpad(lower(to_hex({c})), 40, '0')"
 
 
 @query("group_targets", f"""WITH m AS (SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'n' || c_nationkey ELSE 's' || c_custkey END AS g FROM customer), a AS (SELECT g, min({DADDR('c_custkey')}) AS component, count(*) AS group_size FROM m GROUP BY 1)
-SELECT {DADDR('c_custkey')} AS address, component, group_size FROM m JOIN a USING (g)""")
+SELECT {DADDR('c_custkey')} AS address, component, group_size, row_number() OVER (ORDER BY group_size DESC, component, {DADDR('c_custkey')}) AS rank_no FROM m JOIN a USING (g)""")
 def group_targets(spark, sf):
     c = table(spark, sf, "customer")
     a = c.select(ADDR(F.col("c_custkey")).alias("address"))
     d = c.where("c_custkey % 2 = 0").select(ADDR(F.col("c_custkey")).alias("address"), F.col("c_nationkey").alias("deployer"))
     px = c.where("c_custkey % 10 = 3").select(ADDR(F.col("c_custkey")).alias("src"), ADDR(F.col("c_custkey") + 100000000).alias("dst"))
-    return graph.group_targets(a, graph.deployer_edges(d), px)
+    return ranked(graph.group_targets(a, graph.deployer_edges(d), px), F.desc("group_size"), "component", "address")
 
 
 @query("xref_join", f"SELECT DISTINCT {DADDR('c_custkey')} AS src, {DADDR('b')} AS dst FROM (SELECT c_custkey, c_custkey + 1 AS b FROM customer UNION ALL SELECT c_custkey, c_custkey * 2 FROM customer) WHERE b <> c_custkey AND b IN (SELECT c_custkey FROM customer)")
@@ -237,12 +240,12 @@ def coverage_surfaces(spark, sf):
     return agg.coverage(contract_files(spark, sf), ["access_control", "bridge_accounting"])
 
 
-@query("value_functions", f"""WITH {FILES}, {FN}, v AS (SELECT target_id, name, path, ord, {' + '.join(f"contains(lower(name), '{h}')::INT" for h in agg.VALUE_HINTS)} + (bool_or(contains(body, 'balances[')) OVER (PARTITION BY target_id, path, name))::INT AS score FROM fn WHERE NOT regexp_matches(tail, '\\b(internal|private)\\b') AND NOT regexp_matches(lower(tail), 'view|pure'))
+@query("value_functions", f"""WITH {FILES}, {FN}, {SV}, {ACC('fn')}, v AS (SELECT target_id, name, path, ord, {' + '.join(f"contains(lower(name), '{h}')::INT" for h in agg.VALUE_HINTS)} + ((target_id, path, name) IN (SELECT target_id, path, name FROM ac))::INT AS score FROM fn WHERE NOT regexp_matches(tail, '\\b(internal|private)\\b') AND NOT regexp_matches(lower(tail), 'view|pure'))
 SELECT target_id, name, score, row_number() OVER (PARTITION BY target_id ORDER BY score DESC, name DESC, path, ord) AS rank_no FROM v WHERE score > 0 QUALIFY rank_no <= 8""")
 def value_functions(spark, sf):
-    f = _fns_once(spark, sf)
-    touching = f.where("contains(body, 'balances[')").where(~F.col("tail").rlike(r"\b(internal|private)\b") & ~F.lower("tail").rlike("view|pure"))
-    return agg.value_functions(f, touching.select("target_id", "path", "name").distinct()).select("target_id", "name", F.col("score").cast("int").alias("score"), "rank_no")
+    p = cut(parse(contract_files(spark, sf)))
+    f = functions(p)
+    return agg.value_functions(f, facts.accesses(f, facts.state_vars(p))).select("target_id", "name", F.col("score").cast("int").alias("score"), "rank_no")
 
 
 def _role_sql(n: str, t: str) -> str:
@@ -295,6 +298,46 @@ def protocol_edges(spark, sf):
     return _graph(spark, sf)[3]
 
 
+# Nodes and edges of a target's graph by line: four addresses in ten are known, some of them scanned; one scan has many targets.
+GNODES = ("SELECT l_orderkey AS target_id, concat('n', CAST(l_linenumber AS VARCHAR(9))) AS id, concat('L', CAST(l_partkey % 20 AS VARCHAR(9))) AS label, CASE l_suppkey % 3 WHEN 0 THEN 'oracle' WHEN 1 THEN 'asset' ELSE 'router' END AS role, "
+          "CASE WHEN l_partkey % 10 < 2 THEN concat('0xB', CAST(l_partkey % 50 AS VARCHAR(20))) WHEN l_partkey % 10 < 4 THEN concat('0xA', CAST(l_orderkey AS VARCHAR(20))) ELSE NULL END AS address, "
+          "l_returnflag AS source, l_discount * 10 AS confidence, " + POS + " AS pos FROM lineitem ")
+GRAPH = f"""n0 AS ({GNODES}), n1 AS (SELECT * EXCLUDE (pos) FROM n0 QUALIFY row_number() OVER (PARTITION BY target_id, id ORDER BY pos, label, source, confidence) = 1),
+t AS (SELECT o_orderkey AS target_id, o_custkey % 100 AS scan_id, lower('0xA' || o_orderkey) AS observer FROM orders),
+k AS (SELECT t.scan_id, t.observer, n1.*, lower(coalesce(address, concat_ws(':', observer, role, label))) AS node FROM n1 JOIN t USING (target_id))"""
+
+
+def _scan_graph(spark, sf):
+    from .derived import rel
+
+    n = dedup.keep_first(rel(spark, sf, GNODES), ["target_id", "id"], F.col("pos"), F.col("label"), F.col("source"), F.col("confidence")).drop("pos")
+    t = table(spark, sf, "orders").select(F.col("o_orderkey").alias("target_id"), (F.col("o_custkey") % 100).alias("scan_id"), F.concat(F.lit("0xA"), F.col("o_orderkey").cast("string")).alias("address"))
+    none = F.lit(None).cast("string")
+    after = F.concat(F.lit("n"), (F.substring("id", 2, 9).cast("int") + 1).cast("string"))
+    e = n.select("target_id", F.col("id").alias("src"), after.alias("dst"), F.concat(F.lit("to_"), "role").alias("kind"), none.alias("function"), F.col("source").alias("method"))
+    return protocol.merge_graphs(n, e, t)
+
+
+@query("scan_graph_nodes", f"""WITH {GRAPH} SELECT scan_id, node, arg_min(label, (observer, target_id, id)) AS label, arg_min(role, (observer, target_id, id)) AS role, arg_min(address, (observer, target_id, id)) AS address, arg_min(source, (observer, target_id, id)) AS source,
+ count(DISTINCT target_id) AS targets, min(observer) AS first_observer, (scan_id, node) IN (SELECT scan_id, observer FROM t) AS in_scan FROM k GROUP BY scan_id, node""")
+def scan_graph_nodes(spark, sf):
+    """Role nodes of whole scans, merged over their targets."""
+    return _scan_graph(spark, sf)[0].drop("confidence")
+
+
+@query("scan_graph_edges", f"""WITH {GRAPH} SELECT a.scan_id, a.node AS src_node, b.node AS dst_node, 'to_' || a.role AS kind, NULL::VARCHAR AS function, a.source AS method, count(DISTINCT a.target_id) AS targets
+FROM k a JOIN k b ON b.target_id = a.target_id AND b.id = 'n' || (CAST(substring(a.id, 2) AS INT) + 1) GROUP BY ALL""")
+def scan_graph_edges(spark, sf):
+    """Reference edges of whole scans between merged nodes."""
+    return _scan_graph(spark, sf)[1]
+
+
+@query("scan_graph_observers", f"WITH {GRAPH} SELECT DISTINCT scan_id, node, target_id, id FROM k")
+def scan_graph_observers(spark, sf):
+    """Which target saw which merged node, and under what id."""
+    return _scan_graph(spark, sf)[2]
+
+
 SURF = {k: f"bool_or(regexp_matches(lower(raw), '{p}'))" for k, p in protocol.SURFACE_TEXT.items()}
 
 
@@ -312,11 +355,11 @@ def protocol_surfaces(spark, sf):
     return protocol.surfaces(n, fl).withColumn("confidence", F.col("confidence").cast("double"))
 
 
-@query("surface_order", SURFACE_CTES + " SELECT id, bool_or(severity IN ('high', 'critical')) AS urgent, count(*) AS targets, min(target_id) AS first_target FROM u GROUP BY 1")
+@query("surface_order", SURFACE_CTES + " SELECT id, bool_or(severity IN ('high', 'critical')) AS urgent, count(*) AS targets, min(target_id) AS first_target, row_number() OVER (ORDER BY bool_or(severity IN ('high', 'critical')) DESC, id) AS rank_no FROM u GROUP BY 1")
 def surface_order(spark, sf):
     """The surfaces of the whole scan, high and critical ones first, then by name."""
     m = protocol_surfaces(spark, sf).groupBy("id").agg(F.bool_or(F.col("severity").isin("high", "critical")).alias("urgent"), F.count(F.lit(1)).alias("targets"), F.min("target_id").alias("first_target"))
-    return m.orderBy(F.desc("urgent"), "id")
+    return ranked(m, F.desc("urgent"), "id")
 
 
 @query("surface_members", """WITH n AS (SELECT DISTINCT l_orderkey % 100 AS target_id, 'n' || l_partkey % 60 AS node_id, CASE l_partkey % 3 WHEN 0 THEN 'amm_pair' WHEN 1 THEN 'router' ELSE 'asset' END AS role FROM lineitem)
@@ -356,9 +399,9 @@ def slot_numbering(spark, sf):
     return _slots(spark, sf).select("target_id", "name", "source_group", F.col("slot").cast("long").alias("slot"), "slot_exact", F.array_join("written_by", ",").alias("written_by"))
 
 
-@query("critical_slots", SLOTS + f", f AS (SELECT *, {FAM} AS family FROM s) SELECT target_id, name, family, slot FROM f WHERE family IS NOT NULL")
+@query("critical_slots", SLOTS + f", f AS (SELECT *, {FAM} AS family FROM s) SELECT target_id, name, family, slot, row_number() OVER (ORDER BY target_id, CASE family {' '.join(f"WHEN '{k}' THEN {v}" for k, v in storage.FAMILY_PRIORITY.items())} ELSE 9 END, g, CASE WHEN coalesce(slot, 0) = 0 THEN 1000000000 ELSE slot END, name) AS rank_no FROM f WHERE family IS NOT NULL")
 def critical_slots(spark, sf):
-    return storage.critical_slots(_slots(spark, sf)).select("target_id", "name", "family", F.col("slot").cast("long").alias("slot"))
+    return storage.critical_slots(_slots(spark, sf)).select("target_id", "name", "family", F.col("slot").cast("long").alias("slot"), "rank_no")
 
 
 @query("family_histogram", SLOTS + f" SELECT target_id, {FAM} AS family, count(*) AS n FROM s WHERE {FAM} IS NOT NULL GROUP BY 1, 2")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import aggregates as agg
 from ..operators import dedup, gates, scoring
+from ..operators.ordering import ranked
 from ..functions import scalars as sc
 from .derived import CANDIDATES, POS, candidates, rel
 from .registry import query, table
@@ -31,10 +32,10 @@ SUBJ = (f"SELECT l_orderkey AS target_id, {POS} AS pos, sha1(concat_ws('|', 'k',
         "sha1(concat_ws('|', 'k', CAST(l_suppkey % 200 AS VARCHAR(9)))) AS pattern_fingerprint FROM lineitem ")
 
 
-@query("suppression_list", f"WITH s AS ({SUPP}) SELECT fingerprint, address, reason FROM s")
+@query("suppression_list", f"WITH s AS ({SUPP}) SELECT fingerprint, address, reason, row_number() OVER (ORDER BY fingerprint NULLS FIRST, address NULLS FIRST, reason NULLS FIRST) AS rank_no FROM s")
 def suppression_list(spark, sf):
     """All suppressions; the table carries no time, so they are ordered by key."""
-    return rel(spark, sf, SUPP).orderBy("fingerprint", "address", "reason")
+    return ranked(rel(spark, sf, SUPP).select("fingerprint", "address", "reason"), "fingerprint", "address", "reason")
 
 
 @query("rule_lookup", f"""WITH {C}, m AS (SELECT rule_id, arg_min(title, struct_pack(t := target_id, p := pos)) AS title, count(*) AS raw_hits, array_to_string(list_sort(list(DISTINCT target_id))[1:3], ',') AS examples FROM c WHERE rule_id IS NOT NULL GROUP BY 1)
@@ -140,9 +141,9 @@ def _prioritised(spark, sf):
     return c.withColumn("priority", scoring.priority())
 
 
-@query("priority_topk", f"WITH {C} SELECT target_id, pos, detector, ({PRIO})::DOUBLE AS priority FROM c")
+@query("priority_topk", f"WITH {C} SELECT target_id, pos, detector, ({PRIO})::DOUBLE AS priority, row_number() OVER (ORDER BY ({PRIO})::DOUBLE DESC, target_id, pos, detector) AS rank_no FROM c")
 def priority_topk(spark, sf):
-    return _prioritised(spark, sf).select("target_id", "pos", "detector", "priority").orderBy(F.desc("priority"), "target_id", "pos")
+    return ranked(_prioritised(spark, sf).select("target_id", "pos", "detector", "priority"), F.desc("priority"), "target_id", "pos", "detector")
 
 
 @query("budget_per_target", f"WITH {C}, p AS (SELECT target_id, pos, ({PRIO})::DOUBLE AS priority FROM c) SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY priority DESC, pos) AS rank_no FROM p QUALIFY rank_no <= 3")

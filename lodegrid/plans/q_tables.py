@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as sc
 from ..operators import aggregates as agg
-from ..operators import dedup, sinks
+from ..operators import bundle, dedup, places, sinks
+from ..operators.ordering import ranked
 from ..streaming import watch, windows
 from .derived import FINDINGS, POS, REVIEWS, SCANS, TARGETS, findings, rel
 from ..session import shared_folder
@@ -28,17 +33,17 @@ def newest_scans(spark, sf):
     return rel(spark, sf, SCANS).select("id", "name", "status").orderBy(F.desc("id")).limit(10)
 
 
-@query("scan_list", f"WITH {S} SELECT id, name, status, chain FROM s")
+@query("scan_list", f"WITH {S} SELECT id, name, status, chain, row_number() OVER (ORDER BY id DESC) AS rank_no FROM s")
 def scan_list(spark, sf):
     """All scans, newest first."""
-    return rel(spark, sf, SCANS).select("id", "name", "status", "chain").orderBy(F.desc("id"))
+    return ranked(rel(spark, sf, SCANS).select("id", "name", "status", "chain"), F.desc("id"))
 
 
-@query("watch_list", "SELECT user_id AS watch_id, max(ts) AS last_seen, count(*) AS observations FROM events GROUP BY 1")
+@query("watch_list", "SELECT user_id AS watch_id, max(ts) AS last_seen, count(*) AS observations, row_number() OVER (ORDER BY max(ts) DESC NULLS LAST, user_id NULLS FIRST) AS rank_no FROM events GROUP BY 1")
 def watch_list(spark, sf):
     """All watches, the one seen last first."""
     w = table(spark, sf, "events").groupBy(F.col("user_id").alias("watch_id")).agg(F.max("ts").alias("last_seen"), F.count(F.lit(1)).alias("observations"))
-    return w.orderBy(F.desc("last_seen"), "watch_id")
+    return ranked(w, F.desc("last_seen"), "watch_id")
 
 
 @query("scan_counts", f"WITH {T}, {FI} SELECT t.scan_id, count(*) AS findings, {BUCKETS} FROM f JOIN t ON t.id = f.target_id GROUP BY 1")
@@ -104,14 +109,14 @@ def filtered_scans(spark, sf):
     return rel(spark, sf, SCANS).where((F.col("status") == "completed") & (F.col("scan_profile") == "deep") & hit).select("id", "name", "status", "chain")
 
 
-@query("findings_order", f"WITH {FI} SELECT id, impact_score, confidence_score FROM f")
+@query("findings_order", f"WITH {FI} SELECT id, impact_score, confidence_score, row_number() OVER (ORDER BY impact_score DESC NULLS LAST, confidence_score DESC NULLS LAST, id) AS rank_no FROM f")
 def findings_order(spark, sf):
-    return rel(spark, sf, FINDINGS).select("id", "impact_score", "confidence_score").orderBy(F.desc("impact_score"), F.desc("confidence_score"), "id")
+    return ranked(rel(spark, sf, FINDINGS).select("id", "impact_score", "confidence_score"), F.desc("impact_score"), F.desc("confidence_score"), "id")
 
 
-@query("locale_sort", f"WITH {S} SELECT id, name FROM s")
+@query("locale_sort", f"WITH {S} SELECT id, name, row_number() OVER (ORDER BY name, id DESC) AS rank_no FROM s")
 def locale_sort(spark, sf):
-    return rel(spark, sf, SCANS).select("id", "name").orderBy(F.collate("name", "UNICODE"), F.desc("id"))
+    return ranked(rel(spark, sf, SCANS).select("id", "name"), F.collate("name", "UNICODE"), F.desc("id"))
 
 
 @query("finding_details", f"WITH {T}, {FI}, {RV} SELECT f.id, f.detector, t.address, t.scan_id, r.rationale AS ai_rationale FROM f JOIN t ON t.id = f.target_id LEFT JOIN r ON r.id = f.ai_review_id")
@@ -468,3 +473,55 @@ def stream_upserts(spark, sf):
     q = rows.writeStream.foreachBatch(merge).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
     q.awaitTermination()
     return merge.read(spark).select("user_id", "event_id", "ts")
+
+
+OFFSETS = [f"(doc_id * {a} + {b}) % (length(text) + 1)" for a, b in ((7919, 11), (104729, 5), (31, 0))]
+
+
+@query("hit_lines", f"""WITH o AS (SELECT DISTINCT doc_id, text, unnest([{', '.join(OFFSETS)}]) AS start FROM documents),
+l AS (SELECT *, length(substring(text, 1, start)) - length(replace(substring(text, 1, start), chr(10), '')) AS ln, string_split(text, chr(10)) AS a FROM o),
+w AS (SELECT *, CASE WHEN a[-1] = '' THEN a[:-2] ELSE a END AS b FROM l)
+SELECT doc_id, start, (ln + 1)::INT AS line, md5(array_to_string(b[greatest(0, ln - 1) + 1:least(len(b), ln + 8)], chr(10))) AS window_md5 FROM w""")
+def hit_lines(spark, sf):
+    """Line and surrounding lines of three offsets in every document."""
+    d = table(spark, sf, "documents", heavy=True).select("doc_id", "text")
+    o = d.select("doc_id", F.explode(F.array(*[F.expr(e).cast("long") for e in OFFSETS])).alias("start")).distinct()
+    return places.with_lines(o, d, ("doc_id",), "text").select("doc_id", "start", "line", F.md5("window").alias("window_md5"))
+
+
+VOLUME = 40
+ENTRIES = f"""s AS ({SCANS}), t AS ({TARGETS}), f AS ({FINDINGS}), d AS (SELECT t.scan_id, f.*, t.address FROM f JOIN t ON t.id = f.target_id),
+e AS (SELECT scan_id, 'evidence/' || target_id || '/' || detector || '_' || id AS entry, 0 AS line_no, detector || ' ' || title || ' ' || classification AS line FROM d
+ UNION ALL SELECT scan_id, 'findings.csv', id, address || ',' || detector || ',' || title || ',' || CAST(round_even(impact_score, 0) AS INT) || ',' || CAST(round_even(confidence_score, 0) AS INT) || ',' || classification || ',' || status || ',' || coalesce(next_test, '') FROM d
+ UNION ALL SELECT DISTINCT scan_id, 'findings.csv', -1, 'address,detector,title,impact,confidence,classification,status,next_test' FROM d)"""
+
+
+@query("export_archives", f"""WITH {ENTRIES}, n AS (SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY entry, line_no, line) - 1 AS k FROM e)
+SELECT scan_id, (k // {VOLUME})::INT AS volume, count(DISTINCT entry)::INT AS n_entries, count(*) AS n_rows, md5(string_agg(line || chr(10), '' ORDER BY k)) AS content_md5 FROM n GROUP BY 1, 2""")
+def export_archives(spark, sf):
+    """Flat findings and evidence of every scan as zip volumes; the digest is that of the lines read back from the archive."""
+    d = sinks.finding_details(findings(spark, sf), rel(spark, sf, TARGETS), rel(spark, sf, REVIEWS))
+    ev = d.select("scan_id", F.concat(F.lit("evidence/"), F.concat_ws("/", F.col("target_id").cast("string"), F.concat_ws("_", "detector", F.col("id").cast("string")))).alias("entry"),
+                  F.lit(0).cast("long").alias("line_no"), F.concat_ws(" ", "detector", "title", "classification").alias("line"))
+    e = ev.unionByName(sinks.csv_lines(d).select("scan_id", F.lit("findings.csv").alias("entry"), "line_no", "line")).withColumn("section", F.lit(None).cast("long"))
+    return bundle.archives(e, VOLUME).select("scan_id", "volume", "n_entries", "n_rows", F.md5(bundle.archive_text("archive")).alias("content_md5"))
+
+
+@query("empty_reports", f"WITH {T}, {FI} SELECT id AS scan_id, '{sinks.NOTHING}' AS line FROM t WHERE id NOT IN (SELECT target_id FROM f WHERE classification IN {CRIT})")
+def empty_reports(spark, sf):
+    """The report line of scans without anything to report, each target taken as a scan of its own."""
+    f = findings(spark, sf).withColumns({"severity_candidate": F.lit("high"), "description": F.lit("")})
+    t = rel(spark, sf, TARGETS).withColumn("scan_id", F.col("id"))
+    d = sinks.finding_details(f, t, rel(spark, sf, REVIEWS))
+    return sinks.empty_report(t.select("scan_id"), sinks.markdown_lines(d)).select("scan_id", "line")
+
+
+@query("bundle_manifest", f"WITH {T}, {FI} SELECT 'findings' AS part, count(*) AS n_rows, count(*) AS n_read FROM f UNION ALL SELECT 'targets', count(*), count(*) FROM t UNION ALL SELECT 'chains', count(DISTINCT chain), count(DISTINCT chain) FROM t")
+def bundle_manifest(spark, sf):
+    """Artefact tables written as one bundle: rows of each part by its manifest and as read back."""
+    t = rel(spark, sf, TARGETS)
+    path = f"{shared_folder(spark)}/bundles-{uuid.uuid4().hex}"
+    bundle.write_bundle({"findings": rel(spark, sf, FINDINGS), "targets": t, "chains": t.select("chain").distinct()}, path)
+    read = [d.agg(F.count(F.lit(1)).alias("n_read")).withColumn("part", F.lit(n)) for n, d in bundle.read_bundle(spark, path).items()]
+    m = bundle.manifest(spark, path).select("part", "n_rows")
+    return m.join(reduce(DataFrame.unionByName, read), "part").select("part", "n_rows", "n_read")

@@ -15,11 +15,17 @@ _DOC = (f"struct<contractName:string,sourceName:string,storageLayout:{_LAYOUT},o
 
 
 def read_artifacts(spark: SparkSession, path: str) -> DataFrame:
-    """JSON artefacts up to the size limit: (artifact, body)."""
+    """Build artefacts below a folder: (artifact, size, body, skipped).
+
+    Files over the size limit are listed with the reason in `skipped` and a null body; their bytes are not read.
+    """
     d = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").load(path)
     low = F.lower("path")
-    keep = low.rlike(r"/(build-info|artifacts|out|cache|sources?)/") | low.rlike(r"[^/]*(metadata|artifact)[^/]*$")
-    return d.where((F.col("length") <= MAX_BYTES) & keep).select(F.col("path").alias("artifact"), F.decode("content", "UTF-8").alias("body"))
+    d = d.where(low.rlike(r"/(build-info|artifacts|out|cache|sources?)/") | low.rlike(r"[^/]*(metadata|artifact)[^/]*$"))
+    none = F.lit(None).cast("string")
+    small = d.where(F.col("length") <= MAX_BYTES).select(F.col("path").alias("artifact"), F.col("length").alias("size"), F.col("content").cast("string").alias("body"), none.alias("skipped"))
+    large = d.where(F.col("length") > MAX_BYTES).select(F.col("path").alias("artifact"), F.col("length").alias("size"), none.alias("body"), F.lit(f"over {MAX_BYTES} bytes").alias("skipped"))
+    return small.unionByName(large)
 
 
 def layouts(docs: DataFrame) -> DataFrame:
