@@ -10,8 +10,9 @@ Texts are shuffled once, into chunks, and read from that exchange by the three p
 
 Defined results: null text has no words; a null id counts as larger than any other; rows with one id never take words from each other;
 texts shorter than a window stay whole; an empty table gives an empty table; further columns are not read. A chunk or a shard is held
-by one task: some MB, or one document if it is longer. Chunks send each shard one block, so `chunk_bytes` should grow with the corpus
-(64 MB and more for many TB) to keep blocks from becoming single windows; results don't depend on it.
+by one task: some MB, or one document if it is longer. Chunks send each shard one block, so chunks get larger with the square root of the
+corpus, from 8 MB (17 GB) up to 32 MB (275 GB; about half a GB in a task), and a shard stands for two chunks: between these blocks grow with
+the corpus alone, beyond them with its square - at 1 TB a block is some 300 windows. Results don't depend on `chunk_bytes`.
 """
 
 from __future__ import annotations
@@ -29,7 +30,16 @@ from .common import text_of
 LAST = np.iinfo(np.int64).max
 #: Multipliers of the two window hashes (odd, otherwise free).
 POWERS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
-CELL_BITS = 24
+CELL_BITS = 25
+#: Least and largest size of a chunk where the caller names none.
+CHUNK_BYTES = (8 << 20, 32 << 20)
+#: Chunks whose cells a shard of the sketch has room for.
+SHARD_CHUNKS = 2
+
+
+def chunk_size(total: int) -> int:
+    """Bytes of a chunk for a corpus of so many bytes; by the square root, so chunks and the blocks between them grow in step."""
+    return int(min(max(CHUNK_BYTES[0], 64 * total**0.5), CHUNK_BYTES[1]))
 
 
 def words_of(text: str) -> list[bytes]:
@@ -127,11 +137,12 @@ def _ids(table: pa.Table) -> np.ndarray:
     return table.column("id").fill_null(LAST).to_numpy()
 
 
-def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 13, depth: int = 2, chunk_bytes: int = 8 << 20) -> DataFrame:
+def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 13, depth: int = 2, chunk_bytes: int | None = None) -> DataFrame:
     """One row per document: key, n_words, n_removed and kept, the words that stay, joined by one space. The id is an integer column."""
     body = docs.select(docs[key].cast("long").alias("id"), text_of(docs, text).alias("text"))
     total = body.agg(F.sum(F.octet_length("text") + F.lit(16))).first()[0] or 0
-    n = max(1, -(-total // chunk_bytes))  # chunks, and shards of a sketch row
+    n = max(1, -(-total // (chunk_bytes or chunk_size(total))))
+    shards = max(1, n // SHARD_CHUNKS)  # of a sketch row, and of the exact groups
     dealt = body.withColumn("chunk", F.pmod(F.xxhash64("id", "text"), F.lit(n)).cast("int"))
     block = "shard int, chunk int, cells binary"
 
@@ -139,7 +150,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int =
         h, _, _, _ = windows(table.column("text").to_pylist(), _ids(table), size)
         chunk, out = table.column("chunk")[0].as_py(), []
         for row in range(depth):
-            c = np.sort(cells(h, row, n))
+            c = np.sort(cells(h, row, shards))
             if len(c) > 2:
                 c = c[np.concatenate(([True, True], c[2:] != c[:-2]))]  # a count of two is enough
             shard = (c >> np.uint64(CELL_BITS)).astype(np.int64)
@@ -149,7 +160,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int =
         return pa.table({"shard": pa.array([x[0] for x in out], pa.int32()), "chunk": pa.array([x[1] for x in out], pa.int32()), "cells": pa.array([x[2] for x in out], pa.binary())})
 
     def merge(table: pa.Table) -> pa.Table:
-        own = [got(x) for x in table.column("cells").to_pylist()]
+        own = [got(x).astype(np.uint32) for x in table.column("cells").to_pylist()]
         value, count = np.unique(np.concatenate(own), return_counts=True)
         value, rows = value[count > 1], []
         for c in own:
@@ -164,14 +175,14 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int =
             h, _, ids, _ = windows(table.column("text").to_pylist(), _ids(table), size)
             known = np.sort(np.concatenate([got(c) | np.uint64(s << CELL_BITS) for s, c in zip(answers.column("shard").to_pylist(), answers.column("cells").to_pylist())]))
             for row in range(depth):
-                c = cells(h, row, n)
+                c = cells(h, row, shards)
                 at = np.searchsorted(known, c)
                 at[at == len(known)] = 0
                 hit = known[at] == c if len(known) else np.zeros(len(c), bool)
                 h, ids = h[hit], ids[hit]
             order, first, low = smallest(h, ids)
             h = h[order][first]
-            shard = (mix(h[:, 1], 20) % np.uint64(n)).astype(np.int64)
+            shard = (mix(h[:, 1], 20) % np.uint64(shards)).astype(np.int64)
             for s in np.unique(shard):
                 m = shard == s
                 out.append((int(s), table.column("chunk")[0].as_py(), h[m].tobytes(), squeeze(low[m])))

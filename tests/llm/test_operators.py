@@ -593,6 +593,12 @@ def test_substring_dedup(spark, odd, none, chunk):
     assert substring.dedup(none).count() == 0
 
 
+def test_blocks_between_chunks_and_shards_grow_with_the_corpus():
+    blocks = lambda total: (total / substring.chunk_size(total)) ** 2 / substring.SHARD_CHUNKS
+    assert substring.chunk_size(1) == substring.chunk_size(10**9) == 8 << 20 and substring.chunk_size(10**14) == 32 << 20
+    assert abs(blocks(200 * 10**9) / blocks(20 * 10**9) - 10) < 0.1
+
+
 def test_sketch_blocks_round_trip():
     rng = np.random.default_rng(0)
     for n, top in ((0, 10), (1, 2**32 - 1), (5000, 2**24), (300, 2**32 - 1)):
