@@ -6,6 +6,9 @@ params, tail, body, ...). Each node keeps the same predicate as Spark SQL text
 oracle). File-grain sub-predicates are collected in ``flags`` so that they are
 computed once per source file, before the function rows are exploded, and never
 drag the whole file text along.
+
+``needs`` are literals without which a predicate is false, an array or text empty, a number zero (see
+``prefilter``); ``own`` marks texts cut out of the function's columns, the only ones that can state any.
 """
 
 from __future__ import annotations
@@ -14,6 +17,8 @@ import hashlib
 import itertools
 import re
 
+from .prefilter import Clauses, both, either, literals
+
 _var = itertools.count()
 # Plain word alternations are substring tests: far cheaper than a case-folding regex over long texts.
 _WORDS = re.compile(r"^[\w -]+(?:\|[\w -]+)*$", re.A)
@@ -53,34 +58,40 @@ def _no_re2(p: str) -> bool:
 
 
 class Node:
-    def __init__(self, s: str, d: str | None, flags: dict | None = None):
+    def __init__(self, s: str, d: str | None, flags: dict | None = None, needs: Clauses = (), own: bool = False, gap: bool = False):
         self.s, self.d, self.flags = s, d, dict(flags or {})
+        self.needs, self.own, self.gap = needs, own, gap
 
-    def _join(self, other: "Node", s: str, d: str, cls=None):
+    def _join(self, other: "Node", s: str, d: str, cls=None, **kw):
         flags = {**self.flags, **other.flags}
         dd = None if self.d is None or other.d is None else d
-        return (cls or type(self))(s, dd, flags)
+        return (cls or type(self))(s, dd, flags, **kw)
+
+    def _lits(self, p) -> Clauses:
+        """Needs of a fixed pattern found in this text; none known for another origin or a pattern put together from columns."""
+        return literals(p) if self.own and isinstance(p, str) else ()
 
 
 class Pred(Node):
     def __and__(self, o: "Pred") -> "Pred":
-        return self._join(o, f"({self.s} AND {o.s})", f"({self.d} AND {o.d})")
+        return self._join(o, f"({self.s} AND {o.s})", f"({self.d} AND {o.d})", needs=both(self.needs, o.needs))
 
     def __or__(self, o: "Pred") -> "Pred":
-        return self._join(o, f"({self.s} OR {o.s})", f"({self.d} OR {o.d})")
+        return self._join(o, f"({self.s} OR {o.s})", f"({self.d} OR {o.d})", needs=either(self.needs, o.needs))
 
     def __invert__(self) -> "Pred":
         return Pred(f"(NOT {self.s})", None if self.d is None else f"(NOT {self.d})", self.flags)
 
     def num(self) -> "Num":
         return Num(f"(CASE WHEN {self.s} THEN 1 ELSE 0 END)",
-                   None if self.d is None else f"(CASE WHEN {self.d} THEN 1 ELSE 0 END)", self.flags)
+                   None if self.d is None else f"(CASE WHEN {self.d} THEN 1 ELSE 0 END)", self.flags, self.needs)
 
 
 class Num(Node):
     def _cmp(self, op: str, o) -> Pred:
+        positive = not isinstance(o, Node) and ((op == ">" and o >= 0) or (op == ">=" and o >= 1))
         o = o if isinstance(o, Node) else Num(str(o), str(o))
-        return self._join(o, f"({self.s} {op} {o.s})", f"({self.d} {op} {o.d})", Pred)
+        return self._join(o, f"({self.s} {op} {o.s})", f"({self.d} {op} {o.d})", Pred, needs=self.needs if positive else ())
 
     def __lt__(self, o): return self._cmp("<", o)
     def __le__(self, o): return self._cmp("<=", o)
@@ -88,7 +99,7 @@ class Num(Node):
     def __ge__(self, o): return self._cmp(">=", o)
 
     def __add__(self, o: "Num") -> "Num":
-        return self._join(o, f"({self.s} + {o.s})", f"({self.d} + {o.d})", Num)
+        return self._join(o, f"({self.s} + {o.s})", f"({self.d} + {o.d})", Num, needs=either(self.needs, o.needs))
 
 
 class Text(Node):
@@ -99,27 +110,31 @@ class Text(Node):
         if isinstance(p, Text):
             return self._join(p, f"({self.s} RLIKE {p.s})", f"regexp_matches({self.d}, {p.d})", Pred)
         fast = _contains(self.s, p, i) if _WORDS.match(p) else None
+        lits = self._lits(p)
         p = _ci(p, i)
         d = None if self.d is None or _no_re2(p) else f"regexp_matches({self.d}, {_duck_lit(p)})"
-        return Pred(fast or f"({self.s} RLIKE {_spark_lit(p)})", d, self.flags)
+        return Pred(fast or f"({self.s} RLIKE {_spark_lit(p)})", d, self.flags, both(lits, self.needs) if lits else ())
 
     def lower(self) -> "Text":
-        return Text(f"lower({self.s})", self.d and f"lower({self.d})", self.flags)
+        return Text(f"lower({self.s})", self.d and f"lower({self.d})", self.flags, self.needs, self.own)
 
     def left(self, n: int) -> "Text":
-        return Text(f"substring({self.s}, 1, {n})", self.d and f"substring({self.d}, 1, {n})", self.flags)
+        return Text(f"substring({self.s}, 1, {n})", self.d and f"substring({self.d}, 1, {n})", self.flags, self.needs, self.own)
 
     def __add__(self, o) -> "Text":
+        # needs hold no white space, so a text joined by white space has none across its parts
+        space = isinstance(o, str) and o.isspace()
         o = o if isinstance(o, Text) else lit(o)
-        return self._join(o, f"concat({self.s}, {o.s})", f"concat({self.d}, {o.d})", Text)
+        return self._join(o, f"concat({self.s}, {o.s})", f"concat({self.d}, {o.d})", Text, own=self.own and (space or (self.gap and o.own)), gap=space)
 
     def eq(self, o) -> Pred:
+        lits = self._lits(re.escape(o)) if isinstance(o, str) else ()
         o = o if isinstance(o, Text) else lit(o)
-        return self._join(o, f"({self.s} = {o.s})", f"({self.d} = {o.d})", Pred)
+        return self._join(o, f"({self.s} = {o.s})", f"({self.d} = {o.d})", Pred, needs=lits)
 
     def isin(self, *vals: str) -> Pred:
         v = ", ".join("'" + x + "'" for x in vals)
-        return Pred(f"({self.s} IN ({v}))", self.d and f"({self.d} IN ({v}))", self.flags)
+        return Pred(f"({self.s} IN ({v}))", self.d and f"({self.d} IN ({v}))", self.flags, either(*(self._lits(re.escape(x)) for x in vals)))
 
     def contains(self, o: "Text") -> Pred:
         return self._join(o, f"contains({self.s}, {o.s})", f"contains({self.d}, {o.d})", Pred)
@@ -135,7 +150,7 @@ class Text(Node):
         return t
 
     def _cutoff(self, w: "Text") -> "Text":
-        return self._join(w, f"regexp_replace({self.s}, {w.s}, '')", f"regexp_replace({self.d}, {w.d}, '')", Text)
+        return self._join(w, f"regexp_replace({self.s}, {w.s}, '')", f"regexp_replace({self.d}, {w.d}, '')", Text, own=self.own)
 
     def after(self, p, i: bool = True) -> "Text":
         """Text following the first match (the whole text where nothing matches)."""
@@ -144,7 +159,7 @@ class Text(Node):
     def before_last(self, p, i: bool = True) -> "Text":
         """Text in front of the last match ('' without one)."""
         w = self._wrap("(?s)^(.*)", p, i, "")
-        return self._join(w, f"regexp_extract({self.s}, {w.s}, 1)", f"regexp_extract({self.d}, {w.d}, 1)", Text)
+        return self._join(w, f"regexp_extract({self.s}, {w.s}, 1)", f"regexp_extract({self.d}, {w.d}, 1)", Text, needs=self._lits(p), own=self.own)
 
     def before(self, p, i: bool = True) -> "Text":
         """Text in front of the first match (the whole text where nothing matches)."""
@@ -153,27 +168,27 @@ class Text(Node):
     def since(self, p, i: bool = True) -> "Text":
         """Text from the first match on, the match included ('' without one)."""
         w = self._wrap("(?s)^.*?(", p, i, ".*)$")
-        return self._join(w, f"regexp_extract({self.s}, {w.s}, 1)", f"regexp_extract({self.d}, {w.d}, 1)", Text)
+        return self._join(w, f"regexp_extract({self.s}, {w.s}, 1)", f"regexp_extract({self.d}, {w.d}, 1)", Text, needs=self._lits(p), own=self.own)
 
     def pos(self, p: str, i: bool = True) -> Num:
         """1-based offset of the first match, 0 where there is none."""
         q = _ci(p, i)
         d = self.d and (f"(CASE WHEN regexp_matches({self.d}, {_duck_lit(q)}) THEN "
                         f"length(regexp_replace({self.d}, {_duck_lit(f'(?s)(?-s:{q}).*$')}, '')) + 1 ELSE 0 END)")
-        return Num(f"regexp_instr({self.s}, {_spark_lit(q)})", d, self.flags)
+        return Num(f"regexp_instr({self.s}, {_spark_lit(q)})", d, self.flags, self._lits(p))
 
     def extract(self, p: str, g: int = 1, i: bool = True) -> "Text":
         q = _ci(p, i)
         d = None if self.d is None or _no_re2(q) else f"regexp_extract({self.d}, {_duck_lit(q)}, {g})"
-        return Text(f"regexp_extract({self.s}, {_spark_lit(q)}, {g})", d, self.flags)
+        return Text(f"regexp_extract({self.s}, {_spark_lit(q)}, {g})", d, self.flags, self._lits(p), self.own)
 
     def all(self, p: str, g: int = 1, i: bool = True) -> "Many":
         q = _ci(p, i)
         d = None if self.d is None or _no_re2(q) else f"regexp_extract_all({self.d}, {_duck_lit(q)}, {g})"
-        return Many(f"regexp_extract_all({self.s}, {_spark_lit(q)}, {g})", d, self.flags)
+        return Many(f"regexp_extract_all({self.s}, {_spark_lit(q)}, {g})", d, self.flags, self._lits(p), self.own)
 
     def nonempty(self) -> Pred:
-        return Pred(f"({self.s} <> '')", self.d and f"({self.d} <> '')", self.flags)
+        return Pred(f"({self.s} <> '')", self.d and f"({self.d} <> '')", self.flags, self.needs)
 
 
 class Many(Node):
@@ -181,19 +196,19 @@ class Many(Node):
 
     def _lam(self, f, kind):
         v = f"x{next(_var)}"
-        p = f(Text(v, v))
+        p = f(Text(v, v, own=self.own))
         flags = {**self.flags, **p.flags}
         return v, p, flags
 
     def where(self, f) -> "Many":
         v, p, flags = self._lam(f, "filter")
         d = None if self.d is None or p.d is None else f"list_filter({self.d}, lambda {v}: {p.d})"
-        return Many(f"filter({self.s}, {v} -> {p.s})", d, flags)
+        return Many(f"filter({self.s}, {v} -> {p.s})", d, flags, both(self.needs, p.needs), self.own)
 
     def map(self, f) -> "Many":
         v, p, flags = self._lam(f, "map")
         d = None if self.d is None or p.d is None else f"list_transform({self.d}, lambda {v}: {p.d})"
-        return Many(f"transform({self.s}, {v} -> {p.s})", d, flags)
+        return Many(f"transform({self.s}, {v} -> {p.s})", d, flags, self.needs, p.own)
 
     def any(self, f) -> Pred:
         return self.where(f).size() > 0
@@ -202,13 +217,13 @@ class Many(Node):
         return ~self.any(lambda x: ~f(x))
 
     def first(self) -> Text:
-        return Text(f"coalesce(get({self.s}, 0), '')", self.d and f"coalesce({self.d}[1], '')", self.flags)
+        return Text(f"coalesce(get({self.s}, 0), '')", self.d and f"coalesce({self.d}[1], '')", self.flags, self.needs, self.own)
 
     def size(self) -> Num:
-        return Num(f"size({self.s})", self.d and f"len({self.d})", self.flags)
+        return Num(f"size({self.s})", self.d and f"len({self.d})", self.flags, self.needs)
 
     def distinct(self) -> "Many":
-        return Many(f"array_distinct({self.s})", self.d and f"list_distinct({self.d})", self.flags)
+        return Many(f"array_distinct({self.s})", self.d and f"list_distinct({self.d})", self.flags, self.needs, self.own)
 
     def first_by(self, f) -> "Many":
         """The first element for each value of ``f``."""
@@ -216,19 +231,19 @@ class Many(Node):
         i = f"i{v}"
         s = f"filter({self.s}, ({v}, {i}) -> array_position(transform({self.s}, {v} -> {p.s}), {p.s}) = {i} + 1)"
         d = None if self.d is None or p.d is None else f"list_filter({self.d}, lambda {v}, {i}: list_position(list_transform({self.d}, lambda {v}: {p.d}), {p.d}) = {i})"
-        return Many(s, d, flags)
+        return Many(s, d, flags, self.needs, self.own)
 
     def overlaps(self, o: "Many") -> Pred:
-        return self._join(o, f"arrays_overlap({self.s}, {o.s})", f"list_has_any({self.d}, {o.d})", Pred)
+        return self._join(o, f"arrays_overlap({self.s}, {o.s})", f"list_has_any({self.d}, {o.d})", Pred, needs=both(self.needs, o.needs))
 
     def same(self, o: "Many") -> Pred:
         return self._join(o, f"({self.s} = {o.s})", f"({self.d} = {o.d})", Pred)
 
     def text(self, sep: str = " ") -> Text:
-        return Text(f"array_join({self.s}, '{sep}')", self.d and f"array_to_string({self.d}, '{sep}')", self.flags)
+        return Text(f"array_join({self.s}, '{sep}')", self.d and f"array_to_string({self.d}, '{sep}')", self.flags, self.needs, self.own and sep.isspace())
 
     def __add__(self, o: "Many") -> "Many":
-        return self._join(o, f"concat({self.s}, {o.s})", f"list_concat({self.d}, {o.d})", Many)
+        return self._join(o, f"concat({self.s}, {o.s})", f"list_concat({self.d}, {o.d})", Many, needs=either(self.needs, o.needs), own=self.own and o.own)
 
 
 def lit(s: str) -> Text:
@@ -261,11 +276,11 @@ def word(x: Text, i: bool = False) -> Pat:
     return near(r"\b", x, r"\b", i=i)
 
 
-def _col(n: str) -> Text:
-    return Text(n, n)
+def _col(n: str, own: bool = False) -> Text:
+    return Text(n, n, own=own)
 
 
-name, params, tail, body = _col("name"), _col("params"), _col("tail"), _col("body")
+name, params, tail, body = (_col(n, own=True) for n in ("name", "params", "tail", "body"))
 chain = _col("chain")
 lname, ltail = name.lower(), tail.lower()
 # Parameters with a name of their own: two words at least, the last one is the name.

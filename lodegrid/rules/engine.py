@@ -17,6 +17,7 @@ from ..functions.text import parse_sources
 from ..session import cut
 from .dsl import Node, lowered
 from .model import GUARD_BODY, Rule
+from .prefilter import RULES_FROM, Gate, both
 
 PACK = 20
 # Comment removal for yes/no target flags; offsets do not matter there, so it stays JVM-side.
@@ -46,15 +47,15 @@ def _flags(nodes: list[Node], grain: str) -> dict:
 _NO_HIT = "cast(array() AS array<struct<r:int,v:string>>)"
 
 
-def _packs(rules: list[tuple[int, Rule]], each: dict[int, str] | None = None) -> str:
-    """SQL of the array of {r, v} for the rules that hold on the current row, in packs."""
-    packs = [_NO_HIT]
+def _packs(rules: list[tuple[int, Rule]], each: dict[int, str] | None = None, gate: Gate | None = None) -> str:
+    """SQL of the array of {r, v} for the rules that hold on the current row, in packs; a gate is asked first."""
+    packs, first = [_NO_HIT], gate.test if gate else lambda i: ""
     for at in range(0, len(rules), PACK):
-        one = [f"CASE WHEN {r.when.s} THEN named_struct('r', {i}, 'v', '') END"
+        one = [f"CASE WHEN {first(i)}{r.when.s} THEN named_struct('r', {i}, 'v', '') END"
                for i, r in rules[at:at + PACK] if r.each is None]
         if one:
             packs.append(f"filter(array({', '.join(one)}), h -> h IS NOT NULL)")
-        packs += [f"CASE WHEN {r.when.s} THEN transform({(each or {}).get(i, r.each.s)}, v -> named_struct('r', {i}, 'v', v)) "
+        packs += [f"CASE WHEN {first(i)}{r.when.s} THEN transform({(each or {}).get(i, r.each.s)}, v -> named_struct('r', {i}, 'v', v)) "
                   f"ELSE {_NO_HIT} END" for i, r in rules[at:at + PACK] if r.each is not None]
     return f"concat({', '.join(packs)})"
 
@@ -87,8 +88,14 @@ def _rule_rows(spark, rules: list[Rule], conds: list[str]) -> DataFrame:
               "custom_guard boolean, tcond int")
 
 
-def evaluate(files: DataFrame, rules: list[Rule], parsed: DataFrame | None = None) -> DataFrame:
-    """Candidate rows of every catalog rule over the source files."""
+def _gate(rules: list[tuple[int, Rule]]) -> Gate | None:
+    """The literal gate of the function rules, where there are enough of them to be worth its pass."""
+    needs = {i: both(r.when.needs, r.each.needs if r.each is not None else ()) for i, r in rules}
+    return Gate(needs) if sum(map(bool, needs.values())) >= RULES_FROM else None
+
+
+def evaluate(files: DataFrame, rules: list[Rule], parsed: DataFrame | None = None, gated: bool = True) -> DataFrame:
+    """Candidate rows of every catalog rule over the source files; without the literal gate (``gated``) the rows are the same."""
     spark = files.sparkSession
     parsed = parse(files) if parsed is None else parsed
     numbered = list(enumerate(rules))
@@ -109,8 +116,12 @@ def evaluate(files: DataFrame, rules: list[Rule], parsed: DataFrame | None = Non
             rows = f"concat({rows}, array(named_struct('is_file', true, {fields.format('0', '1', repr(''), repr(''), repr(''), repr(''))})))"
         keep = [*fl, *lists.values()]
         rel = flagged.select("target_id", "chain", "path", "pos", *keep, F.explode(F.expr(rows)).alias("f")).select("target_id", "chain", "path", "pos", *keep, "f.*")
+        gate = _gate(fn_rules) if gated else None
+        if gate:
+            rel = rel.withColumn("can_hold", gate.column(F.concat_ws("\n", "name", "params", "tail", "body")))
         rel = rel.select("*", *[F.expr(e) for e in lowered("name", "params", "tail", "body")])
-        emit = _packs(fn_rules) if not file_rules else f"CASE WHEN is_file THEN {_packs(file_rules, lists)} ELSE {_packs(fn_rules)} END"
+        by_fn = _packs(fn_rules, gate=gate)
+        emit = by_fn if not file_rules else f"CASE WHEN is_file THEN {_packs(file_rules, lists)} ELSE {by_fn} END"
         hits = rel.select("target_id", "chain", "path", "pos", "start", "line", F.col("name").alias("function"), "tail",
                           F.substring("body", 1, 1500).alias("snippet"), body_key("body").alias("body_key"), F.explode(F.expr(emit)).alias("h"))
     tnodes = [r.target for _, r in numbered if r.target is not None] + [r.when for _, r in numbered if r.grain == "target"]
