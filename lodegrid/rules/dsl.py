@@ -8,7 +8,7 @@ computed once per source file, before the function rows are exploded, and never
 drag the whole file text along.
 
 ``needs`` are literals without which a predicate is false, an array or text empty, a number zero (see
-``prefilter``); ``own`` marks texts cut out of the function's columns, the only ones that can state any.
+``prefilter``); ``own`` marks texts cut out of the function's columns or the file, the only ones that can state any.
 """
 
 from __future__ import annotations
@@ -293,7 +293,8 @@ def _flag(grain: str, p: Pred) -> Pred:
     return Pred(key, None if p.d is None else key, {key: (grain, p)})
 
 
-_clean, _raw = _col("clean"), _col("raw")
+# Needs inside a file-grain flag are about the raw text, of which clean text and functions are parts; a flag's column states none.
+_clean, _raw = _col("clean", own=True), _col("raw", own=True)
 
 
 def in_file(p: str, i: bool = True, raw: bool = False) -> Pred:
@@ -329,7 +330,7 @@ class _Fn:
     """Columns of one element of the file's function array."""
 
     def __init__(self, v: str):
-        self.name, self.params, self.tail, self.body = (Text(f"{v}.{c}", f"{v}.{c}") for c in ("name", "params", "tail", "body"))
+        self.name, self.params, self.tail, self.body = (Text(f"{v}.{c}", f"{v}.{c}", own=True) for c in ("name", "params", "tail", "body"))
 
 
 def some_fn(cond) -> Pred:
@@ -337,7 +338,7 @@ def some_fn(cond) -> Pred:
     v = f"f{next(_var)}"
     p = cond(_Fn(v))
     d = None if p.d is None else f"(len(list_filter(fns, lambda {v}: {p.d})) > 0)"
-    return Pred(f"exists(fns, {v} -> {p.s})", d, p.flags)
+    return Pred(f"exists(fns, {v} -> {p.s})", d, p.flags, p.needs)
 
 
 def fn_names(cond) -> Many:
@@ -345,7 +346,7 @@ def fn_names(cond) -> Many:
     v = f"f{next(_var)}"
     p = cond(_Fn(v))
     d = None if p.d is None else f"list_transform(list_filter(fns, lambda {v}: {p.d}), lambda {v}: {v}.name)"
-    return Many(f"transform(filter(fns, {v} -> {p.s}), {v} -> {v}.name)", d, p.flags)
+    return Many(f"transform(filter(fns, {v} -> {p.s}), {v} -> {v}.name)", d, p.flags, p.needs, own=True)
 
 
 def file_many(m: Many) -> Many:

@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 from ..functions.scalars import body_key
 from ..functions.text import parse_sources
 from ..session import cut
-from .dsl import Node, lowered
+from .dsl import Many, Node, lowered
 from .model import GUARD_BODY, Rule
-from .prefilter import RULES_FROM, Gate, both
+from .prefilter import Gate, both, gate_of
 
 PACK = 20
 # Comment removal for yes/no target flags; offsets do not matter there, so it stays JVM-side.
@@ -88,10 +88,12 @@ def _rule_rows(spark, rules: list[Rule], conds: list[str]) -> DataFrame:
               "custom_guard boolean, tcond int")
 
 
-def _gate(rules: list[tuple[int, Rule]]) -> Gate | None:
-    """The literal gate of the function rules, where there are enough of them to be worth its pass."""
-    needs = {i: both(r.when.needs, r.each.needs if r.each is not None else ()) for i, r in rules}
-    return Gate(needs) if sum(map(bool, needs.values())) >= RULES_FROM else None
+def _file_fact(key: str, node: Node, gate: Gate | None) -> str:
+    """SQL of a file-grain flag or list under its name; a gate is asked first."""
+    can = gate.test(key) if gate else ""
+    if not isinstance(node, Many):
+        return f"({can}{node.s}) AS {key}"
+    return f"CASE WHEN {can}true THEN {node.s} ELSE cast(array() AS array<string>) END AS {key}" if can else f"{node.s} AS {key}"
 
 
 def evaluate(files: DataFrame, rules: list[Rule], parsed: DataFrame | None = None, gated: bool = True) -> DataFrame:
@@ -107,18 +109,22 @@ def evaluate(files: DataFrame, rules: list[Rule], parsed: DataFrame | None = Non
         # with one pseudo row per file that carries the file-grain rules. No file text reaches those rows.
         fl = _flags([n for _, r in fn_rules + file_rules for n in (r.when, r.each)], "f")
         lists = {i: f"each_{i}" for i, r in file_rules if r.each is not None}
-        texts = parsed.select("target_id", "chain", "path", "pos", "raw", "clean", "fns", *[F.expr(e) for e in lowered("raw", "clean")])
-        flagged = texts.select("target_id", "chain", "path", "pos", "fns", *[F.expr(p.s).alias(k) for k, p in fl.items()],
-                                *[F.expr(r.each.s).alias(lists[i]) for i, r in file_rules if i in lists])
+        facts = {**fl, **{lists[i]: r.each for i, r in file_rules if i in lists}}
+        texts = parsed.select("target_id", "chain", "path", "pos", "raw", "clean", "fns")
+        file_gate = gate_of({k: p.needs for k, p in facts.items()}, "file_can") if gated else None
+        if file_gate:
+            texts = texts.withColumn(file_gate.bits, file_gate.column(F.col("raw")))
+        texts = texts.select("*", *[F.expr(e) for e in lowered("raw", "clean")])
+        flagged = texts.select("target_id", "chain", "path", "pos", "fns", *[F.expr(_file_fact(k, p, file_gate)) for k, p in facts.items()])
         fields = "'start', {0}, 'line', {1}, 'name', {2}, 'params', {3}, 'tail', {4}, 'body', {5}"
         rows = "transform(fns, f -> named_struct('is_file', false, " + fields.format(*[f"f.{c}" for c in ("start", "line", "name", "params", "tail", "body")]) + "))"
         if file_rules:
             rows = f"concat({rows}, array(named_struct('is_file', true, {fields.format('0', '1', repr(''), repr(''), repr(''), repr(''))})))"
         keep = [*fl, *lists.values()]
         rel = flagged.select("target_id", "chain", "path", "pos", *keep, F.explode(F.expr(rows)).alias("f")).select("target_id", "chain", "path", "pos", *keep, "f.*")
-        gate = _gate(fn_rules) if gated else None
+        gate = gate_of({i: both(r.when.needs, r.each.needs if r.each is not None else ()) for i, r in fn_rules}, "fn_can") if gated else None
         if gate:
-            rel = rel.withColumn("can_hold", gate.column(F.concat_ws("\n", "name", "params", "tail", "body")))
+            rel = rel.withColumn(gate.bits, gate.column(F.concat_ws("\n", "name", "params", "tail", "body")))
         rel = rel.select("*", *[F.expr(e) for e in lowered("name", "params", "tail", "body")])
         by_fn = _packs(fn_rules, gate=gate)
         emit = by_fn if not file_rules else f"CASE WHEN is_file THEN {_packs(file_rules, lists)} ELSE {by_fn} END"

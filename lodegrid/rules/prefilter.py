@@ -75,9 +75,10 @@ def _clauses(tree) -> list[frozenset]:
 
 
 class Gate:
-    """Numbered rules and what they need; ``column`` computes the bits of the rules that can hold, ``test`` reads one."""
+    """Rules by any key and what they need; ``column`` computes the bits of the rules that can hold, ``test`` reads one of ``bits``."""
 
-    def __init__(self, needs: dict[int, Clauses]):
+    def __init__(self, needs: dict, bits: str = "can_hold"):
+        self.bits = bits
         clauses = list(dict.fromkeys(c for n in needs.values() for c in n))
         number = {c: 1 << i for i, c in enumerate(clauses)}
         self.words: dict[str, int] = {}
@@ -87,12 +88,12 @@ class Gate:
         self.masks = [sum(number[c] for c in n) for n in needs.values() if n]
         self.place = {r: divmod(k, _BITS) for k, r in enumerate(r for r, n in needs.items() if n)}
 
-    def test(self, rule: int) -> str:
+    def test(self, rule) -> str:
         """SQL condition in front of the rule's predicate, with the joining AND; empty for a rule that is always tried."""
         if rule not in self.place:
             return ""
         word, bit = self.place[rule]
-        return f"(can_hold[{word}] & {1 << bit}L) <> 0L AND "
+        return f"({self.bits}[{word}] & {1 << bit}L) <> 0L AND "
 
     def column(self, text: Column) -> Column:
         words, masks = self.words, self.masks
@@ -104,6 +105,9 @@ class Gate:
             for texts in batches:
                 out = []
                 for t in texts:
+                    if t is None:  # unknown, as the rule's own patterns say
+                        out.append(None)
+                        continue
                     met = 0
                     for _, m in find(t.lower()):
                         met |= m
@@ -118,6 +122,11 @@ class Gate:
         return can_hold.asNondeterministic()(text)
 
 
+def gate_of(needs: dict, bits: str) -> Gate | None:
+    """A gate where enough of the rules need anything to be worth the pass."""
+    return Gate(needs, bits) if sum(map(bool, needs.values())) >= RULES_FROM else None
+
+
 def automaton(words: dict[str, int]):
     """Iterator factory over (end, clauses of the literal) of every literal in a lower-cased text, overlapping ones too."""
     import ahocorasick

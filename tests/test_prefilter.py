@@ -104,13 +104,13 @@ def test_gate_loses_no_hit(spark):
     assert evaluate(files.limit(0), rules).isEmpty()
 
 
-def test_gate_is_one_python_step_and_tells_most(spark):
+def test_gates_are_one_python_step_each_and_tell_most(spark):
     rules = rules_for("ultra-deep-v2")
     files = contract_files(spark, SF)
     plan = evaluate(files, [r for r in rules if r.grain == "fn" and r.target is None and not r.custom_guard])._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("+- ArrowEvalPython") + plan.count("+- BatchEvalPython") == 2
+    assert plan.count("+- ArrowEvalPython") + plan.count("+- BatchEvalPython") == 3
     few = evaluate(files, rules_for("deep", only="access_control"))._jdf.queryExecution().optimizedPlan().toString()
-    assert "can_hold" not in few
+    assert "fn_can" not in few and "file_can" not in few
     needs = {i: r.when.needs for i, r in enumerate(rules) if r.grain == "fn"}
     gate = Gate(needs)
     fns = parse(files).select(F.explode("fns").alias("f")).select(F.concat_ws("\n", "f.name", "f.params", "f.tail", "f.body").alias("t"))
