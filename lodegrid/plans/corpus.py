@@ -48,7 +48,13 @@ def stored_reads(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
     code = F.concat(F.lit("0x6080604052"), F.when(k % 4 == 0, "f4").when(k % 4 == 1, "3255").otherwise("f1"), F.lit("63"), pick(3, "3659cfe6", "23b872dd"), F.lit("14"), F.when(k % 9 == 0, "ff").otherwise("00"))
     admins = t.select("target_id", F.when(k % 3 == 0, "0x").when(k % 3 == 1, "0x6080").alias("code"), F.when(k % 2 == 0, "2").alias("getThreshold()"), F.when(k % 4 == 1, "3600").alias("getMinDelay()"))
     kinds = classify_admin(admins).select("target_id", F.col("kind").alias("admin_kind"))
+    read = lambda method, v: F.struct(F.lit(method).alias("method"), v.alias("value"))
+    zero = F.lit("0x" + "0" * 40)
+    values = F.array(read("balance", F.when(k % 3 != 2, (k % 3).cast("string"))), read("totalAssets()", F.when(k % 8 == 0, "0")), read("totalSupply()", F.when(k % 9 == 0, "7")),
+                     read("owner()", F.when(k % 4 == 0, zero).when(k % 4 == 1, addr(k))), read("factory()", F.when(k % 6 == 1, zero)))
     return {
+        "reads": t.select("target_id", F.explode(values).alias("r")).select("target_id", "r.*"),
+        "references": t.where("target_id % 3 = 1").select("target_id", (k + 1).alias("by")),
         "chain": t.select("target_id", (k % 6 != 0).alias("rpc_ok"), F.when(k % 5 != 1, k % 11 == 3).alias("chain_mismatch"), F.when(k % 13 == 5, "0x").when(k % 13 != 6, code).alias("code"),
                           F.when(k % 4 == 1, True).when(k % 4 == 2, False).alias("live_initialized")).join(kinds, "target_id"),
         "abi": t.select("target_id", F.explode(F.array_compact(F.array(F.lit("execute"), F.lit("upgradeTo"), pick(2, "withdraw", "deposit"), F.when(k % 4 == 1, "initialize")))).alias("name")),

@@ -13,6 +13,7 @@ from ..rules import graph_rules as gr
 from ..rules.catalog import detectors, rules_for
 from ..rules.engine import evaluate, functions, parse
 from ..session import cut
+from ..sources import chain as chain_reads
 
 NONE = {"pattern_class": "string", "value_state": "string", "value_signal": "string", "reference_state": "string", "destination_control": "string",
         "suppressed_reason": "string", "corroborated_by": "array<string>"}
@@ -29,6 +30,8 @@ def to_candidates(hits: DataFrame) -> DataFrame:
 
 
 LEADS = ("pausability_bypass", "weird_hunt_taint_value_flow", "zk_verifier")
+#: Characters at the head of a target's first file in which words of a dependent contract are looked for.
+DEPENDENT_HEAD = 8000
 #: Rules outside the catalog in the order of their hits; a hit's rule number is its place here.
 SPECIAL = ("reentrancy", "solvency_check", "flashloan_governance", "delegatecall", "zk_verifier", "pausability_bypass", "weird_hunt_taint_value_flow",
            "economic_oracle_lending", "governance_blast_radius", "timelock_roles", "bytecode_periphery")
@@ -102,6 +105,35 @@ def single_key_admin(hits: DataFrame, chain: DataFrame) -> DataFrame:
     return hits.join(kinds, "target_id", "left").select(*[F.when(risk, new[c]).otherwise(F.col(c)).alias(c) if c in new else c for c in hits.columns])
 
 
+def value_context(files: DataFrame, known: dict[str, DataFrame]) -> DataFrame:
+    """(target_id, value_state, value_signal, reference_state) of every target from its stored reads, its sources and who refers to it.
+
+    A target without reads is unknown; without the table ``references`` it is unknown whether anyone refers to a target.
+    """
+    hints = files.groupBy("target_id").agg(
+        F.bool_or(F.coalesce(F.col("raw").rlike(chain_reads.FLOW_SOURCE), F.lit(False))).alias("flow_hint"),
+        F.min_by(F.substring(F.coalesce("raw", F.lit("")), 1, DEPENDENT_HEAD).rlike(chain_reads.DEPENDENT), "pos").alias("in_source"))
+    d = hints.join(chain_reads.wide(known["reads"]), "target_id", "left").join(known["chain"].select("target_id", "rpc_ok"), "target_id", "left")
+    d = d.withColumn("rpc_ok", F.coalesce("rpc_ok", F.lit(False)))
+    if "targets" in known:
+        named = F.coalesce(F.col("contract_name").rlike(chain_reads.DEPENDENT), F.lit(False))
+        d = d.join(known["targets"].select("target_id", "contract_name"), "target_id", "left").withColumn("in_source", F.col("in_source") | named)
+    if "references" in known:
+        n = known["references"].groupBy("target_id").agg(F.count_distinct("by").alias("n"))
+        d = d.join(n, "target_id", "left").withColumn("referenced_by_count", F.coalesce("n", F.lit(0)))
+    else:
+        d = d.withColumn("referenced_by_count", F.lit(None).cast("long"))
+    return chain_reads.value_context(d.withColumnRenamed("in_source", "dependent_hint"))
+
+
+def live_evidence(cand: DataFrame, known: dict[str, DataFrame]) -> DataFrame:
+    """Mark open candidates about initialisers, proxies and vaults whose getters read zero, where the target's chain could be read."""
+    up = known["chain"].where("rpc_ok").select("target_id")
+    d = gates.liveness(cand, known["reads"].join(up, "target_id", "left_semi"), known["targets"].select("target_id", "contract_name"))
+    never = F.col("never_initialized") & ~F.coalesce("suppressed", F.lit(False))
+    return d.withColumn("ev_flags", F.when(never, F.array_union("ev_flags", F.array(F.lit("never_initialized")))).otherwise(F.col("ev_flags"))).select(*cand.columns)
+
+
 def triage(files: DataFrame, profile: str = "ultra-deep-v2", order: str = "production", known: dict[str, DataFrame] | None = None) -> DataFrame:
     """Scored candidates of the source files: every detector of the profile, then all passes.
 
@@ -111,7 +143,9 @@ def triage(files: DataFrame, profile: str = "ultra-deep-v2", order: str = "produ
     known: stored reads by name - abi(target_id, name), roles(target_id, role, zero_has, dead_has), delays(target_id, min_delay),
     contracts(target_id, code, source_verified), resolved(target_id), targets and getters (see ``protocol.nodes_and_edges``),
     tool (see ``analyzer_findings``), suppressions(fingerprint, address, reason), chain(target_id, rpc_ok, chain_mismatch, code,
-    live_initialized, admin_kind - see ``chain.classify_admin``): one row for each target, NULL = unknown.
+    live_initialized, admin_kind - see ``chain.classify_admin``): one row for each target, NULL = unknown,
+    reads(target_id, method, value) - stored getter values, with chain: value context, and with targets: liveness evidence,
+    references(target_id, by).
     """
     known = known or {}
     parsed = cut(parse(files))  # four consumers below: parse once, keep the table in the shared folder
@@ -125,6 +159,8 @@ def triage(files: DataFrame, profile: str = "ultra-deep-v2", order: str = "produ
     cand = cut(to_candidates(hits))
     if "tool" in known:
         cand = scoring.tool_agreement(cand.drop("tool_agree"), known["tool"], ["target_id"])
+    if {"chain", "reads"} <= set(known):
+        cand = cand.drop("value_state", "value_signal", "reference_state").join(value_context(files, known), "target_id", "left")
     fns = functions(parsed)
     reads = {"rpc_ok": "boolean", "chain_mismatch": "boolean", "code": "string", "live_initialized": "boolean"}
     targets = files.select("target_id").distinct().withColumn("has_source", F.lit(True))
@@ -133,7 +169,8 @@ def triage(files: DataFrame, profile: str = "ultra-deep-v2", order: str = "produ
     else:
         targets = targets.withColumns({c: F.lit(None).cast(t) for c, t in reads.items()})
     targets = targets.withColumn("rpc_ok", F.coalesce("rpc_ok", F.lit(False)))
-    sane = lambda d: gates.sanity(d, fns, targets, known.get("abi"))
+    live = (lambda d: live_evidence(d, known)) if {"chain", "reads", "targets"} <= set(known) else (lambda d: d)
+    sane = lambda d: gates.sanity(live(d), fns, targets, known.get("abi"))
     cor = lambda d: scoring.corroborate(d.drop("corroborated", "corroborated_by"), ["target_id"])
     col = lambda d: dedup.collapse_duplicates(dedup.with_keys(d), ["target_id"])
     steps = (sane, cor, col) if order == "production" else (cor, col, sane)

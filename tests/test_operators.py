@@ -202,3 +202,27 @@ def test_stored_reads_reach_the_gates(spark):
     rows = triage(contract_files(spark, sf), "deep", known=stored_reads(spark, sf)).cache()
     why = {r[0] for r in rows.select("suppressed_reason").distinct().collect()}
     assert {"rpc chain mismatch", "no contract code on this chain", "target is already initialized"} <= why
+
+
+def test_triage_with_value_context_and_liveness(spark):
+    from lodegrid.plans.pipeline import triage, value_context
+
+    quiet = "contract C { function initialize(address a) external { owner = a; } }"
+    texts = [quiet, quiet, quiet, quiet + " // token.transferFrom(msg.sender, b, 1)", quiet + " // strategy", None]
+    files = spark.createDataFrame([(i, "ethereum", "a.sol", 0, t) for i, t in enumerate(texts)], FILE)
+    zero = "0x" + "0" * 40
+    reads = [(0, "balance", "0"), (0, "owner()", zero), (1, "balance", "12"), (1, "owner()", zero), (2, "owner()", zero), (3, "balance", "0"), (3, "owner()", "0x" + "1" * 40), (4, "totalSupply()", "0x0")]
+    known = {"reads": spark.createDataFrame(reads, "target_id long, method string, value string"),
+             "references": spark.createDataFrame([(1, 9), (4, 9), (4, 9)], "target_id long, by long"),
+             "chain": spark.createDataFrame([(i, i != 2, False, "0x60", False, None) for i in range(5)], "target_id long, rpc_ok boolean, chain_mismatch boolean, code string, live_initialized boolean, admin_kind string"),
+             "targets": spark.createDataFrame([(i, f"0x{i}", "Coin") for i in range(6)], "target_id long, address string, contract_name string")}
+    got = {r.target_id: tuple(r)[1:] for r in value_context(files, known).collect()}
+    assert got == {0: ("no_value", "inert_unreferenced", "none"), 1: ("has_value", "self_holds_value", "present"), 2: ("unknown", "unknown", "none"),
+                   3: ("no_value", "value_flows_through", "none"), 4: ("no_value", "value_in_dependents", "present"), 5: ("unknown", "unknown", "none")}
+    alone = {r.target_id: (r.value_signal, r.reference_state) for r in value_context(files, {k: known[k] for k in ("reads", "chain")}).collect()}
+    assert alone[0] == ("unknown", "unknown") and alone[4] == ("value_in_dependents", "unknown")
+    rows = [r for r in triage(files, "deep", known=known).collect() if r.detector == "unprotected_initializer"]
+    by = {r.target_id: r for r in rows}
+    assert set(by) == {0, 1, 2, 3, 4} and all(by[i].value_state == got[i][0] for i in by)
+    assert {i for i in by if "never_initialized" in by[i].ev_flags} == {0, 1}
+    assert by[0].impact_score <= 4.0 < by[1].impact_score
