@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -52,9 +53,6 @@ CLUSTERS = {
     "reward_settlement": ("claim(", "claimReward(", "settle(", "checkpoint("),
 }
 
-_MASK = (1 << 64) - 1
-
-
 def _round_constants() -> list[int]:
     out, r = [], 1
     for _ in range(24):
@@ -70,45 +68,85 @@ def _round_constants() -> list[int]:
 _RC = _round_constants()
 
 
-def _rot(v: int, n: int) -> int:
-    return ((v << n) | (v >> (64 - n))) & _MASK if n else v
+def _rot(v: np.ndarray, n: int) -> np.ndarray:
+    return (v << np.uint64(n)) | (v >> np.uint64(64 - n)) if n else v
+
+
+def _rho() -> list[tuple[int, int, int]]:
+    """(x, y, rotation) of every lane."""
+    out, x, y = [(0, 0, 0)], 1, 0
+    for t in range(24):
+        out.append((x, y, ((t + 1) * (t + 2) // 2) % 64))
+        x, y = y, (2 * x + 3 * y) % 5
+    return out
+
+
+_RATE = 136
+_ROTATIONS = _rho()
+#: States that are permuted together; one lane of all of them stays in a core's cache.
+LANES = 2048
 
 
-def _permute(a: list[list[int]]) -> list[list[int]]:
+def _permute(a: list[np.ndarray]) -> list[np.ndarray]:
+    """One permutation of many states at once: a[x + 5 * y] holds lane (x, y) of all of them."""
     for rc in _RC:
-        c = [a[x][0] ^ a[x][1] ^ a[x][2] ^ a[x][3] ^ a[x][4] for x in range(5)]
+        c = [a[x] ^ a[x + 5] ^ a[x + 10] ^ a[x + 15] ^ a[x + 20] for x in range(5)]
         d = [c[(x - 1) % 5] ^ _rot(c[(x + 1) % 5], 1) for x in range(5)]
-        a = [[a[x][y] ^ d[x] for y in range(5)] for x in range(5)]
-        x, y, cur = 1, 0, a[1][0]
-        for t in range(24):
-            x, y = y, (2 * x + 3 * y) % 5
-            cur, a[x][y] = a[x][y], _rot(cur, ((t + 1) * (t + 2) // 2) % 64)
-        a = [[a[x][y] ^ (~a[(x + 1) % 5][y] & a[(x + 2) % 5][y] & _MASK) for y in range(5)] for x in range(5)]
-        a[0][0] ^= rc
+        b: list[np.ndarray] = [a[0]] * 25
+        for x, y, n in _ROTATIONS:
+            b[y + 5 * ((2 * x + 3 * y) % 5)] = _rot(a[x + 5 * y] ^ d[x], n)
+        a = [b[i] ^ (~b[i // 5 * 5 + (i + 1) % 5] & b[i // 5 * 5 + (i + 2) % 5]) for i in range(25)]
+        a[0] ^= np.uint64(rc)
     return a
 
 
-def keccak256(data: bytes) -> str:
-    rate = 136
-    data = data + b"\x01" + b"\x00" * (-(len(data) + 1) % rate)
-    data = data[:-1] + bytes([data[-1] | 0x80])
-    a = [[0] * 5 for _ in range(5)]
-    for at in range(0, len(data), rate):
-        for i in range(rate // 8):
-            a[i % 5][i // 5] ^= int.from_bytes(data[at + 8 * i:at + 8 * i + 8], "little")
+def _digests(padded: np.ndarray) -> list[str]:
+    """Digests of the rows, padded messages of one length."""
+    n, width = padded.shape
+    words = padded.view("<u8").astype(np.uint64).reshape(n, width // _RATE, _RATE // 8)
+    a = [np.zeros(n, np.uint64) for _ in range(25)]
+    for block in range(words.shape[1]):
+        for i in range(_RATE // 8):
+            a[i] = a[i] ^ words[:, block, i]
         a = _permute(a)
-    return b"".join(a[i % 5][i // 5].to_bytes(8, "little") for i in range(4)).hex()
+    text = np.stack(a[:4], 1).astype("<u8").tobytes().hex()
+    return [text[i : i + 64] for i in range(0, len(text), 64)]
+
+
+def keccak256_all(messages: list[bytes]) -> list[str]:
+    """Hex digests of messages: those of as many blocks go through the permutation together, as arrays of lanes."""
+    out = [""] * len(messages)
+    sizes: dict[int, list[int]] = {}
+    for i, m in enumerate(messages):
+        sizes.setdefault(len(m) // _RATE + 1, []).append(i)
+    for blocks, at in sizes.items():
+        step = max(1, LANES // blocks)
+        for lo in range(0, len(at), step):
+            some = at[lo : lo + step]
+            padded = np.frombuffer(bytearray().join((messages[i] + b"\x01").ljust(blocks * _RATE, b"\0") for i in some), np.uint8).reshape(len(some), -1)
+            padded[:, -1] |= 0x80
+            for i, h in zip(some, _digests(padded)):
+                out[i] = h
+    return out
+
+
+def keccak256(data: bytes) -> str:
+    return keccak256_all([data])[0]
 
 
 @F.pandas_udf(T.StringType())
 def keccak_text(text: pd.Series) -> pd.Series:
-    return text.map(lambda s: None if s is None else keccak256(s.encode()))
+    known = text.notna()
+    out = pd.Series([None] * len(text), dtype=object)
+    out[known.to_numpy()] = keccak256_all([s.encode() for s in text[known]])
+    return out
 
 
 @F.pandas_udf(T.StringType())
 def keccak_hex(code: pd.Series) -> pd.Series:
     """0x-prefixed keccak256 of a hex string; '' for empty code."""
-    return code.map(lambda h: "0x" + keccak256(bytes.fromhex(h)) if h else "")
+    hashes = iter(keccak256_all([bytes.fromhex(h) for h in code if h]))
+    return pd.Series(["0x" + next(hashes) if h else "" for h in code], dtype=object)
 
 
 _OP = T.ArrayType(T.StructType([

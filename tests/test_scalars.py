@@ -1,5 +1,7 @@
 from pyspark.sql import functions as F
 
+import pandas as pd
+
 from lodegrid.functions import evm, scalars as sc
 from lodegrid.functions.text import contract_level, parse_source, snippet, split_top_level, strip_comments
 
@@ -47,6 +49,18 @@ def test_classify_ladder(spark):
     assert got == [sc.CONFIRMED] * 2 + [sc.LIKELY] * 2 + [sc.NEEDS] * 2 + [sc.LOW] * 2
 
 
+def test_keccak_of_many_messages_at_once():
+    known = {b"": "c5d2460186f7233c927e7db2dcc703c0e500b653ca82273b7bfad8045d85a470", b"abc": "4e03657aea45a94fc7d47ba826c8d667c0d1e6e33a64a036ec44f58fa12d6c45"}
+    mixed = [*known, *[bytes([k % 251]) * k for k in (135, 136, 137, 271, 272, 273)], b"abc"]
+    got = evm.keccak256_all(mixed)
+    assert got[:2] == list(known.values()) and got[-1] == got[1]
+    assert got == [evm.keccak256(m) for m in mixed] and len(set(got)) == len(mixed) - 1
+    assert evm.keccak256_all([]) == []
+    assert len(set(evm.keccak256_all([b"%d" % i for i in range(evm.LANES + 10)]))) == evm.LANES + 10
+    assert evm.keccak_text.func(pd.Series(["abc", None, ""], index=[5, 6, 9])).tolist() == [got[1], None, got[0]]
+    assert evm.keccak_hex.func(pd.Series(["616263", "", None])).tolist() == ["0x" + got[1], "", ""]
+
+
 def test_keccak_and_slots():
     assert evm.keccak256(b"transfer(address,uint256)")[:8] == "a9059cbb"
     assert evm.keccak256(b"x" * 300) != evm.keccak256(b"x" * 301)
