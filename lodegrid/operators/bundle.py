@@ -5,8 +5,10 @@ from __future__ import annotations
 import io
 import uuid
 import zipfile
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,6 +18,10 @@ from .ordering import ranked
 
 #: Rows an archive holds at most; a larger scan goes into several volumes.
 VOLUME_ROWS = 20_000
+#: Characters from which a member is deflated; shorter ones would grow or save nothing.
+DEFLATE_FROM = 200
+#: Archives go out together up to these bounds.
+BATCH_BYTES, BATCH_ROWS = 4 << 20, 1000
 _STAMP = (1980, 1, 1, 0, 0, 0)  # the format's earliest time: equal contents give equal archives
 MANIFEST = "bundle string, part string, n_rows long, columns array<string>, written_at timestamp"
 ARCHIVES = "scan_id long, volume int, n_entries int, n_rows long, archive binary"
@@ -85,30 +91,62 @@ def export_entries(details: DataFrame, evidence: DataFrame, scans: DataFrame) ->
     return out.select("scan_id", "entry", F.col("__t").alias("section"), "line_no", "line")
 
 
-def _zip(rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values("rank_no")
+def _zip(members: dict[str, list[str]]) -> bytes:
     buf = io.BytesIO()
     with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
-        for entry, lines in rows.groupby("member", sort=False):
-            z.writestr(zipfile.ZipInfo(entry, _STAMP), "\n".join(x or "" for x in lines["line"]) + "\n", zipfile.ZIP_DEFLATED)
-    return pd.DataFrame({"scan_id": [rows["scan_id"].iloc[0]], "volume": [rows["volume"].iloc[0]], "n_entries": [rows["member"].nunique()], "n_rows": [len(rows)], "archive": [buf.getvalue()]})
+        for name, lines in members.items():
+            text = "\n".join(lines) + "\n"
+            z.writestr(zipfile.ZipInfo(name, _STAMP), text, zipfile.ZIP_DEFLATED if len(text) >= DEFLATE_FROM else zipfile.ZIP_STORED)
+    return buf.getvalue()
+
+
+def _volumes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (scan_id, volume, rank_no, entry, line, part) in the order of the first three -> archives; one volume is held at a time."""
+    now, n, goes_on, members, done, size = None, 0, None, {}, [], 0
+
+    def packed() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done), (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()))], ["scan_id", "volume", "n_entries", "n_rows", "archive"])
+
+    for b in batches:
+        for scan, volume, _, entry, line, part in zip(*(c.to_pylist() for c in b.columns)):
+            if (scan, volume) != now:
+                if n:
+                    done.append((*now, len(members), n, _zip(members)))
+                    size += len(done[-1][-1])
+                    if size >= BATCH_BYTES or len(done) >= BATCH_ROWS:
+                        yield packed()
+                        done, size = [], 0
+                now, n, goes_on, members = (scan, volume), 0, None, {}
+            if part is not None:  # the note of an entry that goes on here stands before the volume's lines
+                goes_on = (entry, f"{entry}.{part}")
+                continue
+            name = goes_on[1] if goes_on and goes_on[0] == entry else entry
+            members.setdefault(name, []).append(line or "")
+            n += 1
+    if n:
+        done.append((*now, len(members), n, _zip(members)))
+    if done:
+        yield packed()
 
 
 def archives(entries: DataFrame, volume_rows: int = VOLUME_ROWS) -> DataFrame:
     """entries(scan_id, entry, section, line_no, line) -> (scan_id, volume, n_entries, n_rows, archive), the archive a zip file.
 
     All lines are ranked in one order (scan, entry, section, line) and a scan is cut every `volume_rows` lines, so a scan of any size is
-    spread over tasks that each hold one volume. An entry that goes on in a later volume is named `entry.1`, `entry.2` and so on there;
-    put together in this order they give the entry. A null line is an empty one; lines that tie stand in the order of their text.
+    spread over tasks that hold one volume at a time. An entry that goes on in a later volume is named `entry.1`, `entry.2` and so on
+    there; put together in this order they give the entry. A null line is an empty one; lines that tie stand in the order of their text.
     """
     r = ranked(entries, "scan_id", "entry", "section", "line_no", "line")
-    firsts = r.groupBy("scan_id", "entry").agg(F.min("rank_no").alias("first_of_entry"))
     scans = r.groupBy("scan_id").agg(F.min("rank_no").alias("first_of_scan"))
     volume = lambda c: F.floor((F.col(c) - F.col("first_of_scan")) / volume_rows).cast("int")
-    d = r.join(firsts, ["scan_id", "entry"]).join(scans, "scan_id").withColumn("volume", volume("rank_no"))
-    part = F.col("volume") - volume("first_of_entry")
-    member = F.when(part == 0, F.col("entry")).otherwise(F.concat_ws(".", "entry", part.cast("string")))
-    return d.select("scan_id", "volume", "rank_no", member.alias("member"), "line").groupBy("scan_id", "volume").applyInPandas(_zip, ARCHIVES)
+    lines = r.where("entry IS NOT NULL").join(scans, "scan_id").select("scan_id", volume("rank_no").alias("volume"), "rank_no", "entry", "line", F.lit(None).cast("int").alias("part"))
+    # few entries go on in another volume: one note for each such volume, ahead of its lines, instead of a join of all lines
+    spans = r.groupBy("scan_id", "entry").agg(F.min("rank_no").alias("lo"), F.max("rank_no").alias("hi")).where("hi > lo AND entry IS NOT NULL").join(scans, "scan_id")
+    spans = spans.select("scan_id", "entry", volume("lo").alias("first"), volume("hi").alias("last")).where("last > first")
+    notes = spans.select("scan_id", "entry", "first", F.explode(F.sequence(F.col("first") + 1, "last")).alias("volume")).select(
+        "scan_id", "volume", F.lit(0).cast("long").alias("rank_no"), "entry", F.lit(None).cast("string").alias("line"), (F.col("volume") - F.col("first")).alias("part"))
+    rows = lines.unionByName(notes).withColumn("scan_id", F.col("scan_id").cast("long"))
+    return rows.repartition("scan_id", "volume").sortWithinPartitions("scan_id", "volume", "rank_no").mapInArrow(_volumes, ARCHIVES)
 
 
 @F.pandas_udf(T.StringType())

@@ -96,6 +96,19 @@ def test_archives_hold_every_line_in_order(spark):
     assert bundle.archives(d.where("scan_id = 9"), 10).count() == 0
 
 
+def test_archives_pass_lines_on_without_a_frame_a_volume(spark):
+    rows = [(1, "big", None, i, "x" * 150) for i in range(7)] + [(1, f"e{i}", None, 0, "short") for i in range(5)] + [(1, None, None, 0, "lost"), (None, "e", None, 0, "lost")]
+    d = spark.createDataFrame(rows, "scan_id long, entry string, section long, line_no long, line string").repartition(3)
+    a = bundle.archives(d, 3)
+    plan = a._jdf.queryExecution().executedPlan().toString()
+    assert "InPandas" not in plan and "MapInArrow" in plan
+    got = {r["volume"]: r for r in a.collect()}
+    zips = {v: zipfile.ZipFile(BytesIO(r["archive"])) for v, r in got.items()}
+    assert {v: z.namelist() for v, z in zips.items()} == {0: ["big"], 1: ["big.1"], 2: ["big.2", "e0"], 3: ["e1", "e2", "e3"], 4: ["e4"]}
+    assert [got[v]["n_rows"] for v in range(5)] == [2, 3, 3, 3, 1] and [got[v]["n_entries"] for v in range(5)] == [1, 1, 2, 3, 1]
+    assert zips[1].infolist()[0].compress_type == zipfile.ZIP_DEFLATED and zips[4].read("e4") == b"short\n"
+
+
 def test_export_entries(spark):
     d = spark.createDataFrame(
         [(7, 1, 70, "0xA", "Vault", "reentrancy", 'a "b", c', "high", "CONFIRMED_CRITICAL", 8.5, 7.5, "open", ["t1"], "why", "text"),

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 import pandas as pd
 
 from lodegrid.functions import evm, scalars as sc
+from lodegrid.functions import text
 from lodegrid.functions.text import contract_level, parse_source, snippet, split_top_level, strip_comments
 
 
@@ -61,6 +62,14 @@ def test_keccak_of_many_messages_at_once():
     assert evm.keccak_hex.func(pd.Series(["616263", "", None])).tolist() == ["0x" + got[1], "", ""]
 
 
+def test_parsed_texts_leave_a_batch_in_slices():
+    raw = pd.Series([f"/* c\n{i} */ function f{i}() public {{ x = {i}; }}" for i in range(2 * text.SLICE_ROWS + 3)])
+    parts = list(text.parsed_slices(iter([raw, raw[:1], raw[:0]])))
+    assert [len(p) for p in parts] == [text.SLICE_ROWS, text.SLICE_ROWS, 3, 1]
+    assert [r[0]["name"] for p in parts[:3] for r in p["fns"]] == [f"f{i}" for i in range(len(raw))]
+    assert text.blanked("a\r b\n\nc\u2028") == "    \n\n  "
+
+
 def test_keccak_and_slots():
     assert evm.keccak256(b"transfer(address,uint256)")[:8] == "a9059cbb"
     assert evm.keccak256(b"x" * 300) != evm.keccak256(b"x" * 301)
