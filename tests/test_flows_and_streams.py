@@ -177,3 +177,31 @@ def test_upserts_are_idempotent_and_leave_other_partitions(spark, tmp_path):
     assert files(1) == after
     merge(df([(2, 5, 1), (1, 0, 0)]), 2)  # older rows
     assert {(r["k"], r["v"]) for r in merge.read(spark).collect()} == table
+
+
+def test_state_variables_read_a_file_once(spark):
+    src = "/* " + "a comment\n" * 200 + "*/\ncontract C {\n  mapping(address =>  uint) public bal;\n\n\t uint256   public\n constant  cap = 1;\n  address payable owner;\r\n  event E(uint a);\n  string internal s;\n function f() public { uint y = 1; { uint z = 2; } }\n}"
+    files = spark.createDataFrame([(1, "c", "a.sol", 0, src), (1, "c", "b.sol", 1, "bool s;\nbool t;"), (2, "c", "e.sol", 0, ""), (3, "c", "n.sol", 0, None)], "target_id long, chain string, path string, pos int, raw string")
+    d = state_vars(parse(files))
+    got = {(r["target_id"], r["name"]): (r["path"], r["type"], r["attrs"], r["key_type"], r["grp"], r["decl_pos"]) for r in d.collect()}
+    assert got[1, "bal"] == ("a.sol", "mapping", ["public"], "address", 0, 0)
+    assert got[1, "cap"] == ("a.sol", "uint256", ["public", "constant"], None, 1, 0)
+    assert got[1, "owner"] == ("a.sol", "address payable", [], None, 1, 1)
+    assert got[1, "s"][:3] == ("a.sol", "string", ["internal"]) and got[1, "t"][:2] == ("b.sol", "bool")
+    assert {k for k, _ in got} == {1}
+    plan = d._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("contract_level(") == 1 and plan.count("regexp_extract_all(") == 2
+
+
+def test_texts_are_dealt_to_as_many_tasks_as_a_shuffle_has(spark, tmp_path):
+    from lodegrid.plans.corpus import contract_files
+
+    spark.createDataFrame([(i, "t") for i in range(40)], "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    before = spark.conf.get("spark.lodegrid.spread.tasks", None)
+    spark.conf.unset("spark.lodegrid.spread.tasks")
+    try:
+        files = contract_files(spark, str(tmp_path))
+        assert files.rdd.getNumPartitions() >= int(spark.conf.get("spark.sql.shuffle.partitions")) and files.count() == 40
+    finally:
+        if before is not None:
+            spark.conf.set("spark.lodegrid.spread.tasks", before)
