@@ -99,6 +99,7 @@ def contexts(docs: DataFrame, text: str, rows: int, dim: int, ones: int, reach:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, (place, sign) = words_for(rows), index_vectors(rows, dim, ones)
+        parts = [(place[:, k].copy(), sign[:, k].astype(np.float64)) for k in range(ones)]
         sums = np.zeros(rows * dim)
         for b in batches:
             for ids, counts in batches_of(b.column(0).to_pylist(), words, 600_000):
@@ -106,9 +107,9 @@ def contexts(docs: DataFrame, text: str, rows: int, dim: int, ones: int, reach:
                 for o in range(1, reach + 1):
                     near = doc[o:] == doc[:-o]
                     x, y = ids[:-o][near], ids[o:][near]
-                    for a, c in ((x, y), (y, x)):
-                        for k in range(ones):
-                            sums += np.bincount(a * dim + place[c, k], sign[c, k], rows * dim)
+                    at, other = np.concatenate([x, y]) * dim, np.concatenate([y, x])  # both directions in one count
+                    for places, signs in parts:
+                        sums += np.bincount(at + places[other], signs[other], rows * dim)
         table = np.rint(sums).astype(np.int64).reshape(rows, dim)
         used = np.flatnonzero(table.any(1))
         for lo in range(0, len(used), 4096):
