@@ -1,6 +1,9 @@
+import weakref
+
 from pyspark.sql import functions as F
 
 import pandas as pd
+import pyarrow as pa
 
 from lodegrid.functions import evm, scalars as sc
 from lodegrid.functions import text
@@ -92,3 +95,36 @@ def test_json_from_chat(spark):
     assert f("x ```json\n{\"a\": 1}\n``` y") == '{"a": 1}'
     assert f("say {\"a\": 2} done") == '{"a": 2}'
     assert f("no { json") is None
+
+
+def test_slices_are_bounded_by_rows_and_characters():
+    long = "x" * (text.SLICE_CHARS // 2)
+    values = ["a", None, long, long, long, "b", long * 3, "c"]
+    for batch in (pa.array(values), pd.Series(values)):
+        assert list(text.slices(iter([batch, batch[:0], batch[:1]]))) == [["a", None, long], [long, long], ["b"], [long * 3], ["c"], ["a"]]
+    assert [len(x) for x in text.slices(iter([pa.array(["a"] * 5)]), 2)] == [2, 2, 1]
+
+
+def test_a_batch_is_let_go_before_the_next_is_asked_for():
+    seen = []
+
+    def batches():
+        for _ in range(3):
+            b = pd.Series(["function f() public {}"] * 3)
+            seen.append(weakref.ref(b))
+            yield b
+            del b
+            assert seen[-1]() is None
+
+    assert sum(map(len, text.parsed_slices(batches()))) == 9
+
+
+def test_arrow_batches_are_parsed_as_one(spark):
+    src = [None, "", "modifier only() { _; } function f(uint a) public only { x = \"é\U0001f600\"; }", "contract C { function g() external { if (a) { b(); } }"]
+    d = spark.createDataFrame([(i, src[i % 4]) for i in range(300)], "id long, raw string").coalesce(1)
+    got = d.select("id", "raw", text.parse_sources("raw").alias("p")).select("*", text.contract_level("p.clean").alias("level")).collect()
+    assert len(got) == 300
+    for r in got:
+        want = text.parse_source(r.raw)
+        assert r.p.clean == want["clean"] and [tuple(f) for f in r.p.fns] == want["fns"] and [tuple(m) for m in r.p.mods] == want["mods"]
+        assert len(r.level) == len(r.raw or "") and "b();" not in r.level
