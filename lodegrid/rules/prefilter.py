@@ -13,19 +13,23 @@ import warnings
 from collections.abc import Iterator
 from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from re import _constants as op
 from re import _parser
 
+from ..functions.text import slices
+
 Clauses = tuple[frozenset, ...]
 #: Shorter literals occur nearly everywhere.
 SHORTEST = 3
 #: Rules from which the pass over the texts costs less than it saves.
 RULES_FROM = 16
 _BITS = 62
+#: Texts whose bits leave together; functions are short.
+_ROWS = 2048
 
 
 def both(*needs: Clauses) -> Clauses:
@@ -98,11 +102,11 @@ class Gate:
     def column(self, text: Column) -> Column:
         words, masks = self.words, self.masks
 
-        @F.pandas_udf(T.ArrayType(T.LongType()))
-        def can_hold(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        @F.arrow_udf(T.ArrayType(T.LongType()))
+        def can_hold(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             find = automaton(words)
             packed: dict[int, list[int]] = {}  # clauses met -> bits; many functions meet the same ones
-            for texts in batches:
+            for texts in slices(batches, _ROWS):
                 out = []
                 for t in texts:
                     if t is None:  # unknown, as the rule's own patterns say
@@ -117,7 +121,7 @@ class Gate:
                             packed.clear()
                         bits = packed[met] = pack(met, masks)
                     out.append(bits)
-                yield pd.Series(out)
+                yield pa.array(out, pa.list_(pa.int64()))
 
         return can_hold.asNondeterministic()(text)
 
