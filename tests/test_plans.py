@@ -34,3 +34,18 @@ def test_same_result_for_any_partitioning(spark, name):
         out.append(sorted(map(str, load_all()[0][name](spark, SF).collect())))
     spark.conf.set("spark.sql.shuffle.partitions", 4)
     assert out[0] == out[1]
+
+
+def test_sanity_gates_take_the_whole_catalog(spark, monkeypatch):
+    from lodegrid.plans import pipeline
+    from lodegrid.rules.catalog import PROFILES, detectors
+
+    seen = []
+
+    def triage(files, profile, known):
+        seen.append(profile)
+        return spark.createDataFrame([("d", False, None)], "detector string, suppressed boolean, suppressed_reason string")
+
+    monkeypatch.setattr(pipeline, "triage", triage)
+    load_all()[0]["sanity_gates"](spark, SF)
+    assert set(detectors(seen[0])) == {d for p in PROFILES for d in detectors(p)}
