@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..rules.prefilter import with_matches
 from .dedup import keep_first
 
 # ---- Fixed values: role vocabulary -------------------------------------------------------
@@ -148,8 +149,8 @@ def role_counts(nodes: DataFrame) -> DataFrame:
 
 def surfaces(nodes: DataFrame, files: DataFrame) -> DataFrame:
     """(target_id, id, severity, confidence): role presence and text flags, one aggregate row per target."""
-    low = F.lower("raw")
-    text = files.groupBy("target_id").agg(*[F.bool_or(low.rlike(p)).alias(f"x_{k}") for k, p in SURFACE_TEXT.items()])
+    said = with_matches(files.select("target_id", F.lower("raw").alias("low")), "low", **{f"x_{k}": p for k, p in SURFACE_TEXT.items()})
+    text = said.groupBy("target_id").agg(*[F.bool_or(f"x_{k}").alias(f"x_{k}") for k in SURFACE_TEXT])
     roles = nodes.groupBy("target_id").agg(F.collect_set("role").alias("roles"))
     d = text.join(roles, "target_id", "left")
     has = lambda *r: F.coalesce(F.arrays_overlap("roles", F.array(*[F.lit(x) for x in r])), F.lit(False))

@@ -61,14 +61,18 @@ def _packs(rules: list[tuple[int, Rule]], each: dict[int, str] | None = None, ga
     return f"concat({', '.join(packs)})"
 
 
-def target_flags(files: DataFrame, nodes: list[Node]) -> DataFrame | None:
+def target_flags(files: DataFrame, nodes: list[Node], gated: bool = True) -> DataFrame | None:
     """Boolean facts of every target: partial aggregation, one short row per target."""
     flags = _flags(nodes, "t")
     if not flags:
         return None
     src = files.select("target_id", "raw", F.expr(CLEAN_SQL).alias("clean"))
+    # clean is raw with a blank for each comment, so what a pattern needs in either text stands in raw
+    gate = gate_of({k: p.needs for k, p in flags.items()}, "target_can") if gated else None
+    if gate:
+        src = src.withColumn(gate.bits, gate.column(F.col("raw")))
     src = src.select("*", *[F.expr(e) for e in lowered("raw", "clean")])
-    src = src.select("target_id", *[F.expr(p.s).alias(k) for k, p in flags.items()])
+    src = src.select("target_id", *[F.expr(f"({gate.test(k) if gate else ''}{p.s})").alias(k) for k, p in flags.items()])
     return src.groupBy("target_id").agg(*[F.bool_or(k).alias(k) for k in flags])
 
 
@@ -137,7 +141,10 @@ def evaluate(files: DataFrame, rules: list[Rule], parsed: DataFrame | None = Non
                           F.substring("body", 1, 1500).alias("snippet"), body_key("body").alias("body_key"), F.explode(F.expr(emit)).alias("h"))
     tnodes = [r.target for _, r in numbered if r.target is not None] + [r.when for _, r in numbered if r.grain == "target"]
     conds = list(dict.fromkeys(r.target.s for _, r in numbered if r.target is not None))
-    tf = target_flags(files, tnodes)
+    tgt = [(i, r) for i, r in numbered if r.grain == "target"]
+    tf = target_flags(files, tnodes, gated)
+    if conds and tgt:
+        tf = cut(tf)  # read for the conditions and for the rules: one short row per target, one pass over the texts
     out = None
     if hits is not None:
         # the catalog is a fixed list of rules, so its broadcast never grows with the data
@@ -154,7 +161,6 @@ def evaluate(files: DataFrame, rules: list[Rule], parsed: DataFrame | None = Non
             out = out.withColumn("first_key", key).withColumn("n", F.row_number().over(w)).where("n = 1").drop("n", "first_key")
         if any(r.custom_guard for _, r in numbered):
             out = _drop_custom_guarded(out, guard_modifiers(parsed))
-    tgt = [(i, r) for i, r in numbered if r.grain == "target"]
     if tgt:
         rows = tf.select("target_id", F.explode(F.expr(_packs(tgt))).alias("h")).select("target_id", "h.r", "h.v").join(F.broadcast(_rule_rows(spark, rules, conds)), "r")
         first = files.groupBy("target_id").agg(F.min("chain").alias("chain"))

@@ -9,9 +9,11 @@ from ..functions.scalars import check_slug
 from ..operators.dedup import keep_first, top_per_key
 from ..operators.facts import last_definitions, loose_edges
 from ..operators.graph import backward_closure
+from ..session import cut
 from . import core
 from .dsl import lowered
 from .model import INLINE_AUTH, LOCK_HEAD, nonreentrant
+from .prefilter import with_matches
 
 # ---- Fixed values: patterns and score tables of these rules ----------------------------------
 HEALTH_NAME = (r"(?i)(check.*liquidity|account.*liquidity|liquidity.*check|health.?factor|health.?check|check.?health|solvenc|"
@@ -106,9 +108,8 @@ def solvency_check(fns: DataFrame) -> DataFrame:
 
 def flashloan_governance(files: DataFrame, fns: DataFrame) -> DataFrame:
     """Spot-balance voting power together with emergency or arbitrary execution, per target."""
-    raw = F.col("raw")
-    text = files.groupBy("target_id").agg(F.bool_or(raw.rlike("(?i)" + core.VOTE_WORDS)).alias("vw"), F.bool_or(raw.rlike("(?i)" + core.SPOT_BALANCE)).alias("spot"),
-                                          F.bool_or(raw.rlike("(?i)" + core.SNAPSHOT)).alias("snap"))
+    said = with_matches(files.select("target_id", "raw"), "raw", vw="(?i)" + core.VOTE_WORDS, spot="(?i)" + core.SPOT_BALANCE, snap="(?i)" + core.SNAPSHOT)
+    text = said.groupBy("target_id").agg(*[F.bool_or(k).alias(k) for k in ("vw", "spot", "snap")])
     f = last_definitions(fns)
     n = F.col("name")
     agg = f.groupBy("target_id").agg(F.bool_or(n.rlike("(?i)" + core.VOTE_NAME)).alias("vn"), F.bool_or(n.rlike("(?i)" + core.EMERGENCY_EXEC)).alias("em"),
@@ -235,12 +236,13 @@ def analyzer_findings(tool: DataFrame) -> DataFrame:
 
 def economic_oracle_lending(files: DataFrame, fns: DataFrame, surfaces: DataFrame, roles: DataFrame) -> DataFrame:
     """Oracle-lending coupling: file rule on mutable Compound-style prices, and two function rules."""
-    raw = F.col("raw")
-    text = files.groupBy("target_id").agg(F.bool_or(raw.rlike(COMPOUND)).alias("comp"), F.bool_or(raw.rlike(BORROW_CTX)).alias("ctx"))
+    # read for the targets and for the files: a few marks per file, one pass over the texts
+    said = cut(with_matches(files.select("target_id", "path", "raw"), "raw", comp=COMPOUND, ctx=BORROW_CTX, upd=PRICE_UPDATE, twap=TWAP, brk=BREAKER, rate=RATE_PRICE).drop("raw"))
+    text = said.groupBy("target_id").agg(F.bool_or("comp").alias("comp"), F.bool_or("ctx").alias("ctx"))
     sid = surfaces.where(F.col("id").isin("oracle_lending", "erc4626_collateral_oracle")).select("target_id").distinct().withColumn("econ", F.lit(True))
     ro = roles.groupBy("target_id").agg((F.bool_or(F.col("role") == "oracle") & F.bool_or(F.col("role").isin("lending_controller", "lending_market"))).alias("coupled"))
     gate = text.join(sid, "target_id", "left").join(ro, "target_id", "left").where("comp OR ctx OR econ OR coupled").select("target_id", "comp", "ctx")
-    per_file = files.select("target_id", "path", raw.rlike(PRICE_UPDATE).alias("upd"), raw.rlike(TWAP).alias("twap"), raw.rlike(BREAKER).alias("brk"), raw.rlike(RATE_PRICE).alias("rate"))
+    per_file = said.select("target_id", "path", "upd", "twap", "brk", "rate")
     b = F.col("body")
     f = fns.join(gate, "target_id").join(per_file, ["target_id", "path"])
     up = f.where((F.lower("name") == "getunderlyingprice") & F.col("comp") & F.col("upd")).dropDuplicates(["target_id", "path"]).withColumn("name", F.lit("getUnderlyingPrice"))

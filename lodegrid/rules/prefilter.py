@@ -14,7 +14,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from re import _constants as op
@@ -44,6 +44,14 @@ def either(*needs: Clauses) -> Clauses:
     return (frozenset().union(*(max(n, key=lambda c: (min(map(len, c)), -len(c))) for n in needs)),)
 
 
+def _branches(*needs: Clauses) -> Clauses:
+    """Clauses of a disjunction, one from each side in every clause: as many as the side with the most has, its most telling ones first."""
+    if not needs or not all(needs):
+        return ()
+    sides = [sorted(n, key=lambda c: (min(map(len, c)), -len(c)), reverse=True) for n in needs]
+    return both(tuple(frozenset().union(*(s[min(k, len(s) - 1)] for s in sides)) for k in range(max(map(len, sides)))))
+
+
 @lru_cache(maxsize=None)
 def literals(pattern: str) -> Clauses:
     """What a text needs for the pattern to match somewhere in it, in any case; literals are ASCII without white space."""
@@ -66,7 +74,7 @@ def _clauses(tree) -> list[frozenset]:
             out.append(frozenset([run]))
         run = ""
         if kind is op.BRANCH:
-            out += either(*(tuple(_clauses(a)) for a in arg[1]))
+            out += _branches(*(tuple(_clauses(a)) for a in arg[1]))
         elif kind is op.SUBPATTERN:
             out += _clauses(arg[-1])
         elif kind in (op.MAX_REPEAT, op.MIN_REPEAT, op.POSSESSIVE_REPEAT) and arg[0] > 0:
@@ -131,6 +139,13 @@ def gate_of(needs: dict, bits: str) -> Gate | None:
     return Gate(needs, bits) if sum(map(bool, needs.values())) >= RULES_FROM else None
 
 
+def with_matches(df: DataFrame, text: str, **patterns: str) -> DataFrame:
+    """The rows with a Boolean for each pattern, whether it is found in the text; a pattern runs where its words occur only."""
+    gate = Gate({k: literals(p) for k, p in patterns.items()}, "__can")
+    can = df.withColumn(gate.bits, gate.column(F.col(text)))
+    return can.select(*df.columns, *[(F.expr(gate.test(k) + "true") & F.col(text).rlike(p)).alias(k) for k, p in patterns.items()])
+
+
 def automaton(words: dict[str, int]):
     """Iterator factory over (end, clauses of the literal) of every literal in a lower-cased text, overlapping ones too."""
     import ahocorasick

@@ -11,8 +11,8 @@ from lodegrid.plans.corpus import contract_files
 from lodegrid.plans.snippets import TWINS
 from lodegrid.rules.catalog import rules_for
 from lodegrid.rules.dsl import body, count_true, in_file, name, tail
-from lodegrid.rules.engine import evaluate, parse
-from lodegrid.rules.prefilter import Gate, automaton, either, literals, pack
+from lodegrid.rules.engine import evaluate, parse, target_flags
+from lodegrid.rules.prefilter import Gate, automaton, either, literals, pack, with_matches
 
 SF = "/root/testdata/sf0.001"
 COLS = ["target_id", "file", "start", "detector", "variant", "function", "impact", "conf", "variable"]
@@ -117,3 +117,26 @@ def test_gates_are_one_python_step_each_and_tell_most(spark):
     bits = fns.select(gate.column(F.col("t")).alias("b")).select(F.expr("aggregate(b, 0, (s, x) -> s + bit_count(x))").alias("n"))
     assert bits.agg(F.avg("n")).first()[0] < len(needs) / 4
     assert sum(not n for n in needs.values()) <= 5
+
+
+def test_a_branch_needs_all_its_words():
+    assert set(literals(r"knownRoot|require\s*\([^;]*root")) == {frozenset(["knownroot", "require"]), frozenset(["knownroot", "root"])}
+
+
+def test_target_flags_are_gated_and_the_same(spark):
+    rules = [r for r in rules_for("ultra-deep-v2") if r.target is not None or r.grain == "target"]
+    nodes = [n for r in rules for n in (r.target, r.when if r.grain == "target" else None) if n is not None]
+    texts = [t for pair in TWINS.values() for t in pair] + ["", None, "/* bridge */ contract A { // groth16 verifyProof(\n }", "VERIFY/**/PROOF multiCall", "block.chainId == 1"]
+    files = spark.createDataFrame([(i // 2, t) for i, t in enumerate(texts)], "target_id long, raw string")
+    d = target_flags(files, nodes)
+    assert "target_can" in d._jdf.queryExecution().analyzed().toString()
+    rows_of = lambda x: sorted(map(str, x.collect()))
+    assert rows_of(d) == rows_of(target_flags(files, nodes, gated=False))
+
+
+def test_matches_are_those_of_the_patterns(spark):
+    patterns = {"a": r"(?i)\b(quorum|ballot)\b", "b": r"mint\s*\(|burn\s*\(", "c": r"x|yz"}
+    texts = ["Quorum mint (", "burnt", "xburn(", "", None, "ballots", "yz BALLOT"]
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, raw string")
+    want = d.select("*", *[F.col("raw").rlike(p).alias(k) for k, p in patterns.items()])
+    assert sorted(map(str, with_matches(d, "raw", **patterns).collect())) == sorted(map(str, want.collect()))
