@@ -49,3 +49,13 @@ def test_sanity_gates_take_the_whole_catalog(spark, monkeypatch):
     monkeypatch.setattr(pipeline, "triage", triage)
     load_all()[0]["sanity_gates"](spark, SF)
     assert set(detectors(seen[0])) == {d for p in PROFILES for d in detectors(p)}
+
+
+def test_a_pass_is_not_planned_again_in_the_next(spark):
+    from pyspark.sql import functions as F
+
+    from lodegrid.plans.pipeline import in_turn
+
+    d = in_turn(spark.range(5), lambda x: x.withColumn("first_pass", F.md5(F.col("id").cast("string"))), lambda x: x.join(x.withColumnRenamed("first_pass", "again"), "id"))
+    assert "md5" not in d._jdf.queryExecution().optimizedPlan().toString()
+    assert d.where("first_pass = again").count() == 5
