@@ -205,3 +205,19 @@ def test_texts_are_dealt_to_as_many_tasks_as_a_shuffle_has(spark, tmp_path):
     finally:
         if before is not None:
             spark.conf.set("spark.lodegrid.spread.tasks", before)
+
+
+def test_a_body_is_searched_once_for_its_calls(spark):
+    from lodegrid.operators.facts import CALL_TARGET
+
+    body = "{ a.b(c)[1].call{value: msg.value, gas: 2}(x, y); t . transfer ( to,  1 ); _mint(u, 1); q.safeTransferFrom(p, r, n); z.call{gas: 1}(); }"
+    f = spark.createDataFrame([(1, "e", "p", 0, 0, 1, "f", "uint x", "public", body), (1, "e", "p", 0, 0, 1, "g", "", "", None)],
+                              "target_id long, chain string, path string, pos int, start int, line int, name string, params string, tail string, body string")
+    d = enrich(f)
+    searches = d._jdf.queryExecution().analyzed().toString().split("regexp_extract_all(body#")[1:]
+    assert sum(f", (?s)({CALL_TARGET})" in x[:40 + len(CALL_TARGET)] for x in searches) == 1
+    got = {r["name"]: r for r in d.select("name", "external_calls", "mints").collect()}
+    assert [tuple(c) for c in got["f"]["external_calls"]] == [
+        ("a.b(c)[1]", "call", "x, y", "msg.value"), ("t", "transfer", "to, 1", ""), ("q", "safeTransferFrom", "p, r, n", ""), ("z", "call", "", "")]
+    assert [tuple(c) for c in got["f"]["mints"]] == [("self", "_mint", "u, 1", "")]
+    assert got["g"]["external_calls"] is None and got["g"]["mints"] is None
