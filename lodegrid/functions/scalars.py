@@ -85,7 +85,7 @@ def content_key(detector, functions, title, rule_id, snippet, whole=None) -> Col
 def tokens(text: Column) -> Column:
     """Distinct corpus tokens of a text."""
     words = F.regexp_extract_all(F.lower(_s(text)), F.lit(r"([a-z][a-z0-9_]{3,})"), F.lit(1))
-    return F.array_except(F.array_distinct(words), F.array(*[F.lit(w) for w in STOP_WORDS]))
+    return F.array_except(words, F.array(*[F.lit(w) for w in STOP_WORDS]))
 
 
 def clamp(x: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import CONFIRMED, FALSE_POSITIVE, LIKELY, LOW, NEEDS, REPORTABLE
+from ..session import cut, stored
 from .dedup import keep_first, keep_last
 
 DONE = ("completed", "failed", "skipped")
@@ -163,12 +164,39 @@ def load_precision_corpus(rows: DataFrame) -> DataFrame:
                        F.coalesce("allow_reportable", F.lit(False)).alias("allow_reportable"))
 
 
+#: Sets of one side that may hold a token which is common in the other side too, for pairs to be counted token by token.
+COMMON_SETS = 1000
+
+
 def overlaps(a: DataFrame, b: DataFrame, a_key: str, b_key: str, least: int = 2) -> DataFrame:
     """(a_key, b_key, overlap): pairs of token sets with at least `least` tokens in common, exactly.
 
+    a(a_key, tokens), b(b_key, tokens), tokens without repeats; b is read twice, so the smaller side. Pairs are counted token by token, each
+    text of `a` read once, unless a token stands in more than ``COMMON_SETS`` sets of both sides: its pairs would be too many.
+    """
+    w, _ = stored(_words(b, b_key))
+    much = lambda d: d.groupBy("token").agg(F.count(F.lit(1)).alias("often")).where(F.col("often") > COMMON_SETS).select("token")
+    common = cut(much(w))
+    if not common.isEmpty() and not much(_words(a, a_key).join(common, "token", "left_semi")).isEmpty():
+        return _overlaps_by_prefix(a, b, a_key, b_key, least)
+    both = _words(a, a_key).toDF("l", "l_row", "token").join(w.toDF("r", "r_row", "token"), "token")
+    n = both.groupBy("l", "l_row", "r", "r_row").agg(F.count(F.lit(1)).alias("overlap")).where(F.col("overlap") >= least)
+    return n.select(F.col("l").alias(a_key), F.col("r").alias(b_key), "overlap")
+
+
+def _words(sets: DataFrame, key: str) -> DataFrame:
+    """(id, row, token) of token sets; the row tells sets of one key apart."""
+    rows = sets.select(F.col(key).alias("id"), F.monotonically_increasing_id().alias("row"), "tokens")
+    # outer: for an inner one the optimizer would make the tokens a second time, to filter
+    return rows.select("id", "row", F.explode_outer("tokens").alias("token")).where("id IS NOT NULL AND token IS NOT NULL")
+
+
+def _overlaps_by_prefix(a: DataFrame, b: DataFrame, a_key: str, b_key: str, least: int) -> DataFrame:
+    """``overlaps`` where tokens are common in both sides.
+
     Prefix filter: tokens are ordered by the number of sets that hold them. Of a set of n tokens only the n - least + 1 rarest are join
     keys, since two sets with `least` tokens in common share one among these; so the tokens that every set holds never become a key.
-    Pairs that met are then counted over their whole sets. a(a_key, tokens), b(b_key, tokens), tokens without repeats.
+    Pairs that met are then counted over their whole sets.
     """
     sides = [df.select(F.col(k).alias("id"), "tokens").where(F.size("tokens") >= least) for df, k in ((a, a_key), (b, b_key))]
     words = [s.select("id", F.explode("tokens").alias("token")) for s in sides]

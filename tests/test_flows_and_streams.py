@@ -100,6 +100,22 @@ def test_overlaps_are_exact(spark, least):
     assert got == plain_overlaps(a, b, least)
 
 
+@pytest.mark.parametrize("most", [1000, 3])
+def test_overlaps_of_common_tokens_and_repeated_keys(spark, monkeypatch, most):
+    monkeypatch.setattr(aggregates, "COMMON_SETS", most)
+    df = lambda rows, k: spark.createDataFrame(rows, f"{k} long, tokens array<string>")
+    a = [(1, ["u", "v", "w"]), (1, ["u", "x", "y"]), (2, ["u", "v"]), (3, []), (4, None), (None, ["u", "v"]), *((10 + i, ["u", f"o{i}"]) for i in range(5))]
+    b = [(7, ["u", "v", "x"]), (7, ["u", "y", "x"]), (8, ["v"]), (None, ["u", "v"]), *((20 + i, ["u", f"o{i}"]) for i in range(5))]
+    got = sorted(tuple(r) for r in aggregates.overlaps(df(a, "x"), df(b, "y"), "x", "y").collect())
+    assert got == sorted([(1, 7, 2), (1, 7, 2), (1, 7, 3), (2, 7, 2), *((10 + i, 20 + i, 2) for i in range(5))])
+
+
+def test_overlaps_read_the_larger_side_once(spark):
+    d = spark.range(50).selectExpr("id AS x", "split(concat('aa bb t', id), ' ') AS tokens")
+    plan = aggregates.overlaps(d, d.withColumnRenamed("x", "y"), "x", "y")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1
+
+
 def test_a_token_of_every_set_is_no_join_key(spark):
     rows = [(i, ["common", f"own{i}"]) for i in range(400)]
     df = spark.createDataFrame(rows, "x long, tokens array<string>")
