@@ -5,7 +5,7 @@ from __future__ import annotations
 import io
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow as pa
@@ -13,11 +13,15 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import discard
+from ..session import cut, discard
 from .ordering import ranked
 
 #: Rows an archive holds at most; a larger scan goes into several volumes.
 VOLUME_ROWS = 20_000
+#: Lines of a scan that one task sorts; a larger scan's volumes are spread over tasks.
+LARGE_SCAN = 1_000_000
+#: Counters that the scans share when their lines are counted.
+COUNTERS = 1 << 16
 #: Characters from which a member is deflated; shorter ones would grow or save nothing.
 DEFLATE_FROM = 200
 #: Archives go out together up to these bounds.
@@ -129,13 +133,66 @@ def _volumes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield packed()
 
 
+def _numbered(volume_rows: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (scan_id, entry, line) of whole scans in order -> rows of ``_volumes``, the note of an entry that goes on ahead of its lines."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scan, k, last, began = None, 0, None, 0  # k: the scan's lines so far; began: the volume in which the entry `last` begins
+        for b in batches:
+            out: list[tuple] = []
+            for s, entry, line in zip(*(c.to_pylist() for c in b.columns)):
+                if s != scan:
+                    scan, k, last = s, 0, None
+                volume = k // volume_rows
+                k += 1
+                if entry is None:
+                    continue
+                if entry != last:
+                    last, began = entry, volume
+                elif volume > began and (k - 1) % volume_rows == 0:
+                    out.append((s, volume, 0, entry, None, volume - began))
+                out.append((s, volume, k, entry, line, None))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _LINES)], ["scan_id", "volume", "rank_no", "entry", "line", "part"])
+
+    return run
+
+
+_LINES = (pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.string(), pa.int32())
+
+
 def archives(entries: DataFrame, volume_rows: int = VOLUME_ROWS) -> DataFrame:
     """entries(scan_id, entry, section, line_no, line) -> (scan_id, volume, n_entries, n_rows, archive), the archive a zip file.
 
-    All lines are ranked in one order (scan, entry, section, line) and a scan is cut every `volume_rows` lines, so a scan of any size is
-    spread over tasks that hold one volume at a time. An entry that goes on in a later volume is named `entry.1`, `entry.2` and so on
-    there; put together in this order they give the entry. A null line is an empty one; lines that tie stand in the order of their text.
+    The lines of a scan stand in one order (entry, section, line) and are cut every `volume_rows` lines. A scan's lines are sorted in one
+    task that holds one volume at a time, so they cross the network once; larger scans (``LARGE_SCAN``) are ranked and spread over tasks.
+    An entry that goes on in a later volume is named `entry.1`, `entry.2` and so on there; put together in this order they give the entry.
+    A null line is an empty one; lines that tie stand in the order of their text.
     """
+    # scans share counters, so the counts stay few; a scan that shares one with a large scan goes the large one's way
+    slot = F.pmod(F.xxhash64("scan_id"), F.lit(COUNTERS)).alias("__slot")
+    large = cut(entries.groupBy(slot).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LARGE_SCAN).select("__slot"))
+    if large.isEmpty():
+        return _archives_in_task(entries, volume_rows)
+    part = lambda how: entries.select("*", slot).join(large, "__slot", how).drop("__slot")
+    return _archives_in_task(part("left_anti"), volume_rows).unionByName(_archives_by_rank(part("left_semi"), volume_rows))
+
+
+def _archives_in_task(entries: DataFrame, volume_rows: int) -> DataFrame:
+    # a fixed number of tasks: packing takes far longer than reading
+    n = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = entries.where("scan_id IS NOT NULL").withColumn("scan_id", F.col("scan_id").cast("long")).repartition(n, "scan_id")
+    rows = rows.sortWithinPartitions("scan_id", "entry", "section", "line_no", "line").select("scan_id", "entry", "line")
+    numbered = _numbered(volume_rows)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _volumes(numbered(batches))
+
+    return rows.mapInArrow(run, ARCHIVES)
+
+
+def _archives_by_rank(entries: DataFrame, volume_rows: int) -> DataFrame:
+    """``archives`` for scans of any size: all lines are ranked, and each volume finds its task."""
     r = ranked(entries, "scan_id", "entry", "section", "line_no", "line")
     scans = r.groupBy("scan_id").agg(F.min("rank_no").alias("first_of_scan"))
     volume = lambda c: F.floor((F.col(c) - F.col("first_of_scan")) / volume_rows).cast("int")

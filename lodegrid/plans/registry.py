@@ -34,15 +34,23 @@ def table(spark: SparkSession, sf: str, name: str, heavy: bool = False) -> DataF
 def spread(df: DataFrame, always: bool = False) -> DataFrame:
     """Deal rows to ``spark.lodegrid.spread.tasks`` tasks before CPU-heavy work; without that setting the input's splits stay.
 
-    It is for small inputs in one file (local sessions set it); a large input has splits enough. ``always`` is for texts, of which one
+    It is for small inputs in one file (local sessions set it); a large input has splits enough and is left as it is, since dealing it
+    would write all of it to disk. ``always`` is for texts, of which one
     row group, and so one task, may hold very many: without the setting they go to as many tasks as a shuffle has.
     """
     n = df.sparkSession.conf.get("spark.lodegrid.spread.tasks", None)
     if n is None and always:
         n = max(df.sparkSession.sparkContext.defaultParallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    if n and not always and _size(df) >= int(n) * df.sparkSession._jsparkSession.sessionState().conf().filesMaxPartitionBytes():
+        return df
     return df.repartition(int(n)) if n else df
 
 
+def _size(df: DataFrame) -> int:
+    """Bytes of the files that a plain read stands for."""
+    return int(str(df._jdf.queryExecution().analyzed().stats().sizeInBytes()))
+
+
 def shared(spark: SparkSession, sf: str, sql: str, *tables: str, heavy: bool = False) -> DataFrame:
     """Run a SELECT both engines understand; tables are named by their plain names."""
     text = sql

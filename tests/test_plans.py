@@ -59,3 +59,15 @@ def test_a_pass_is_not_planned_again_in_the_next(spark):
     d = in_turn(spark.range(5), lambda x: x.withColumn("first_pass", F.md5(F.col("id").cast("string"))), lambda x: x.join(x.withColumnRenamed("first_pass", "again"), "id"))
     assert "md5" not in d._jdf.queryExecution().optimizedPlan().toString()
     assert d.where("first_pass = again").count() == 5
+
+
+def test_a_large_input_is_not_dealt(spark, monkeypatch):
+    from lodegrid.plans import registry
+
+    d = spark.read.parquet(f"{SF}/lineitem.parquet")
+    assert "Repartition" in registry.spread(d)._jdf.queryExecution().analyzed().toString()
+    size = registry._size(d)
+    assert 50_000 < size < 5_000_000
+    monkeypatch.setattr(registry, "_size", lambda df: size * 10_000)
+    assert "Repartition" not in registry.spread(d)._jdf.queryExecution().analyzed().toString()
+    assert "Repartition" in registry.spread(d, always=True)._jdf.queryExecution().analyzed().toString()

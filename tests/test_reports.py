@@ -109,6 +109,22 @@ def test_archives_pass_lines_on_without_a_frame_a_volume(spark):
     assert zips[1].infolist()[0].compress_type == zipfile.ZIP_DEFLATED and zips[4].read("e4") == b"short\n"
 
 
+def test_archives_send_a_line_once(spark):
+    rows = [(i % 4, f"e{i % 7}", None, i, f"line {i}") for i in range(300)] + [(1, None, None, 0, "lost"), (1, None, None, 1, "lost"), (None, "e", None, 0, "lost")]
+    d = spark.createDataFrame(rows, "scan_id long, entry string, section long, line_no long, line string").repartition(3)
+    plan = bundle.archives(d, 10)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and sum("Repartition" in x and "[scan_id" in x for x in plan.split("\n")) == 1
+
+
+def test_archives_of_large_scans_are_the_same(spark, monkeypatch):
+    rows = [(i % 4 % 3, f"e{i % 7}", i % 2, i, None if i % 50 == 0 else f"line {i}") for i in range(300)] + [(1, None, None, 0, "lost"), (1, None, None, 1, "lost"), (None, "e", None, 0, "lost")]
+    d = spark.createDataFrame(rows, "scan_id long, entry string, section long, line_no long, line string").repartition(3)
+    want = sorted(map(tuple, bundle._archives_by_rank(d, 10).collect()))
+    assert sorted(map(tuple, bundle.archives(d, 10).collect())) == want and len(want) == 31
+    monkeypatch.setattr(bundle, "LARGE_SCAN", 100)  # scan 0 is larger
+    assert sorted(map(tuple, bundle.archives(d, 10).collect())) == want
+
+
 def test_export_entries(spark):
     d = spark.createDataFrame(
         [(7, 1, 70, "0xA", "Vault", "reentrancy", 'a "b", c', "high", "CONFIRMED_CRITICAL", 8.5, 7.5, "open", ["t1"], "why", "text"),
